@@ -26,6 +26,12 @@ def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_adaptive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -38,5 +44,5 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_wavelet_matrix, op2_positional_index, op4_concat_and_cut, op10_noisy_channel)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_wavelet_matrix, op2_positional_index, op3_adaptive_prefix, op4_concat_and_cut, op10_noisy_channel)}
 SQL: dict[str, str] = {}
