@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,3 +145,36 @@ def shingles(codes: np.ndarray, word_hash: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
     return out
+
+
+def pack_ints(values: np.ndarray) -> bytes:
+    """64-bit integers as compressed byte planes."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_ints(data: bytes, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
+
+
+def by_bucket(buckets: int, ids: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """(bucket, packed ids, packed columns...) of rows dealt by a hash of their id."""
+    bucket = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    columns = [x[order] for x in (ids, *columns)]
+    return [(b, *(pack_ints(x[cuts[b] : cuts[b + 1]].astype(np.int64)) for x in columns)) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (uid, text) whose uid ascends as doc_id does, and uid -> doc_id.
+
+    Where doc_ids are whole and distinct they serve themselves, and the second is None. Else rows are numbered by doc_id
+    (nulls first) and text, which costs one shuffle of the texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return rows.select(F.col("doc_id").alias("uid"), "text"), None
+    ordered = rows.repartitionByRange(splits(rows), "doc_id").sortWithinPartitions("doc_id", "text")
+    held = store(ordered.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")), "numbered", compression="zstd")
+    return held.select("uid", "text"), held.select("uid", "doc_id")

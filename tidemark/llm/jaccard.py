@@ -24,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, hashes, mix, shingles, splits, steps, store, text_or_empty
+from .common import SPACED, Words, hashes, mix, pack_ints, shingles, splits, steps, store, text_or_empty, unpack_ints
 from .graph import components
 
 #: Stands for a null doc_id inside.
@@ -67,17 +66,6 @@ class Sets:
         self.cuts = np.searchsorted(self.row, np.arange(len(texts) + 1))
 
 
-def pack_ints(values: np.ndarray) -> bytes:
-    """64-bit integers as compressed byte planes."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack_ints(data: bytes, kind=np.int64) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
-
-
 def sets(docs: DataFrame, k: int) -> DataFrame:
     """A stored table: doc_id, n_shingles and a 128-bit digest of the set of every row."""
 
