@@ -44,11 +44,23 @@ def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import compare_edited
+
+    return compare_edited(_table(spark, sf_dir, "documents"))
+
+
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(_table(spark, sf_dir, "documents"))
+
+
 def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_wavelet_matrix, op2_positional_index, op3_adaptive_prefix, op4_concat_and_cut, op5_fingerprint_index, op10_noisy_channel)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_wavelet_matrix, op2_positional_index, op3_adaptive_prefix, op4_concat_and_cut, op5_fingerprint_index, op8_closed_syncmers, op9_disclosure, op10_noisy_channel)}
 SQL: dict[str, str] = {}
