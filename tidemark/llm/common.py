@@ -178,3 +178,33 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     ordered = rows.repartitionByRange(splits(rows), "doc_id").sortWithinPartitions("doc_id", "text")
     held = store(ordered.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")), "numbered", compression="zstd")
     return held.select("uid", "text"), held.select("uid", "doc_id")
+
+
+#: Ids (8 bytes each) that may be broadcast to the scans; beyond that rows are joined.
+MOST_IDS = 2_000_000
+KEY = "__tidemark_key"
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells its rows apart, and that column's name: doc_id where it is whole and distinct, else a stored row number."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    return store(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed"), KEY
+
+
+def without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """docs but for the rows whose key is in the one column of ids; a helper column is dropped."""
+    ids = store(ids.toDF("id").distinct(), "ids")
+    if ids.count() > MOST_IDS:
+        kept = docs.join(ids, docs[key].cast("long") == ids["id"], "left_anti")
+        return kept.drop(KEY)
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["id"].to_numpy(dtype=np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = shared.value
+        for batch in batches:
+            at = batch.column(batch.schema.get_field_index(key)).cast(pa.int64()).to_numpy()
+            yield batch.filter(pa.array(~np.isin(at, gone)))
+
+    return docs.mapInArrow(run, docs.schema).drop(KEY)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, STEP_BYTES, Words, steps, store, text_or_empty
+from .common import ALNUM, STEP_BYTES, Words, keyed, steps, store, text_or_empty, without
 
 INDEX = "part int, seq int, doc_ids array<long>, rows array<int>, terms array<binary>, counts array<int>, postings binary"
 MATCHES = "part int, seq int, ord int, doc_id long, item_id string, first_word long, end_word long"
@@ -228,3 +228,10 @@ def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     items_here = F.coalesce("items", F.array().cast("array<string>"))
     rows = documents(index).join(hits, key, "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": items_here})
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", *key)
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of an item."""
+    rows, key = keyed(docs)
+    found = phrases(build(rows.select(F.col(key).alias("doc_id"), "text")), items, width)
+    return without(rows, key, found.select("doc_id"))

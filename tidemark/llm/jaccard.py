@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, hashes, mix, pack_ints, shingles, splits, steps, store, text_or_empty, unpack_ints
+from .common import SPACED, Words, hashes, keyed, mix, pack_ints, shingles, splits, steps, store, text_or_empty, unpack_ints, without
 from .graph import components
 
 #: Stands for a null doc_id inside.
@@ -295,3 +295,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     smallest = named.where("n_shingles > 0").groupBy("group").agg(F.min(real).alias("smallest"))
     out = named.join(smallest, "group", "left")
     return out.select(real.alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(real).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, but for all of a component except its smallest key."""
+    rows, key = keyed(docs)
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), k, percent)
+    return without(rows, key, found.where("doc_id <> component_id").select("doc_id"))

@@ -44,6 +44,18 @@ def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .likelihood import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
+def op7_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import count
+
+    return count(_table(spark, sf_dir, "documents"))
+
+
 def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .syncmers import compare_edited
 
@@ -62,5 +74,5 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_wavelet_matrix, op2_positional_index, op3_adaptive_prefix, op4_concat_and_cut, op5_fingerprint_index, op8_closed_syncmers, op9_disclosure, op10_noisy_channel)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_wavelet_matrix, op2_positional_index, op3_adaptive_prefix, op4_concat_and_cut, op5_fingerprint_index, op6_pseudo_likelihood, op7_longest_match, op8_closed_syncmers, op9_disclosure, op10_noisy_channel)}
 SQL: dict[str, str] = {}

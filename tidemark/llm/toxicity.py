@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, raw, steps, text_or_empty
+from .common import SPACED, Words, raw, steps, store, text_or_empty
 
 #: Labelled texts that weights are learnt from at most, terms that a model keeps at most, lengths of stems.
 MOST_LABELS, MOST_TERMS, STEMS = 200_000, 100_000, (4, 5, 6, 7, 8)
@@ -269,24 +269,41 @@ def _cut(weight: np.ndarray, toxic: np.ndarray) -> float:
     return float(min(0.99, max(0.3, (edge[k] + edge[k + 1]) / 2)))
 
 
-def score(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS):
+    """The shared character model and weights, the lowest weight, and the cut."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    share = spark.sparkContext.broadcast
+    share = docs.sparkSession.sparkContext.broadcast
     learned = training(rows, labels, most_labels)
-    base = sum(t for t, _ in learned.values()) / max(1, len(learned))
+    least = max(0.05, sum(t for t, _ in learned.values()) / max(1, len(learned)))
     learn, model = share(learned), share(language_model(rows))
-    counts = term_counts(rows, learn, model).persist()
-    least = max(0.05, base)
-    try:
-        first = weights(counts.where("part = 0"), least)
-        final = weights(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), least)
-    finally:
-        counts.unpersist()
+    counts = store(term_counts(rows, learn, model), "terms")
+    first = weights(counts.where("part = 0"), least)
+    final = weights(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), least)
     tried = _scored(rows, model, share(first), least / 2, learn).toPandas()
     cut = _cut(tried["weight"].to_numpy(dtype=float), np.array([learned[int(i)][0] for i in tried["doc_id"]], np.int64))
+    return model, share(final), least / 2, cut
+
+
+def score(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted."""
+    model, terms, least, cut = fit(docs, labels, most_labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     w = F.col("weight")
     bent = F.when(w >= cut, 0.5 + 0.5 * (w - cut) / (1 - cut)).otherwise(F.least(0.5 * w / cut, F.lit(0.4999)))
-    out = _scored(rows, model, share(final), least / 2).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"), bent.alias("score"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    out = _scored(rows, model, terms, least).select("doc_id", held_out.alias("held_out"), bent.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted to be toxic."""
+    model, terms, least, cut = fit(docs, labels, most_labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model.value, terms.value, least)
+        for batch in steps(batches, "text"):
+            texts = batch.column("text")
+            texts = texts.fill_null("") if texts.null_count else texts
+            yield batch.filter(pa.array(Texts(texts, reader).heaviest() < cut))
+
+    return docs.mapInArrow(run, docs.schema)
