@@ -9,9 +9,11 @@ paired. Two sets of similarity t or more share at least t of either one's shingl
    (n - ceil(t n) + 1 shingles) by l - 1 share at least l shingles of it. Each class takes the l whose estimated cost
    (postings read, and candidates verified, of which there are at most postings / l) is least; a pair is verified when it shares
    as many prefix shingles as the smaller l of the two asks.
-3. Links. For the components alone most pairs are needless: a few rounds verify each posting list's members against one
-   pivot, which joins groups of near copies in linear work; then all pairs of candidates that are still in different components
-   are verified, so no link between components is missed.
+3. Links. For the components alone most pairs are needless: a few rounds verify each class against the one pivot of its
+   posting lists that it shares most with, which joins groups of near copies in linear work. Then the candidates that are
+   still in different components are compared, so no link between components is missed: those of small clusters of posting
+   lists as pairs, those of large clusters in blocks, the classes outside the largest component against all, so that no
+   table of pairs grows with the square of a group.
 
 Similarity is exact but for equal 64-bit hashes of different shingles. Nulls: a null text has no shingles and links with
 nothing; a null doc_id has a component like any other, whose id is null if nothing else is in it. Repeated rows, and rows
@@ -35,7 +37,9 @@ NONE = -(1 << 63)
 #: Shingles in a slice and in a packed batch; documents whose ids may be broadcast (8 bytes each).
 SLICE, PACK, MOST_BROADCAST = 3_000_000, 2_000_000, 2_000_000
 #: Cost of verifying a candidate, in postings read; longest extension tried; pivot rounds at most.
-VERIFY, MOST_MATCHES, ROUNDS = 20.0, 8, 5
+VERIFY, MOST_MATCHES, ROUNDS = 20.0, 8, 4
+#: Classes of a cluster that are paired at most, classes of a block, shingles that a block counts at a time.
+PAIRED, BLOCK, COUNTED = 256, 1024, 4096
 
 
 class Sets:
@@ -196,26 +200,30 @@ def classes(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return store(made.select(F.monotonically_increasing_id().alias("rid"), "digest", F.size("tokens").alias("n"), "tokens"), "classes")
 
 
-def prefixes(held: DataFrame, percent: int) -> DataFrame:
-    """A stored table of prefix postings: token, rid, n, matches (the l that rid asks for)."""
+def common_tokens(held: DataFrame, percent: int) -> DataFrame:
+    """A stored table of rid, n and the shingles that other classes have too (df, the classes with each, and token, from the rarest); classes with too few of them are out."""
     tokens = held.select("rid", "n", F.explode("tokens").alias("token"))
-    many = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    many = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     ranked = tokens.join(many, "token").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-    ranked = ranked.where(F.size("common") * 100 >= F.col("n") * percent).select("rid", "n", F.col("common.df").alias("df"), F.col("common.token").alias("token"))
+    ranked = ranked.where(F.size("common") * 100 >= F.col("n") * percent)
+    return store(ranked.select("rid", "n", F.col("common.df").alias("df"), F.col("common.token").alias("tokens")), "common")
+
+
+def prefixes(common: DataFrame, percent: int) -> DataFrame:
+    """A stored table of prefix postings: token, rid, n, matches (the l that rid asks for)."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
-            for rid, n, df, token in zip(batch["rid"].to_pylist(), batch["n"].to_pylist(), batch["df"], batch["token"], strict=True):
+            for rid, n, df, token in zip(batch["rid"].to_pylist(), batch["n"].to_pylist(), batch["df"], batch["tokens"], strict=True):
                 df, token = df.values.to_numpy(), token.values.to_numpy()
-                plain = n - -(-n * percent // 100) + 1
-                # shingles that no other class has come first and match nothing
-                sizes = np.minimum(np.arange(plain, plain + MOST_MATCHES), n) - (n - len(df))
-                reads = np.concatenate(([0], np.cumsum(df)))[np.maximum(sizes, 0)].astype(float)
+                need = -(-n * percent // 100)
                 asked = np.arange(1, MOST_MATCHES + 1)
+                # shingles that no other class has come first and match nothing
+                sizes = n - need + asked - (n - len(df))
+                reads = np.concatenate(([0], np.cumsum(df.astype(np.int64))))[np.clip(sizes, 0, len(df))].astype(float)
                 # a prefix can't be longer than the set, nor ask for more than partners must share
-                valid = (np.arange(plain, plain + MOST_MATCHES) <= n) & (asked <= -(-n * percent // 100))
-                cost = np.where(valid, reads + VERIFY * reads / asked, np.inf)
+                cost = np.where((asked <= need) & (sizes <= len(df)), reads + VERIFY * reads / asked, np.inf)
                 best = int(np.argmin(cost))
                 size = int(sizes[best])
                 if size >= asked[best]:
@@ -224,54 +232,130 @@ def prefixes(held: DataFrame, percent: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["token", "rid", "n", "matches"])
 
-    return store(ranked.mapInArrow(choose, "token long, rid long, n long, matches long"), "prefixes")
+    return store(common.mapInArrow(choose, "token long, rid long, n long, matches long"), "prefixes")
+
 
+def _of(common: DataFrame, ids: DataFrame) -> DataFrame:
+    """rid, n, tokens of the classes in ids; a number of ids that may be broadcast keeps the others' shingles from being moved."""
+    ids = ids.distinct()
+    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return common.select("rid", "n", "tokens").join(F.broadcast(ids) if few else ids, "rid", "left_semi")
 
-def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    a = held.select(F.col("rid").alias("a"), F.col("tokens").alias("tokens_a"))
-    b = held.select(F.col("rid").alias("b"), F.col("tokens").alias("tokens_b"))
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("tokens_a") + F.size("tokens_b") - both).alias("any")).where(F.col("both") * 100 >= F.col("any") * percent).select("a", "b")
+
+def verified(pairs: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Shingles that one class alone has add to its size only."""
+    a = _of(common, pairs.select(F.col("a").alias("rid"))).toDF("a", "na", "tokens_a")
+    b = _of(common, pairs.select(F.col("b").alias("rid"))).toDF("b", "nb", "tokens_b")
+    met = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"))
+    return met.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
 def _fits(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def _paired(lists: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs in different components that share as many prefix shingles as they must."""
+    x = lists.select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("root").alias("ra"))
+    y = lists.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("root").alias("rb"))
+    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", percent))
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("ma", "mb")).alias("asked")).where("shared >= asked").select("a", "b")
+
+
+def _pivots(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """One pair for each class: with the pivot, of those of its posting lists in other components, that it shares most lists with."""
+    draw = F.col("rid") if turn == 0 else F.xxhash64("rid", F.lit(turn))
+    pivot = lists.groupBy("token").agg(F.min_by(F.struct("rid", "n", "root"), draw).alias("p")).select("token", F.col("p.rid").alias("b"), F.col("p.n").alias("nb"), F.col("p.root").alias("rb"))
+    met = lists.join(pivot, "token").where((F.col("rid") != F.col("b")) & (F.col("root") != F.col("rb")) & _fits("n", "nb", percent))
+    counts = met.groupBy("rid", "b").agg(F.count("*").alias("c"))
+    return counts.groupBy("rid").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")).select(F.col("rid").alias("a"), "b")
+
+
+def _blocked(members: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of large clusters. members: cluster, rid, root. Every class outside the cluster's largest component meets every class of
+    the cluster, in blocks of at most about BLOCK classes by BLOCK, where shared shingles are counted by matrix products."""
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"))
+    tagged = members.join(sizes, "cluster").withColumns({"across": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), "along": F.ceil(F.col("all") / BLOCK).cast("int"), "odd": F.col("root") != F.col("main")})
+    held = tagged.join(_of(common, members.select("rid")), "rid")
+    place = lambda n, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.col(n)).cast("int")
+    one = held.where("odd").select("cluster", place("across", 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("along") - 1)).alias("y"), F.lit(True).alias("query"), "rid", "root", "n", "tokens")
+    two = held.select("cluster", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), place("along", 2).alias("y"), F.lit(False).alias("query"), "rid", "root", "n", "tokens")
+
+    def compare(table: pa.Table) -> pa.Table:
+        query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        rid, root, n = (table.column(c).to_numpy().astype(np.int64) for c in ("rid", "root", "n"))
+        tokens = table.column("tokens").combine_chunks()
+        flat, cuts = tokens.values.to_numpy(), tokens.offsets.to_numpy().astype(np.int64)
+        flat, cuts = flat[cuts[0] : cuts[-1]], cuts - cuts[0]
+        owner = np.repeat(np.arange(len(rid)), np.diff(cuts))
+        q, m = np.flatnonzero(query), np.flatnonzero(~query)
+        asks = query[owner]
+        seen = np.intersect1d(flat[asks], flat[~asks])
+        both = np.zeros((len(q), len(m)), np.float32)
+        row = np.cumsum(query) - 1
+        column = np.cumsum(~query) - 1
+        for at in range(0, len(seen), COUNTED):
+            part = seen[at : at + COUNTED]
+            k = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[k] == flat
+            left, right = np.zeros((len(q), len(part)), np.float32), np.zeros((len(m), len(part)), np.float32)
+            left[row[owner[hit & asks]], k[hit & asks]] = 1
+            right[column[owner[hit & ~asks]], k[hit & ~asks]] = 1
+            both += left @ right.T
+        linked = (both * 100 >= (n[q][:, None] + n[m][None, :] - both) * percent) & (root[q][:, None] != root[m][None, :])
+        a, b = np.nonzero(linked)
+        # one link to each component is enough
+        _, first = np.unique(np.stack([q[a], root[m[b]]], axis=1), axis=0, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(rid[q[a[first]]]), "b": pa.array(rid[m[b[first]]])})
+
+    return one.unionAll(two).groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def link_classes(held: DataFrame, percent: int) -> DataFrame:
     """rid and root, equal for classes that links connect; classes without a link may be missing."""
     spark = held.sparkSession
-    postings = prefixes(held, percent)
+    common = common_tokens(held, percent)
+    postings = prefixes(common, percent)
     roots = spark.createDataFrame([], "node long, root long")
     size = postings.count()
-    for turn in range(ROUNDS + 1):
-        lists = postings.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("token", "rid", "n", "matches", F.coalesce("root", "rid").alias("root"))
-        lists = store(lists, "lists")
+
+    def settle(links: DataFrame) -> bool:
+        """Take new links into roots."""
+        nonlocal roots
+        links = store(links, "links")
+        if links.isEmpty():
+            return False
+        of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        grown = components(edges)
+        moved = roots.join(grown.withColumnRenamed("root", "top").withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = store(moved.unionAll(grown.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+        return True
+
+    def open_lists() -> tuple[DataFrame, float]:
+        """Posting lists that hold several components, and how many pairs they make."""
+        lists = store(postings.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("token", "rid", "n", "matches", F.coalesce("root", "rid").alias("root")), "lists")
         groups = lists.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own")).where("c * c > own")
         left = groups.agg(F.coalesce(F.sum((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2), F.lit(0.0))).first()[0]
+        return lists.join(groups.select("token"), "token", "left_semi"), left
+
+    for turn in range(ROUNDS):
+        lists, left = open_lists()
         if not left:
+            return roots.withColumnRenamed("node", "rid")
+        if left <= size or not settle(verified(_pivots(lists, turn, percent), common, percent)):
             break
-        last = turn == ROUNDS or left <= 4 * size
-        open_lists = lists.join(groups.select("token"), "token", "left_semi")
-        if last:
-            x = open_lists.select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("root").alias("ra"))
-            y = open_lists.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("root").alias("rb"))
-            met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", percent))
-            pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("ma", "mb")).alias("asked")).where("shared >= asked").select("a", "b")
-        else:
-            draw = F.col("rid") if turn == 0 else F.xxhash64("rid", F.lit(turn))
-            pivot = open_lists.groupBy("token").agg(F.min_by(F.struct("rid", "n", "root"), draw).alias("p")).select("token", F.col("p.rid").alias("b"), F.col("p.n").alias("nb"), F.col("p.root").alias("rb"))
-            pairs = open_lists.join(pivot, "token").where((F.col("rid") != F.col("b")) & (F.col("root") != F.col("rb")) & _fits("n", "nb", percent)).select(F.col("rid").alias("a"), "b").distinct()
-        links = store(verified(pairs, held, percent), "links")
-        of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        if not links.isEmpty():
-            grown = components(edges)
-            moved = roots.join(grown.withColumnRenamed("root", "top").withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-            roots = store(moved.unionAll(grown.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
-        if last:
-            break
+    lists, left = open_lists()
+    lists = store(lists, "open")
+    least = lists.groupBy("token").agg(F.min("rid").alias("least"))
+    clusters = components(lists.join(least, "token").where("rid <> least").select(F.col("rid").alias("a"), F.col("least").alias("b")).distinct()).withColumnsRenamed({"node": "rid", "root": "cluster"})
+    large = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where(F.col("c") > PAIRED).select("cluster")
+    in_large = store(clusters.join(large, "cluster", "left_semi"), "large")
+    links = verified(store(_paired(lists.join(in_large.select("rid"), "rid", "left_anti"), percent), "pairs"), common, percent)
+    if not in_large.isEmpty():
+        members = in_large.join(lists.groupBy("rid").agg(F.first("root").alias("root")), "rid").select("cluster", "rid", "root")
+        links = links.unionAll(_blocked(members, common, percent))
+    settle(links)
     return roots.withColumnRenamed("node", "rid")
 
 
