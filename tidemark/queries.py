@@ -1,10 +1,360 @@
-"""Registered queries of the panel operators and their SQL twins."""
+"""Registered queries of the panel operators and their SQL twins.
+
+Bars come from lineitem, sectors from the supplier's region, macro series from orders, scores and labels of metrics from
+documents. Doubles are rounded in both, since engines add in different orders."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .operators import evaluation as ev
+from .operators import features as ft
+from .operators import kernels as kn
+from .operators import labels as lb
+from .operators import panel as pn
+from .operators import portfolio as pf
+from .operators import quality as ql
+from .sources import bars as src
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a query under its function's name, with its SQL twin."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.bars_from_lines(table(spark, sf_dir, "lineitem"))
+
+
+def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    return s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.concat(F.lit("S"), "s_suppkey").alias("symbol"), F.col("r_name").alias("sector"))
+
+
+def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("flow"), F.max("o_totalprice").alias("peak"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return d.select("doc_id", "lang", ((F.col("n_chars") % 1000) / 1000).alias("p"), F.col("quality").alias("y"))
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last bar of each symbol and week with its later return: probability from momentum of the bar's range."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    b = bars(spark, sf_dir)
+    b = b.withColumns({"probability": F.round((F.col("volume") % 97) / 97, 4), "actual_return": F.round(F.least(F.greatest(F.lead("close", 2).over(w) / F.col("close") - 1, F.lit(-0.3)), F.lit(0.3)), 4), "week": F.date_trunc("week", "date").cast("date")})
+    return b.where("actual_return is not null").withColumn("__k", F.row_number().over(Window.partitionBy("symbol", "week").orderBy(F.desc("date")))).where("__k = 1").join(sectors(spark, sf_dir), "symbol").select("symbol", "sector", "week", "probability", "actual_return", "close", "volume")
+
+
+def shown(df: DataFrame, keys: list[str], columns: list[str], digits: int = 5) -> DataFrame:
+    return df.select(*keys, *((F.round(F.col(c).cast("double"), digits) + 0.0).alias(c) for c in columns))
+
+
+# SQL pieces
+
+BARS = """bars AS (SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date,
+ first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity) AS open,
+ max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
+ last(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity) AS close,
+ sum(l_quantity) AS volume FROM lineitem GROUP BY ALL)"""
+SECTORS = "sectors AS (SELECT 'S' || s_suppkey AS symbol, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+MACRO = "macro AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS flow, max(o_totalprice) AS peak FROM orders GROUP BY 1)"
+SCORED = "scored AS (SELECT doc_id, lang, (n_chars % 1000) / 1000 AS p, quality AS y FROM documents JOIN labels USING (doc_id))"
+S = "PARTITION BY symbol ORDER BY date"
+SIGNALS = f"""sig0 AS (SELECT *, round((volume % 97) / 97, 4) AS probability,
+ round(least(greatest(lead(close, 2) OVER ({S}) / close - 1, -0.3), 0.3), 4) AS actual_return, CAST(date_trunc('week', date) AS DATE) AS week FROM bars),
+signals AS (SELECT symbol, sector, week, probability, actual_return, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol, week ORDER BY date DESC) AS k
+ FROM sig0 WHERE lead_ok(actual_return)) JOIN sectors USING (symbol) WHERE k = 1)""".replace("lead_ok(actual_return)", "(actual_return IS NOT NULL)").replace("least(greatest(lead(close, 2)", "least(greatest(lead(close, 2)")
+
+
+def rw(w: int) -> str:
+    return f"({S} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+
+
+def roll(fn: str, x: str, w: int, least: int) -> str:
+    return f"CASE WHEN count({x}) OVER {rw(w)} >= {least} THEN {fn}({x}) OVER {rw(w)} END"
+
+
+def mean(x: str, w: int, least: int | None = None) -> str:
+    return roll("avg", x, w, least or max(5, w // 3))
+
+
+def dev(x: str, w: int, least: int | None = None, fn: str = "stddev_pop") -> str:
+    return roll(fn, x, w, least or max(5, w // 3))
+
+
+def over(a: str, b: str) -> str:
+    return f"(CASE WHEN abs({b}) > 1e-12 THEN ({a}) / ({b}) END)"
+
+
+def z(x: str, w: int, least: int | None = None) -> str:
+    return over(f"{x} - ({mean(x, w, least)})", f"({dev(x, w, least)})")
+
+
+def lagged(x: str, k: int = 1) -> str:
+    return f"lag({x}, {k}) OVER ({S})"
+
+
+def clipped(x: str, lo: float, hi: float) -> str:
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN greatest(least({x}, {hi}), {lo}) END)"
+
+
+def out(columns: list[str], digits: int = 5) -> str:
+    return ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in columns)
+
+
+def stage(name: str, before: str, columns: dict[str, str]) -> str:
+    return f"{name} AS (SELECT *, " + ", ".join(f"{x} AS {c}" for c, x in columns.items()) + f" FROM {before})"
+
+
+def chain(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts)
+
+
+RET = stage("rets", "bars", {"ret": f"ln(close) - ln({lagged('close')})"})
+
+# sources and quality
+
+
+@query(chain(BARS) + " SELECT symbol, date, " + out(["open", "high", "low", "close", "volume"]) + " FROM bars")
+def daily_bars(spark, sf_dir):
+    return shown(bars(spark, sf_dir), ["symbol", "date"], ["open", "high", "low", "close", "volume"])
+
+
+@query(chain(BARS) + " SELECT symbol, date, metric, round(value, 5) + 0.0 AS value FROM (UNPIVOT (SELECT symbol, date, open, high, low, close, close AS adjclose, volume FROM bars) ON open, high, low, close, adjclose, volume INTO NAME metric VALUE value)")
+def bars_to_long(spark, sf_dir):
+    return shown(src.to_long(bars(spark, sf_dir)), ["symbol", "date", "metric"], ["value"])
+
+
+@query(chain(BARS) + " SELECT symbol, date, " + out(["open", "high", "low", "close", "volume"]) + " FROM bars")
+def long_to_wide(spark, sf_dir):
+    return shown(src.to_wide(src.to_long(bars(spark, sf_dir))), ["symbol", "date"], ["open", "high", "low", "close", "volume"])
+
+
+@query(chain(BARS, RET) + " SELECT symbol, date, " + out(["ret"], 8) + " FROM rets")
+def log_returns(spark, sf_dir):
+    return shown(ft.returns(bars(spark, sf_dir)), ["symbol", "date"], ["ret"], 8)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, '(?i)\\b(?:red|blue)\\b') AND NOT regexp_matches(p_type, '(?i)promo|brushed')")
+def pattern_filter(spark, sf_dir):
+    return ql.tradeable(table(spark, sf_dir, "part"), "p_name", "p_type", names=(r"(?i)\b(?:red|blue)\b",), words=(r"(?i)promo|brushed",)).select("p_partkey", "p_name")
+
+
+@query(chain(BARS) + " SELECT symbol, CAST(count(*) AS BIGINT) AS n FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING max(close) <= 2090 AND min(close) >= 0.01 AND max(close) / min(close) <= 1000) GROUP BY 1")
+def suspicious_prices(spark, sf_dir):
+    return ql.plausible_prices(bars(spark, sf_dir), most=2090.0).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+ATR = stage("tr", "bars", {"t": f"greatest(high - low, abs(high - {lagged('close')}), abs(low - {lagged('close')}))"}).replace("greatest(high - low, abs", f"CASE WHEN {lagged('close')} IS NULL THEN high - low ELSE greatest(high - low, abs").replace("AS t FROM", "END AS t FROM") + ",\n" + stage("entries", "tr", {"atr": roll("avg", "t", 14, 14)})
+
+
+@query(chain(BARS, ATR) + " SELECT symbol, CAST(count(*) AS BIGINT) AS n, round(avg(atr), 5) + 0.0 AS mean_atr FROM entries WHERE close > 0 AND atr > 0 AND symbol IN (SELECT symbol FROM entries WHERE close > 0 AND atr > 0 GROUP BY 1 HAVING count(*) >= 25) GROUP BY 1")
+def label_input(spark, sf_dir):
+    return ql.label_input(lb.with_atr(bars(spark, sf_dir))).groupBy("symbol").agg(F.count("*").alias("n"), (F.round(F.avg("atr"), 5) + 0.0).alias("mean_atr"))
+
+
+@query(chain(BARS, RET) + ", a AS (SELECT * FROM rets WHERE abs(ret) <= 1), b AS (SELECT avg(ret) AS m, stddev_samp(ret) AS s FROM a) SELECT symbol, date, round(ret, 8) + 0.0 AS ret FROM a, b WHERE abs(ret - m) <= 2.5 * s")
+def extreme_returns(spark, sf_dir):
+    return shown(ql.extreme_returns(ft.returns(bars(spark, sf_dir)), ["ret"], z=2.5), ["symbol", "date"], ["ret"], 8)
+
+
+@query(
+    chain(BARS, "gaps AS (SELECT symbol, date, CASE WHEN (CAST(substr(symbol, 2) AS BIGINT) + dayofyear(date)) % 17 <> 0 THEN close END AS close FROM bars)")
+    + f", f AS (SELECT *, last_value(close IGNORE NULLS) OVER b AS p, first_value(close IGNORE NULLS) OVER a AS n, last_value(CASE WHEN close IS NOT NULL THEN date END IGNORE NULLS) OVER b AS t, first_value(CASE WHEN close IS NOT NULL THEN date END IGNORE NULLS) OVER a AS u FROM gaps WINDOW b AS ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS ({S} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+    + " SELECT symbol, date, round(coalesce(close, p + (n - p) * (date - t) / nullif(u - t, 0)), 5) + 0.0 AS close_filled FROM f"
+)
+def gap_fill(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("close", F.when((F.substring("symbol", 2, 20).cast("long") + F.dayofyear("date")) % 17 != 0, F.col("close")))
+    return shown(ql.fill_gaps(b, "close"), ["symbol", "date"], ["close_filled"])
+
+
+@query(chain(BARS, RET) + " SELECT symbol, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CASE WHEN ret IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null, round(1 - sum(CASE WHEN ret IS NULL THEN 1 ELSE 0 END) / (count(*) * 2), 6) + 0.0 AS completeness FROM rets GROUP BY 1")
+def symbol_quality(spark, sf_dir):
+    return shown(ql.symbol_quality(ft.returns(bars(spark, sf_dir)), ["close", "ret"]), ["symbol", "n_rows", "n_null"], ["completeness"], 6)
+
+
+@query(chain(BARS, RET) + " SELECT 'ret' AS feature, round(avg(CASE WHEN ret IS NULL THEN 1.0 ELSE 0 END), 6) + 0.0 AS null_share, 'returns' AS category, 'healthy' AS state FROM rets UNION ALL SELECT 'volume', 0.0, 'volume', 'healthy'")
+def null_profile(spark, sf_dir):
+    return shown(ql.null_profile(ft.returns(bars(spark, sf_dir)), ["ret", "volume"], {"ret": "returns", "vol": "volume"}), ["feature", "category", "state"], ["null_share"], 6)
+
+
+@query(chain(BARS) + ", s AS (SELECT date, count(close) / (SELECT count(DISTINCT symbol) FROM bars) AS share FROM bars GROUP BY 1) SELECT coalesce((SELECT max(date) FROM s WHERE share >= 0.4), (SELECT date FROM s ORDER BY share DESC, date DESC LIMIT 1)) AS date")
+def latest_valid_date(spark, sf_dir):
+    return ql.latest_valid_date(bars(spark, sf_dir), 0.4)
+
+
+@query(chain(BARS) + " SELECT symbol, date, round(close, 5) + 0.0 AS close FROM bars WHERE date = (SELECT date FROM bars ORDER BY abs(date - DATE '1998-06-30'), date LIMIT 1)")
+def snapshot_rows(spark, sf_dir):
+    return shown(ql.snapshot(bars(spark, sf_dir), "1998-06-30"), ["symbol", "date"], ["close"])
+
+
+@query(chain(BARS) + ", t AS (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 100 ORDER BY count(*) DESC, symbol LIMIT 20) SELECT symbol, CAST(count(*) AS BIGINT) AS n FROM bars WHERE symbol IN (SELECT symbol FROM t) GROUP BY 1")
+def top_symbols(spark, sf_dir):
+    return ql.top_symbols(bars(spark, sf_dir), 20, 100).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS null_probability, CAST(count(*) FILTER (WHERE value < 0 OR value > 1) AS BIGINT) AS probability_out_of_range, CAST(count(*) FILTER (WHERE value <= 0) AS BIGINT) AS price_not_positive, (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM events GROUP BY user_id, CAST(ts AS DATE) HAVING count(*) > 1)) AS duplicate_keys FROM events")
+def signal_problems(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return ql.signal_problems(e.select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("signal_date"), F.col("value").alias("probability"), F.col("value").alias("entry_price")))
+
+
+# windows of one symbol
+
+_MA = stage("m", "bars", {f"ma_{p}": roll("avg", "close", p, max(5, p // 2)) for p in ft.MA})
+_SL = stage("s", "m", {f"pct_slope_ma_{p}": over(f"ma_{p}", lagged(f"ma_{p}", 20)) + " - 1" for p in ft.MA})
+_SG = stage("g", "s", {f"sign_ma_{p}": f"CASE WHEN pct_slope_ma_{p} > 1e-5 THEN 1.0 WHEN pct_slope_ma_{p} < -1e-5 THEN -1.0 ELSE 0.0 END" for p in ft.MA})
+_UP, _DN = (" + ".join(f"CASE WHEN sign_ma_{p} {o} 0 THEN 1 ELSE 0 END" for p in ft.MA) for o in "><")
+_TS = stage("t", "g", {"up": _UP, "dn": _DN}) + ", " + stage("v", "t", {"trend_score_granular": "CASE WHEN up + dn > 0 THEN (up - dn) / (up + dn) ELSE 0.0 END", "trend_alignment": "CASE WHEN up + dn > 0 THEN up / (up + dn) END"})
+_TREND = [*(f"ma_{p}" for p in (10, 50, 200)), *(f"pct_slope_ma_{p}" for p in (10, 50, 200)), "trend_score_granular", "trend_alignment", "trend_score_sign", "trend_score_slope"]
+
+
+@query(chain(BARS, _MA, _SL, _SG, _TS, stage("w", "v", {"trend_score_sign": "sign(trend_score_granular)", "trend_score_slope": f"trend_score_granular - {lagged('trend_score_granular')}"})) + f" SELECT symbol, date, {out(_TREND)} FROM w")
+def trend(spark, sf_dir):
+    return shown(ft.trend(bars(spark, sf_dir)), ["symbol", "date"], _TREND)
+
+
+_VOL = [*(f"rv_{w}" for w in (10, 20, 60, 100)), "rv_ratio_10_60", "rv_ratio_20_100", "rv_z_60", "vol_regime", "rv_vol_of_vol_20d", "rv60_slope_norm", "rv100_slope_norm"]
+_VSQL = [BARS, RET, stage("v", "rets", {f"rv_{w}": dev("ret", w) for w in (10, 20, 60, 100)}), stage("w", "v", {"rv_ratio_10_60": over("rv_10", "rv_60"), "rv_ratio_20_100": over("rv_20", "rv_100"), "rv_z_60": z("rv_20", 60), "stp": f"rv_20 - {lagged('rv_20')}"}), stage("x", "w", {"vol_regime": "ln(1 + rv_ratio_20_100)", "rv_vol_of_vol_20d": dev("stp", 20, 5), "rv60_slope_norm": f"({over('rv_60', lagged('rv_60', 20))} - 1) / 20", "rv100_slope_norm": f"({over('rv_100', lagged('rv_100', 20))} - 1) / 20"})]
+
+
+@query(chain(*_VSQL) + f" SELECT symbol, date, {out(_VOL)} FROM x")
+def volatility(spark, sf_dir):
+    return shown(ft.volatility(ft.returns(bars(spark, sf_dir))), ["symbol", "date"], _VOL)
+
+
+@query(chain(*_VSQL, stage("y", "x", {"vol_regime_cs_median": "ln(1 + quantile_cont(rv_ratio_20_100, 0.5) OVER (PARTITION BY date))"})) + " SELECT symbol, date, round(vol_regime_cs_median, 5) + 0.0 AS vol_regime_cs_median, round(vol_regime - vol_regime_cs_median, 5) + 0.0 AS vol_regime_rel FROM y")
+def relative_volatility(spark, sf_dir):
+    return shown(ft.relative_volatility(ft.volatility(ft.returns(bars(spark, sf_dir)))), ["symbol", "date"], ["vol_regime_cs_median", "vol_regime_rel"])
+
+
+_D = [f"pct_dist_ma_{w}" for w in (20, 50, 100, 200)] + ["relative_dist_20_50"]
+
+
+@query(chain(BARS, stage("m", "bars", {f"ma_{w}": roll("avg", "close", w, max(5, w // 2)) for w in (20, 50, 100, 200)}), stage("d", "m", {f"pct_dist_ma_{w}": over(f"close - ma_{w}", f"ma_{w}") for w in (20, 50, 100, 200)} | {"relative_dist_20_50": over("ma_20 - ma_50", "ma_50")}), stage("e", "d", {f"{c}_z": z(c, 60) for c in _D} | {"min_pct_dist_ma": "least(" + ", ".join(f"abs({c})" for c in _D[:4]) + ")"})) + f" SELECT symbol, date, {out([*_D, *(f'{c}_z' for c in _D), 'min_pct_dist_ma'])} FROM e")
+def distance_to_averages(spark, sf_dir):
+    return shown(ft.distance(bars(spark, sf_dir)), ["symbol", "date"], [*_D, *(f"{c}_z" for c in _D), "min_pct_dist_ma"])
+
+
+_TR = stage("b1", "bars", {"pc": lagged("close")}) + ", " + stage("b2", "b1", {"true_range": "CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END"})
+_RB = ["hl_range", "gap_pct", "overnight_ret", "gap_fill_frac", "tr_pct_close", "hl_range_pct_close", "range_x_rvol20", *(c for w in (5, 10, 20) for c in (f"{w}d_range_pct_close", f"pos_in_{w}d_range", f"breakout_up_{w}d", f"breakout_dn_{w}d", f"range_expansion_{w}d", f"range_z_{w}d"))]
+
+
+def _q(c: str) -> str:
+    return f'"{c}"'
+
+
+@query(
+    chain(BARS, _TR, stage("c", "b2", {"hl_range": "high - low", "gap_pct": over("close", "pc") + " - 1", "overnight_ret": over("open", "pc") + " - 1", "gap_fill_frac": "CASE WHEN open - pc > 1e-12 THEN greatest(least((open - low) / (open - pc), 1.0), 0.0) WHEN open - pc < -1e-12 THEN greatest(least((high - open) / (pc - open), 1.0), 0.0) ELSE 0.0 END", "tr_pct_close": over("true_range", "close"), "hl_range_pct_close": over("high - low", "close")} | {f"h{w}": roll("max", "high", w, max(2, w // 3)) for w in (5, 10, 20)} | {f"l{w}": roll("min", "low", w, max(2, w // 3)) for w in (5, 10, 20)}), stage("d", "c", {f"r{w}": f"h{w} - l{w}" for w in (5, 10, 20)}), stage("e", "d", {"range_x_rvol20": over("hl_range_pct_close", over("volume", f"({mean('volume', 20, 5)})"))} | {k: v for w in (5, 10, 20) for k, v in {_q(f"{w}d_range_pct_close"): over(f"r{w}", "close"), f"pos_in_{w}d_range": over(f"close - l{w}", f"r{w}"), f"breakout_up_{w}d": f"CASE WHEN close > {lagged(f'h{w}')} THEN 1.0 ELSE 0.0 END", f"breakout_dn_{w}d": f"CASE WHEN close < {lagged(f'l{w}')} THEN 1.0 ELSE 0.0 END", f"range_expansion_{w}d": over(f"r{w}", lagged(f"r{w}")) + " - 1", f"range_z_{w}d": clipped(z(f"r{w}", 60, 20), -10.0, 10.0)}.items()}))
+    + f" SELECT symbol, date, {out([_q(c) for c in _RB])} FROM e"
+)
+def range_breakout(spark, sf_dir):
+    return shown(ft.range_breakout(bars(spark, sf_dir)), ["symbol", "date"], _RB)
+
+
+_VO = ["vol_ma_20", "vol_ma_50", "vol_z_20", "vol_z_60", "rvol_20", "rvol_50", "obv", "obv_z_60", "volume_vol_of_vol_20d", "volshock_z", "volshock_dir", "rdollar_vol_20"]
+
+
+@query(
+    chain(BARS, stage("a", "bars", {"vol_ma_20": mean("volume", 20, 5), "vol_ma_50": mean("volume", 50, 10), "vol_z_20": z("volume", 20, 5), "vol_z_60": z("volume", 60, 15), "dollar": "close * volume", "stp": f"coalesce(sign(close - {lagged('close')}), 0.0) * volume", "ls": f"ln(volume) - ln({lagged('volume')})", "volshock_z": z("volume", 20), "turn": f"sign(close - {lagged('close', 10)})"}), stage("b", "a", {"rvol_20": over("volume", "vol_ma_20"), "rvol_50": over("volume", "vol_ma_50"), "dm": mean("dollar", 20, 5), "obv": f"sum(stp) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "volume_vol_of_vol_20d": dev("ls", 20, 5), "volshock_dir": "volshock_z * turn"}), stage("c", "b", {"rdollar_vol_20": over("dollar", "dm"), "obv_z_60": z("obv", 60, 20)}))
+    + f" SELECT symbol, date, {out(_VO)} FROM c"
+)
+def volume_block(spark, sf_dir):
+    return shown(ft.volume(bars(spark, sf_dir)), ["symbol", "date"], _VO)
+
+
+_LQ = ["hl_spread_proxy", "cs_spread_est", "roll_spread_est", "overnight_ratio", "upper_shadow_ratio", "volume_direction", "volume_trend_10d", "pv_divergence_5d", "vwap_dist_5d", "vwap_dist_20d", "rel_volume_10d", "zero_vol_pct_20d"]
+
+
+@query(
+    chain(BARS, stage("a", "bars", {"pc": lagged("close"), "hl": "greatest(high - low, 1e-8)", "lh": "power(ln(high / greatest(low, 1e-8)), 2)", "h2": f"greatest(high, coalesce({lagged('high')}, high))", "l2": f"least(low, coalesce({lagged('low')}, low))", "dp": f"close - {lagged('close')}", "tpv": "(high + low + close) / 3 * volume"}), stage("b", "a", {"beta": f"lh + {lagged('lh')}", "gamma": "power(ln(h2 / greatest(l2, 1e-8)), 2)", "dp1": lagged("dp"), "mv": "abs(open - pc)"}), stage("b3", "b", {"al": "(sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2)) - sqrt(gamma / (3 - 2 * sqrt(2)))", "both": "CASE WHEN dp1 IS NOT NULL THEN dp END"}), stage("c", "b3", {"hl_spread_proxy": "hl / close", "cs_spread_est": "CASE WHEN al IS NOT NULL THEN greatest(2 * (exp(al) - 1) / (1 + exp(al)), 0.0) END", "cv": f"CASE WHEN count(both) OVER {rw(20)} >= 10 THEN covar_samp(dp, dp1) OVER {rw(20)} END", "overnight_ratio": "mv / (mv + abs(close - open) + 1e-8)", "upper_shadow_ratio": "(high - greatest(open, close)) / hl", "volume_direction": "sign(close - open) * volume", "volume_trend_10d": f"({mean('volume', 5, 2)}) / greatest({mean('volume', 20, 5)}, 1.0)", "pv_divergence_5d": f"({over('close', lagged('close', 5))} - 1) - ({over('volume', lagged('volume', 5))} - 1)", "rel_volume_10d": f"volume / greatest({mean('volume', 10, 5)}, 1.0)", "zero_vol_pct_20d": f"CASE WHEN count(*) OVER {rw(20)} >= 10 THEN avg(CASE WHEN volume = 0 THEN 1.0 ELSE 0.0 END) OVER {rw(20)} END"} | {f"vw{w}": f"({roll('sum', 'tpv', w, w // 2)}) / greatest({roll('sum', 'volume', w, w // 2)}, 1.0)" for w in (5, 20)}), stage("d", "c", {"roll_spread_est": "CASE WHEN cv IS NOT NULL THEN 2 * sqrt(greatest(-cv, 0.0)) / close END"} | {f"vwap_dist_{w}d": f"(close - vw{w}) / greatest(vw{w}, 1e-8) * 100" for w in (5, 20)}))
+    + f" SELECT symbol, date, {out(_LQ)} FROM d"
+)
+def liquidity_block(spark, sf_dir):
+    return shown(ft.liquidity(bars(spark, sf_dir)), ["symbol", "date"], _LQ)
+
+
+_DD = ["drawdown_expanding", "drawdown_regime", "hl_range_position_60d", *(f"{a}_{w}d{b}" for w in (20, 60, 120) for a, b in (("drawdown", ""), ("recovery", ""), ("drawdown", "_z"), ("days_since_high", ""), ("drawdown_velocity", "")))]
+
+
+@query(
+    chain(BARS, stage("a", "bars", {f"hi{w}": roll("max", "close", w, max(2, w // 3)) for w in (20, 60, 120)} | {f"lo{w}": roll("min", "close", w, max(2, w // 3)) for w in (20, 60, 120)} | {"top": f"max(close) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}), stage("b", "a", {f"drawdown_{w}d": over(f"close - hi{w}", f"hi{w}") for w in (20, 60, 120)} | {f"recovery_{w}d": over(f"close - lo{w}", f"lo{w}") for w in (20, 60, 120)} | {f"at{w}": f"sum(CASE WHEN close >= hi{w} - 1e-12 THEN 1 ELSE 0 END) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for w in (20, 60, 120)}), stage("c", "b", {"drawdown_expanding": over("close - top", "top"), "drawdown_regime": "CASE WHEN drawdown_60d > -0.05 THEN 0 WHEN drawdown_60d > -0.15 THEN 1 ELSE 2 END", "hl_range_position_60d": over("close - lo60", "hi60 - lo60")} | {k: v for w in (20, 60, 120) for k, v in {f"days_since_high_{w}d": f"row_number() OVER (PARTITION BY symbol, at{w} ORDER BY date) - 1", f"drawdown_{w}d_z": clipped(z(f"drawdown_{w}d", 252, 60), -5.0, 5.0), f"drawdown_velocity_{w}d": f"drawdown_{w}d - {lagged(f'drawdown_{w}d', 5)}"}.items()}))
+    + f" SELECT symbol, date, {out(_DD)} FROM c"
+)
+def drawdown_block(spark, sf_dir):
+    return shown(ft.drawdown(bars(spark, sf_dir)), ["symbol", "date"], _DD)
+
+
+@query(chain(BARS, stage("a", "bars", {"bb_width": over(f"4.0 * ({roll('stddev_pop', 'close', 20, 20)})", f"({roll('avg', 'close', 20, 20)})")}), stage("b", "a", {"bb_width_z60": z("bb_width", 60)})) + f" SELECT symbol, date, {out(['bb_width', 'bb_width_z60'])} FROM b")
+def bollinger(spark, sf_dir):
+    return shown(ft.bollinger(bars(spark, sf_dir)), ["symbol", "date"], ["bb_width", "bb_width_z60"])
+
+
+@query(chain(BARS, _TR, stage("c", "b2", {"sp": f"({roll('max', 'high', 14, 14)}) - ({roll('min', 'low', 14, 14)})", "sm": roll("sum", "true_range", 14, 14)})) + " SELECT symbol, date, round(CASE WHEN sp > 0 THEN 100 * log10(sm / sp) / log10(14) END, 5) + 0.0 AS chop_14 FROM c")
+def choppiness(spark, sf_dir):
+    return shown(ft.choppiness(bars(spark, sf_dir)), ["symbol", "date"], ["chop_14"])
+
+
+@query(
+    chain(BARS, _TR, stage("c", "b2", {"dv": roll("stddev_pop", "close", 20, 20), "ar": roll("avg", "true_range", 20, 20)}), stage("d", "c", {"so": "coalesce(2.0 * dv < 1.5 * ar, false)", "squeeze_intensity": over("2.0 * dv", "1.5 * ar")}), stage("e", "d", {"isl": f"sum(CASE WHEN so THEN 0 ELSE 1 END) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "rel": f"coalesce(lag(so) OVER ({S}) AND NOT so, false)"}))
+    + " SELECT symbol, date, so AS squeeze_on, rel AS squeeze_release, round(squeeze_intensity, 5) + 0.0 AS squeeze_intensity, CAST(CASE WHEN so THEN least(sum(CASE WHEN so THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, isl ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 50) ELSE 0 END AS BIGINT) AS squeeze_days FROM e"
+)
+def squeeze(spark, sf_dir):
+    return shown(ft.squeeze(bars(spark, sf_dir)), ["symbol", "date", "squeeze_on", "squeeze_release", F.col("squeeze_days").cast("long").alias("squeeze_days")], ["squeeze_intensity"])
+
+
+@query(chain(BARS, stage("a", "bars", {"n": f"CAST(row_number() OVER ({S}) AS DOUBLE)"})) + f" SELECT symbol, date, round(CASE WHEN count(close) OVER {rw(20)} >= 6 THEN regr_slope(close, n) OVER {rw(20)} END, 4) + 0.0 AS slope_20 FROM a")
+def rolling_slope(spark, sf_dir):
+    return shown(ft.slope(bars(spark, sf_dir), "close", 20, "slope_20"), ["symbol", "date"], ["slope_20"], 4)
+
+
+@query(chain(BARS) + f" SELECT symbol, date, round(CASE WHEN count(*) OVER w >= 20 THEN len(list_filter(list(close) OVER w, lambda v: v < close)) / len(list(close) OVER w) * 100 END, 5) + 0.0 AS pct_60 FROM bars WINDOW w AS ({S} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)")
+def prior_percentile(spark, sf_dir):
+    return shown(ft.prior_percentile(bars(spark, sf_dir), "close", 60, 20, "pct_60"), ["symbol", "date"], ["pct_60"])
+
+
+@query(chain(BARS) + f" SELECT symbol, date, round({lagged('close', 1)}, 5) + 0.0 AS close_lag1d, round({lagged('close', 2)}, 5) + 0.0 AS close_lag2d, round({lagged('close', 5)}, 5) + 0.0 AS close_lag5d FROM bars")
+def daily_lags(spark, sf_dir):
+    return shown(ft.lags(bars(spark, sf_dir), ["close"], ft.parse_lags("1-2,5")), ["symbol", "date"], ["close_lag1d", "close_lag2d", "close_lag5d"])
+
+
+def _fold(x: str, a: float, name: str) -> str:
+    return f"list_reduce(list({x}) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda p, q: p + {a} * (q - p)) AS {name}"
+
+
+@query(chain(BARS) + f" SELECT symbol, date, round(e10, 4) + 0.0 AS ema_10, round(e39, 4) + 0.0 AS ema_39 FROM (SELECT *, {_fold('close', 2 / 11, 'e10')}, {_fold('close', 2 / 40, 'e39')} FROM bars)")
+def exponential_means(spark, sf_dir):
+    return shown(kn.recursive(bars(spark, sf_dir), ["ewm"]), ["symbol", "date"], ["ema_10", "ema_39"], 4)
+
+
+@query(None)
+def recursive_indicators(spark, sf_dir):
+    names = ["rsi_14", "rsi_21", "rsi_30", "macd", "macd_signal", "macd_histogram", "macd_hist_deriv_ema3", "atr14", "atr_percent", "adx_14", "di_plus_14", "di_minus_14"]
+    return shown(kn.recursive(bars(spark, sf_dir), ["rsi", "macd", "atr", "adx"]), ["symbol", "date"], names)
+
+
+@query(None)
+def hurst_exponent(spark, sf_dir):
+    return shown(kn.recursive(bars(spark, sf_dir), ["hurst"]), ["symbol", "date"], ["hurst_128", "hurst_128_ema5"])
