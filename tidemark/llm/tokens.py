@@ -18,7 +18,7 @@ from .common import binary, raw, table_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps; beyond that its cache starts afresh.
-CACHE = 1_000_000
+CACHE = 400_000
 WHITE = table_of({0x20, *range(0x09, 0x0E), 0x1C, 0x1D, 0x1E, 0x1F})
 #: 1 letters, 2 digits, 3 punctuation, 0 the rest.
 KIND = np.zeros(256, np.uint8)

@@ -159,7 +159,7 @@ class Texts:
 class Reader:
     """Reads runs of characters into words, plain and restored; weights: of terms, least where none is known."""
 
-    def __init__(self, model: np.ndarray, weights: dict[str, float] | None = None, least: float = 0.0, keep: int = 500_000):
+    def __init__(self, model: np.ndarray, weights: dict[str, float] | None = None, least: float = 0.0, keep: int = 200_000):
         self.model, self.weights, self.least, self.keep = model, weights or {}, least, keep
         self.known: dict[bytes, float] = {}
 
@@ -224,7 +224,7 @@ def term_counts(docs: DataFrame, learn, model) -> DataFrame:
                     got = counts.setdefault((t, int(part == 1)), [0, 0])
                     got[0] += 1
                     got[1] += toxic
-            if len(counts) > 500_000:
+            if len(counts) > 150_000:
                 yield flush()
         yield flush()
 
