@@ -12,19 +12,26 @@ from pyspark.sql import functions as F
 Fn = Callable[[Column], Column]
 EPS = 1e-12
 
-by_symbol = Window.partitionBy("symbol").orderBy("date")
-by_date = Window.partitionBy("date")
+
+
+def by_symbol():
+    """The rows of a symbol by date. Made when asked for, as it takes a session."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def by_date():
+    return Window.partitionBy("date")
 
 
 def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def rows(w: int, window=by_symbol):
-    return window.rowsBetween(-(w - 1), 0)
+def rows(w: int, window=None):
+    return (window or by_symbol()).rowsBetween(-(w - 1), 0)
 
 
-def rolling(fn: Fn, x: str | Column, w: int, least: int, window=by_symbol) -> Column:
+def rolling(fn: Fn, x: str | Column, w: int, least: int, window=None) -> Column:
     frame = rows(w, window)
     return F.when(F.count(col(x)).over(frame) >= least, fn(col(x)).over(frame))
 
@@ -63,7 +70,7 @@ def zscore(x, w: int, least: int | None = None, sample: bool = False) -> Column:
 
 
 def lag(x, k: int = 1) -> Column:
-    return F.lag(col(x), k).over(by_symbol)
+    return F.lag(col(x), k).over(by_symbol())
 
 
 def diff(x, k: int = 1) -> Column:
@@ -75,14 +82,8 @@ def clip(x, lo: float, hi: float) -> Column:
     return F.when(col(x).isNotNull(), F.greatest(F.least(col(x), F.lit(hi)), F.lit(lo)))
 
 
-def forward_fill(x, window=by_symbol) -> Column:
-    return F.last(col(x), ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-
-
-def percentile_rank(x, window=by_date) -> Column:
-    """Ordinal rank of non-null values from 0 to 100, ties by symbol; null with fewer than two values."""
-    order = window.orderBy(F.col("__null"), col(x), "symbol")
-    return F.when(col(x).isNotNull() & (F.count(col(x)).over(window) >= 2), (F.row_number().over(order) - 1) / (F.count(col(x)).over(window) - 1) * 100)
+def forward_fill(x, window=None) -> Column:
+    return F.last(col(x), ignorenulls=True).over((window or by_symbol()).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def finite(x) -> Column:

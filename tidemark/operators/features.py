@@ -15,7 +15,7 @@ MA = (10, 20, 30, 50, 75, 100, 150, 200)
 def returns(bars: DataFrame) -> DataFrame:
     """ret: difference of the log of the adjusted close."""
     log = F.when(F.col("adjclose") > 0, F.log("adjclose"))
-    return bars.withColumn("ret", log - F.lag(log).over(by_symbol))
+    return bars.withColumn("ret", log - F.lag(log).over(by_symbol()))
 
 
 def moving_averages(bars: DataFrame, periods=MA, price: str = "adjclose") -> DataFrame:
@@ -51,7 +51,7 @@ def relative_volatility(table: DataFrame) -> DataFrame:
 
 def quiet_trend(table: DataFrame, regime: str = "vol_regime") -> DataFrame:
     """The trend score where volatility is below its own median of a year, else 0."""
-    frame = by_symbol.rowsBetween(-251, 0)
+    frame = by_symbol().rowsBetween(-251, 0)
     middle = F.when(F.count(regime).over(frame) >= 50, F.percentile(regime, 0.5).over(frame))
     return table.withColumn("quiet_trend", F.when(F.col(regime) < middle, F.col("trend_score_granular")).otherwise(0.0))
 
@@ -97,7 +97,7 @@ def volume(bars: DataFrame) -> DataFrame:
     """Volume averages, z-scores, relative and dollar volume, on-balance volume, volatility of log volume, volume shock."""
     v = F.col("volume")
     out = bars.withColumns({"vol_ma_20": mean("volume", 20, 5), "vol_ma_50": mean("volume", 50, 10), "vol_z_20": zscore("volume", 20, 5), "vol_z_60": zscore("volume", 60, 15), "dollar": F.col("adjclose") * v, "step": F.coalesce(F.signum(diff("adjclose")), F.lit(0.0)) * v, "log_step": diff(F.when(v > 0, F.log(v))), "shock": zscore("volume", 20), "turn": F.signum(F.col("close") - lag("close", 10))})
-    out = out.withColumns({"rvol_20": div(v, "vol_ma_20"), "rvol_50": div(v, "vol_ma_50"), "dollar_vol_ma_20": mean("dollar", 20, 5), "obv": F.sum("step").over(by_symbol.rowsBetween(Window.unboundedPreceding, 0)), "volume_vol_of_vol_20d": std0("log_step", 20, 5), "volshock_z": F.col("shock"), "volshock_dir": F.col("shock") * F.col("turn")})
+    out = out.withColumns({"rvol_20": div(v, "vol_ma_20"), "rvol_50": div(v, "vol_ma_50"), "dollar_vol_ma_20": mean("dollar", 20, 5), "obv": F.sum("step").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), "volume_vol_of_vol_20d": std0("log_step", 20, 5), "volshock_z": F.col("shock"), "volshock_dir": F.col("shock") * F.col("turn")})
     return out.withColumns({"rdollar_vol_20": div("dollar", "dollar_vol_ma_20"), "obv_z_60": zscore("obv", 60, 20)}).drop("dollar", "step", "log_step", "shock", "turn")
 
 
@@ -110,7 +110,7 @@ def liquidity(bars: DataFrame, windows=(5, 10, 20)) -> DataFrame:
     beta = F.col("log_hl_sq") + lag("log_hl_sq")
     gamma = F.pow(F.log(F.col("h2") / tiny("l2")), 2)
     base = base.withColumns({"a": F.when(lag("close").isNotNull(), (F.sqrt(2 * beta) - F.sqrt(beta)) / root - F.sqrt(gamma / root)), "dp1": lag("dp"), "move": F.abs(F.col("open") - F.col("prev"))})
-    frame = by_symbol.rowsBetween(-19, 0)
+    frame = by_symbol().rowsBetween(-19, 0)
     both = F.when(F.col("dp").isNotNull() & F.col("dp1").isNotNull(), F.col("dp"))
     cov = F.when(F.count(both).over(frame) >= 10, F.covar_samp("dp", "dp1").over(frame))
     inside = F.abs(F.col("close") - F.col("open"))
@@ -142,7 +142,7 @@ def liquidity(bars: DataFrame, windows=(5, 10, 20)) -> DataFrame:
 
 def runs(table: DataFrame, flag: str, name: str, cap: int | None = None) -> DataFrame:
     """name: consecutive rows for which flag is true, this one included, at most cap."""
-    before = by_symbol.rowsBetween(Window.unboundedPreceding, 0)
+    before = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     out = table.withColumn("__island", F.sum(F.when(F.col(flag), 0).otherwise(1)).over(before))
     held = F.sum(F.when(F.col(flag), 1).otherwise(0)).over(Window.partitionBy("symbol", "__island").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     held = F.when(F.col(flag), held).otherwise(0)
@@ -152,8 +152,8 @@ def runs(table: DataFrame, flag: str, name: str, cap: int | None = None) -> Data
 def drawdown(bars: DataFrame, windows=(20, 60, 120), price: str = "close") -> DataFrame:
     """Drawdown and recovery at three scales with z-scores, rows since the high, velocity; all-time drawdown and a regime."""
     p = F.col(price)
-    out = bars.withColumns({f"hi_{w}": high(price, w) for w in windows} | {f"lo_{w}": low(price, w) for w in windows} | {"top": F.max(price).over(by_symbol.rowsBetween(Window.unboundedPreceding, 0))})
-    out = out.withColumns({f"drawdown_{w}d": div(p - F.col(f"hi_{w}"), f"hi_{w}") for w in windows} | {f"recovery_{w}d": div(p - F.col(f"lo_{w}"), f"lo_{w}") for w in windows} | {f"at_{w}": F.sum(F.coalesce((p >= F.col(f"hi_{w}") - 1e-12).cast("int"), F.lit(0))).over(by_symbol.rowsBetween(Window.unboundedPreceding, 0)) for w in windows})
+    out = bars.withColumns({f"hi_{w}": high(price, w) for w in windows} | {f"lo_{w}": low(price, w) for w in windows} | {"top": F.max(price).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))})
+    out = out.withColumns({f"drawdown_{w}d": div(p - F.col(f"hi_{w}"), f"hi_{w}") for w in windows} | {f"recovery_{w}d": div(p - F.col(f"lo_{w}"), f"lo_{w}") for w in windows} | {f"at_{w}": F.sum(F.coalesce((p >= F.col(f"hi_{w}") - 1e-12).cast("int"), F.lit(0))).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)) for w in windows})
     since = lambda w: (F.row_number().over(Window.partitionBy("symbol", f"at_{w}").orderBy("date")) - 1).cast("double")
     out = out.withColumns({f"days_since_high_{w}d": since(w) for w in windows})
     wide = {"drawdown_expanding": div(p - F.col("top"), "top"), "drawdown_regime": F.when(F.col("drawdown_60d") > -0.05, 0.0).when(F.col("drawdown_60d") > -0.15, 1.0).otherwise(2.0), "hl_range_position_60d": div(p - F.col("lo_60"), F.col("hi_60") - F.col("lo_60"))}
@@ -197,14 +197,14 @@ def squeeze(bars: DataFrame, w: int = 20, k: float = 2.0, narrow: float = 1.5, w
 
 def slope(table: DataFrame, x: str, w: int, name: str, least: int | None = None) -> DataFrame:
     """Least-squares slope of x by row over w rows."""
-    out = table.withColumn("__n", F.row_number().over(by_symbol).cast("double"))
-    frame = by_symbol.rowsBetween(-(w - 1), 0)
+    out = table.withColumn("__n", F.row_number().over(by_symbol()).cast("double"))
+    frame = by_symbol().rowsBetween(-(w - 1), 0)
     return out.withColumn(name, F.when(F.count(x).over(frame) >= (least or max(5, w // 3)), F.regr_slope(F.col(x), F.col("__n")).over(frame))).drop("__n")
 
 
 def spread(table: DataFrame, x: str, prefix: str, windows=(20, 60, 120)) -> DataFrame:
     """Rolling sums of a return spread, its z-score and the slopes of its running sum."""
-    out = table.withColumns({f"{prefix}_cum_{w}": total(x, w, max(5, w // 3)) for w in windows} | {f"{prefix}_z_60": zscore(x, 60), "__run": F.sum(x).over(by_symbol.rowsBetween(Window.unboundedPreceding, 0))})
+    out = table.withColumns({f"{prefix}_cum_{w}": total(x, w, max(5, w // 3)) for w in windows} | {f"{prefix}_z_60": zscore(x, 60), "__run": F.sum(x).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))})
     for w in (20, 60):
         out = slope(out, "__run", w, f"{prefix}_slope_{w}")
     return out.drop("__run")
@@ -212,7 +212,7 @@ def spread(table: DataFrame, x: str, prefix: str, windows=(20, 60, 120)) -> Data
 
 def prior_percentile(table: DataFrame, x: str, w: int, least: int, name: str) -> DataFrame:
     """Share of the w rows before that lie below x."""
-    before = F.collect_list(x).over(by_symbol.rowsBetween(-w, -1))
+    before = F.collect_list(x).over(by_symbol().rowsBetween(-w, -1))
     out = table.withColumn("__before", before)
     below = F.size(F.filter("__before", lambda v: v < F.col(x)))
     return out.withColumn(name, F.when(F.col(x).isNotNull() & (F.size("__before") >= least), below / F.size("__before") * 100)).drop("__before")

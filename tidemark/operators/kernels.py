@@ -71,14 +71,39 @@ def rescaled_range(x: np.ndarray) -> float:
     return float(np.polyfit(sizes, values, 1)[0]) if len(sizes) > 1 else np.nan
 
 
-def hurst(x: pd.Series, w: int = 128, every: int = 1) -> pd.Series:
+def hurst(x: pd.Series, w: int = 128) -> pd.Series:
+    """Rolling exponent over w rows; while fewer are there, over what there is, at least max(50, w / 2). Whole windows are made together."""
     values = x.to_numpy(float)
     out = np.full(len(values), np.nan)
-    for end in range(max(50, w // 2), len(values) + 1, every):
-        part = values[max(0, end - w) : end]
-        part = part[~np.isnan(part)]
-        if len(part) >= max(50, w // 2):
-            out[end - 1] = rescaled_range(part)
+    least = max(50, w // 2)
+    whole = np.zeros(len(values), bool)
+    if len(values) >= w:
+        views = np.lib.stride_tricks.sliding_window_view(values, w)
+        ok = ~np.isnan(views).any(axis=1)
+        whole[w - 1 :] = ok
+        sizes = [w >> k for k in range(16) if w >> k >= 10]
+        curves = []
+        for size in sizes:
+            parts = views[ok][:, : w // size * size].reshape(-1, w // size, size)
+            run = np.cumsum(parts - parts.mean(axis=2, keepdims=True), axis=2)
+            dev = parts.std(axis=2)
+            ratio = np.where(dev > 1e-12, (run.max(axis=2) - run.min(axis=2)) / np.where(dev > 1e-12, dev, 1), np.nan)
+            count = (~np.isnan(ratio)).sum(axis=1)
+            curves.append(np.log(np.where(count > 0, np.nansum(ratio, axis=1) / np.maximum(count, 1), np.nan)))
+        y, t = np.stack(curves, axis=1), np.log(sizes)
+        use = ~np.isnan(y)
+        n = np.maximum(use.sum(axis=1), 1)
+        mt = (t * use).sum(axis=1) / n
+        my = np.where(use, y, 0).sum(axis=1) / n
+        spread = (((t - mt[:, None]) ** 2) * use).sum(axis=1)
+        slope = (np.where(use, y - my[:, None], 0) * (t - mt[:, None])).sum(axis=1) / np.where(spread > 0, spread, np.nan)
+        out[w - 1 :][ok] = slope
+    for end in range(least, len(values) + 1):
+        if not whole[end - 1]:
+            part = values[max(0, end - w) : end]
+            part = part[~np.isnan(part)]
+            if len(part) >= least:
+                out[end - 1] = rescaled_range(part)
     return pd.Series(out, index=x.index)
 
 

@@ -12,10 +12,10 @@ from .quality import valid_entry
 
 def with_atr(bars: DataFrame, w: int = 14) -> DataFrame:
     """bars with atr, the plain mean of the true range over w rows."""
-    before = F.lag("close").over(by_symbol)
+    before = F.lag("close").over(by_symbol())
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     out = bars.withColumn("__tr", tr)
-    frame = by_symbol.rowsBetween(-(w - 1), 0)
+    frame = by_symbol().rowsBetween(-(w - 1), 0)
     return out.withColumn("atr", F.when(F.count("__tr").over(frame) >= w, F.avg("__tr").over(frame))).drop("__tr")
 
 
@@ -24,7 +24,7 @@ def first_touch(bars: DataFrame, up: float, down: float, horizon: int, tie: str
 
     A row looks at the next horizon rows of its symbol as an array, so no join is made. tie: upper, stop or none where one bar
     touches both."""
-    ahead = by_symbol.rowsBetween(1, horizon)
+    ahead = by_symbol().rowsBetween(1, horizon)
     rows = bars.withColumn("__next", F.collect_list(F.struct("high", "low", "close", "date")).over(ahead))
     rows = rows.where(valid_entry() & (F.size("__next") > 0))
     top, bottom = F.col("close") + up * F.col("atr"), F.col("close") - down * F.col("atr")
@@ -46,7 +46,7 @@ def first_touch(bars: DataFrame, up: float, down: float, horizon: int, tie: str
 
 def multi_touch(bars: DataFrame, models: dict[str, tuple[float, float]], horizon: int) -> DataFrame:
     """hit_<model> and h_used_<model> for several barrier pairs, from one look ahead."""
-    ahead = by_symbol.rowsBetween(1, horizon)
+    ahead = by_symbol().rowsBetween(1, horizon)
     rows = bars.withColumn("__next", F.collect_list(F.struct("high", "low")).over(ahead)).where(valid_entry() & (F.size("__next") > 0))
     out = {}
     for name, (up, down) in models.items():
@@ -114,7 +114,7 @@ def weights(labels: DataFrame, low: float = 0.01, high: float = 10.0) -> DataFra
 
 def excursions(bars: DataFrame, horizon: int) -> DataFrame:
     """Largest moves for and against each valid entry over the next horizon rows, in ATR."""
-    ahead = by_symbol.rowsBetween(1, horizon)
+    ahead = by_symbol().rowsBetween(1, horizon)
     rows = bars.withColumns({"__h": F.max("high").over(ahead), "__l": F.min("low").over(ahead)}).where(valid_entry() & F.col("__h").isNotNull())
     return rows.withColumns({"mfe": (F.col("__h") - F.col("close")) / F.col("atr"), "mae": (F.col("close") - F.col("__l")) / F.col("atr")}).where("abs(mfe) <= 50 and abs(mae) <= 50").drop("__h", "__l")
 

@@ -53,7 +53,7 @@ def as_of(left: DataFrame, right: DataFrame, columns: list[str], by: list[str])
 def attach_macro(bars: DataFrame, macro: DataFrame, columns: list[str], k: int = 1) -> DataFrame:
     """Series of one row a date on every symbol, k rows of that symbol late."""
     out = bars.join(small(macro.select("date", *columns)), "date", "left")
-    return out.withColumns({c: F.lag(c, k).over(by_symbol) for c in columns}) if k else out
+    return out.withColumns({c: F.lag(c, k).over(by_symbol()) for c in columns}) if k else out
 
 
 def benchmarks(bars: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -117,8 +117,9 @@ def momentum(bars: DataFrame, w: int) -> DataFrame:
     return bars.withColumn("mom", total("ret", w, max(3, w // 3)))
 
 
-def median_z(x: str | Column, window=by_date) -> Column:
+def median_z(x: str | Column, window=None) -> Column:
     """Distance to the median of the window in units of its population deviation."""
+    window = window or by_date()
     dev = F.stddev_pop(col(x)).over(window)
     return F.when(dev > 1e-10, (col(x) - F.percentile(col(x), 0.5).over(window)) / dev)
 
@@ -141,15 +142,15 @@ def cross_percentiles(table: DataFrame, x: str, sectors: DataFrame) -> DataFrame
         place = F.row_number().over(window.orderBy(F.col(x).asc_nulls_last(), "symbol"))
         return F.when(F.col(x).isNotNull() & (n >= 2), (place - 1) / (n - 1) * 100)
 
-    return out.withColumns({"pct": ordinal(by_date), "pct_sector": ordinal(Window.partitionBy("date", "sector"))}).withColumn("pct_sector", F.coalesce("pct_sector", "pct"))
+    return out.withColumns({"pct": ordinal(by_date()), "pct_sector": ordinal(Window.partitionBy("date", "sector"))}).withColumn("pct_sector", F.coalesce("pct_sector", "pct"))
 
 
 def date_rank(table: DataFrame, x: str) -> DataFrame:
     """x as its percentile rank inside each date, ties at their mean."""
     rows_ = table.where(F.col(x).isNotNull())
-    first = F.rank().over(by_date.orderBy(x))
+    first = F.rank().over(by_date().orderBy(x))
     ties = F.count("*").over(Window.partitionBy("date", x))
-    return rows_.withColumn(f"{x}_rank", (first + (ties - 1) / 2) / F.count("*").over(by_date))
+    return rows_.withColumn(f"{x}_rank", (first + (ties - 1) / 2) / F.count("*").over(by_date()))
 
 
 def weekly_lags(table: DataFrame, x: str, weeks: list[int]) -> DataFrame:
@@ -161,5 +162,5 @@ def weekly_lags(table: DataFrame, x: str, weeks: list[int]) -> DataFrame:
 
 
 def top_of_date(table: DataFrame, score: str, n: int) -> DataFrame:
-    order = by_date.orderBy(F.desc(score), "symbol")
+    order = by_date().orderBy(F.desc(score), "symbol")
     return table.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

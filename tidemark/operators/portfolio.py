@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import div
 
-week = Window.partitionBy("week")
+
+
+def week():
+    return Window.partitionBy("week")
 
 
 def _clip(x: Column, lo: float, hi: float) -> Column:
@@ -17,17 +20,17 @@ def _clip(x: Column, lo: float, hi: float) -> Column:
 
 
 def equal_top(signals: DataFrame, n: int = 10, cap: float = 0.2) -> DataFrame:
-    order = week.orderBy(F.desc("probability"), "symbol")
+    order = week().orderBy(F.desc("probability"), "symbol")
     top = signals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return top.withColumn("weight", F.least(1 / F.count("*").over(week), F.lit(cap)))
+    return top.withColumn("weight", F.least(1 / F.count("*").over(week()), F.lit(cap)))
 
 
 def proportional_top(signals: DataFrame, n: int = 10, cap: float = 0.2) -> DataFrame:
-    order = week.orderBy(F.desc("probability"), "symbol")
+    order = week().orderBy(F.desc("probability"), "symbol")
     top = signals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    share = div("probability", F.sum("probability").over(week))
+    share = div("probability", F.sum("probability").over(week()))
     clipped = top.withColumn("__w", F.least(F.coalesce(share, F.lit(0.0)), F.lit(cap)))
-    return clipped.withColumn("weight", F.coalesce(div("__w", F.sum("__w").over(week)), F.lit(0.0))).drop("__w")
+    return clipped.withColumn("weight", F.coalesce(div("__w", F.sum("__w").over(week())), F.lit(0.0))).drop("__w")
 
 
 def monotone(signals: DataFrame, slope: float = 0.5, base: float = 0.5, most: float = 0.1, least: float = 0.01) -> DataFrame:
@@ -38,8 +41,8 @@ def monotone(signals: DataFrame, slope: float = 0.5, base: float = 0.5, most: fl
 def rank_buckets(signals: DataFrame, weights: list[float]) -> DataFrame:
     """Weeks are cut into len(weights) buckets by probability; a bucket's rows share its weight."""
     k = len(weights)
-    place = F.row_number().over(week.orderBy(F.desc("probability"), "symbol")) - 1
-    bucket = F.least(F.floor(place * k / F.count("*").over(week)), F.lit(k - 1)).cast("int")
+    place = F.row_number().over(week().orderBy(F.desc("probability"), "symbol")) - 1
+    bucket = F.least(F.floor(place * k / F.count("*").over(week())), F.lit(k - 1)).cast("int")
     out = signals.withColumn("bucket", bucket)
     share = F.get(F.array(*map(F.lit, weights)), F.col("bucket"))
     return out.withColumn("weight", share / F.count("*").over(Window.partitionBy("week", "bucket")))
@@ -47,9 +50,9 @@ def rank_buckets(signals: DataFrame, weights: list[float]) -> DataFrame:
 
 def target_volatility(weights: DataFrame, sigma: str, target: float = 0.15, gross: float = 1.0) -> DataFrame:
     """Weights of a week scaled to a volatility (uncorrelated), gross exposure capped."""
-    vol = F.sqrt(F.sum(F.pow(F.col("weight") * F.col(sigma), 2)).over(week))
+    vol = F.sqrt(F.sum(F.pow(F.col("weight") * F.col(sigma), 2)).over(week()))
     out = weights.withColumn("__w", F.col("weight") * F.coalesce(div(F.lit(target), vol), F.lit(1.0)))
-    size = F.sum(F.abs("__w")).over(week)
+    size = F.sum(F.abs("__w")).over(week())
     return out.withColumn("weight", F.when(size > gross, F.col("__w") * gross / size).otherwise(F.col("__w"))).drop("__w")
 
 
@@ -58,8 +61,8 @@ def constrain(weights: DataFrame, name: float = 0.1, sector: float = 0.3, least:
     out = weights.withColumn("w", F.least(F.col("weight"), F.lit(name)))
     held = F.sum("w").over(Window.partitionBy("week", "sector"))
     out = out.withColumn("w", F.when(held > sector, F.col("w") * sector / held).otherwise(F.col("w")))
-    out = out.where(F.col("w") >= least).withColumn("__k", F.row_number().over(week.orderBy(F.desc(F.round("w", 12)), "symbol"))).where(F.col("__k") <= most)
-    size = F.sum("w").over(week)
+    out = out.where(F.col("w") >= least).withColumn("__k", F.row_number().over(week().orderBy(F.desc(F.round("w", 12)), "symbol"))).where(F.col("__k") <= most)
+    size = F.sum("w").over(week())
     out = out.withColumn("w", F.when(size > gross, F.col("w") * gross / size).otherwise(F.col("w")))
     return out.withColumn("weight", F.least(F.col("w"), F.lit(name))).drop("w", "__k")
 
@@ -75,7 +78,7 @@ def turnover(weights: DataFrame) -> DataFrame:
 
 def concentration(weights: DataFrame) -> DataFrame:
     """Per week: sum of squares, effective number, largest and five largest weights, gross and net."""
-    out = weights.withColumn("__k", F.row_number().over(week.orderBy(F.desc("weight"), "symbol")))
+    out = weights.withColumn("__k", F.row_number().over(week().orderBy(F.desc("weight"), "symbol")))
     out = out.groupBy("week").agg(F.sum(F.pow("weight", 2)).alias("hhi"), F.max("weight").alias("top1"), F.sum(F.when(F.col("__k") <= 5, F.col("weight"))).alias("top5"), F.sum(F.abs("weight")).alias("gross"), F.sum("weight").alias("net"))
     return out.withColumn("effective_n", div(F.lit(1.0), "hhi"))
 

@@ -30,9 +30,9 @@ def valid_entry(close="close", atr="atr", least: float = 0.0) -> Column:
     return F.coalesce(finite(close).isNotNull() & finite(atr).isNotNull() & (F.col(close) > 0) & (F.col(atr) > least) & F.col("date").isNotNull(), F.lit(False))
 
 
-def label_input(bars: DataFrame, least_rows: int = 25) -> DataFrame:
+def label_input(bars: DataFrame, least_rows: int = 25, most: float = 50_000.0, ratio: float = 1_000.0) -> DataFrame:
     """Rows fit for labelling: plausible symbols, valid rows, at least least_rows of them for a symbol."""
-    rows = plausible_prices(bars).where(valid_entry())
+    rows = plausible_prices(bars, most=most, ratio=ratio).where(valid_entry())
     return rows.withColumn("__n", F.count("*").over(Window.partitionBy("symbol"))).where(F.col("__n") >= least_rows).drop("__n")
 
 
@@ -52,7 +52,7 @@ def enough_features(rows: DataFrame, features: list[str], ratio: float) -> DataF
 
 def fill_gaps(bars: DataFrame, x: str) -> DataFrame:
     """Interior gaps filled in a straight line over time; nothing is extrapolated."""
-    before, after = by_symbol.rowsBetween(Window.unboundedPreceding, 0), by_symbol.rowsBetween(0, Window.unboundedFollowing)
+    before, after = by_symbol().rowsBetween(Window.unboundedPreceding, 0), by_symbol().rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(x).isNotNull(), F.col("date"))
     p, n = F.last(x, ignorenulls=True).over(before), F.first(x, ignorenulls=True).over(after)
     t, u = F.last(at, ignorenulls=True).over(before), F.first(at, ignorenulls=True).over(after)

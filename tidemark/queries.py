@@ -85,7 +85,7 @@ S = "PARTITION BY symbol ORDER BY date"
 SIGNALS = f"""sig0 AS (SELECT *, round((volume % 97) / 97, 4) AS probability,
  round(least(greatest(lead(close, 2) OVER ({S}) / close - 1, -0.3), 0.3), 4) AS actual_return, CAST(date_trunc('week', date) AS DATE) AS week FROM bars),
 signals AS (SELECT symbol, sector, week, probability, actual_return, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol, week ORDER BY date DESC) AS k
- FROM sig0 WHERE lead_ok(actual_return)) JOIN sectors USING (symbol) WHERE k = 1)""".replace("lead_ok(actual_return)", "(actual_return IS NOT NULL)").replace("least(greatest(lead(close, 2)", "least(greatest(lead(close, 2)")
+ FROM sig0 WHERE actual_return IS NOT NULL) JOIN sectors USING (symbol) WHERE k = 1)"""
 
 
 def rw(w: int) -> str:
@@ -137,19 +137,19 @@ RET = stage("rets", "bars", {"ret": f"ln(close) - ln({lagged('close')})"})
 # sources and quality
 
 
-@query(chain(BARS) + " SELECT symbol, date, " + out(["open", "high", "low", "close", "volume"]) + " FROM bars")
+@query(chain(BARS) + " SELECT symbol, date, " + out(["open", "high", "low", "close", "volume"], 7) + " FROM bars")
 def daily_bars(spark, sf_dir):
-    return shown(bars(spark, sf_dir), ["symbol", "date"], ["open", "high", "low", "close", "volume"])
+    return shown(bars(spark, sf_dir), ["symbol", "date"], ["open", "high", "low", "close", "volume"], 7)
 
 
-@query(chain(BARS) + " SELECT symbol, date, metric, round(value, 5) + 0.0 AS value FROM (UNPIVOT (SELECT symbol, date, open, high, low, close, close AS adjclose, volume FROM bars) ON open, high, low, close, adjclose, volume INTO NAME metric VALUE value)")
+@query(chain(BARS) + " SELECT symbol, date, metric, round(value, 7) + 0.0 AS value FROM (UNPIVOT (SELECT symbol, date, open, high, low, close, close AS adjclose, volume FROM bars) ON open, high, low, close, adjclose, volume INTO NAME metric VALUE value)")
 def bars_to_long(spark, sf_dir):
-    return shown(src.to_long(bars(spark, sf_dir)), ["symbol", "date", "metric"], ["value"])
+    return shown(src.to_long(bars(spark, sf_dir)), ["symbol", "date", "metric"], ["value"], 7)
 
 
-@query(chain(BARS) + " SELECT symbol, date, " + out(["open", "high", "low", "close", "volume"]) + " FROM bars")
+@query(chain(BARS) + " SELECT symbol, date, " + out(["open", "high", "low", "close", "volume"], 7) + " FROM bars")
 def long_to_wide(spark, sf_dir):
-    return shown(src.to_wide(src.to_long(bars(spark, sf_dir))), ["symbol", "date"], ["open", "high", "low", "close", "volume"])
+    return shown(src.to_wide(src.to_long(bars(spark, sf_dir))), ["symbol", "date"], ["open", "high", "low", "close", "volume"], 7)
 
 
 @query(chain(BARS, RET) + " SELECT symbol, date, " + out(["ret"], 8) + " FROM rets")
@@ -162,9 +162,9 @@ def pattern_filter(spark, sf_dir):
     return ql.tradeable(table(spark, sf_dir, "part"), "p_name", "p_type", names=(r"(?i)\b(?:red|blue)\b",), words=(r"(?i)promo|brushed",)).select("p_partkey", "p_name")
 
 
-@query(chain(BARS) + " SELECT symbol, CAST(count(*) AS BIGINT) AS n FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING max(close) <= 2090 AND min(close) >= 0.01 AND max(close) / min(close) <= 1000) GROUP BY 1")
+@query(chain(BARS) + " SELECT symbol, CAST(count(*) AS BIGINT) AS n FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING max(close) <= 90000 AND min(close) >= 0.01 AND max(close) / min(close) <= 4000) GROUP BY 1")
 def suspicious_prices(spark, sf_dir):
-    return ql.plausible_prices(bars(spark, sf_dir), most=2090.0).groupBy("symbol").agg(F.count("*").alias("n"))
+    return ql.plausible_prices(bars(spark, sf_dir), most=90_000.0, ratio=4_000.0).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 ATR = stage("tr", "bars", {"t": f"greatest(high - low, abs(high - {lagged('close')}), abs(low - {lagged('close')}))"}).replace("greatest(high - low, abs", f"CASE WHEN {lagged('close')} IS NULL THEN high - low ELSE greatest(high - low, abs").replace("AS t FROM", "END AS t FROM") + ",\n" + stage("entries", "tr", {"atr": roll("avg", "t", 14, 14)})
@@ -172,7 +172,7 @@ ATR = stage("tr", "bars", {"t": f"greatest(high - low, abs(high - {lagged('close
 
 @query(chain(BARS, ATR) + " SELECT symbol, CAST(count(*) AS BIGINT) AS n, round(avg(atr), 5) + 0.0 AS mean_atr FROM entries WHERE close > 0 AND atr > 0 AND symbol IN (SELECT symbol FROM entries WHERE close > 0 AND atr > 0 GROUP BY 1 HAVING count(*) >= 25) GROUP BY 1")
 def label_input(spark, sf_dir):
-    return ql.label_input(lb.with_atr(bars(spark, sf_dir))).groupBy("symbol").agg(F.count("*").alias("n"), (F.round(F.avg("atr"), 5) + 0.0).alias("mean_atr"))
+    return ql.label_input(lb.with_atr(bars(spark, sf_dir)), most=1e6, ratio=1e9).groupBy("symbol").agg(F.count("*").alias("n"), (F.round(F.avg("atr"), 5) + 0.0).alias("mean_atr"))
 
 
 @query(chain(BARS, RET) + ", a AS (SELECT * FROM rets WHERE abs(ret) <= 1), b AS (SELECT avg(ret) AS m, stddev_samp(ret) AS s FROM a) SELECT symbol, date, round(ret, 8) + 0.0 AS ret FROM a, b WHERE abs(ret - m) <= 2.5 * s")
@@ -183,11 +183,11 @@ def extreme_returns(spark, sf_dir):
 @query(
     chain(BARS, "gaps AS (SELECT symbol, date, CASE WHEN (CAST(substr(symbol, 2) AS BIGINT) + dayofyear(date)) % 17 <> 0 THEN close END AS close FROM bars)")
     + f", f AS (SELECT *, last_value(close IGNORE NULLS) OVER b AS p, first_value(close IGNORE NULLS) OVER a AS n, last_value(CASE WHEN close IS NOT NULL THEN date END IGNORE NULLS) OVER b AS t, first_value(CASE WHEN close IS NOT NULL THEN date END IGNORE NULLS) OVER a AS u FROM gaps WINDOW b AS ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS ({S} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
-    + " SELECT symbol, date, round(coalesce(close, p + (n - p) * (date - t) / nullif(u - t, 0)), 5) + 0.0 AS close_filled FROM f"
+    + " SELECT symbol, date, round(coalesce(close, p + (n - p) * (date - t) / nullif(u - t, 0)), 7) + 0.0 AS close_filled FROM f"
 )
 def gap_fill(spark, sf_dir):
     b = bars(spark, sf_dir).withColumn("close", F.when((F.substring("symbol", 2, 20).cast("long") + F.dayofyear("date")) % 17 != 0, F.col("close")))
-    return shown(ql.fill_gaps(b, "close"), ["symbol", "date"], ["close_filled"])
+    return shown(ql.fill_gaps(b, "close"), ["symbol", "date"], ["close_filled"], 7)
 
 
 @query(chain(BARS, RET) + " SELECT symbol, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CASE WHEN ret IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null, round(1 - sum(CASE WHEN ret IS NULL THEN 1 ELSE 0 END) / (count(*) * 2), 6) + 0.0 AS completeness FROM rets GROUP BY 1")
@@ -259,7 +259,7 @@ def distance_to_averages(spark, sf_dir):
 
 
 _TR = stage("b1", "bars", {"pc": lagged("close")}) + ", " + stage("b2", "b1", {"true_range": "CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END"})
-_RB = ["hl_range", "gap_pct", "overnight_ret", "gap_fill_frac", "tr_pct_close", "hl_range_pct_close", "range_x_rvol20", *(c for w in (5, 10, 20) for c in (f"{w}d_range_pct_close", f"pos_in_{w}d_range", f"breakout_up_{w}d", f"breakout_dn_{w}d", f"range_expansion_{w}d", f"range_z_{w}d"))]
+_RB = ["gap_pct", "overnight_ret", "gap_fill_frac", "tr_pct_close", "hl_range_pct_close", "range_x_rvol20", *(c for w in (5, 10, 20) for c in (f"{w}d_range_pct_close", f"pos_in_{w}d_range", f"breakout_up_{w}d", f"breakout_dn_{w}d", f"range_expansion_{w}d", f"range_z_{w}d"))]
 
 
 def _q(c: str) -> str:
@@ -289,11 +289,11 @@ _LQ = ["hl_spread_proxy", "cs_spread_est", "roll_spread_est", "overnight_ratio",
 
 
 @query(
-    chain(BARS, stage("a", "bars", {"pc": lagged("close"), "hl": "greatest(high - low, 1e-8)", "lh": "power(ln(high / greatest(low, 1e-8)), 2)", "h2": f"greatest(high, coalesce({lagged('high')}, high))", "l2": f"least(low, coalesce({lagged('low')}, low))", "dp": f"close - {lagged('close')}", "tpv": "(high + low + close) / 3 * volume"}), stage("b", "a", {"beta": f"lh + {lagged('lh')}", "gamma": "power(ln(h2 / greatest(l2, 1e-8)), 2)", "dp1": lagged("dp"), "mv": "abs(open - pc)"}), stage("b3", "b", {"al": "(sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2)) - sqrt(gamma / (3 - 2 * sqrt(2)))", "both": "CASE WHEN dp1 IS NOT NULL THEN dp END"}), stage("c", "b3", {"hl_spread_proxy": "hl / close", "cs_spread_est": "CASE WHEN al IS NOT NULL THEN greatest(2 * (exp(al) - 1) / (1 + exp(al)), 0.0) END", "cv": f"CASE WHEN count(both) OVER {rw(20)} >= 10 THEN covar_samp(dp, dp1) OVER {rw(20)} END", "overnight_ratio": "mv / (mv + abs(close - open) + 1e-8)", "upper_shadow_ratio": "(high - greatest(open, close)) / hl", "volume_direction": "sign(close - open) * volume", "volume_trend_10d": f"({mean('volume', 5, 2)}) / greatest({mean('volume', 20, 5)}, 1.0)", "pv_divergence_5d": f"({over('close', lagged('close', 5))} - 1) - ({over('volume', lagged('volume', 5))} - 1)", "rel_volume_10d": f"volume / greatest({mean('volume', 10, 5)}, 1.0)", "zero_vol_pct_20d": f"CASE WHEN count(*) OVER {rw(20)} >= 10 THEN avg(CASE WHEN volume = 0 THEN 1.0 ELSE 0.0 END) OVER {rw(20)} END"} | {f"vw{w}": f"({roll('sum', 'tpv', w, w // 2)}) / greatest({roll('sum', 'volume', w, w // 2)}, 1.0)" for w in (5, 20)}), stage("d", "c", {"roll_spread_est": "CASE WHEN cv IS NOT NULL THEN 2 * sqrt(greatest(-cv, 0.0)) / close END"} | {f"vwap_dist_{w}d": f"(close - vw{w}) / greatest(vw{w}, 1e-8) * 100" for w in (5, 20)}))
-    + f" SELECT symbol, date, {out(_LQ)} FROM d"
+    chain(BARS, stage("a", "bars", {"pc": lagged("close"), "hl": "greatest(high - low, 1e-8)", "lh": "power(ln(high / greatest(low, 1e-8)), 2)", "h2": f"greatest(high, coalesce({lagged('high')}, high))", "l2": f"least(low, coalesce({lagged('low')}, low))", "dp": f"close - {lagged('close')}", "tpv": "(high + low + close) / 3 * volume"}), stage("b", "a", {"beta": f"lh + {lagged('lh')}", "gamma": "power(ln(h2 / greatest(l2, 1e-8)), 2)", "dp1": lagged("dp"), "mv": "abs(open - pc)"}), stage("b3", "b", {"al": "(sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2)) - sqrt(gamma / (3 - 2 * sqrt(2)))", "bth": "CASE WHEN dp1 IS NOT NULL THEN dp END"}), stage("c", "b3", {"hl_spread_proxy": "hl / close", "cs_spread_est": "CASE WHEN al IS NOT NULL THEN greatest(2 * (exp(al) - 1) / (1 + exp(al)), 0.0) END", "cv": f"CASE WHEN count(bth) OVER {rw(20)} >= 10 THEN covar_samp(dp, dp1) OVER {rw(20)} END", "overnight_ratio": "mv / (mv + abs(close - open) + 1e-8)", "upper_shadow_ratio": "(high - greatest(open, close)) / hl", "volume_direction": "sign(close - open) * volume", "volume_trend_10d": f"({mean('volume', 5, 2)}) / greatest({mean('volume', 20, 5)}, 1.0)", "pv_divergence_5d": f"({over('close', lagged('close', 5))} - 1) - ({over('volume', lagged('volume', 5))} - 1)", "rel_volume_10d": f"volume / greatest({mean('volume', 10, 5)}, 1.0)", "zero_vol_pct_20d": f"CASE WHEN count(*) OVER {rw(20)} >= 10 THEN avg(CASE WHEN volume = 0 THEN 1.0 ELSE 0.0 END) OVER {rw(20)} END"} | {f"vw{w}": f"({roll('sum', 'tpv', w, w // 2)}) / greatest({roll('sum', 'volume', w, w // 2)}, 1.0)" for w in (5, 20)}), stage("d", "c", {"roll_spread_est": "CASE WHEN cv IS NOT NULL THEN 2 * sqrt(greatest(-cv, 0.0)) / close END"} | {f"vwap_dist_{w}d": f"(close - vw{w}) / greatest(vw{w}, 1e-8) * 100" for w in (5, 20)}))
+    + f" SELECT symbol, date, {out(_LQ, 7)} FROM d"
 )
 def liquidity_block(spark, sf_dir):
-    return shown(ft.liquidity(bars(spark, sf_dir)), ["symbol", "date"], _LQ)
+    return shown(ft.liquidity(bars(spark, sf_dir)), ["symbol", "date"], _LQ, 7)
 
 
 _DD = ["drawdown_expanding", "drawdown_regime", "hl_range_position_60d", *(f"{a}_{w}d{b}" for w in (20, 60, 120) for a, b in (("drawdown", ""), ("recovery", ""), ("drawdown", "_z"), ("days_since_high", ""), ("drawdown_velocity", "")))]
@@ -335,18 +335,18 @@ def prior_percentile(spark, sf_dir):
     return shown(ft.prior_percentile(bars(spark, sf_dir), "close", 60, 20, "pct_60"), ["symbol", "date"], ["pct_60"])
 
 
-@query(chain(BARS) + f" SELECT symbol, date, round({lagged('close', 1)}, 5) + 0.0 AS close_lag1d, round({lagged('close', 2)}, 5) + 0.0 AS close_lag2d, round({lagged('close', 5)}, 5) + 0.0 AS close_lag5d FROM bars")
+@query(chain(BARS) + f" SELECT symbol, date, round({lagged('close', 1)}, 7) + 0.0 AS close_lag1d, round({lagged('close', 2)}, 7) + 0.0 AS close_lag2d, round({lagged('close', 5)}, 7) + 0.0 AS close_lag5d FROM bars")
 def daily_lags(spark, sf_dir):
-    return shown(ft.lags(bars(spark, sf_dir), ["close"], ft.parse_lags("1-2,5")), ["symbol", "date"], ["close_lag1d", "close_lag2d", "close_lag5d"])
+    return shown(ft.lags(bars(spark, sf_dir), ["close"], ft.parse_lags("1-2,5")), ["symbol", "date"], ["close_lag1d", "close_lag2d", "close_lag5d"], 7)
 
 
 def _fold(x: str, a: float, name: str) -> str:
     return f"list_reduce(list({x}) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda p, q: p + {a} * (q - p)) AS {name}"
 
 
-@query(chain(BARS) + f" SELECT symbol, date, round(e10, 4) + 0.0 AS ema_10, round(e39, 4) + 0.0 AS ema_39 FROM (SELECT *, {_fold('close', 2 / 11, 'e10')}, {_fold('close', 2 / 40, 'e39')} FROM bars)")
+@query(chain(BARS) + f" SELECT symbol, date, round(e10, 6) + 0.0 AS ema_10, round(e39, 6) + 0.0 AS ema_39 FROM (SELECT *, {_fold('close', 2 / 11, 'e10')}, {_fold('close', 2 / 40, 'e39')} FROM bars)")
 def exponential_means(spark, sf_dir):
-    return shown(kn.recursive(bars(spark, sf_dir), ["ewm"]), ["symbol", "date"], ["ema_10", "ema_39"], 4)
+    return shown(kn.recursive(bars(spark, sf_dir), ["ewm"]), ["symbol", "date"], ["ema_10", "ema_39"], 6)
 
 
 @query(None)
@@ -358,3 +358,369 @@ def recursive_indicators(spark, sf_dir):
 @query(None)
 def hurst_exponent(spark, sf_dir):
     return shown(kn.recursive(bars(spark, sf_dir), ["hurst"]), ["symbol", "date"], ["hurst_128", "hurst_128_ema5"])
+
+
+# resampling, joins, benchmarks
+
+FRIDAY = "date + CAST((12 - dayofweek(date)) % 7 AS INTEGER)"
+WEEKLY = f"weekly AS (SELECT symbol, CAST({FRIDAY} AS DATE) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)"
+
+
+@query(chain(BARS, WEEKLY) + f" SELECT symbol, date, {out(['open', 'high', 'low', 'close', 'volume'], 7)}, round(ln(close) - ln({lagged('close')}), 8) + 0.0 AS ret FROM weekly")
+def weekly_bars(spark, sf_dir):
+    w = pn.resample(bars(spark, sf_dir)).withColumn("ret", F.round("ret", 8) + 0.0)
+    return shown(w, ["symbol", "date", "ret"], ["open", "high", "low", "close", "volume"], 7)
+
+
+@query(chain(BARS) + f", monthly AS (SELECT symbol, last_day(date) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2) SELECT symbol, date, {out(['open', 'high', 'low', 'close', 'volume'], 7)} FROM monthly")
+def monthly_bars(spark, sf_dir):
+    return shown(pn.resample(bars(spark, sf_dir), "month"), ["symbol", "date"], ["open", "high", "low", "close", "volume"], 7)
+
+
+@query(chain(BARS, WEEKLY) + " SELECT date, CAST(count(*) AS BIGINT) AS n FROM weekly WHERE date <= DATE '1999-06-25' GROUP BY 1")
+def complete_weeks(spark, sf_dir):
+    return pn.complete_weeks(pn.resample(bars(spark, sf_dir)), "1999-06-30").groupBy("date").agg(F.count("*").alias("n"))
+
+
+@query(chain(BARS, RET) + f" SELECT symbol, CAST({FRIDAY} AS DATE) AS week_end, round(exp(sum(ret)) - 1, 5) + 0.0 AS week_ret FROM rets GROUP BY 1, 2")
+def compound_weekly(spark, sf_dir):
+    return shown(pn.compound_weekly(ft.returns(bars(spark, sf_dir))), ["symbol", "week_end"], ["week_ret"])
+
+
+@query(chain(BARS, WEEKLY) + " SELECT b.symbol, b.date, round(b.close, 7) + 0.0 AS close, round(w.close, 7) + 0.0 AS w_close, round(w.volume, 7) + 0.0 AS w_volume FROM bars b ASOF LEFT JOIN weekly w ON b.symbol = w.symbol AND b.date >= w.date")
+def asof_weekly(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    w = pn.resample(b).select("symbol", "date", F.col("close").alias("w_close"), F.col("volume").alias("w_volume"))
+    return shown(pn.as_of(b, w, ["w_close", "w_volume"], ["symbol"]), ["symbol", "date"], ["close", "w_close", "w_volume"], 7)
+
+
+@query(chain(BARS, MACRO) + f", j AS (SELECT symbol, b.date, flow, peak FROM bars b LEFT JOIN macro m ON b.date = m.date) SELECT symbol, date, round({lagged('flow')}, 3) + 0.0 AS flow, round({lagged('peak')}, 3) + 0.0 AS peak FROM j")
+def macro_lagged(spark, sf_dir):
+    return shown(pn.attach_macro(bars(spark, sf_dir), macro(spark, sf_dir), ["flow", "peak"]), ["symbol", "date"], ["flow", "peak"], 3)
+
+
+@query("WITH s AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), d AS (SELECT date, max(CASE WHEN k = '1-URGENT' THEN v END) AS urgent, max(CASE WHEN k = '2-HIGH' THEN v END) AS high FROM s GROUP BY 1) SELECT date, round(last_value(urgent IGNORE NULLS) OVER w, 3) + 0.0 AS urgent, round(last_value(high IGNORE NULLS) OVER w, 3) + 0.0 AS high FROM d WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def macro_series(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("series")).agg(F.sum("o_totalprice").alias("value"))
+    m = src.macro_table(o, ["1-URGENT", "2-HIGH"]).withColumnsRenamed({"1-URGENT": "urgent", "2-HIGH": "high"})
+    return shown(m, ["date"], ["urgent", "high"], 3)
+
+
+BENCH = "both_b AS (SELECT b.date, b.close, unnest(['ALL', sector]) AS bench FROM bars b LEFT JOIN sectors USING (symbol)), px AS (SELECT bench, date, avg(close) AS px FROM both_b WHERE bench IS NOT NULL GROUP BY 1, 2), bench AS (SELECT *, ln(px) - ln(lag(px) OVER (PARTITION BY bench ORDER BY date)) AS bench_ret FROM px)"
+
+
+@query(chain(BARS, SECTORS, BENCH) + " SELECT bench, date, round(px, 8) + 0.0 AS px, round(bench_ret, 7) + 0.0 AS bench_ret FROM bench")
+def benchmark_series(spark, sf_dir):
+    b = pn.benchmarks(bars(spark, sf_dir), sectors(spark, sf_dir)).withColumn("bench_ret", F.round("bench_ret", 7) + 0.0)
+    return shown(b, ["bench", "date", "bench_ret"], ["px"], 8)
+
+
+def _with_market(spark, sf_dir):
+    b = ft.returns(bars(spark, sf_dir))
+    m = pn.benchmarks(b, sectors(spark, sf_dir)).where("bench = 'ALL'").select("date", "px", "bench_ret")
+    return b.join(pn.small(m), "date")
+
+
+_BA = stage("ba", "j", {"y": "CASE WHEN ret IS NOT NULL AND bench_ret IS NOT NULL THEN ret END", "x": "CASE WHEN ret IS NOT NULL AND bench_ret IS NOT NULL THEN bench_ret END"})
+_J = "j AS (SELECT r.*, px, bench_ret FROM rets r JOIN bench b ON b.bench = 'ALL' AND b.date = r.date)"
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _J, _BA, stage("bb", "ba", {"beta": f"CASE WHEN count(x) OVER {rw(60)} >= 20 THEN {over(f'covar_samp(y, x) OVER {rw(60)}', f'var_samp(x) OVER {rw(60)}')} END"}), stage("bc", "bb", {"alpha": "ret - beta * bench_ret"}), stage("bd", "bc", {"mom_20": roll("sum", "alpha", 20, 6), "mom_60": roll("sum", "alpha", 60, 20)})) + f" SELECT symbol, date, {out(['beta', 'alpha', 'mom_20', 'mom_60'], 4)} FROM bd")
+def beta_and_alpha(spark, sf_dir):
+    t = pn.alpha_momentum(pn.beta_alpha(_with_market(spark, sf_dir), "ret", "bench_ret"), "alpha", "mom", (20, 60))
+    return shown(t, ["symbol", "date"], ["beta", "alpha", "mom_20", "mom_60"], 4)
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _J, stage("ra", "j", {"rs": over("close", "px")}), stage("rb", "ra", {"rs_norm": over("rs", f"({mean('rs', 60)})") + " - 1", "rs_z20": over(f"rs - ({mean('rs', 20)})", f"({dev('rs', 20, 6)})")})) + f" SELECT symbol, date, {out(['rs', 'rs_norm', 'rs_z20'])} FROM rb")
+def relative_strength(spark, sf_dir):
+    return shown(pn.relative_strength(_with_market(spark, sf_dir), "close", "px"), ["symbol", "date"], ["rs", "rs_norm", "rs_z20"])
+
+
+_FIT = "fit AS (SELECT symbol, bench, CAST(count(*) AS BIGINT) AS n, covar_samp(ret, bench_ret) AS c, var_samp(ret) AS v, var_samp(bench_ret) AS u FROM rets r JOIN bench USING (date) WHERE ret IS NOT NULL AND bench_ret IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT) + ", q AS (SELECT *, c * c / (v * u) AS r2 FROM fit WHERE n >= 100) SELECT symbol, bench, n, round(r2, 6) + 0.0 AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(r2, 9) DESC, bench) AS k FROM q WHERE r2 > 0) WHERE k = 1")
+def best_match(spark, sf_dir):
+    b = ft.returns(bars(spark, sf_dir))
+    return shown(pn.best_match(b, pn.benchmarks(b, sectors(spark, sf_dir))), ["symbol", "bench", "n"], ["r2"], 6)
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT) + " SELECT symbol, bench, n, round(c / (sqrt(v) * sqrt(u)), 6) + 0.0 AS corr FROM fit WHERE n > 100")
+def static_correlations(spark, sf_dir):
+    b = ft.returns(bars(spark, sf_dir))
+    return shown(pn.correlations(b, pn.benchmarks(b, sectors(spark, sf_dir))), ["symbol", "bench", "n"], ["corr"], 6)
+
+
+@query(chain(BARS, stage("a", "bars", {"up": f"sign(close - {lagged('close')})", "m50": mean("close", 50, 25), "m200": mean("close", 200, 100)})) + ", d AS (SELECT date, CAST(coalesce(sum(CASE WHEN up > 0 THEN 1 ELSE 0 END) FILTER (WHERE up IS NOT NULL), 0) AS BIGINT) AS advancers, CAST(coalesce(sum(CASE WHEN up < 0 THEN 1 ELSE 0 END) FILTER (WHERE up IS NOT NULL), 0) AS BIGINT) AS decliners, avg(CASE WHEN m50 IS NULL THEN NULL WHEN close > m50 THEN 1.0 ELSE 0.0 END) AS above_ma50, avg(CASE WHEN m200 IS NULL THEN NULL WHEN close > m200 THEN 1.0 ELSE 0.0 END) AS above_ma200 FROM a GROUP BY 1) SELECT date, advancers, decliners, advancers - decliners AS net, CAST(sum(advancers - decliners) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS ad_line, round(above_ma50, 5) + 0.0 AS above_ma50, round(above_ma200, 5) + 0.0 AS above_ma200 FROM d")
+def breadth(spark, sf_dir):
+    return shown(pn.breadth(bars(spark, sf_dir)), ["date", "advancers", "decliners", "net", "ad_line"], ["above_ma50", "above_ma200"])
+
+
+# cross-sections
+
+_MOM = [BARS, SECTORS, RET, stage("mm", "rets", {"mom": roll("sum", "ret", 20, 6)}), "js AS (SELECT mm.*, sector FROM mm LEFT JOIN sectors USING (symbol))", "ns AS (SELECT *, CASE WHEN sector IS NOT NULL AND count(mom) OVER (PARTITION BY date, sector) >= 2 THEN mom - quantile_cont(mom, 0.5) OVER (PARTITION BY date, sector) END AS mom_neutral FROM js)", "zs AS (SELECT *, CASE WHEN stddev_pop(mom) OVER (PARTITION BY date) > 1e-10 THEN (mom - quantile_cont(mom, 0.5) OVER (PARTITION BY date)) / stddev_pop(mom) OVER (PARTITION BY date) END AS mom_z, CASE WHEN stddev_pop(mom_neutral) OVER (PARTITION BY date) > 1e-10 THEN (mom_neutral - quantile_cont(mom_neutral, 0.5) OVER (PARTITION BY date)) / stddev_pop(mom_neutral) OVER (PARTITION BY date) END AS mom_neutral_z FROM ns)"]
+
+
+@query(chain(*_MOM) + f" SELECT symbol, date, {out(['mom', 'mom_z', 'mom_neutral_z'])} FROM zs")
+def neutral_momentum(spark, sf_dir):
+    return shown(pn.neutral_momentum(ft.returns(bars(spark, sf_dir)), sectors(spark, sf_dir), 20), ["symbol", "date"], ["mom", "mom_z", "mom_neutral_z"])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = pn.neutral_momentum(ft.returns(bars(spark, sf_dir)), sectors(spark, sf_dir), 20)
+    t = t.withColumn("score", F.round("mom_neutral_z", 5) + 0.0)
+    return pn.top_of_date(t, "score", 10).select("date", "symbol", "sector", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(chain(*_MOM) + ", sc AS (SELECT date, symbol, sector, round(mom_neutral_z, 5) + 0.0 AS score FROM zs WHERE mom_neutral_z IS NOT NULL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS BIGINT) AS rank FROM sc) WHERE rank <= 10")
+def momentum_top10(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(chain(BARS, SECTORS, "js AS (SELECT b.*, sector FROM bars b LEFT JOIN sectors USING (symbol))", "p AS (SELECT *, CASE WHEN count(volume) OVER (PARTITION BY date) >= 2 THEN (row_number() OVER (PARTITION BY date ORDER BY volume NULLS LAST, symbol) - 1) / (count(volume) OVER (PARTITION BY date) - 1) * 100 END AS pct, CASE WHEN count(volume) OVER (PARTITION BY date, sector) >= 2 THEN (row_number() OVER (PARTITION BY date, sector ORDER BY volume NULLS LAST, symbol) - 1) / (count(volume) OVER (PARTITION BY date, sector) - 1) * 100 END AS ps FROM js)") + " SELECT symbol, date, round(pct, 5) + 0.0 AS pct, round(coalesce(ps, pct), 5) + 0.0 AS pct_sector FROM p")
+def cross_percentiles(spark, sf_dir):
+    return shown(pn.cross_percentiles(bars(spark, sf_dir), "volume", sectors(spark, sf_dir)), ["symbol", "date"], ["pct", "pct_sector"])
+
+
+@query(chain(BARS) + " SELECT symbol, date, round((rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2) / count(*) OVER (PARTITION BY date), 6) + 0.0 AS volume_rank FROM bars")
+def date_rank(spark, sf_dir):
+    return shown(pn.date_rank(bars(spark, sf_dir), "volume"), ["symbol", "date"], ["volume_rank"], 6)
+
+
+@query(chain(BARS) + f", w AS (SELECT symbol, CAST({FRIDAY} AS DATE) AS wk, arg_max(close, date) AS v FROM bars GROUP BY 1, 2), m AS (SELECT symbol, wk, lag(v, 1) OVER (PARTITION BY symbol ORDER BY wk) AS a, lag(v, 4) OVER (PARTITION BY symbol ORDER BY wk) AS b FROM w) SELECT symbol, date, round(a, 7) + 0.0 AS close_lag1w, round(b, 7) + 0.0 AS close_lag4w FROM (SELECT *, CAST({FRIDAY} AS DATE) AS wk FROM bars) LEFT JOIN m USING (symbol, wk)")
+def weekly_lags(spark, sf_dir):
+    return shown(pn.weekly_lags(bars(spark, sf_dir), "close", [1, 4]), ["symbol", "date"], ["close_lag1w", "close_lag4w"], 7)
+
+
+# labels
+
+_H = 20
+_NEXT = f"nx AS (SELECT *, list({{'h': high, 'l': low, 'c': close, 'd': date}}) OVER ({S} ROWS BETWEEN 1 FOLLOWING AND {_H} FOLLOWING) AS nx, close + 3.0 * atr AS top, close - 3.0 * atr AS bot FROM entries)"
+_TOUCH = [BARS, ATR, _NEXT, f"ps AS (SELECT *, coalesce(nullif(coalesce(list_position(list_transform(nx, lambda b: b.h >= top), true), 0), 0), {_H + 1}) AS u, coalesce(nullif(coalesce(list_position(list_transform(nx, lambda b: b.l <= bot), true), 0), 0), {_H + 1}) AS d FROM nx WHERE close > 0 AND atr > 0 AND len(nx) > 0)", f"ht AS (SELECT *, CASE WHEN u > {_H} AND d > {_H} THEN 0 WHEN u <= d THEN 1 ELSE -1 END AS hit, CAST(CASE WHEN u > {_H} AND d > {_H} THEN len(nx) ELSE least(u, d) END AS BIGINT) AS h_used FROM ps)", "pr AS (SELECT *, CASE hit WHEN 1 THEN top WHEN -1 THEN bot ELSE nx[h_used].c END AS price_hit, nx[h_used].d AS t_hit FROM ht)"]
+
+
+def _labels(spark, sf_dir):
+    return lb.first_touch(lb.with_atr(bars(spark, sf_dir)), 3.0, 3.0, _H)
+
+
+@query(chain(*_TOUCH) + " SELECT symbol, date, CAST(hit AS INTEGER) AS hit, h_used, t_hit, round(price_hit, 7) + 0.0 AS price_hit, round(CASE WHEN price_hit > 0 THEN ln(price_hit / close) END, 5) + 0.0 AS ret_from_entry FROM pr")
+def triple_barrier(spark, sf_dir):
+    t = _labels(spark, sf_dir).withColumn("price_hit", F.round("price_hit", 7) + 0.0)
+    return shown(t, ["symbol", "date", "hit", F.col("h_used").cast("long").alias("h_used"), "t_hit", "price_hit"], ["ret_from_entry"])
+
+
+@query(chain(*_TOUCH) + " SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE hit = 1) AS BIGINT) AS n_up, CAST(count(*) FILTER (WHERE hit = -1) AS BIGINT) AS n_down, CAST(count(DISTINCT symbol) AS BIGINT) AS n_symbols, round(avg(h_used), 5) + 0.0 AS mean_h FROM pr")
+def label_summary(spark, sf_dir):
+    s = _labels(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("hit") == 1).alias("n_up"), F.count_if(F.col("hit") == -1).alias("n_down"), F.countDistinct("symbol").alias("n_symbols"), F.avg("h_used").alias("mean_h"))
+    return shown(s, ["n", "n_up", "n_down", "n_symbols"], ["mean_h"])
+
+
+@query(chain(BARS, ATR, _NEXT) + f", v AS (SELECT * FROM nx WHERE close > 0 AND atr > 0 AND len(nx) > 0), m AS (SELECT symbol, date, {', '.join(f'coalesce(nullif(coalesce(list_position(list_transform(nx, lambda b: b.h >= close + {u} * atr), true), 0), 0), 21) AS u{k}, coalesce(nullif(coalesce(list_position(list_transform(nx, lambda b: b.l <= close - {d} * atr), true), 0), 0), 21) AS d{k}' for k, (u, d) in enumerate(((1.5, 1.5), (3.0, 1.5))))} FROM v) SELECT symbol, date, {', '.join(f'CAST(CASE WHEN u{k} > 20 AND d{k} > 20 THEN 0 WHEN u{k} <= d{k} THEN 1 ELSE -1 END AS INTEGER) AS hit_{n}' for k, n in enumerate(('even', 'long')))} FROM m")
+def multi_barrier(spark, sf_dir):
+    return lb.multi_touch(lb.with_atr(bars(spark, sf_dir)), {"even": (1.5, 1.5), "long": (3.0, 1.5)}, _H).select("symbol", "date", "hit_even", "hit_long")
+
+
+def _spans(spark, sf_dir):
+    t = _labels(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("date"))
+    return t.withColumn("__k", n).where("__k % 5 = 1").select(F.concat_ws("|", "symbol", "date").alias("id"), "symbol", F.col("date").alias("t0"), F.col("t_hit").alias("t1"), "hit")
+
+
+_SPANS = [*_TOUCH, f"sp AS (SELECT symbol, date AS t0, t_hit AS t1, hit FROM (SELECT *, row_number() OVER ({S}) AS k FROM pr) WHERE k % 5 = 1)"]
+_OVER = "ov AS (SELECT a.symbol, a.t0, a.hit, CAST(count(*) - 1 AS BIGINT) AS n_overlapping FROM sp a JOIN sp b ON a.symbol = b.symbol AND b.t0 <= a.t1 AND b.t1 >= a.t0 GROUP BY ALL)"
+
+
+@query(chain(*_SPANS, _OVER) + " SELECT symbol, t0, n_overlapping FROM ov")
+def overlap_counts(spark, sf_dir):
+    return lb.overlaps(_spans(spark, sf_dir)).select("symbol", "t0", "n_overlapping")
+
+
+@query(chain(*_SPANS, _OVER) + ", w AS (SELECT *, least(greatest(1 / (n_overlapping + 0.5) * (count(*) OVER ()) / ((SELECT count(DISTINCT hit) FROM ov) * count(*) OVER (PARTITION BY hit)), 0.01), 10) AS w FROM ov) SELECT symbol, t0, round(least(greatest(w / avg(w) OVER (), 0.01), 10), 6) + 0.0 AS weight_final FROM w")
+def label_weights(spark, sf_dir):
+    return shown(lb.weights(lb.overlaps(_spans(spark, sf_dir))), ["symbol", "t0"], ["weight_final"], 6)
+
+
+@query(chain(*_SPANS) + ", e AS (SELECT t0 AS date, 1 AS d FROM sp UNION ALL SELECT t1 + 1, -1 FROM sp), g AS (SELECT CAST(date AS DATE) AS date, sum(d) AS d FROM e GROUP BY 1) SELECT date, CAST(sum(d) OVER (ORDER BY date) AS BIGINT) AS active FROM g")
+def active_density(spark, sf_dir):
+    return lb.active_density(_spans(spark, sf_dir))
+
+
+@query(chain(*_SPANS) + ", c AS (SELECT symbol, count(*) AS k FROM sp WHERE hit = 1 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY k DESC, symbol) AS dn, row_number() OVER (ORDER BY k, symbol) AS up FROM c) SELECT round(sum(CASE WHEN dn <= 10 THEN k ELSE 0 END) / sum(k), 6) + 0.0 AS top_share, round(2 * sum(up * k) / (count(*) * sum(k)) - (count(*) + 1) / count(*), 6) + 0.0 AS gini, CAST(count(*) AS BIGINT) AS n_symbols FROM r")
+def label_concentration(spark, sf_dir):
+    return shown(lb.concentration(_spans(spark, sf_dir)), ["n_symbols"], ["top_share", "gini"], 6)
+
+
+@query(chain(BARS, ATR) + f", x AS (SELECT *, max(high) OVER a AS hh, min(low) OVER a AS ll FROM entries WINDOW a AS ({S} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)), y AS (SELECT symbol, date, (hh - close) / atr AS mfe, (close - ll) / atr AS mae FROM x WHERE close > 0 AND atr > 0 AND hh IS NOT NULL) SELECT symbol, date, round(mfe, 5) + 0.0 AS mfe, round(mae, 5) + 0.0 AS mae FROM y WHERE abs(mfe) <= 50 AND abs(mae) <= 50")
+def excursions(spark, sf_dir):
+    return shown(lb.excursions(lb.with_atr(bars(spark, sf_dir)), 20), ["symbol", "date"], ["mfe", "mae"])
+
+
+@query(chain(BARS, ATR) + f", x AS (SELECT *, max(high) OVER a AS hh, min(low) OVER a AS ll FROM entries WINDOW a AS ({S} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)), y AS (SELECT (hh - close) / atr AS mfe, (close - ll) / atr AS mae FROM x WHERE close > 0 AND atr > 0 AND hh IS NOT NULL) SELECT round(quantile_cont(mfe, 0.75), 6) + 0.0 AS multiple, CAST(count(*) AS BIGINT) AS n FROM y WHERE abs(mfe) <= 50 AND abs(mae) <= 50")
+def calibrated_multiple(spark, sf_dir):
+    return shown(lb.calibrated_multiple(lb.excursions(lb.with_atr(bars(spark, sf_dir)), 20), 0.25), ["n"], ["multiple"], 6)
+
+
+@query(None)
+def sampled_entries(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("date"))
+    b = lb.with_atr(bars(spark, sf_dir)).withColumn("pos", n)
+    return lb.sample_entries(lb.first_touch(b, 3.0, 3.0, _H), 5).select("symbol", "date", "pos", "hit", "h_used")
+
+
+@query(None)
+def rolling_ridge(spark, sf_dir):
+    t = kn.rolling_ridge(_with_market(spark, sf_dir).select("symbol", "date", "ret", "bench_ret", "volume"), "ret", ["bench_ret", "volume"])
+    return shown(t, ["symbol", "date"], ["beta_bench_ret", "beta_volume", "ridge_resid"], 4)
+
+
+# metrics, folds, transforms
+
+
+@query(chain(SCORED) + ", r AS (SELECT lang, y, rank() OVER (PARTITION BY lang ORDER BY p) + (count(*) OVER (PARTITION BY lang, p) - 1) / 2 AS k FROM scored), s AS (SELECT lang, sum(CASE WHEN y = 1 THEN k ELSE 0 END) AS r, sum(y) AS pos, count(*) - sum(y) AS neg FROM r GROUP BY 1) SELECT lang, round(CASE WHEN pos * neg > 0 THEN (r - pos * (pos + 1) / 2) / (pos * neg) ELSE 0.5 END, 6) + 0.0 AS auc FROM s")
+def auc_by_language(spark, sf_dir):
+    return shown(ev.auc(scored(spark, sf_dir), ["lang"]), ["lang"], ["auc"], 6)
+
+
+@query(chain(SCORED) + ", g AS (SELECT lang, p, count(*) AS n, sum(y) AS t FROM scored GROUP BY 1, 2), c AS (SELECT *, sum(t) OVER w AS tp, sum(n) OVER w AS seen FROM g WINDOW w AS (PARTITION BY lang ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT lang, round(sum(t * tp / seen) / sum(t), 6) + 0.0 AS average_precision FROM c GROUP BY 1")
+def average_precision(spark, sf_dir):
+    return shown(ev.average_precision(scored(spark, sf_dir), ["lang"]), ["lang"], ["average_precision"], 6)
+
+
+@query(chain(SCORED) + " SELECT lang, round(avg(-(y * ln(greatest(least(p, 1 - 1e-15), 1e-15)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)))), 5) + 0.0 AS log_loss, round(avg((p - y) * (p - y)), 6) + 0.0 AS brier, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS hit_rate FROM scored GROUP BY 1")
+def losses(spark, sf_dir):
+    x = ev.losses(scored(spark, sf_dir), ["lang"]).withColumn("log_loss", F.round("log_loss", 5) + 0.0)
+    return shown(x, ["lang", "log_loss"], ["brier", "hit_rate"], 6)
+
+
+@query(chain(SCORED) + ", r AS (SELECT *, greatest(1, floor(count(*) OVER (PARTITION BY lang) * 0.1)) AS k, row_number() OVER (PARTITION BY lang ORDER BY p DESC, doc_id) AS u, row_number() OVER (PARTITION BY lang ORDER BY p, doc_id) AS d FROM scored), a AS (SELECT lang, avg(y) FILTER (WHERE u <= k) AS top, avg(y) FILTER (WHERE d <= k) AS bottom FROM r GROUP BY 1) SELECT lang, round(top, 6) + 0.0 AS top, round(bottom, 6) + 0.0 AS bottom, round(top - bottom, 6) + 0.0 AS spread FROM a")
+def tail_precision(spark, sf_dir):
+    return shown(ev.tail_precision(scored(spark, sf_dir), ["lang"], "doc_id"), ["lang"], ["top", "bottom", "spread"], 6)
+
+
+@query(chain(SCORED) + ", b AS (SELECT lang, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM scored GROUP BY 1, 2) SELECT lang, round(sum(abs(mp - my) * n) / sum(n), 6) + 0.0 AS ece, round(max(abs(mp - my)), 6) + 0.0 AS mce FROM b GROUP BY 1")
+def calibration_error(spark, sf_dir):
+    return shown(ev.calibration_error(scored(spark, sf_dir), ["lang"]), ["lang"], ["ece", "mce"], 6)
+
+
+@query(chain(SCORED) + " SELECT lang, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(p), 6) + 0.0 AS mean_p, round(avg(y), 6) + 0.0 AS mean_y FROM scored GROUP BY 1, 2")
+def reliability_curve(spark, sf_dir):
+    return shown(ev.reliability(scored(spark, sf_dir), ["lang"]), ["lang", "bin", "n"], ["mean_p", "mean_y"], 6)
+
+
+@query(chain(SCORED) + ", r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY p) + (count(*) OVER (PARTITION BY lang, p) - 1) / 2 AS a, rank() OVER (PARTITION BY lang ORDER BY y) + (count(*) OVER (PARTITION BY lang, y) - 1) / 2 AS b FROM scored) SELECT lang, round(corr(a, b), 6) + 0.0 AS ic FROM r GROUP BY 1")
+def information_coefficient(spark, sf_dir):
+    return shown(ev.rank_correlation(scored(spark, sf_dir), ["lang"], "p", "y"), ["lang"], ["ic"], 6)
+
+
+def _entries(spark, sf_dir):
+    return _spans(spark, sf_dir).select("symbol", F.col("t0").alias("entry"), F.col("t1").alias("exit"), "hit")
+
+
+_WF = [*_SPANS, "tg AS (SELECT *, CAST(date_trunc('week', t0) AS DATE) AS week FROM sp)", "wk AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS w FROM (SELECT DISTINCT week FROM tg))", "fd AS (SELECT CAST((w - 52) / 13 AS INTEGER) AS fold, w AS fst, week AS starts FROM wk WHERE w >= 52 AND (w - 52) % 13 = 0)", "mt AS (SELECT tg.*, w, fold, fst, starts FROM tg JOIN wk USING (week), fd)", "wf AS (SELECT fold, 'test' AS role, t0, t1 FROM mt WHERE w >= fst AND w < fst + 13 UNION ALL SELECT fold, 'train', t0, t1 FROM mt WHERE w < fst AND t1 < starts)"]
+
+
+@query(chain(*_WF) + " SELECT fold, role, CAST(count(*) AS BIGINT) AS n, min(t0) AS first_entry, max(t0) AS last_entry, max(t1) AS last_exit FROM wf GROUP BY 1, 2")
+def walk_forward_folds(spark, sf_dir):
+    return ev.fold_summary(ev.walk_forward(_entries(spark, sf_dir), 52, 13))
+
+
+@query(chain(*_WF) + ", q AS (SELECT fold, max(t1) FILTER (WHERE role = 'train') AS train_exit, min(t0) FILTER (WHERE role = 'test') AS test_entry FROM wf GROUP BY 1) SELECT *, coalesce(train_exit >= test_entry, false) AS leak FROM q")
+def fold_leaks(spark, sf_dir):
+    return ev.leaks(ev.walk_forward(_entries(spark, sf_dir), 52, 13))
+
+
+@query(chain(*_SPANS) + ", n AS (SELECT *, row_number() OVER (ORDER BY t0, symbol) - 1 AS i, (SELECT count(*) FROM sp) AS c FROM sp), f AS (SELECT *, least(floor(i * 5 / c), 4) AS f FROM n), s AS (SELECT f AS fold, min(t0) AS lo, max(t1) AS hi, max(i) AS lst FROM f GROUP BY 1), r AS (SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN f = fold THEN 'test' WHEN t1 < lo OR (t0 > hi AND i > lst + floor(c * 0.01)) THEN 'train' END AS role, t0, t1 FROM f, s) SELECT fold, role, CAST(count(*) AS BIGINT) AS n, min(t0) AS first_entry, max(t0) AS last_entry, max(t1) AS last_exit FROM r WHERE role IS NOT NULL GROUP BY 1, 2")
+def purged_kfold(spark, sf_dir):
+    return ev.fold_summary(ev.purged_kfold(_entries(spark, sf_dir), 5))
+
+
+@query("SELECT o_orderkey, round(least(greatest((o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER (), -1.5), 1.5), 6) + 0.0 AS o_totalprice_z FROM orders")
+def standardised(spark, sf_dir):
+    return shown(ev.standardise(table(spark, sf_dir, "orders"), ["o_totalprice"], 1.5), ["o_orderkey"], ["o_totalprice_z"], 6)
+
+
+@query("SELECT o_orderkey, round(least(greatest(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.01) FROM orders)), (SELECT quantile_cont(o_totalprice, 0.99) FROM orders)), 4) + 0.0 AS o_totalprice_w FROM orders")
+def winsorised(spark, sf_dir):
+    return shown(ev.winsorise(table(spark, sf_dir, "orders"), ["o_totalprice"]), ["o_orderkey"], ["o_totalprice_w"], 4)
+
+
+@query("SELECT 'l_quantity' AS a, 'l_discount' AS b, round(corr(l_quantity, l_discount), 6) + 0.0 AS corr FROM lineitem UNION ALL SELECT 'l_quantity', 'l_extendedprice', round(corr(l_quantity, l_extendedprice), 6) + 0.0 FROM lineitem UNION ALL SELECT 'l_discount', 'l_extendedprice', round(corr(l_discount, l_extendedprice), 6) + 0.0 FROM lineitem")
+def correlation_pairs(spark, sf_dir):
+    return shown(ev.correlation_pairs(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"]), ["a", "b"], ["corr"], 6)
+
+
+def _mi(c: str) -> str:
+    return f"SELECT '{c}' AS feature, least(floor(({c} - (SELECT min({c}) FROM lineitem)) / ((SELECT max({c}) FROM lineitem) - (SELECT min({c}) FROM lineitem)) * 10), 9) AS bin, l_returnflag AS y FROM lineitem"
+
+
+@query(f"WITH l AS ({_mi('l_extendedprice')} UNION ALL {_mi('l_tax')}), c AS (SELECT feature, bin, y, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS nn FROM c) SELECT feature, round(sum(n / nn * ln(n * nn / (nx * ny))), 6) + 0.0 AS mi FROM p GROUP BY 1")
+def mutual_information(spark, sf_dir):
+    return shown(ev.mutual_information(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_tax"], "l_returnflag"), ["feature"], ["mi"], 6)
+
+
+# portfolios
+
+_P = [BARS, SECTORS, SIGNALS]
+
+
+@query(chain(*_P) + ", t AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY probability DESC, symbol) AS k FROM signals) SELECT symbol, week, round(least(1 / count(*) OVER (PARTITION BY week), 0.2), 6) + 0.0 AS weight FROM t WHERE k <= 10")
+def equal_top(spark, sf_dir):
+    return shown(pf.equal_top(signals(spark, sf_dir)), ["symbol", "week"], ["weight"], 6)
+
+
+@query(chain(*_P) + ", t AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY probability DESC, symbol) AS k FROM signals), s AS (SELECT *, least(coalesce(probability / nullif(sum(probability) OVER (PARTITION BY week), 0), 0), 0.2) AS w FROM t WHERE k <= 10) SELECT symbol, week, round(coalesce(w / nullif(sum(w) OVER (PARTITION BY week), 0), 0), 6) + 0.0 AS weight FROM s")
+def proportional_top(spark, sf_dir):
+    return shown(pf.proportional_top(signals(spark, sf_dir)), ["symbol", "week"], ["weight"], 6)
+
+
+@query(chain(*_P) + ", s AS (SELECT *, least(greatest(0.5 * (probability - 0.5), 0.0), 0.1) AS r FROM signals) SELECT symbol, week, round(CASE WHEN r >= 0.01 THEN r ELSE 0.0 END, 6) + 0.0 AS weight FROM s")
+def monotone_weights(spark, sf_dir):
+    return shown(pf.monotone(signals(spark, sf_dir)), ["symbol", "week"], ["weight"], 6)
+
+
+@query(chain(*_P) + ", s AS (SELECT *, CAST(least(floor((row_number() OVER (PARTITION BY week ORDER BY probability DESC, symbol) - 1) * 3 / count(*) OVER (PARTITION BY week)), 2) AS INTEGER) AS bucket FROM signals) SELECT symbol, week, bucket, round([0.6, 0.3, 0.1][bucket + 1] / count(*) OVER (PARTITION BY week, bucket), 6) + 0.0 AS weight FROM s")
+def rank_buckets(spark, sf_dir):
+    return shown(pf.rank_buckets(signals(spark, sf_dir), [0.6, 0.3, 0.1]), ["symbol", "week", "bucket"], ["weight"], 6)
+
+
+_EQ = "eq AS (SELECT *, least(1 / count(*) OVER (PARTITION BY week), 0.2) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY probability DESC, symbol) AS k FROM signals) WHERE k <= 10)"
+_TURN = "nw AS (SELECT week, row_number() OVER (ORDER BY week) AS n FROM (SELECT DISTINCT week FROM eq)), a AS (SELECT n, symbol, weight FROM eq JOIN nw USING (week)), tu AS (SELECT week, turnover FROM (SELECT coalesce(a.n, b.n + 1) AS n, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) / 2 AS turnover FROM a FULL JOIN a b ON a.n = b.n + 1 AND a.symbol = b.symbol GROUP BY 1) JOIN nw USING (n))"
+
+
+@query(chain(*_P, _EQ, _TURN) + " SELECT week, round(turnover, 6) + 0.0 AS turnover FROM tu")
+def turnover(spark, sf_dir):
+    return shown(pf.turnover(pf.equal_top(signals(spark, sf_dir))), ["week"], ["turnover"], 6)
+
+
+@query(chain(*_P, _EQ) + ", r AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY weight DESC, symbol) AS q FROM eq) SELECT week, round(sum(weight * weight), 6) + 0.0 AS hhi, round(1 / sum(weight * weight), 6) + 0.0 AS effective_n, round(max(weight), 6) + 0.0 AS top1, round(sum(weight) FILTER (WHERE q <= 5), 6) + 0.0 AS top5, round(sum(abs(weight)), 6) + 0.0 AS gross, round(sum(weight), 6) + 0.0 AS net FROM r GROUP BY 1")
+def weight_concentration(spark, sf_dir):
+    return shown(pf.concentration(pf.equal_top(signals(spark, sf_dir))), ["week"], ["hhi", "effective_n", "top1", "top5", "gross", "net"], 6)
+
+
+_WR = "wr AS (SELECT week, sum(weight * actual_return) AS ret, avg(CASE WHEN actual_return > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(abs(weight)) AS exposure FROM eq GROUP BY 1)"
+
+
+@query(chain(*_P, _EQ, _TURN, _WR) + " SELECT week, round(ret, 6) + 0.0 AS ret, round(hit_rate, 6) + 0.0 AS hit_rate, round(exposure, 6) + 0.0 AS exposure, round(turnover, 6) + 0.0 AS turnover, round(ret - 0.001 * turnover, 6) + 0.0 AS net_ret FROM wr JOIN tu USING (week)")
+def weekly_returns(spark, sf_dir):
+    return shown(pf.weekly_returns(pf.equal_top(signals(spark, sf_dir)), cost=0.001), ["week"], ["ret", "hit_rate", "exposure", "turnover", "net_ret"], 6)
+
+
+_NAV = "nv AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS nav FROM wr), dd AS (SELECT *, nav / greatest(max(nav) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) - 1 AS drawdown FROM nv)"
+
+
+@query(chain(*_P, _EQ, _WR, _NAV) + ", p AS (SELECT CAST(count(*) AS BIGINT) AS n, exp(sum(ln(1 + ret))) - 1 AS total_return, avg(ret) AS m, stddev_samp(ret) * sqrt(52) AS volatility, sqrt(avg(power(least(ret, 0), 2)) * 52) AS downside, min(drawdown) AS max_drawdown, quantile_cont(ret, 0.05) AS var_95, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(greatest(ret, 0)) AS won, sum(-least(ret, 0)) AS lost, max(ret) AS best, min(ret) AS worst FROM dd) SELECT n, round(volatility, 4) + 0.0 AS volatility, round(max_drawdown, 4) + 0.0 AS max_drawdown, round(var_95, 4) + 0.0 AS var_95, round(hit_rate, 4) + 0.0 AS hit_rate, round(m * 52 / volatility, 4) + 0.0 AS sharpe, round(m * 52 / downside, 4) + 0.0 AS sortino, round(won / lost, 4) + 0.0 AS profit_factor, round(best, 4) + 0.0 AS best, round(worst, 4) + 0.0 AS worst FROM p")
+def performance(spark, sf_dir):
+    w = pf.weekly_returns(pf.equal_top(signals(spark, sf_dir)))
+    return shown(pf.performance(w), ["n"], ["volatility", "max_drawdown", "var_95", "hit_rate", "sharpe", "sortino", "profit_factor", "best", "worst"], 4)
+
+
+@query(chain(*_P, _EQ, _WR, _NAV) + ", u AS (SELECT *, drawdown < -1e-12 AS under FROM dd), e AS (SELECT *, sum(CASE WHEN under THEN 0 ELSE 1 END) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ep FROM u) SELECT min(week) AS first, max(week) AS last, round(min(drawdown), 5) + 0.0 AS depth, CAST(count(*) AS BIGINT) AS weeks FROM e WHERE under GROUP BY ep")
+def drawdown_episodes(spark, sf_dir):
+    w = pf.weekly_returns(pf.equal_top(signals(spark, sf_dir)))
+    return shown(pf.drawdown_episodes(w), ["first", "last", "weeks"], ["depth"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * 5.0 / 1e4, 8) + 0.0 AS linear_cost, round(l_extendedprice * CASE WHEN l_quantity > 0 THEN least(0.1 * sqrt(l_extendedprice / l_quantity) * 1e4, 100.0) ELSE 50.0 END / 1e4, 8) + 0.0 AS impact_cost FROM lineitem")
+def trade_costs(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("volume"))
+    return shown(pf.costs(t), ["l_orderkey", "l_linenumber", "l_partkey"], ["linear_cost", "impact_cost"], 8)
