@@ -14,9 +14,13 @@ from .operators import evaluation as ev
 from .operators import features as ft
 from .operators import kernels as kn
 from .operators import labels as lb
+from .operators import macro as mc
+from .operators import mapping as mp
 from .operators import panel as pn
 from .operators import portfolio as pf
 from .operators import quality as ql
+from .operators import selection as sl
+from .plans import daily as pl
 from .sources import bars as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -724,3 +728,133 @@ def drawdown_episodes(spark, sf_dir):
 def trade_costs(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("volume"))
     return shown(pf.costs(t), ["l_orderkey", "l_linenumber", "l_partkey"], ["linear_cost", "impact_cost"], 8)
+
+
+# shared series, mapping, selection, plans, streams
+
+_ONE = "flow1 AS (SELECT 'F' AS symbol, date, flow / 1e6 AS v FROM macro)"
+
+
+def _flow(spark, sf_dir):
+    return macro(spark, sf_dir).select(F.lit("F").alias("symbol"), "date", (F.col("flow") / 1e6).alias("v"))
+
+
+@query(chain(MACRO, _ONE, stage("a", "flow1", {"v_z": z("v", 60), "v_ma20_ratio": over("v", f"({mean('v', 20)})"), "v_chg5": over("v", lagged("v", 5)) + " - 1", "v_regime": "CASE WHEN v < 0.5 THEN 0 WHEN v < 0.8 THEN 1 WHEN v < 1.2 THEN 2 ELSE 3 END", "v_pct": f"CASE WHEN len(list(v) OVER ({S} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)) >= 50 THEN len(list_filter(list(v) OVER ({S} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING), lambda q: q < v)) / len(list(v) OVER ({S} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)) * 100 END"})) + f" SELECT date, {out(['v_z', 'v_ma20_ratio', 'v_chg5', 'v_regime', 'v_pct'])} FROM a")
+def regime_block(spark, sf_dir):
+    return shown(mc.regime(_flow(spark, sf_dir), "v", (0.5, 0.8, 1.2)), ["date"], ["v_z", "v_ma20_ratio", "v_chg5", "v_regime", "v_pct"])
+
+
+@query(chain(MACRO, _ONE, stage("a", "flow1", {"c5": f"v - {lagged('v', 5)}", "z60": z("v", 60), "z252": z("v", 252)}), stage("b", "a", {"v_level": lagged("v", 3), "v_chg5": lagged("c5", 3), "v_z60": lagged("z60", 3), "v_z252": lagged("z252", 3)})) + f" SELECT date, {out(['v_level', 'v_chg5', 'v_z60', 'v_z252'], 8)} FROM b")
+def published_series(spark, sf_dir):
+    return shown(mc.published(_flow(spark, sf_dir), "v", 3), ["date"], ["v_level", "v_chg5", "v_z60", "v_z252"], 8)
+
+
+_BW = "bw AS (SELECT 'ALL' AS symbol, date, max(CASE WHEN bench = 'ASIA' THEN px END) AS asia, max(CASE WHEN bench = 'EUROPE' THEN px END) AS europe, max(CASE WHEN bench = 'ALL' THEN px END) AS \"all\", max(CASE WHEN bench = 'ASIA' THEN bench_ret END) AS ra, max(CASE WHEN bench = 'EUROPE' THEN bench_ret END) AS re FROM bench GROUP BY date)"
+
+
+def _bench_wide(spark, sf_dir, price):
+    b = pn.benchmarks(bars(spark, sf_dir), sectors(spark, sf_dir)).withColumnRenamed("bench", "symbol")
+    return mc.wide_prices(b, ["ASIA", "EUROPE", "ALL"], price)
+
+
+@query(chain(BARS, SECTORS, BENCH, _BW, stage("r", "bw", {"ae": over("asia", "europe"), "aa": over("asia", '"all"')}), stage("q", "r", {"ae_z": z("ae", 60), "aa_z": z("aa", 60)})) + f" SELECT date, {out(['ae', 'aa', 'ae_z', 'aa_z'])} FROM q")
+def cross_asset_ratios(spark, sf_dir):
+    return shown(mc.ratios(_bench_wide(spark, sf_dir, "px"), {"ae": ("asia", "europe"), "aa": ("asia", "all")}), ["date"], ["ae", "aa", "ae_z", "aa_z"])
+
+
+@query(chain(BARS, SECTORS, BENCH, _BW, stage("r", "bw", {"x": "CASE WHEN ra IS NOT NULL AND re IS NOT NULL THEN ra END", "y": "CASE WHEN ra IS NOT NULL AND re IS NOT NULL THEN re END"}), stage("q", "r", {"c": f"CASE WHEN count(x) OVER {rw(60)} >= 30 THEN {over(f'covar_samp(x, y) OVER {rw(60)}', f'stddev_samp(x) OVER {rw(60)} * stddev_samp(y) OVER {rw(60)}')} END"})) + " SELECT date, round(c, 5) + 0.0 AS corr FROM q")
+def rolling_correlation(spark, sf_dir):
+    return shown(mc.rolling_correlation(_bench_wide(spark, sf_dir, "bench_ret"), "asia", "europe"), ["date"], ["corr"])
+
+
+@query(chain(BARS, SECTORS, BENCH, _BW, stage("r", "bw", {"s": "ra - re"}), stage("q", "r", {"ae_cum_20": roll("sum", "s", 20, 6), "ae_cum_60": roll("sum", "s", 60, 20), "ae_z_60": z("s", 60), "rn": f"sum(s) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "k": f"CAST(row_number() OVER ({S}) AS DOUBLE)"}), stage("t", "q", {"ae_slope_20": f"CASE WHEN count(rn) OVER {rw(20)} >= 6 THEN regr_slope(rn, k) OVER {rw(20)} END"})) + f" SELECT date, {out(['ae_cum_20', 'ae_cum_60', 'ae_z_60', 'ae_slope_20'])} FROM t")
+def return_spreads(spark, sf_dir):
+    return shown(mc.global_spreads(_bench_wide(spark, sf_dir, "bench_ret"), {"ae": ("asia", "europe")}), ["date"], ["ae_cum_20", "ae_cum_60", "ae_z_60", "ae_slope_20"])
+
+
+@query(chain(BARS, stage("a", "bars", {"dp": f"close - {lagged('close', 10)}", "dv": f"volume - {lagged('volume', 10)}"}), stage("b", "a", {"x": f"tanh(dp / greatest({dev('dp', 60, 20, 'stddev_samp')}, 1e-8)) - tanh(dv / greatest({dev('dv', 60, 20, 'stddev_samp')}, 1e-8))"})) + f" SELECT symbol, date, round(CASE WHEN count(dp) OVER {rw(60)} >= 20 THEN x END, 5) + 0.0 AS div_10 FROM b")
+def direction_divergence(spark, sf_dir):
+    t = ft.direction_divergence(bars(spark, sf_dir), "close", "volume", 10, "div_10")
+    t = t.withColumn("__d", F.col("close") - F.lag("close", 10).over(Window.partitionBy("symbol").orderBy("date")))
+    t = t.withColumn("div_10", F.when(F.count("__d").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-59, 0)) >= 20, F.col("div_10")))
+    return shown(t, ["symbol", "date"], ["div_10"])
+
+
+@query(chain(BARS, stage("a", "bars", {"d": f"CASE WHEN close > {lagged('close')} THEN 1.0 ELSE 0.0 END - CASE WHEN volume > {lagged('volume')} THEN 1.0 ELSE 0.0 END"})) + f" SELECT symbol, date, round(({roll('sum', 'd', 20, 10)}) / 20, 5) + 0.0 AS cum_20 FROM a")
+def cumulative_divergence(spark, sf_dir):
+    return shown(ft.cumulative_divergence(bars(spark, sf_dir), "close", "volume", 20, "cum_20"), ["symbol", "date"], ["cum_20"])
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT) + ", co AS (SELECT symbol, bench, n, c / (sqrt(v) * sqrt(u)) AS corr FROM fit WHERE n > 100), m AS (SELECT *, CASE WHEN corr >= 0.6 AND n >= 500 THEN 'high' WHEN corr >= 0.3 AND n >= 100 THEN 'medium' ELSE 'low' END AS confidence FROM co) SELECT confidence, CAST(count(*) AS BIGINT) AS n_symbols, round(avg(corr), 6) + 0.0 AS mean_corr FROM m GROUP BY 1")
+def mapping_confidence(spark, sf_dir):
+    b = ft.returns(bars(spark, sf_dir))
+    return shown(mp.validation(mp.confidence(pn.correlations(b, pn.benchmarks(b, sectors(spark, sf_dir))))), ["confidence", "n_symbols"], ["mean_corr"], 6)
+
+
+@query("WITH k(grp, word, weight) AS (VALUES ('metal', 'bolt', 1.0), ('metal', 'gear', 1.0), ('finish', 'red', 1.5), ('finish', 'small', 0.5)), s AS (SELECT p_partkey AS symbol, grp, sum(weight) AS score FROM part JOIN k ON contains(lower(p_type || ' ' || p_name), word) GROUP BY 1, 2) SELECT symbol, \"group\", score FROM (SELECT symbol, grp AS \"group\", round(score, 3) + 0.0 AS score, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, grp) AS q FROM s) WHERE q = 1")
+def keyword_mapping(spark, sf_dir):
+    words = spark.createDataFrame([("metal", "bolt", 1.0), ("metal", "gear", 1.0), ("finish", "red", 1.5), ("finish", "small", 0.5)], "group string, word string, weight double")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), F.concat_ws(" ", "p_type", "p_name").alias("description"))
+    return shown(mp.by_keyword(parts, words), ["symbol", "group"], ["score"], 3)
+
+
+@query("WITH s AS (SELECT DISTINCT l_returnflag || l_linestatus AS model, l_suppkey AS feature FROM lineitem WHERE l_quantity > 49), n AS (SELECT model, count(*) AS n FROM s GROUP BY 1) SELECT x.model AS a, y.model AS b, CAST(count(*) AS BIGINT) AS shared, round(count(*) / (max(p.n) + max(q.n) - count(*)), 6) + 0.0 AS jaccard FROM s x JOIN s y ON x.feature = y.feature AND x.model < y.model JOIN n p ON p.model = x.model JOIN n q ON q.model = y.model GROUP BY 1, 2")
+def selection_overlap(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.concat("l_returnflag", "l_linestatus").alias("model"), F.col("l_suppkey").alias("feature"))
+    return shown(sl.overlap_matrix(s), ["a", "b", "shared"], ["jaccard"], 6)
+
+
+@query("WITH o AS (SELECT DISTINCT l_partkey AS feature FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'), n AS (SELECT DISTINCT l_partkey AS feature FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01') SELECT coalesce(o.feature, n.feature) AS feature, CASE WHEN o.feature IS NULL THEN 'added' WHEN n.feature IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM o FULL JOIN n ON o.feature = n.feature")
+def set_changes(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "feature")  # noqa: E741
+    return sl.changes(l.where("l_shipdate < timestamp '1997-01-01'"), l.where("l_shipdate >= timestamp '2000-01-01'"))
+
+
+@query(chain(*_P) + ", r AS (SELECT *, least(greatest(0.5 * (probability - 0.5), 0.0), 0.1) AS r FROM signals), w0 AS (SELECT *, CASE WHEN r >= 0.01 THEN r ELSE 0.0 END AS weight FROM r), c1 AS (SELECT *, least(weight, 0.1) AS w FROM w0), c2 AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY week, sector) > 0.3 THEN w * 0.3 / sum(w) OVER (PARTITION BY week, sector) ELSE w END AS w) FROM c1), c3 AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY round(w, 12) DESC, symbol) AS k FROM c2 WHERE w >= 0.005), c4 AS (SELECT *, sum(w) OVER (PARTITION BY week) AS g FROM c3 WHERE k <= 20) SELECT symbol, week, round(least(CASE WHEN g > 1 THEN w / g ELSE w END, 0.1), 6) + 0.0 AS weight FROM c4")
+def constrained_weights(spark, sf_dir):
+    return shown(pf.constrain(pf.monotone(signals(spark, sf_dir))), ["symbol", "week"], ["weight"], 6)
+
+
+@query(chain(*_P, _EQ) + ", v AS (SELECT *, 0.1 + (volume % 7) / 20 AS sigma FROM eq), u AS (SELECT *, weight * coalesce(0.15 / nullif(sqrt(sum(power(weight * sigma, 2)) OVER (PARTITION BY week)), 0), 1) AS w FROM v), t AS (SELECT *, sum(abs(w)) OVER (PARTITION BY week) AS g FROM u) SELECT symbol, week, round(CASE WHEN g > 1 THEN w / g ELSE w END, 6) + 0.0 AS weight FROM t")
+def volatility_targeted(spark, sf_dir):
+    w = pf.equal_top(signals(spark, sf_dir)).withColumn("sigma", 0.1 + (F.col("volume") % 7) / 20)
+    return shown(pf.target_volatility(w, "sigma"), ["symbol", "week"], ["weight"], 6)
+
+
+@query(chain(BARS, RET) + ", u AS (SELECT symbol, 'ret' AS feature, ret AS v FROM rets UNION ALL SELECT symbol, 'close', close FROM rets UNION ALL SELECT symbol, 'volume', volume FROM rets) SELECT symbol, feature, CAST(count(v) AS BIGINT) AS n_valid, CAST(count(*) AS BIGINT) AS n_total, round(100 * (1 - count(v) / count(*)), 6) + 0.0 AS null_pct FROM u GROUP BY 1, 2")
+def feature_coverage(spark, sf_dir):
+    return shown(ql.coverage(ft.returns(bars(spark, sf_dir)), ["ret", "close", "volume"]), ["symbol", "feature", "n_valid", "n_total"], ["null_pct"], 6)
+
+
+@query(chain(BARS, ATR) + " SELECT symbol, date, round((close + 3.0 * atr) / close * 100 - 100, 5) + 0.0 AS target_pct, round(100 - (close - 1.5 * atr) / close * 100, 5) + 0.0 AS stop_pct, round(1 / (1 + ((close + 3.0 * atr) / close - 1) / (1 - (close - 1.5 * atr) / close)), 5) + 0.0 AS break_even FROM entries WHERE atr > 0")
+def price_levels(spark, sf_dir):
+    return shown(sl.price_levels(lb.with_atr(bars(spark, sf_dir)).where("atr > 0"), 3.0, 1.5), ["symbol", "date"], ["target_pct", "stop_pct", "break_even"])
+
+
+@query("SELECT user_id AS symbol, CAST(CAST(ts AS DATE) + CAST((12 - dayofweek(CAST(ts AS DATE))) % 7 AS INTEGER) AS DATE) AS date, round(arg_min(value, ts), 6) + 0.0 AS open, round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low, round(arg_max(value, ts), 6) + 0.0 AS close, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def streaming_weekly_bars(spark, sf_dir):
+    from .streaming.bars import weekly_bars as weekly
+
+    t = table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), "ts", "value")
+    return shown(weekly(t), ["symbol", "date", "n"], ["open", "high", "low", "close"], 6)
+
+
+@query(None)
+def feature_panel(spark, sf_dir):
+    t = pl.feature_table(bars(spark, sf_dir), ["returns", "recursive", "trend", "volatility"])
+    return shown(t, ["symbol", "date"], [c for c in t.columns if c not in {"symbol", "date"}])
+
+
+@query(None)
+def weekly_features_daily(spark, sf_dir):
+    t = pl.higher_time_frame(bars(spark, sf_dir), ["trend", "volatility"])
+    return shown(t, ["symbol", "date"], ["w_rv_20", "w_trend_score_granular", "w_ma_10", "w_vol_regime"])
+
+
+@query(None)
+def boosted_trees_by_fold(spark, sf_dir):
+    b = ft.returns(lb.with_atr(bars(spark, sf_dir))).withColumns({"rv": F.col("atr") / F.col("close"), "rel": F.col("close") / F.col("open")})
+    t = lb.first_touch(b, 3.0, 3.0, _H).select("symbol", F.col("date").alias("entry"), F.col("t_hit").alias("exit"), (F.col("hit") == 1).cast("double").alias("y"), F.coalesce("ret", F.lit(0.0)).alias("ret"), "rv", "rel", "volume")
+    folds = ev.purged_kfold(t, 2)
+    oof = sl.out_of_fold(folds, ["ret", "rv", "rel", "volume"], "y", maxIter=5, maxDepth=3)
+    return shown(ev.auc(oof.withColumn("p", F.col("probability")), ["fold"]), ["fold"], ["auc"], 4)
