@@ -37,7 +37,7 @@ NONE = -(1 << 63)
 #: Shingles in a slice and in a packed batch; documents whose ids may be broadcast (8 bytes each).
 SLICE, PACK, MOST_BROADCAST = 3_000_000, 2_000_000, 2_000_000
 #: Cost of verifying a candidate, in postings read; longest extension tried; pivot rounds at most.
-VERIFY, MOST_MATCHES, ROUNDS = 20.0, 8, 4
+VERIFY, MOST_MATCHES, ROUNDS = 20.0, 8, 2
 #: Classes of a cluster that are paired at most, classes of a block, shingles that a block counts at a time.
 PAIRED, BLOCK, COUNTED = 256, 1024, 4096
 
