@@ -163,3 +163,33 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     raw = F.col("p") * F.col("__n") / F.col("__k")
     out = ranked.withColumn("q", F.least(F.min(raw).over(up.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0)))
     return out.withColumn("found", F.col("q") <= alpha).drop("__k", "__n")
+
+
+def purge_mask(rows: DataFrame, test_start, test_end, embargo_days: int = 0) -> DataFrame:
+    """purged: the span [entry, exit] touches the test span; embargoed: it begins within embargo_days after it."""
+    a, b = F.lit(test_start).cast("date"), F.lit(test_end).cast("date")
+    return rows.withColumns({"purged": (F.col("entry") <= b) & (F.col("exit") >= a), "embargoed": (F.col("entry") > b) & (F.col("entry") <= F.date_add(b, embargo_days))})
+
+
+def date_split(rows: DataFrame, share: float = 0.8, date: str = "entry") -> DataFrame:
+    """role: train up to the date below which share of the rows lie, else test."""
+    cut = rows.agg(F.percentile(F.unix_date(date), share).alias("__cut"))
+    return rows.join(F.broadcast(cut)).withColumn("role", F.when(F.unix_date(date) <= F.col("__cut"), "train").otherwise("test")).drop("__cut")
+
+
+def time_folds(rows: DataFrame, k: int, label: str = "hit", date: str = "entry") -> DataFrame:
+    """Per fold of equally many rows in time order: rows, positives, prevalence."""
+    order = Window.orderBy(date, "symbol")
+    numbered = rows.withColumn("fold", F.ntile(k).over(order) - 1)
+    return numbered.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("n_positive")).withColumn("prevalence", F.col("n_positive") / F.col("n"))
+
+
+def rolling_auc(scored: DataFrame, dates: int = 63, least: int = 100, score: str = "p", label: str = "y") -> DataFrame:
+    """For each date the AUC over the rows of the last dates distinct dates, where there are more than least rows and both classes.
+    Every row goes to the windows that hold it, at most dates of them."""
+    days = scored.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))
+    placed = scored.join(F.broadcast(days), "date")
+    last = days.agg(F.max("k").alias("last"))
+    spread = placed.join(F.broadcast(last)).select(F.explode(F.sequence(F.col("k"), F.least(F.col("k") + dates - 1, F.col("last")))).alias("k"), F.col(score).alias("p"), F.col(label).alias("y"))
+    sizes = spread.groupBy("k").agg(F.count("*").alias("n"), F.sum("y").alias("t")).where((F.col("n") > least) & (F.col("t") > 0) & (F.col("t") < F.col("n")))
+    return auc(spread, ["k"]).join(sizes, "k").join(F.broadcast(days), "k").select("date", "n", "auc")

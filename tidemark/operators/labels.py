@@ -136,3 +136,32 @@ def concentration(labels: DataFrame, n: int = 10) -> DataFrame:
     ranked = each.withColumns({"down": F.row_number().over(Window.orderBy(F.desc("k"), "symbol")), "up": F.row_number().over(Window.orderBy("k", "symbol"))})
     out = ranked.agg(F.sum("k").alias("all"), F.sum(F.when(F.col("down") <= n, F.col("k")).otherwise(0)).alias("top"), F.sum(F.col("up") * F.col("k")).alias("weighted"), F.count("*").alias("m"))
     return out.select((F.col("top") / F.col("all")).alias("top_share"), (2 * F.col("weighted") / (F.col("m") * F.col("all")) - (F.col("m") + 1) / F.col("m")).alias("gini"), F.col("m").alias("n_symbols"))
+
+
+def atr_spread(labels: DataFrame) -> DataFrame:
+    """Distribution of ATR by close among positive labels."""
+    x = labels.where("hit = 1").withColumn("a", F.col("atr") / F.col("close"))
+    return x.agg(F.count("*").alias("n"), F.avg("a").alias("mean"), F.percentile("a", 0.5).alias("median"), F.percentile("a", 0.1).alias("p10"), F.percentile("a", 0.9).alias("p90"), F.avg((F.col("a") > 0.05).cast("double")).alias("share_wide"))
+
+
+def outcomes(labels: DataFrame, models: list[str]) -> DataFrame:
+    """Per model and outcome: rows and share."""
+    long = labels.unpivot([], [f"hit_{m}" for m in models], "model", "hit").where("hit is not null")
+    out = long.groupBy(F.regexp_replace("model", "^hit_", "").alias("model"), "hit").agg(F.count("*").alias("n"))
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("model")))
+
+
+def binary(labels: DataFrame, models: dict[str, int]) -> DataFrame:
+    """symbol, date, model, y: whether each model's own side (1 or -1) was hit; timeouts are left out."""
+    long = labels.unpivot(["symbol", "date"], [f"hit_{m}" for m in models], "model", "hit").where("hit <> 0")
+    side = F.lit(0)
+    for m, s in models.items():
+        side = F.when(F.col("model") == f"hit_{m}", s).otherwise(side)
+    return long.select("symbol", "date", F.regexp_replace("model", "^hit_", "").alias("model"), (F.col("hit") == side).cast("int").alias("y"))
+
+
+def target_first(bars: DataFrame, multiples: list[float], stop: float, horizon: int) -> DataFrame:
+    """Per multiple: share of valid entries that reach close + multiple x ATR before close - stop x ATR. The grid is a list of parameters."""
+    made = multi_touch(bars, {f"m{k}": (m, stop) for k, m in enumerate(multiples)}, horizon)
+    one = made.agg(*(F.avg((F.col(f"hit_m{k}") == 1).cast("double")).alias(str(m)) for k, m in enumerate(multiples)))
+    return one.unpivot([], [f"`{m}`" for m in map(str, multiples)], "multiple", "rate")

@@ -131,3 +131,33 @@ def monthly_matrix(weekly: DataFrame) -> DataFrame:
     wide = monthly.groupBy("year").pivot("month", list(range(1, 13))).agg(F.first("r"))
     whole = monthly.groupBy("year").agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("total"))
     return wide.toDF("year", *(f"m{m:02d}" for m in range(1, 13))).join(whole, "year")
+
+
+def rolling_performance(weekly: DataFrame, w: int = 52) -> DataFrame:
+    """Return, volatility, ratio and hit rate of the last w weeks."""
+    frame = Window.orderBy("week").rowsBetween(-(w - 1), 0)
+    full = F.count("ret").over(frame) >= w
+    out = weekly.withColumns({"roll_return": F.when(full, F.exp(F.sum(F.log1p("ret")).over(frame)) - 1), "roll_volatility": F.when(full, F.stddev_samp("ret").over(frame) * math.sqrt(52)), "roll_mean": F.when(full, F.avg("ret").over(frame) * 52), "roll_hit_rate": F.when(full, F.avg((F.col("ret") > 0).cast("double")).over(frame))})
+    return out.withColumn("roll_sharpe", div("roll_mean", "roll_volatility")).drop("roll_mean")
+
+
+def compare(strategies: dict[str, DataFrame], cost: float = 0.0) -> DataFrame:
+    """Weekly returns of several weightings of one signal table, one performance row each."""
+    tables = [weekly_returns(w, cost=cost).withColumn("strategy", F.lit(name)) for name, w in strategies.items()]
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    return performance(whole, by=["strategy"])
+
+
+def tracking_error(weights: DataFrame, benchmark: DataFrame, sigma: DataFrame) -> DataFrame:
+    """Per week: root of the summed squares of active weights times deviation. benchmark: week, symbol, bench; sigma: symbol, sigma."""
+    both = weights.select("week", "symbol", "weight").join(benchmark, ["week", "symbol"], "full").join(sigma, "symbol")
+    active = F.coalesce("weight", F.lit(0.0)) - F.coalesce("bench", F.lit(0.0))
+    return both.groupBy("week").agg(F.sqrt(F.sum(F.pow(active * F.col("sigma"), 2))).alias("tracking_error"))
+
+
+def limits(weights: DataFrame, name: float = 0.1, sector: float = 0.3, gross: float = 1.0) -> DataFrame:
+    """Per week: does each constraint hold."""
+    held = weights.withColumn("__s", F.sum("weight").over(Window.partitionBy("week", "sector")))
+    return held.groupBy("week").agg((F.max("weight") <= name + 1e-9).alias("name_ok"), (F.max("__s") <= sector + 1e-9).alias("sector_ok"), (F.sum(F.abs("weight")) <= gross + 1e-9).alias("gross_ok"))

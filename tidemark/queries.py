@@ -858,3 +858,75 @@ def boosted_trees_by_fold(spark, sf_dir):
     folds = ev.purged_kfold(t, 2)
     oof = sl.out_of_fold(folds, ["ret", "rv", "rel", "volume"], "y", maxIter=5, maxDepth=3)
     return shown(ev.auc(oof.withColumn("p", F.col("probability")), ["fold"]), ["fold"], ["auc"], 4)
+
+
+# more labels, folds and portfolios
+
+
+@query(chain(*_SPANS) + ", x AS (SELECT * FROM sp), q AS (SELECT *, t0 <= DATE '1998-12-31' AND t1 >= DATE '1998-01-01' AS purged, t0 > DATE '1998-12-31' AND t0 <= DATE '1998-12-31' + 30 AS embargoed FROM x) SELECT CAST(count(*) FILTER (WHERE purged) AS BIGINT) AS n_purged, CAST(count(*) FILTER (WHERE embargoed) AS BIGINT) AS n_embargoed, CAST(count(*) AS BIGINT) AS n FROM q")
+def purge_and_embargo(spark, sf_dir):
+    m = ev.purge_mask(_entries(spark, sf_dir), "1998-01-01", "1998-12-31", 30)
+    return m.agg(F.count_if("purged").alias("n_purged"), F.count_if("embargoed").alias("n_embargoed"), F.count("*").alias("n"))
+
+
+@query(chain(*_SPANS) + ", c AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', t0), 0.8) AS c FROM sp) SELECT CASE WHEN date_diff('day', DATE '1970-01-01', t0) <= c THEN 'train' ELSE 'test' END AS role, CAST(count(*) AS BIGINT) AS n, max(t0) AS last_entry FROM sp, c GROUP BY 1")
+def date_split(spark, sf_dir):
+    return ev.date_split(_entries(spark, sf_dir)).groupBy("role").agg(F.count("*").alias("n"), F.max("entry").alias("last_entry"))
+
+
+@query(chain(*_SPANS) + ", f AS (SELECT CAST(ntile(6) OVER (ORDER BY t0, symbol) - 1 AS INTEGER) AS fold, hit FROM sp) SELECT fold, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE hit = 1) AS BIGINT) AS n_positive, round(count(*) FILTER (WHERE hit = 1) / count(*), 6) + 0.0 AS prevalence FROM f GROUP BY 1")
+def positives_by_fold(spark, sf_dir):
+    return shown(ev.time_folds(_entries(spark, sf_dir), 6), ["fold", "n", "n_positive"], ["prevalence"], 6)
+
+
+_EVS = "es AS (SELECT CAST(ts AS DATE) AS date, (event_id % 101) / 101 AS p, CASE WHEN value > 50 THEN 1 ELSE 0 END AS y FROM events)"
+
+
+@query(f"WITH {_EVS}, d AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM es)), s AS (SELECT w.k, w.date, p, y FROM es JOIN d e USING (date) JOIN d w ON e.k BETWEEN w.k - 9 AND w.k), r AS (SELECT k, date, y, rank() OVER (PARTITION BY k ORDER BY p) + (count(*) OVER (PARTITION BY k, p) - 1) / 2 AS q FROM s), g AS (SELECT date, count(*) AS n, sum(y) AS t, sum(CASE WHEN y = 1 THEN q ELSE 0 END) AS r FROM r GROUP BY 1) SELECT date, CAST(n AS BIGINT) AS n, round((r - t * (t + 1) / 2) / (t * (n - t)), 6) + 0.0 AS auc FROM g WHERE n > 20 AND t > 0 AND t < n")
+def rolling_auc(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), ((F.col("event_id") % 101) / 101).alias("p"), (F.col("value") > 50).cast("int").alias("y"))
+    return shown(ev.rolling_auc(e, 10, 20), ["date", "n"], ["auc"], 6)
+
+
+@query(chain(*_TOUCH) + ", x AS (SELECT atr / close AS a FROM pr WHERE hit = 1) SELECT CAST(count(*) AS BIGINT) AS n, round(avg(a), 5) + 0.0 AS mean, round(quantile_cont(a, 0.5), 5) + 0.0 AS median, round(quantile_cont(a, 0.1), 5) + 0.0 AS p10, round(quantile_cont(a, 0.9), 5) + 0.0 AS p90, round(avg(CASE WHEN a > 0.05 THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS share_wide FROM x")
+def atr_of_positives(spark, sf_dir):
+    return shown(lb.atr_spread(_labels(spark, sf_dir)), ["n"], ["mean", "median", "p10", "p90", "share_wide"])
+
+
+_MULTI = SQL["multi_barrier"].replace(" SELECT symbol, date, CAST(CASE", ", mu AS (SELECT symbol, date, CAST(CASE", 1) + ")"
+
+
+@query(_MULTI + ", u AS (SELECT 'even' AS model, hit_even AS hit FROM mu UNION ALL SELECT 'long', hit_long FROM mu), g AS (SELECT model, hit, count(*) AS n FROM u GROUP BY 1, 2) SELECT model, hit, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (PARTITION BY model), 6) + 0.0 AS share FROM g")
+def outcome_shares(spark, sf_dir):
+    m = lb.multi_touch(lb.with_atr(bars(spark, sf_dir)), {"even": (1.5, 1.5), "long": (3.0, 1.5)}, _H)
+    return shown(lb.outcomes(m, ["even", "long"]), ["model", "hit", "n"], ["share"], 6)
+
+
+@query(_MULTI + " SELECT symbol, date, 'even' AS model, CAST(hit_even = -1 AS INTEGER) AS y FROM mu WHERE hit_even <> 0 UNION ALL SELECT symbol, date, 'long', CAST(hit_long = 1 AS INTEGER) FROM mu WHERE hit_long <> 0")
+def binary_labels(spark, sf_dir):
+    m = lb.multi_touch(lb.with_atr(bars(spark, sf_dir)), {"even": (1.5, 1.5), "long": (3.0, 1.5)}, _H)
+    return lb.binary(m, {"even": -1, "long": 1})
+
+
+@query(chain(*_P, _EQ, _WR) + ", r AS (SELECT week, CASE WHEN count(ret) OVER f >= 52 THEN exp(sum(ln(1 + ret)) OVER f) - 1 END AS roll_return, CASE WHEN count(ret) OVER f >= 52 THEN stddev_samp(ret) OVER f * sqrt(52) END AS roll_volatility, CASE WHEN count(ret) OVER f >= 52 THEN avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) OVER f END AS roll_hit_rate FROM wr WINDOW f AS (ORDER BY week ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) SELECT week, round(roll_return, 4) + 0.0 AS roll_return, round(roll_volatility, 4) + 0.0 AS roll_volatility, round(roll_hit_rate, 4) + 0.0 AS roll_hit_rate FROM r")
+def rolling_performance(spark, sf_dir):
+    w = pf.weekly_returns(pf.equal_top(signals(spark, sf_dir)))
+    return shown(pf.rolling_performance(w), ["week"], ["roll_return", "roll_volatility", "roll_hit_rate"], 4)
+
+
+@query(chain(*_P, _EQ, _WR, _NAV) + ", m AS (SELECT year(week) AS y, month(week) AS m, arg_max(nav, week) AS nav FROM nv GROUP BY 1, 2), r AS (SELECT y, m, nav / coalesce(lag(nav) OVER (ORDER BY y, m), 1.0) - 1 AS r FROM m) SELECT CAST(y AS INTEGER) AS year, round(max(CASE WHEN m = 1 THEN r END), 4) + 0.0 AS m01, round(max(CASE WHEN m = 6 THEN r END), 4) + 0.0 AS m06, round(max(CASE WHEN m = 12 THEN r END), 4) + 0.0 AS m12, round(exp(sum(ln(1 + r))) - 1, 4) + 0.0 AS total FROM r GROUP BY 1")
+def monthly_returns(spark, sf_dir):
+    w = pf.weekly_returns(pf.equal_top(signals(spark, sf_dir)))
+    return shown(pf.monthly_matrix(w), ["year"], ["m01", "m06", "m12", "total"], 4)
+
+
+@query(chain(*_P, _EQ) + ", s AS (SELECT *, sum(weight) OVER (PARTITION BY week, sector) AS sw FROM eq) SELECT week, max(weight) <= 0.1 + 1e-9 AS name_ok, max(sw) <= 0.3 + 1e-9 AS sector_ok, sum(abs(weight)) <= 1 + 1e-9 AS gross_ok FROM s GROUP BY 1")
+def constraint_flags(spark, sf_dir):
+    return pf.limits(pf.equal_top(signals(spark, sf_dir)))
+
+
+@query(chain(BARS, SECTORS, SIGNALS) + " SELECT s.symbol, s.week, s.sector, round(s.probability, 4) + 0.0 AS probability, round(b.volume, 3) + 0.0 AS bar_volume FROM signals s LEFT JOIN (SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS week, sum(volume) AS volume FROM bars GROUP BY 1, 2) b ON s.symbol = b.symbol AND s.week = b.week")
+def sized_signals(spark, sf_dir):
+    weekly = bars(spark, sf_dir).groupBy("symbol", F.date_trunc("week", "date").cast("date").alias("week")).agg(F.sum("volume").alias("bar_volume"))
+    s = signals(spark, sf_dir).drop("volume").join(weekly, ["symbol", "week"], "left").withColumn("probability", F.round("probability", 4) + 0.0)
+    return shown(s, ["symbol", "week", "sector", "probability"], ["bar_volume"], 3)
