@@ -60,13 +60,24 @@ def low(x, w: int, least: int | None = None) -> Column:
     return rolling(F.min, x, w, least or max(2, w // 3))
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """body of a struct of values. A window function that an expression names twice is computed twice; so it is named once here."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body)[0]
+
+
 def div(a, b) -> Column:
     """a / b, null where b is null or within EPS of 0."""
-    return F.when(F.abs(col(b)) > EPS, col(a) / col(b))
+    if isinstance(b, str):
+        return F.when(F.abs(b) > EPS, col(a) / F.col(b))
+    return let(lambda s: F.when(F.abs(s["b"]) > EPS, s["a"] / s["b"]), a=col(a).cast("double"), b=b.cast("double"))
 
 
 def zscore(x, w: int, least: int | None = None, sample: bool = False) -> Column:
-    return div(col(x) - mean(x, w, least), (std1 if sample else std0)(x, w, least))
+    """Distance of x to its rolling mean in units of its rolling deviation, from three window functions."""
+    frame, least = rows(w), least or max(5, w // 3)
+    x = col(x).cast("double")
+    dev = (F.stddev_samp if sample else F.stddev_pop)(x).over(frame)
+    return let(lambda s: F.when((s["n"] >= least) & (F.abs(s["s"]) > EPS), (s["x"] - s["m"]) / s["s"]), x=x, n=F.count(x).over(frame), m=F.avg(x).over(frame), s=dev)
 
 
 def lag(x, k: int = 1) -> Column:
@@ -79,7 +90,8 @@ def diff(x, k: int = 1) -> Column:
 
 def clip(x, lo: float, hi: float) -> Column:
     """x within bounds; null stays null."""
-    return F.when(col(x).isNotNull(), F.greatest(F.least(col(x), F.lit(hi)), F.lit(lo)))
+    bound = lambda v: F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(hi)), F.lit(lo)))
+    return bound(F.col(x)) if isinstance(x, str) else let(lambda s: bound(s["x"]), x=x.cast("double"))
 
 
 def forward_fill(x, window=None) -> Column:
