@@ -6,7 +6,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,16 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each slice holds about limit bytes of column, or one row."""
+#: Calls that free what a worker keeps between tasks.
+HELD: list[Callable[[], None]] = []
+
+
+def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each slice holds about limit bytes of column, or one row. Unless keep is set, what another
+    operator's tasks have left in the worker is freed first."""
+    if not keep:
+        for free in HELD:
+            free()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -30,7 +30,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> Da
         from pyspark import TaskContext
 
         part, run = TaskContext.get().partitionId(), encoder(tokenizer)
-        for seq, batch in enumerate(steps(batches, "text", 2 * STEP_BYTES)):
+        for seq, batch in enumerate(steps(batches, "text", 2 * STEP_BYTES, keep=True)):
             ids, cuts = run(batch.column("text"), end_id)
             sizes = np.diff(cuts)
             one = np.array([0, len(sizes)], np.int32)

@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .common import binary, raw, table_of
+from .common import HELD, binary, raw, table_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps; beyond that its cache starts afresh.
@@ -111,3 +111,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The worker's encoder, kept between tasks."""
     return Encoder(path)
+
+
+HELD.append(encoder.cache_clear)

@@ -193,7 +193,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             seq, ids, docs_held, sizes, held = seq + 1, [], [], [], 0
             return out
 
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", keep=True):
             got, cuts = encode(batch.column("text"), end_id)
             ids.append(got)
             docs_held += batch.column("doc_id").to_pylist()
