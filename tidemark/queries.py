@@ -704,9 +704,9 @@ def weight_concentration(spark, sf_dir):
 _WR = "wr AS (SELECT week, sum(weight * actual_return) AS ret, avg(CASE WHEN actual_return > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(abs(weight)) AS exposure FROM eq GROUP BY 1)"
 
 
-@query(chain(*_P, _EQ, _TURN, _WR) + " SELECT week, round(ret, 6) + 0.0 AS ret, round(hit_rate, 6) + 0.0 AS hit_rate, round(exposure, 6) + 0.0 AS exposure, round(turnover, 6) + 0.0 AS turnover, round(ret - 0.001 * turnover, 6) + 0.0 AS net_ret FROM wr JOIN tu USING (week)")
+@query(chain(*_P, _EQ, _TURN, _WR) + " SELECT week, round(ret, 9) + 0.0 AS ret, round(hit_rate, 9) + 0.0 AS hit_rate, round(exposure, 9) + 0.0 AS exposure, round(turnover, 9) + 0.0 AS turnover, round(ret - 0.001 * turnover, 9) + 0.0 AS net_ret FROM wr JOIN tu USING (week)")
 def weekly_returns(spark, sf_dir):
-    return shown(pf.weekly_returns(pf.equal_top(signals(spark, sf_dir)), cost=0.001), ["week"], ["ret", "hit_rate", "exposure", "turnover", "net_ret"], 6)
+    return shown(pf.weekly_returns(pf.equal_top(signals(spark, sf_dir)), cost=0.001), ["week"], ["ret", "hit_rate", "exposure", "turnover", "net_ret"], 9)
 
 
 _NAV = "nv AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS nav FROM wr), dd AS (SELECT *, nav / greatest(max(nav) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) - 1 AS drawdown FROM nv)"
