@@ -42,6 +42,22 @@ def test_likelihood_learns_and_normalises(docs):
     assert lk.log_probability(trained, *read[:2]).mean() > lk.log_probability(w, *read[:2]).mean() + 0.5
 
 
+def test_likelihood_learns_words_at_every_place(spark):
+    import pyarrow as pa
+
+    from tidemark.llm import likelihood as lk
+
+    # a word that stands at one place of four only, in turn at each of them
+    for place in range(4):
+        lines = [" ".join("zorblatt" if k % 4 == place else f"plain{k % 4}" for k in range(400))] * 40
+        rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+        known = lk.vocabulary(rows)
+        around, own, _ = lk.Reader(known)(pa.array(lines[:1]))
+        at = own == known[b"zorblatt"]
+        before, after = (lk.log_probability(w, around[at], own[at]).mean() for w in (lk.fresh(), lk.train(rows, known)))
+        assert after > before + 2, place
+
+
 def test_syncmers(docs):
     from tidemark.llm import syncmers as sy
 

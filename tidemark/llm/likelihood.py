@@ -5,8 +5,9 @@ and a two-step softmax (a class of words, then the word in its class). A documen
 probabilities of its words, each given both sides.
 
 The vocabulary is counted over all documents; rarer words go by a hash of their ending. Training is model averaging: in
-each round every task runs gradient descent from the shared weights over its own documents, a word in every STRIDE of each, with
-another offset in each round, and the weights are averaged by number of examples, in two levels so that no task gathers from all.
+each round every task runs gradient descent from the shared weights over its own documents, each word in one of the rounds by a
+hash of its place, so that every word is learnt once. The weights are averaged by number of examples, in two levels so that no
+task gathers from all.
 What is gathered grows with the input; the model's size is fixed. Weights depend on how rows are dealt to tasks.
 
 Nulls: a null or empty text has no words, the sum 0 and no mean; a null doc_id is kept. Repeated rows are scored one by one.
@@ -26,7 +27,7 @@ from .common import SPACED, Words, mix, raw, splits, steps, text_or_empty
 #: Classes and words in a class; words that have an id of their own; the other ids are for endings.
 CLASSES, MEMBERS, OWN = 32, 32, 768
 WIDTH, HIDDEN, SIDES = 16, 32, (-2, -1, 1, 2)
-STRIDE, ROUNDS, BATCH, RATE = 4, 2, 2048, 0.15
+ROUNDS, BATCH, RATE = 2, 2048, 0.15
 SIZE = CLASSES * MEMBERS
 EDGE = SIZE
 SHAPES = {"words": (SIZE + 1, WIDTH), "in": (len(SIDES) * WIDTH, HIDDEN), "in_bias": (HIDDEN,), "class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "member": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
@@ -186,7 +187,9 @@ def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Wei
             for batch in steps(batches, "text"):
                 around, own, offsets = reader(batch.column("text"))
                 inner = np.arange(len(own)) - np.repeat(offsets[:-1], np.diff(offsets))
-                pick = np.flatnonzero(inner % STRIDE == turn % STRIDE)
+                # each word in one round, by a hash of its place and its document's length: no period of a text falls into one round
+                round_of = mix(inner.astype(np.uint64) + np.repeat(np.diff(offsets), np.diff(offsets)).astype(np.uint64) * np.uint64(1 << 32)) % np.uint64(rounds)
+                pick = np.flatnonzero(round_of == turn)
                 # words of one document lie apart in the batches of descent
                 pick = pick[np.random.default_rng(len(own)).permutation(len(pick))]
                 for at in range(0, len(pick), BATCH):
