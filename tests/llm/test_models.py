@@ -58,6 +58,28 @@ def test_likelihood_learns_words_at_every_place(spark):
         assert after > before + 2, place
 
 
+def test_likelihood_vocabulary_grows(spark):
+    from tidemark.llm import likelihood as lk
+
+    # 2,000 words of 10 each: more than any fixed table of 768
+    lines = [(k, " ".join(f"w{(k * 20 + i) % 2000}x" for i in range(20))) for k in range(1000)]
+    known = lk.vocabulary(spark.createDataFrame(lines, "doc_id long, text string"))
+    assert len(known) == 2000
+    reader = lk.Reader(known)
+    assert reader.size > 2000 and set(known.values()) == set(range(2000))
+
+
+def test_likelihood_tells_apart_words_that_share_an_id(spark):
+    from tidemark.llm import likelihood as lk
+
+    # four words of one ending below the threshold: one is met three times, the others once
+    rows = [(k, "plain words here " * 20) for k in range(50)] + [(100 + k, f"plain {w}ending here") for k, w in enumerate(["aa", "aa", "aa", "bb", "cc", "dd"])]
+    got = {r.doc_id: r for r in lk.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 56 and all(got[k].n_words == 3 for k in range(100, 106))
+    assert abs(got[100].log_likelihood - got[103].log_likelihood - np.log(3)) < 1e-4
+    assert abs(got[103].log_likelihood - got[105].log_likelihood) < 1e-4
+
+
 def test_syncmers(docs):
     from tidemark.llm import syncmers as sy
 

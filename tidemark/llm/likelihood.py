@@ -4,17 +4,20 @@ A small network in numpy predicts every word from the two words on either side:
 and a two-step softmax (a class of words, then the word in its class). A document's score is the sum of the log
 probabilities of its words, each given both sides.
 
-The vocabulary is counted over all documents; rarer words go by a hash of their ending. Training is model averaging: in
+The vocabulary is counted over all documents. A word has an id of its own if its count is LEAST at least and no less than the
+square root of the corpus' words / PER_ROOT, so ids, classes and weights grow with that root. Rarer words share ids by a
+hash of their ending, and the log share of the word among its id's words, from their counts, is added to the score. Training is model averaging: in
 each round every task runs gradient descent from the shared weights over its own documents, each word in one of the rounds by a
 hash of its place, so that every word is learnt once. The weights are averaged by number of examples, in two levels so that no
 task gathers from all.
-What is gathered grows with the input; the model's size is fixed. Weights depend on how rows are dealt to tasks.
+Weights depend on how rows are dealt to tasks.
 
 Nulls: a null or empty text has no words, the sum 0 and no mean; a null doc_id is kept. Repeated rows are scored one by one.
 An empty table gives no rows. Other columns are ignored."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,41 +25,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, mix, raw, splits, steps, text_or_empty
+from .common import SPACED, Words, hashes, mix, raw, splits, steps, store, text_or_empty
 
-#: Classes and words in a class; words that have an id of their own; the other ids are for endings.
-CLASSES, MEMBERS, OWN = 32, 32, 768
+#: The smallest model has LEAST_SIDE classes of as many words; at least one id in SPARE is for endings.
+LEAST_SIDE, SPARE = 32, 4
+SIZE = LEAST_SIDE**2
+#: A word with an id of its own is counted LEAST times, and root(words of the corpus) / PER_ROOT times.
+LEAST, PER_ROOT = 5, 16
 WIDTH, HIDDEN, SIDES = 16, 32, (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 2048, 0.15
-SIZE = CLASSES * MEMBERS
-EDGE = SIZE
-SHAPES = {"words": (SIZE + 1, WIDTH), "in": (len(SIDES) * WIDTH, HIDDEN), "in_bias": (HIDDEN,), "class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "member": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 #: Pieces that the weights are averaged in.
 CHUNKS = 8
 
 Weights = dict[str, np.ndarray]
 
 
-def fresh(seed: int = 7) -> Weights:
+def side(own: int) -> int:
+    """Classes, and words in a class, of a model where own words have an id of their own."""
+    return max(LEAST_SIDE, math.isqrt(max(0, own * SPARE // (SPARE - 1) - 1)) + 1)
+
+
+def shapes(n: int) -> dict[str, tuple[int, ...]]:
+    """Shapes of the weights of a model of n classes; the last row of words is the edge of a text."""
+    return {"words": (n * n + 1, WIDTH), "in": (len(SIDES) * WIDTH, HIDDEN), "in_bias": (HIDDEN,), "class": (HIDDEN, n), "class_bias": (n,), "member": (n, HIDDEN, n), "member_bias": (n, n)}
+
+
+def fresh(seed: int = 7, n: int = LEAST_SIDE) -> Weights:
     rng = np.random.default_rng(seed)
-    return {k: (rng.normal(0, 0.1, s) if not k.endswith("bias") else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (rng.normal(0, 0.1, s) if not k.endswith("bias") else np.zeros(s)).astype(np.float32) for k, s in shapes(n).items()}
 
 
 def flat(w: Weights) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in SHAPES])
+    return np.concatenate([x.ravel() for x in w.values()])
 
 
-def shaped(x: np.ndarray) -> Weights:
+def shaped(x: np.ndarray, n: int) -> Weights:
     out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k], at = x[at : at + n].reshape(s).astype(np.float32), at + n
+    for k, s in shapes(n).items():
+        many = int(np.prod(s))
+        out[k], at = x[at : at + many].reshape(s).astype(np.float32), at + many
     return out
 
 
-ONES = np.ones(max(CLASSES, MEMBERS), np.float32)
-
-
 def _softmax(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, target: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """log p of each row's target, and, where they are wanted, all probabilities. Hidden values lie within 1, which bounds the
     exponents by the weights; only where the bound is large are they shifted."""
@@ -66,7 +76,7 @@ def _softmax(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, target: np.nda
         x -= x.max(axis=1, keepdims=True)
     own = x[np.arange(len(x)), target]
     np.exp(x, out=x)
-    total = x @ ONES[: x.shape[1]]
+    total = x @ np.ones(x.shape[1], np.float32)
     if whole:
         x /= total[:, None]
     return own - np.log(total), x
@@ -80,7 +90,7 @@ def lookup(w: Weights) -> np.ndarray:
 
 def log_probability(w: Weights, around: np.ndarray, word: np.ndarray, rate: float = 0.0, added: np.ndarray | None = None) -> np.ndarray:
     """log p(word | around) of each row, in natural units; with a rate the weights take a gradient step. added: lookup(w)."""
-    n = len(word)
+    n, (classes, members) = len(word), w["member_bias"].shape
     if added is not None:
         h = np.take(added[0], around[:, 0], axis=0)
         for k in range(1, len(SIDES)):
@@ -90,14 +100,14 @@ def log_probability(w: Weights, around: np.ndarray, word: np.ndarray, rate: floa
     else:
         x = np.take(w["words"], around, axis=0).reshape(n, -1)
         h = np.tanh(x @ w["in"] + w["in_bias"])
-    of, member = np.divmod(word, MEMBERS)
+    of, member = np.divmod(word, members)
     out, by_class = _softmax(h, w["class"], w["class_bias"], of, bool(rate))
-    order = np.argsort(of.astype(np.uint8), kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(CLASSES + 1)).tolist()
+    order = np.argsort(of.astype(np.uint16), kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(classes + 1)).tolist()
     # rows stand together by class, so a class is a slice
     sorted_h, sorted_member = np.take(h, order, axis=0), member[order]
     inside_of, grad = np.empty(n, np.float32), np.empty_like(h) if rate else None
-    for c in range(CLASSES):
+    for c in range(classes):
         a, b = cuts[c], cuts[c + 1]
         if a == b:
             continue
@@ -105,8 +115,8 @@ def log_probability(w: Weights, around: np.ndarray, word: np.ndarray, rate: floa
         if rate:
             p[np.arange(b - a), sorted_member[a:b]] -= 1
             grad[a:b] = p @ w["member"][c].T
-            w["member"][c] -= rate / n * CLASSES**0.5 * (sorted_h[a:b].T @ p)
-            w["member_bias"][c] -= rate / n * CLASSES**0.5 * p.sum(axis=0)
+            w["member"][c] -= rate / n * classes**0.5 * (sorted_h[a:b].T @ p)
+            w["member_bias"][c] -= rate / n * classes**0.5 * p.sum(axis=0)
     out[order] += inside_of
     if rate:
         grad_h = np.empty_like(h)
@@ -122,60 +132,91 @@ def log_probability(w: Weights, around: np.ndarray, word: np.ndarray, rate: floa
         w["in_bias"] -= rate / n * grad_h.sum(axis=0)
         # rows of the embedding table, summed by word
         flat_ids = around.ravel()
-        at = np.argsort(flat_ids.astype(np.uint16), kind="stable")
+        at = np.argsort(flat_ids.astype(np.min_scalar_type(len(w["words"]))), kind="stable")
         ids = flat_ids[at]
         heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         w["words"][ids[heads]] -= rate / n * len(SIDES) * np.add.reduceat(grad_x[at], heads, axis=0)
     return out
 
 
-def vocabulary(rows: DataFrame) -> dict[bytes, int]:
-    """The most frequent words of all documents, by count and then alphabet, with their ids."""
+def counted(rows: DataFrame) -> DataFrame:
+    """A stored table: each word of all documents and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             words = Words(batch.column("text"), SPACED, lower=True)
             yield pa.RecordBatch.from_arrays([words.distinct, pa.array(np.bincount(words.codes, minlength=len(words.distinct)).astype(np.int64))], names=["word", "n"])
 
-    counts = rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(OWN).toPandas()
+    return store(rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def threshold(counts: DataFrame) -> int:
+    """The count from which on a word has an id of its own."""
+    return max(LEAST, math.isqrt(counts.agg(F.sum("n")).first()[0] or 0) // PER_ROOT)
+
+
+def vocabulary(rows: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
+    """The words that have an id of their own, by count and then alphabet, with their ids."""
+    counts = counted(rows) if counts is None else counts
+    top = counts.where(F.col("n") >= threshold(counts)).orderBy(F.desc("n"), "word").toPandas()
     return {bytes(w): k for k, w in enumerate(top["word"])}
 
 
+def shares(counts: DataFrame, known) -> DataFrame:
+    """hash and log_share of every word that shares its id: the log of its part in the count of that id. known: broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(known.value)
+        for batch in batches:
+            words = batch.column("word")
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(words).view(np.int64)), pa.array(reader.by_ending(words)), batch.column("n")], names=["hash", "id", "n"])
+
+    rare = store(counts.where(F.col("n") < threshold(counts)).mapInArrow(run, "hash long, id long, n long"), "rare")
+    totals = rare.groupBy("id").agg(F.sum("n").alias("of"))
+    return rare.join(F.broadcast(totals), "id").select("hash", F.log(F.col("n") / F.col("of")).alias("log_share"))
+
+
 class Reader:
     """Texts as ids with their surroundings."""
 
     def __init__(self, known: dict[bytes, int]):
-        self.known = known
+        self.known, self.own, self.size = known, len(known), side(len(known)) ** 2
+
+    def by_ending(self, words: pa.Array) -> np.ndarray:
+        """The id of each word if it has none of its own: a hash of its last three bytes."""
+        data, cuts = raw(words)
+        ends = cuts[1:]
+        code = np.zeros(len(words), np.uint64)
+        for k in (3, 2, 1):
+            code = code * np.uint64(257) + np.where(ends - k >= cuts[:-1], data[np.maximum(ends - k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+        return self.own + (mix(code) % np.uint64(self.size - self.own)).astype(np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids around each word, its own id, and the n + 1 offsets of the rows."""
-        words = Words(texts, SPACED, lower=True)
+        return self.read(Words(texts, SPACED, lower=True))[:3]
+
+    def read(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of words, and which of their distinct ones share an id."""
         distinct = words.distinct.to_pylist()
         ids = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
-        data, cuts = raw(words.distinct)
+        shared = ids < 0
         if len(distinct):
-            # the last three bytes as a number
-            ends = cuts[1:]
-            code = np.zeros(len(distinct), np.uint64)
-            for k in (3, 2, 1):
-                code = code * np.uint64(257) + np.where(ends - k >= cuts[:-1], data[np.maximum(ends - k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-            ids = np.where(ids < 0, OWN + (mix(code) % np.uint64(SIZE - OWN)).astype(np.int64), ids)
+            ids = np.where(shared, self.by_ending(words.distinct), ids)
         own = ids.astype(np.int32)[words.codes] if len(words.codes) else np.zeros(0, np.int32)
         # each row's words stand between edges, two on either side
-        gap = len(SIDES) // 2
-        line = np.full(len(own) + gap * (len(texts) + 1), EDGE, np.int32)
-        place = np.arange(len(own), dtype=np.int32) + gap * (np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(words.rows)) + 1)
+        gap, n = len(SIDES) // 2, len(words.rows) - 1
+        line = np.full(len(own) + gap * (n + 1), self.size, np.int32)
+        place = np.arange(len(own), dtype=np.int32) + gap * (np.repeat(np.arange(n, dtype=np.int32), np.diff(words.rows)) + 1)
         line[place] = own
         around = np.empty((len(own), len(SIDES)), np.int32)
         for k, s in enumerate(SIDES):
             around[:, k] = line[place + s]
-        return around, own, words.rows
+        return around, own, words.rows, shared
 
 
 def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Weights:
     spark = rows.sparkSession
-    shared, weights = spark.sparkContext.broadcast(known), fresh()
+    shared, weights = spark.sparkContext.broadcast(known), fresh(n=side(len(known)))
     groups = max(1, int(splits(rows) ** 0.5))
 
     def trainer(start, turn: int):
@@ -213,25 +254,38 @@ def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Wei
         sums = rows.select("text").mapInArrow(trainer(start, turn), schema).groupBy("chunk", "bucket").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
         got = {r["chunk"]: np.frombuffer(r["x"], np.float64) / r["n"] for r in sums.collect()}
         if got:
-            weights = shaped(np.concatenate([got[c] for c in range(CHUNKS)]))
+            weights = shaped(np.concatenate([got[c] for c in range(CHUNKS)]), side(len(known)))
     return weights
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Per document: doc_id, n_words, log_likelihood (the sum) and mean_log_probability."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    known = vocabulary(rows)
+    counts = counted(rows)
+    known = vocabulary(rows, counts)
     share = rows.sparkSession.sparkContext.broadcast
     model = share((known, train(rows, known, rounds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = model.value
-        reader, added = Reader(words), lookup(weights)
+        ids, weights = model.value
+        reader, added = Reader(ids), lookup(weights)
         for batch in steps(batches, "text"):
-            around, own, offsets = reader(batch.column("text"))
+            words = Words(batch.column("text"), SPACED, lower=True)
+            around, own, offsets, shared = reader.read(words)
             each = np.concatenate([np.zeros(0, np.float32), *(log_probability(weights, around[a : a + 16384], own[a : a + 16384], added=added) for a in range(0, len(own), 16384))]).astype(float)
             total = np.concatenate(([0.0], np.cumsum(each)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=["doc_id", "n_words", "log_likelihood"])
-
-    scored = rows.mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+            # the words that share an id, as hashes
+            at = np.flatnonzero(shared[words.codes])
+            code = np.zeros(len(shared), np.int64)
+            code[shared] = hashes(words.distinct.filter(pa.array(shared))).view(np.int64)
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, offsets).astype(np.int32)), pa.array(code[words.codes[at]]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]]), rare], names=["doc_id", "n_words", "log_likelihood", "rare"])
+
+    scored = rows.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, rare array<long>")
+    scored = store(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # no word that shares an id is frequent, so no key of this join is
+    inside = scored.select("row", F.explode("rare").alias("hash")).join(shares(counts, share(known)), "hash")
+    inside = inside.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"), F.col("log_share").alias("log_likelihood"))
+    parts = scored.select("row", "doc_id", "n_words", "log_likelihood").unionByName(inside).groupBy("row")
+    scored = parts.agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("log_likelihood").alias("log_likelihood")).drop("row")
     return scored.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
