@@ -154,6 +154,31 @@ def test_pii_disclosure(spark):
     assert all(r.n_chars == len(r.text) for r in clean.values())
 
 
+def test_pii_marks_disclosing_terms_everywhere(spark):
+    from tidemark.llm import pii
+
+    rows = [(i, f"Zorblatt\n\nline {i} please write to z@corp.example now") for i in range(6)]
+    rows += [(50, "plain words about Zorblatt without the address")]
+    rows += [(100 + i, f"please write some plain words now and then {i}") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(table).collect()}
+    assert all("Zorblatt" not in clean[i] and clean[i].startswith("<TERM>") for i in range(6))
+    assert clean[50] == "plain words about <TERM> without the address" and clean[100] == rows[7][1]
+
+
+def test_pii_cooccurrence_over_whole_documents(spark):
+    from tidemark.llm import pii
+
+    # a name of two letters and an identifier, lines away; a contact line repeated word for word
+    rows = [(i, f"Ng is agent x7\n{'some plain words ' * 20}\nplease write to n@corp.example") for i in range(5)]
+    rows += [(10 + i, f"some plain words {i}\ncontact Quimby at q@corp.example please") for i in range(30)]
+    rows += [(100 + i, f"please write some plain words is at to {i}") for i in range(600)]
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Ng" not in clean[i] and "x7" not in clean[i] and "some plain words" in clean[i] for i in range(5))
+    assert all("Quimby" not in clean[10 + i] and "please" in clean[10 + i] for i in range(30))
+    assert clean[100] == rows[35][1]
+
+
 def planted(spark):
     rng = random.Random(8)
     plain = ["the", "river", "runs", "over", "stone", "and", "field", "toward", "a", "quiet", "valley", "under", "stars"]

@@ -1,10 +1,11 @@
 """Personal data by patterns, and information-theoretic sanitisation of what gives it away; DataFrame functions only.
 
-Patterns find e-mail addresses, IP addresses, card numbers and phone numbers with their places in code points. The words
-near them on the same line are candidates for disclosure: over the whole corpus, a term's document count and the number
-of different surroundings it shares with one protected value give the share of the term's documents that the value is in
-and their pointwise mutual information. A term that is met in MIN_SEEN surroundings of a value at least, with a share of
-MIN_SHARE and MIN_BITS bits at least, lets a reader infer the value, so its places near it become spans as well.
+Patterns find e-mail addresses, IP addresses, card numbers and phone numbers with their places in code points. All other
+words of a text (letters and digits, two at least, a letter among them) are candidates for disclosure: over the whole corpus, the documents that
+hold a term and those that hold it together with a protected value give the share of the term's documents that the value
+is in and their pointwise mutual information. A term that is met in MIN_SEEN documents of a value at least, with a share of
+MIN_SHARE and MIN_BITS bits at least, lets a reader infer the value, so it becomes a span wherever it stands, in documents
+without the value too. A document is a row: copies count, as they show the term with the value as often.
 redact() generalises all spans: each is replaced by the name of its kind.
 
 Nulls: a null text is empty and has no spans; a null doc_id is kept. Rows that share a doc_id are judged one by one; equal
@@ -29,8 +30,10 @@ PATTERNS = {
 }
 #: Cheap tests that a text which has a match passes.
 GUARDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9][\x20().0-9-]"}
-NEAR, TERM = 40, r"(?U)\p{L}{4,}"
+#: Words with a letter among them, two characters at least.
+TERM = r"(?U)(?=[\p{N}\p{M}]*\p{L})[\p{L}\p{M}\p{N}]{2,}+"
 MIN_SEEN, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
+PLACES = "array<struct<start:int,end:int>>"
 SPAN = "array<struct<start:int,order:int,end:int,value:string>>"
 
 
@@ -79,36 +82,46 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(found(n, k) for n, k in enumerate(KINDS))))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The terms around a span on its line, with their places, and the surroundings themselves."""
-    low = F.greatest(span["start"] - NEAR, F.lit(0))
-    before = F.regexp_extract(F.substring(text, low + 1, span["start"] - low), r"[^\n]*$", 0)
-    after = F.regexp_extract(F.substring(text, span["end"] + 1, F.lit(NEAR)), r"^[^\n]*", 0)
-    # a word that the window cuts is no term
-    left = F.regexp_replace(before, r"(?U)^\p{L}+", "")
-    right = F.when(F.length(after) == NEAR, F.regexp_replace(after, r"(?U)\p{L}+$", "")).otherwise(after)
-    moved = lambda words, by: F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("term")))
-    terms = F.concat(moved(_found(left, TERM, 0), span["start"] - F.length(left)), moved(_found(right, TERM, 0), span["end"]))
-    return F.struct(span["value"].alias("value"), F.xxhash64(left, right).alias("around"), terms.alias("terms"))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _places(text: Column, terms: Column) -> Column:
+    """start and end of each word of text that is among terms."""
+
+    def spans(between: Column, words: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+
+        def add(state: Column, i: Column) -> Column:
+            at = state["at"] + F.length(F.get(between, i))
+            end = at + F.length(F.get(words, i))
+            hit = F.array_contains(terms, F.lower(F.get(words, i)))
+            out = F.when(hit, F.concat(state["out"], F.array(F.struct(at.alias("start"), end.alias("end"))))).otherwise(state["out"])
+            return F.struct(end.alias("at"), out.alias("out"))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: i < F.size(words))
+        return F.aggregate(places, start, add, lambda state: state["out"])
+
+    return _let(F.split(text, TERM, -1), lambda between: _let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda words: spans(between, words)))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """A stored table: doc_id, digest, n_chars, spans, and what is near each span."""
+    """A stored table: doc_id, digest, spans, and the distinct terms outside them."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), text_or_empty().alias("text"))
     found = rows.select("doc_id", F.xxhash64("text").alias("digest"), "text", base_spans(F.col("text")).alias("spans"))
-    near = F.when(F.size("spans") > 0, F.transform("spans", lambda s: _near(F.col("text"), s)))
-    return store(found.select("doc_id", "digest", "spans", near.alias("near")), "personal")
+    outside = F.when(F.size("spans") > 0, _cut(F.col("text"), F.col("spans"), [" "] * len(KINDS))).otherwise(F.col("text"))
+    return store(found.select("doc_id", "digest", "spans", _terms(outside).alias("terms")), "personal")
 
 
 def disclosing(docs: DataFrame, documents: DataFrame) -> DataFrame:
     """value and term of every pair whose share and mutual information exceed the thresholds."""
-    met = documents.select("doc_id", "digest", F.explode("near").alias("x")).select("doc_id", "digest", "x.value", "x.around", F.explode(F.array_distinct(F.col("x.terms.term"))).alias("term"))
-    pairs = met.groupBy("value", "term").agg(F.countDistinct("around").alias("seen"), F.countDistinct("doc_id", "digest").alias("together")).where(F.col("seen") >= MIN_SEEN)
-    pairs = store(pairs, "pairs")
-    values = documents.select("doc_id", "digest", F.explode(F.array_distinct(F.col("spans.value"))).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
+    holds = documents.where(F.size("spans") > 0).select("terms", F.explode(F.array_distinct(F.col("spans.value"))).alias("value"))
+    # fewer documents than MIN_SEEN can't give that many together
+    values = store(holds.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= MIN_SEEN), "values")
+    met = holds.join(values, "value", "left_semi").select("value", F.explode("terms").alias("term"))
+    pairs = store(met.groupBy("value", "term").agg(F.count("*").alias("together")).where(F.col("together") >= MIN_SEEN), "pairs")
+    counts = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= MIN_SEEN)
+    total = documents.count()
     rated = pairs.join(counts, "term").join(values, "value")
     share = F.col("together") / F.col("n_term")
     bits = F.log2(F.col("together") * F.lit(float(total)) / (F.col("n_term").cast("double") * F.col("n_value")))
@@ -118,13 +131,14 @@ def disclosing(docs: DataFrame, documents: DataFrame) -> DataFrame:
 def _all_spans(docs: DataFrame) -> DataFrame:
     """doc_id (null as NONE), digest, spans, added (start, end) of every row."""
     documents = _documents(docs)
-    pairs = disclosing(docs, documents)
-    places = documents.select("doc_id", "digest", "spans", F.explode("near").alias("x")).select("doc_id", "digest", "spans", "x.value", F.explode("x.terms").alias("t"))
-    clear = places.where(~F.exists("spans", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"])))
-    hits = clear.select("doc_id", "digest", "value", F.col("t.term").alias("term"), F.struct("t.start", "t.end").alias("place")).join(pairs, ["value", "term"])
-    added = hits.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("place")).alias("added"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return documents.join(added, ["doc_id", "digest"], "left").select("doc_id", "digest", "spans", F.coalesce("added", none).alias("added"))
+    terms = store(disclosing(docs, documents).select("term").distinct(), "disclosing")
+    met = documents.select("doc_id", "digest", F.explode("terms").alias("term")).join(terms, "term")
+    hits = met.groupBy("doc_id", "digest").agg(F.collect_set("term").alias("hits"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("digest"), text_or_empty().alias("text"))
+    marked = texts.join(hits, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", _places(F.col("text"), F.col("hits")).alias("places"))
+    clear = F.filter("places", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    joined = documents.select("doc_id", "digest", "spans").join(marked, ["doc_id", "digest"], "left")
+    return joined.select("doc_id", "digest", "spans", F.coalesce(clear, F.array().cast(PLACES)).alias("added"))
 
 
 def _listed(spans: Column) -> Column:
@@ -147,9 +161,9 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("doc_id") != NONE, F.col("doc_id")).alias("doc_id"), *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(_merged(F.col("spans"), F.col("added"))).alias("spans"), F.size("added").cast("long").alias("n_term"))
 
 
-def _cut(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind; of spans that overlap the first names the place."""
-    names = F.array(*(F.lit(f"<{k.upper()}>") for k in (*KINDS, "term")))
+def _cut(text: Column, spans: Column, names: list[str]) -> Column:
+    """text with every span replaced by its kind's name; of spans that overlap the first names the place."""
+    names = F.array(*(F.lit(k) for k in names))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(state: Column, s: Column) -> Column:
@@ -166,7 +180,7 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), _merged(F.col("spans"), F.col("added")).alias("__spans"))
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), "__digest": F.xxhash64(text_or_empty())})
     joined = keyed.join(spans, ["__id", "__digest"], "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("__spans")))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("__spans"), [f"<{k.upper()}>" for k in (*KINDS, "term")]))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
