@@ -228,6 +228,24 @@ def test_toxicity_edges(spark, docs, small):
     assert tx.score(docs.limit(0), labels).count() == 0
 
 
+def test_letters_set_apart_are_read_whole(spark):
+    import pyarrow as pa
+
+    from tidemark.llm import toxicity as tx
+
+    plain = "the quiet river runs over stone and field with a stupid asshole ass shit under stars"
+    model = tx.language_model(spark.createDataFrame([(k, plain) for k in range(200)], "doc_id long, text string"))
+    terms = lambda s: next(tx.Texts(pa.array([s]), tx.Reader(model)).terms())
+    for text, word in (("s h ! t", "shit"), ("a $ $ h o l e", "asshole"), ("$ t u p i d", "stupid"), ("a s s", "ass")):
+        assert word in terms(text), text
+    # a word across what were cuts at 32 letters and at 64 characters
+    long = "thequietriverrunsoverstoneand"
+    assert "stupid" in terms(" ".join(long + "stupidfield"))
+    assert "stupid" in tx.Reader(model).restored(("the-quiet-river-runs-over-stone-and-field-with-the-quiet-ri" + "ver-stuuuupid-field").encode())
+    # linear in the run
+    assert terms(" ".join(long * 300))
+
+
 def test_restored_readings(docs):
     from tidemark.llm import toxicity as tx
 

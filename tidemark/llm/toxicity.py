@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, raw, steps, store, text_or_empty
+from .common import SPACED, Words, raw, steps, store, table_of, text_or_empty
 
 #: Labelled texts that weights are learnt from at most, terms that a model keeps at most, lengths of stems.
 MOST_LABELS, MOST_TERMS, STEMS = 200_000, 100_000, (4, 5, 6, 7, 8)
@@ -45,8 +45,10 @@ SIZE = 28
 #: Letters with a sign or digit among or before them, and stretched letters.
 ODD = re.compile(r"[^\W\d_][0-9@$!|+(€.\-_*~,']+[^\W\d_]|[0-9@$!|+(€][^\W\d_]|[^\W\d_][0-9@$!|+(€](?:[^!]|$)|([^\W\d_])\1\1")
 WORD = re.compile(r"[^\W\d_]+")
-#: Single characters in a row that count as a word with its letters set apart.
-APART = 4
+#: Single characters in a row that may be a word with its letters set apart: two at least, the model decides the rest.
+APART = 2
+#: Single bytes that join such a run: letters, digits and every sign of LEET.
+JOINS = table_of([*range(0x30, 0x80), *(ord(c) for c in LEET if ord(c) < 0x80)])
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -75,7 +77,8 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 def restore(odd: str, model: np.ndarray) -> str:
     """The likeliest reading of a disguised stretch of lower-case text."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # a path is its last reading and the path before it: steps don't copy what was read
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     inner = [k for k, c in enumerate(odd) if c.isalnum()]
     for at, c in enumerate(odd):
@@ -89,18 +92,28 @@ def restore(odd: str, model: np.ndarray) -> str:
             readings += [(x, AS_LETTER) for x in LEET.get(c, "")]
             cheap = c in SEPARATORS or not c.isalnum() and not (inner and inner[0] < at < inner[-1])
             readings += [("", PART if cheap else DROP), (" ", PART if cheap else DROP)]
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
             for x, cost in readings:
                 if not x or (x == " " and b == 0):
-                    state, value, longer = (a, b), score + cost, text
+                    state, value, longer = (a, b), score + cost, path
                 else:
                     k = 0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else 27
-                    state, value, longer = (b, k), score + cost + model[a, b, k], text + x
-                if value > ahead.get(state, (-math.inf, ""))[0]:
+                    state, value, longer = (b, k), score + cost + model[a, b, k], (path, x)
+                if value > ahead.get(state, (-math.inf, None))[0]:
                     ahead[state] = (value, longer)
         best, before = ahead, c
-    return max((score + model[a, b, 0] * (b > 0), text) for (a, b), (score, text) in best.items())[1]
+    ends = [(score + model[a, b, 0] * (b > 0), path) for (a, b), (score, path) in best.items()]
+    top = max(score for score, _ in ends)
+    return max(_spelled(path) for score, path in ends if score == top)
+
+
+def _spelled(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def stems(word: str) -> list[str]:
@@ -119,7 +132,9 @@ class Texts:
         # letters set apart by white space: runs of words of one character
         size = words.ends - words.starts
         lead = words.data[words.starts] if len(size) else np.zeros(0, np.uint8)
-        single = (size == 1) & (lead >= 0x30) | (size == 2) & (lead >= 0xC0)
+        single = (size == 1) & JOINS[lead] | (size == 2) & (lead >= 0xC0)
+        for k in np.flatnonzero((size == 3) & (lead == 0xE2)).tolist():
+            single[k] = self.tokens[self.codes[k]].decode(errors="replace") in LEET
         single = np.concatenate(([False], single, [False])).astype(np.int8)
         step = np.diff(single)
         self.apart: list[tuple[int, bytes]] = []
@@ -127,8 +142,8 @@ class Texts:
             if b - a < APART:
                 continue
             row = int(np.searchsorted(self.rows, a, side="right")) - 1
-            while a < b:  # a run ends with its row; long runs are read in pieces
-                end = min(b, int(self.rows[row + 1]), a + 32)
+            while a < b:  # a run ends with its row
+                end = min(b, int(self.rows[row + 1]))
                 if end - a >= APART:
                     self.apart.append((row, b" ".join(self.tokens[k] for k in self.codes[a:end].tolist())))
                 a = end
@@ -162,10 +177,17 @@ class Reader:
     def __init__(self, model: np.ndarray, weights: dict[str, float] | None = None, least: float = 0.0, keep: int = 200_000):
         self.model, self.weights, self.least, self.keep = model, weights or {}, least, keep
         self.known: dict[bytes, float] = {}
+        self.short: dict[str, list[str]] = {}
 
     def restored(self, odd: bytes) -> list[str]:
         text = odd.decode(errors="replace")
-        return [w for at in range(0, len(text), 64) for w in restore(text[at : at + 64], self.model).split()]
+        if len(text) > 32:
+            return restore(text, self.model).split()
+        if (words := self.short.get(text)) is None:
+            if len(self.short) >= 20_000:
+                self.short.clear()
+            words = self.short[text] = restore(text, self.model).split()
+        return words
 
     def words(self, token: bytes) -> list[str]:
         text = token.decode(errors="replace")
