@@ -140,12 +140,20 @@ class Words:
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.rows = np.searchsorted(self.starts, offsets)
         self.data, self.offsets = data, offsets
-        ends = np.concatenate(([0], np.cumsum(self.ends - self.starts)))
-        self.words = binary(data[inside[:-1]] if len(data) else data, ends)
+        self.inside = inside[:-1]
         if encode:
             coded = self.words.dictionary_encode()
             self.codes, self.distinct = coded.indices.to_numpy(), coded.dictionary
 
+    @functools.cached_property
+    def words(self) -> pa.Array:
+        """The words, one after the other."""
+        return binary(self.data[self.inside], np.concatenate(([0], np.cumsum(self.ends - self.starts))))
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, for words that needn't be told by codes."""
+        return span_hashes(self.data, self.starts, self.ends, seed)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over uint64."""
@@ -154,23 +162,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(words: pa.Array) -> np.ndarray:
-    """xxh3 of each binary value, as uint64."""
-    from xxhash import xxh3_64_intdigest
+#: Bytes of a word up to which it is hashed with the others, eight at a time; longer ones are hashed one by one.
+LONG = 64
+#: Masks that keep the first k bytes of eight.
+FIRST = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, as uint64; equal bytes have equal hashes, wherever they stand. Other seeds give independent ones."""
+    size = ends - starts
+    out = size.astype(np.uint64) * GOLDEN ^ np.uint64(seed)
+    if not len(size):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,), writeable=False)
+    at, some = 0, np.flatnonzero(size <= LONG)
+    while len(some):
+        left = size[some] - at
+        out[some] = mix(out[some] ^ (eight[starts[some] + at] & FIRST[np.minimum(left, 8)]))
+        at += 8
+        some = some[left > 8]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        from xxhash import xxh3_64_intdigest
+
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = np.fromiter((xxh3_64_intdigest(view[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
 
-    return np.fromiter((xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
+def hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each binary value, as uint64."""
+    data, offsets = raw(words)
+    return span_hashes(data, offsets[:-1], offsets[1:], seed)
 
-def shingles(codes: np.ndarray, word_hash: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash for each of the len(codes) - k + 1 runs of k words."""
-    h = word_hash[codes]
-    n = len(h) - k + 1
+
+def runs(of: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash for each of the len(of) - k + 1 runs of k words, from the words' hashes."""
+    n = len(of) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out, factor = np.zeros(n, np.uint64), 1
     for i in range(k):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return out
+        factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
+        out += of[i : i + n] * np.uint64(factor)
+    return mix(out)
+
+
+def shingles(codes: np.ndarray, word_hash: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash for each of the len(codes) - k + 1 runs of k words."""
+    return runs(word_hash[codes], k)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by sorting: np.unique hashes, which is slow where most values differ."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
 def pack_ints(values: np.ndarray) -> bytes:

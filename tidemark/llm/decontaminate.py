@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, STEP_BYTES, Words, keyed, steps, store, text_or_empty, without
+from .common import ALNUM, STEP_BYTES, Words, distinct, keyed, steps, store, text_or_empty, without
 
 INDEX = "part int, seq int, doc_ids array<long>, rows array<int>, terms array<binary>, counts array<int>, postings binary"
 MATCHES = "part int, seq int, ord int, doc_id long, item_id string, first_word long, end_word long"
@@ -97,7 +97,7 @@ class Queries:
         for k, (a, b) in enumerate(zip(words.rows[:-1].tolist(), words.rows[1:].tolist(), strict=True)):
             codes = words.codes[a:b]
             if width is None:
-                codes = np.unique(codes)
+                codes = distinct(codes)
             size = width or len(codes)
             for at in range(max(1, len(codes) - size + 1) if len(codes) else 0):
                 windows.append(codes[at : at + size])

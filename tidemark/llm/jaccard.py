@@ -12,8 +12,9 @@ paired. Two sets of similarity t or more share at least t of either one's shingl
 3. Links. For the components alone most pairs are needless: a few rounds verify each class against the one pivot of its
    posting lists that it shares most with, which joins groups of near copies in linear work. Then the candidates that are
    still in different components are compared, so no link between components is missed: those of small clusters of posting
-   lists as pairs, those of large clusters in blocks, the classes outside the largest component against all, so that no
-   table of pairs grows with the square of a group.
+   lists as pairs, those of large clusters in blocks, the classes outside the largest component against all. Both take their
+   candidates from the prefixes; a block returns a forest of its links, so no table of pairs or links grows with the square
+   of a group.
 
 Similarity is exact but for equal 64-bit hashes of different shingles. Nulls: a null text has no shingles and links with
 nothing; a null doc_id has a component like any other, whose id is null if nothing else is in it. Repeated rows, and rows
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, hashes, keyed, mix, pack_ints, shingles, splits, steps, store, text_or_empty, unpack_ints, without
+from .common import SPACED, Words, distinct, keyed, mix, pack_ints, runs, splits, steps, store, text_or_empty, unpack_ints, without
 from .graph import components
 
 #: Stands for a null doc_id inside.
@@ -37,7 +38,7 @@ NONE = -(1 << 63)
 #: Shingles in a slice and in a packed batch; documents whose ids may be broadcast (8 bytes each).
 SLICE, PACK, MOST_BROADCAST = 3_000_000, 2_000_000, 2_000_000
 #: Cost of verifying a candidate, in postings read; longest extension tried; pivot rounds at most.
-VERIFY, MOST_MATCHES, ROUNDS = 20.0, 8, 2
+VERIFY, MOST_MATCHES, ROUNDS = 20.0, 8, 6
 #: Classes of a cluster that are paired at most, classes of a block, shingles that a block counts at a time.
 PAIRED, BLOCK, COUNTED = 256, 1024, 4096
 
@@ -46,27 +47,29 @@ class Sets:
     """The shingle sets of a batch of texts: row and hash, sorted by row and then hash, distinct."""
 
     def __init__(self, texts: pa.Array, k: int):
-        words = Words(texts, SPACED, lower=True)
-        of = hashes(words.distinct)
-        row = np.repeat(np.arange(len(texts)), np.diff(words.rows))
-        h = shingles(words.codes, of, k)
-        row_of = row[: len(h)]
-        inside = row_of == row[k - 1 :] if len(h) else np.zeros(0, bool)
-        h, row_of = h[inside], row_of[inside]
-        short = np.flatnonzero((np.diff(words.rows) < k) & (np.diff(words.rows) > 0))
-        if len(short):
-            whole = []
-            for r in short.tolist():
-                x = np.full(1, 0x51ED270B, np.uint64)
-                for w in words.codes[words.rows[r] : words.rows[r + 1]].tolist():
-                    x = mix(x * np.uint64(31) + of[w])
-                whole.append(x)
-            h, row_of = np.concatenate((h, *whole)), np.concatenate((row_of, short))
-        order = np.lexsort((h, row_of))
-        h, row_of = h[order], row_of[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (row_of[1:] != row_of[:-1])
-        self.hash, self.row = h[fresh], row_of[fresh]
+        words = Words(texts, SPACED, lower=True, encode=False)
+        of, n = words.hashes(), len(texts)
+        h = runs(of, k)
+        # windows within a row; a row of fewer words is one
+        count = np.diff(words.rows)
+        many = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
+        cuts = np.concatenate(([0], np.cumsum(many)))
+        row = np.repeat(np.arange(n), many)
+        place = words.rows[:-1][row] + np.arange(cuts[-1]) - cuts[row]
+        short = count[row] < k
+        out = np.zeros(len(row), np.uint64)
+        out[~short] = h[place[~short]]
+        for i in np.flatnonzero(short).tolist():
+            x = np.full(1, 0x51ED270B, np.uint64)
+            for w in of[words.rows[row[i]] : words.rows[row[i] + 1]]:
+                x = mix(x * np.uint64(31) + w)
+            out[i] = x[0]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                out[a:b].sort()
+        fresh = np.ones(len(out), bool)
+        fresh[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
+        self.hash, self.row = out[fresh], row[fresh]
         self.cuts = np.searchsorted(self.row, np.arange(len(texts) + 1))
 
 
@@ -102,7 +105,7 @@ def shared_counts(docs: DataFrame, k: int, slices: int) -> DataFrame:
             h, doc = h[order], doc[order]
             same = h[1:] == h[:-1]
             again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            many = np.unique(h[again])
+            many = distinct(h[again])
             local, counts = np.unique(doc[again], return_counts=True)
             single, owner = h[~again], doc[~again]
             edges = np.array([-(-(s << 48) // slices) for s in range(slices + 1)], np.uint64)
@@ -140,7 +143,7 @@ def shared_counts(docs: DataFrame, k: int, slices: int) -> DataFrame:
                 single.append(np.cumsum(unpack_ints(h, np.uint64), dtype=np.uint64))
                 many.append(np.cumsum(unpack_ints(m, np.uint64), dtype=np.uint64))
         if single:
-            one, two = np.concatenate(single), np.unique(np.concatenate(many))
+            one, two = np.concatenate(single), distinct(np.concatenate(many))
             order = np.argsort(one, kind="stable")
             ranked = one[order]
             same = ranked[1:] == ranked[:-1]
@@ -271,42 +274,78 @@ def _pivots(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     return counts.groupBy("rid").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")).select(F.col("rid").alias("a"), "b")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few pairs as connect what the pairs (a, b) connect: each node but the least of its component with that least one."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        after = label.copy()
+        # the label of each end's root falls to the least that an edge offers, then paths are shortened
+        np.minimum.at(after, label[x], low)
+        np.minimum.at(after, label[y], low)
+        while (after[after] != after).any():
+            after = after[after]
+        after = after[label]
+        if (after == label).all():
+            break
+        label = after
+    rest = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[rest], nodes[label[rest]]
+
+
+def _counts(q: np.ndarray, m: np.ndarray, flat: np.ndarray, owner: np.ndarray, row: np.ndarray, column: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """How many tokens each of q shares with each of m, some tokens at a time."""
+    both = np.zeros((len(q), len(m)), np.float32)
+    seen = np.intersect1d(flat[asks], flat[~asks])
+    for at in range(0, len(seen), COUNTED):
+        part = seen[at : at + COUNTED]
+        k = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+        hit = part[k] == flat
+        left, right = np.zeros((len(q), len(part)), np.float32), np.zeros((len(m), len(part)), np.float32)
+        left[row[owner[hit & asks]], k[hit & asks]] = 1
+        right[column[owner[hit & ~asks]], k[hit & ~asks]] = 1
+        both += left @ right.T
+    return both
+
+
 def _blocked(members: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of large clusters. members: cluster, rid, root. Every class outside the cluster's largest component meets every class of
-    the cluster, in blocks of at most about BLOCK classes by BLOCK, where shared shingles are counted by matrix products."""
+    """Links (a, b) of large clusters. members: cluster, rid, root, matches, prefix. Every class outside the cluster's largest component meets
+    every class of the cluster, in blocks of at most about BLOCK classes by BLOCK. In a block, too, candidates are the classes that share as
+    many prefix shingles as they must; they are counted by matrix products, as no list of pairs is as large as a block. Of the links only a
+    forest is returned, fewer than the block has components."""
     sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"))
     tagged = members.join(sizes, "cluster").withColumns({"across": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), "along": F.ceil(F.col("all") / BLOCK).cast("int"), "odd": F.col("root") != F.col("main")})
     held = tagged.join(_of(common, members.select("rid")), "rid")
     place = lambda n, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.col(n)).cast("int")
-    one = held.where("odd").select("cluster", place("across", 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("along") - 1)).alias("y"), F.lit(True).alias("query"), "rid", "root", "n", "tokens")
-    two = held.select("cluster", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), place("along", 2).alias("y"), F.lit(False).alias("query"), "rid", "root", "n", "tokens")
+    columns = ["rid", "root", "n", "matches", "prefix", "tokens"]
+    one = held.where("odd").select("cluster", place("across", 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("along") - 1)).alias("y"), F.lit(True).alias("query"), *columns)
+    two = held.select("cluster", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), place("along", 2).alias("y"), F.lit(False).alias("query"), *columns)
 
     def compare(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        rid, root, n = (table.column(c).to_numpy().astype(np.int64) for c in ("rid", "root", "n"))
-        tokens = table.column("tokens").combine_chunks()
-        flat, cuts = tokens.values.to_numpy(), tokens.offsets.to_numpy().astype(np.int64)
-        flat, cuts = flat[cuts[0] : cuts[-1]], cuts - cuts[0]
-        owner = np.repeat(np.arange(len(rid)), np.diff(cuts))
+        root, n, matches = (table.column(c).to_numpy().astype(np.int64) for c in ("root", "n", "matches"))
         q, m = np.flatnonzero(query), np.flatnonzero(~query)
-        asks = query[owner]
-        seen = np.intersect1d(flat[asks], flat[~asks])
-        both = np.zeros((len(q), len(m)), np.float32)
-        row = np.cumsum(query) - 1
-        column = np.cumsum(~query) - 1
-        for at in range(0, len(seen), COUNTED):
-            part = seen[at : at + COUNTED]
-            k = np.minimum(np.searchsorted(part, flat), len(part) - 1)
-            hit = part[k] == flat
-            left, right = np.zeros((len(q), len(part)), np.float32), np.zeros((len(m), len(part)), np.float32)
-            left[row[owner[hit & asks]], k[hit & asks]] = 1
-            right[column[owner[hit & ~asks]], k[hit & ~asks]] = 1
-            both += left @ right.T
-        linked = (both * 100 >= (n[q][:, None] + n[m][None, :] - both) * percent) & (root[q][:, None] != root[m][None, :])
+        row, column = np.cumsum(query) - 1, np.cumsum(~query) - 1
+
+        def shared(name: str, keep: np.ndarray) -> np.ndarray:
+            """Counts of shared tokens; classes that keep leaves out share none."""
+            lists = table.column(name).combine_chunks()
+            cuts = lists.offsets.to_numpy().astype(np.int64)
+            flat, owner = lists.values.to_numpy()[cuts[0] : cuts[-1]], np.repeat(np.arange(len(query)), np.diff(cuts))
+            flat, owner = flat[keep[owner]], owner[keep[owner]]
+            return _counts(q, m, flat, owner, row, column, query[owner])
+
+        every = np.ones(len(query), bool)
+        candidate = (shared("prefix", every) >= np.minimum(matches[q][:, None], matches[m][None, :])) & (root[q][:, None] != root[m][None, :])
+        alive = np.zeros(len(query), bool)
+        alive[q], alive[m] = candidate.any(axis=1), candidate.any(axis=0)
+        both = shared("tokens", alive)
+        linked = candidate & (both * 100 >= (n[q][:, None] + n[m][None, :] - both) * percent)
         a, b = np.nonzero(linked)
-        # one link to each component is enough
-        _, first = np.unique(np.stack([q[a], root[m[b]]], axis=1), axis=0, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
-        return pa.table({"a": pa.array(rid[q[a[first]]]), "b": pa.array(rid[m[b[first]]])})
+        a, b = forest(root[q[a]], root[m[b]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return one.unionAll(two).groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long")
 
@@ -353,7 +392,7 @@ def link_classes(held: DataFrame, percent: int) -> DataFrame:
     in_large = store(clusters.join(large, "cluster", "left_semi"), "large")
     links = verified(store(_paired(lists.join(in_large.select("rid"), "rid", "left_anti"), percent), "pairs"), common, percent)
     if not in_large.isEmpty():
-        members = in_large.join(lists.groupBy("rid").agg(F.first("root").alias("root")), "rid").select("cluster", "rid", "root")
+        members = in_large.join(lists.groupBy("rid").agg(F.first("root").alias("root"), F.first("matches").alias("matches"), F.collect_list("token").alias("prefix")), "rid").select("cluster", "rid", "root", "matches", "prefix")
         links = links.unionAll(_blocked(members, common, percent))
     settle(links)
     return roots.withColumnRenamed("node", "rid")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, by_bucket, hashes, mix, numbered, pack_ints, shingles, splits, steps, store, unpack_ints
+from .common import SPACED, Words, by_bucket, distinct, hashes, numbered, pack_ints, shingles, splits, steps, store, unpack_ints
 
 #: Words of a fingerprint inside a window, runs kept before they are merged, batches that a table is taken in.
 INNER, MOST_RUNS, BATCHES = 8, 2, 3
@@ -41,6 +41,7 @@ class Windows:
         words = Words(texts, SPACED, lower=False)
         self.words, self.width = words, width
         self.word_hash = hashes(words.distinct)
+        self.other_hash = hashes(words.distinct, 0x6A09E667F3BCC909)
         self.inner = shingles(words.codes, self.word_hash, INNER) >> np.uint64(16)
         row = np.repeat(np.arange(len(texts)), np.diff(words.rows))
         n = max(0, len(row) - width + 1)
@@ -56,14 +57,13 @@ class Windows:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place in the row, fingerprint) of the picked runs."""
-        at = np.unique(self.pick)
+        at = distinct(self.pick)
         row = self.row[at]
         return row, at - self.words.rows[row], self.inner[at]
 
     def digests(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent 64-bit hashes of the windows at which."""
-        two = mix(self.word_hash ^ np.uint64(0x6A09E667F3BCC909))
-        return shingles(self.words.codes, self.word_hash, self.width)[which], shingles(self.words.codes, two, self.width)[which]
+        return shingles(self.words.codes, self.word_hash, self.width)[which], shingles(self.words.codes, self.other_hash, self.width)[which]
 
 
 def _first(keys: list[np.ndarray], uid: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def _gather(marks: DataFrame) -> DataFrame:
         uid, place = uid[order], place[order]
         heads = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1])))
         ends = np.append(heads[1:], len(uid))
-        return pa.table({"uid": pa.array(uid[heads]), "places": pa.array([pack_ints(np.unique(place[a:b])) for a, b in zip(heads.tolist(), ends.tolist(), strict=True)], pa.binary())})
+        return pa.table({"uid": pa.array(uid[heads]), "places": pa.array([pack_ints(distinct(place[a:b])) for a, b in zip(heads.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
     return store(marks.groupBy("slice").applyInArrow(per_document, "uid long, places binary"), "places")
 
