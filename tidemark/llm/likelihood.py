@@ -1,15 +1,15 @@
 """Document scores by masked pseudo-likelihood.
 
 A small network in numpy predicts every word from the two words on either side: their embeddings side by side, one hidden layer,
-and a two-step softmax (a class of words, then the word in its class). A document's score is the sum of the log
-probabilities of its words, each given both sides.
+and a three-step softmax (a class of words, a group in the class, the word in its group). A document's score is the sum of the
+log probabilities of its words, each given both sides.
 
 The vocabulary is counted over all documents. A word has an id of its own if its count is LEAST at least and no less than the
 square root of the corpus' words / PER_ROOT, so ids, classes and weights grow with that root. Rarer words share ids by a
-hash of their ending, and the log share of the word among its id's words, from their counts, is added to the score. Training is model averaging: in
-each round every task runs gradient descent from the shared weights over its own documents, each word in one of the rounds by a
-hash of its place, so that every word is learnt once. The weights are averaged by number of examples, in two levels so that no
-task gathers from all.
+hash of their ending, and the log share of the word among its id's words, from their counts, is added to the score. Training is
+model averaging: in each round every task runs gradient descent with adaptive steps from the shared weights over its own
+documents of that round, which a hash of the text deals out, so that every word of every document is learnt once. The weights
+are averaged by number of examples, in two levels so that no task gathers from all.
 Weights depend on how rows are dealt to tasks.
 
 Nulls: a null or empty text has no words, the sum 0 and no mean; a null doc_id is kept. Repeated rows are scored one by one.
@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, Words, hashes, mix, raw, splits, steps, store, text_or_empty
 
-#: The smallest model has LEAST_SIDE classes of as many words; at least one id in SPARE is for endings.
-LEAST_SIDE, SPARE = 32, 4
-SIZE = LEAST_SIDE**2
+#: The smallest model has LEAST_SIDE classes of as many groups of as many words; at least one id in SPARE is for endings.
+LEAST_SIDE, SPARE = 11, 4
+SIZE = LEAST_SIDE**3
 #: A word with an id of its own is counted LEAST times, and root(words of the corpus) / PER_ROOT times.
 LEAST, PER_ROOT = 5, 16
 WIDTH, HIDDEN, SIDES = 16, 32, (-2, -1, 1, 2)
-ROUNDS, BATCH, RATE = 2, 2048, 0.15
+#: Rows of a step of descent, a part in STEPS of a slice but within bounds; its rate, and what the sums of squares start from.
+ROUNDS, BATCH, LEAST_BATCH, STEPS, RATE, START = 2, 16384, 256, 32, 0.2, 1.0
+#: Rows of one class, or group, that a product of matrices takes at a time.
+BLOCK = 16
 #: Pieces that the weights are averaged in.
 CHUNKS = 8
 
@@ -41,13 +44,22 @@ Weights = dict[str, np.ndarray]
 
 
 def side(own: int) -> int:
-    """Classes, and words in a class, of a model where own words have an id of their own."""
-    return max(LEAST_SIDE, math.isqrt(max(0, own * SPARE // (SPARE - 1) - 1)) + 1)
+    """Classes, groups in a class, and words in a group, of a model where own words have an id of their own."""
+    wanted = own * SPARE // (SPARE - 1)
+    n = max(LEAST_SIDE, round(wanted ** (1 / 3)))
+    return n + (n**3 < wanted)
 
 
 def shapes(n: int) -> dict[str, tuple[int, ...]]:
     """Shapes of the weights of a model of n classes; the last row of words is the edge of a text."""
-    return {"words": (n * n + 1, WIDTH), "in": (len(SIDES) * WIDTH, HIDDEN), "in_bias": (HIDDEN,), "class": (HIDDEN, n), "class_bias": (n,), "member": (n, HIDDEN, n), "member_bias": (n, n)}
+    out: dict[str, tuple[int, ...]] = {"words": (n**3 + 1, WIDTH), "in": (len(SIDES) * WIDTH, HIDDEN), "in_bias": (HIDDEN,)}
+    for name, of in LEVELS:
+        out |= {name: (n**of, HIDDEN, n), f"{name}_bias": (n**of, n)}
+    return out
+
+
+#: A word's class, its group in the class, itself in the group: each a softmax of its own for each of n**k parents.
+LEVELS = (("class", 0), ("group", 1), ("member", 2))
 
 
 def fresh(seed: int = 7, n: int = LEAST_SIDE) -> Weights:
@@ -67,19 +79,73 @@ def shaped(x: np.ndarray, n: int) -> Weights:
     return out
 
 
-def _softmax(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, target: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """log p of each row's target, and, where they are wanted, all probabilities. Hidden values lie within 1, which bounds the
-    exponents by the weights; only where the bound is large are they shifted."""
-    x = h @ weight
-    x += bias
-    if float(np.abs(weight).sum(axis=0).max() + np.abs(bias).max()) > 60:
-        x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), target]
-    np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], np.float32)
-    if whole:
-        x /= total[:, None]
-    return own - np.log(total), x
+class Descent:
+    """Adaptive steps: each weight's gradient is divided by the root of the sum of its squares so far. It belongs to one task."""
+
+    def __init__(self, w: Weights, rate: float):
+        self.rate, self.seen = rate, {k: np.full(x.shape, START, np.float32) for k, x in w.items()}
+
+    def step(self, w: Weights, name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Take grad off w[name], or off those of its rows."""
+        if rows is None:
+            self.seen[name] += grad * grad
+            w[name] -= self.rate * grad / np.sqrt(self.seen[name])
+        else:
+            seen = self.seen[name][rows]
+            seen += grad * grad
+            self.seen[name][rows] = seen
+            np.sqrt(seen, out=seen)
+            np.divide(grad, seen, out=seen)
+            seen *= self.rate
+            w[name][rows] -= seen
+
+
+def _level(h: np.ndarray, parent: np.ndarray, target: np.ndarray, w: Weights, name: str, descent: Descent | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """log p(target | parent, h) of rows that ascend by parent; with a descent the parents' weights take a step, and what goes
+    back to h comes with it. Rows of a parent are taken in blocks of one size, so that all blocks are one product."""
+    weight, bias = w[name], w[f"{name}_bias"]
+    n, width = len(h), weight.shape[2]
+    size = BLOCK if len(weight) > 1 else n
+    heads = np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1])))
+    rows = np.diff(np.append(heads, n))
+    blocks = -(-rows // size)
+    first = np.cumsum(blocks) - blocks
+    slot = np.repeat(first * size - heads, rows) + np.arange(n)
+    of = np.repeat(parent[heads], blocks)
+    full = n == len(of) * size
+    held = h if full else np.zeros((len(of) * size, HIDDEN), np.float32)
+    if not full:
+        held[slot] = h
+    held = held.reshape(len(of), size, HIDDEN)
+    mine = weight[of]
+    x = held @ mine
+    x += bias[of][:, None, :]
+    x = x.reshape(-1, width)
+    own, ones = x[slot, target], np.ones(width, np.float32)
+    e = np.exp(x)
+    total = e @ ones
+    if not np.isfinite(total).all():
+        top = x.max(axis=1, keepdims=True)
+        own -= top[slot, 0]
+        e = np.exp(x - top)
+        total = e @ ones
+    out = own - np.log(total[slot])
+    if descent is None:
+        return out, None
+    x = np.divide(e, total[:, None], out=e)
+    x[slot, target] -= 1
+    if not full:
+        empty = np.ones(len(x), bool)
+        empty[slot] = False
+        x[empty] = 0
+    x = x.reshape(len(of), size, width)
+    back = (x @ mine.transpose(0, 2, 1)).reshape(-1, HIDDEN)
+    step, bias_step = held.transpose(0, 2, 1) @ x, x.sum(axis=1)
+    if len(of) > len(heads):
+        step, bias_step = np.add.reduceat(step, first, axis=0), np.add.reduceat(bias_step, first, axis=0)
+    descent.step(w, name, step, parent[heads])
+    descent.step(w, f"{name}_bias", bias_step, parent[heads])
+    return out, back if full else back[slot]
 
 
 def lookup(w: Weights) -> np.ndarray:
@@ -88,9 +154,12 @@ def lookup(w: Weights) -> np.ndarray:
     return np.stack([w["words"] @ b for b in blocks])
 
 
-def log_probability(w: Weights, around: np.ndarray, word: np.ndarray, rate: float = 0.0, added: np.ndarray | None = None) -> np.ndarray:
-    """log p(word | around) of each row, in natural units; with a rate the weights take a gradient step. added: lookup(w)."""
-    n, (classes, members) = len(word), w["member_bias"].shape
+def log_probability(w: Weights, around: np.ndarray, word: np.ndarray, descent: Descent | None = None, added: np.ndarray | None = None) -> np.ndarray:
+    """log p(word | around) of each row, in natural units; with a descent the weights take a step. added: lookup(w)."""
+    n, side = len(word), w["class_bias"].shape[1]
+    # rows stand by word, so those of a class and of a group stand together
+    order = np.argsort(word)
+    word, around = word[order].astype(np.int64), around[order]
     if added is not None:
         h = np.take(added[0], around[:, 0], axis=0)
         for k in range(1, len(SIDES)):
@@ -100,42 +169,28 @@ def log_probability(w: Weights, around: np.ndarray, word: np.ndarray, rate: floa
     else:
         x = np.take(w["words"], around, axis=0).reshape(n, -1)
         h = np.tanh(x @ w["in"] + w["in_bias"])
-    of, member = np.divmod(word, members)
-    out, by_class = _softmax(h, w["class"], w["class_bias"], of, bool(rate))
-    order = np.argsort(of.astype(np.uint16), kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(classes + 1)).tolist()
-    # rows stand together by class, so a class is a slice
-    sorted_h, sorted_member = np.take(h, order, axis=0), member[order]
-    inside_of, grad = np.empty(n, np.float32), np.empty_like(h) if rate else None
-    for c in range(classes):
-        a, b = cuts[c], cuts[c + 1]
-        if a == b:
-            continue
-        inside_of[a:b], p = _softmax(sorted_h[a:b], w["member"][c], w["member_bias"][c], sorted_member[a:b], bool(rate))
-        if rate:
-            p[np.arange(b - a), sorted_member[a:b]] -= 1
-            grad[a:b] = p @ w["member"][c].T
-            w["member"][c] -= rate / n * classes**0.5 * (sorted_h[a:b].T @ p)
-            w["member_bias"][c] -= rate / n * classes**0.5 * p.sum(axis=0)
-    out[order] += inside_of
-    if rate:
-        grad_h = np.empty_like(h)
-        grad_h[order] = grad
-        g = by_class
-        g[np.arange(n), of] -= 1
-        grad_h += g @ w["class"].T
-        w["class"] -= rate / n * (h.T @ g)
-        w["class_bias"] -= rate / n * g.sum(axis=0)
-        grad_h *= 1 - h * h
-        grad_x = (grad_h @ w["in"].T).reshape(-1, WIDTH)
-        w["in"] -= rate / n * (x.T @ grad_h)
-        w["in_bias"] -= rate / n * grad_h.sum(axis=0)
+    log_p, grad = np.zeros(n, np.float32), np.zeros_like(h) if descent else None
+    parent = word // side**3
+    for k, (name, _) in enumerate(LEVELS):
+        node = word // side ** (2 - k)
+        got, back = _level(h, parent, node - parent * side, w, name, descent)
+        log_p += got
+        if descent:
+            grad += back
+        parent = node
+    out = np.empty(n, np.float32)
+    out[order] = log_p
+    if descent:
+        grad *= 1 - h * h
+        grad_x = (grad @ w["in"].T).reshape(-1, WIDTH)
+        descent.step(w, "in", x.T @ grad)
+        descent.step(w, "in_bias", grad.sum(axis=0))
         # rows of the embedding table, summed by word
-        flat_ids = around.ravel()
-        at = np.argsort(flat_ids.astype(np.min_scalar_type(len(w["words"]))), kind="stable")
-        ids = flat_ids[at]
+        ids = around.ravel()
+        at = np.argsort(ids)
+        ids = ids[at]
         heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        w["words"][ids[heads]] -= rate / n * len(SIDES) * np.add.reduceat(grad_x[at], heads, axis=0)
+        descent.step(w, "words", np.add.reduceat(grad_x[at], heads, axis=0), ids[heads])
     return out
 
 
@@ -180,7 +235,7 @@ class Reader:
     """Texts as ids with their surroundings."""
 
     def __init__(self, known: dict[bytes, int]):
-        self.known, self.own, self.size = known, len(known), side(len(known)) ** 2
+        self.known, self.own, self.size = known, len(known), side(len(known)) ** 3
 
     def by_ending(self, words: pa.Array) -> np.ndarray:
         """The id of each word if it has none of its own: a hash of its last three bytes."""
@@ -225,18 +280,16 @@ def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Wei
 
             part, reader, n = TaskContext.get().partitionId(), Reader(shared.value), 0
             w = {k: v.copy() for k, v in start.value.items()}
+            descent = Descent(w, RATE / (1 + turn) ** 0.5)
             for batch in steps(batches, "text"):
-                around, own, offsets = reader(batch.column("text"))
-                inner = np.arange(len(own)) - np.repeat(offsets[:-1], np.diff(offsets))
-                # each word in one round, by a hash of its place and its document's length: no period of a text falls into one round
-                round_of = mix(inner.astype(np.uint64) + np.repeat(np.diff(offsets), np.diff(offsets)).astype(np.uint64) * np.uint64(1 << 32)) % np.uint64(rounds)
-                pick = np.flatnonzero(round_of == turn)
-                # words of one document lie apart in the batches of descent
-                pick = pick[np.random.default_rng(len(own)).permutation(len(pick))]
-                for at in range(0, len(pick), BATCH):
-                    some = pick[at : at + BATCH]
-                    log_probability(w, around[some], own[some], RATE * 10 / (1 + turn) ** 0.5)
-                n += len(pick)
+                around, own, _ = reader(batch.column("text"))
+                # words of one document lie apart in the steps of descent
+                pick = np.random.default_rng(len(own)).permutation(len(own))
+                size = min(BATCH, max(LEAST_BATCH, len(pick) // STEPS))
+                for at in range(0, len(pick), size):
+                    some = pick[at : at + size]
+                    log_probability(w, around[some], own[some], descent)
+                n += len(own)
             if n:
                 for c, x in enumerate(np.array_split(flat(w), CHUNKS)):
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "bucket": pa.array([part % groups], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([float(n)]), "x": pa.array([(x.astype(np.float64) * n).tobytes()], pa.binary())})
@@ -250,8 +303,10 @@ def train(rows: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> Wei
 
     schema = "chunk int, bucket int, part int, n double, x binary"
     for turn in range(rounds):
+        # each document, with every word of it, in one round
         start = spark.sparkContext.broadcast(weights)
-        sums = rows.select("text").mapInArrow(trainer(start, turn), schema).groupBy("chunk", "bucket").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
+        mine = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
+        sums = mine.mapInArrow(trainer(start, turn), schema).groupBy("chunk", "bucket").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
         got = {r["chunk"]: np.frombuffer(r["x"], np.float64) / r["n"] for r in sums.collect()}
         if got:
             weights = shaped(np.concatenate([got[c] for c in range(CHUNKS)]), side(len(known)))
@@ -272,7 +327,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for batch in steps(batches, "text"):
             words = Words(batch.column("text"), SPACED, lower=True)
             around, own, offsets, shared = reader.read(words)
-            each = np.concatenate([np.zeros(0, np.float32), *(log_probability(weights, around[a : a + 16384], own[a : a + 16384], added=added) for a in range(0, len(own), 16384))]).astype(float)
+            each = np.concatenate([np.zeros(0, np.float32), *(log_probability(weights, around[a : a + 65536], own[a : a + 65536], added=added) for a in range(0, len(own), 65536))]).astype(float)
             total = np.concatenate(([0.0], np.cumsum(each)))
             # the words that share an id, as hashes
             at = np.flatnonzero(shared[words.codes])
