@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; bounds the scratch arrays of a task.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+#: Rows of whole texts that go to a Python worker at a time; Spark's own 10,000 would stand in the JVM and the worker at once.
+ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -27,8 +29,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python workers ROWS rows at a time, or fewer if it does so already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
 def store(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage."""
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -261,6 +271,7 @@ KEY = "__tidemark_key"
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a column that tells its rows apart, and that column's name: doc_id where it is whole and distinct, else a stored row number."""
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("n > 1 or doc_id is null").isEmpty():
         return docs, "doc_id"

@@ -17,8 +17,8 @@ import pyarrow as pa
 from .common import HELD, binary, raw, table_of
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a worker keeps; beyond that its cache starts afresh.
-CACHE = 400_000
+#: Pieces that a worker keeps; beyond that it drops those that it has met in one batch only.
+CACHE = 250_000
 WHITE = table_of({0x20, *range(0x09, 0x0E), 0x1C, 0x1D, 0x1E, 0x1F})
 #: 1 letters, 2 digits, 3 punctuation, 0 the rest.
 KIND = np.zeros(256, np.uint8)
@@ -43,22 +43,33 @@ class Encoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), cache
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.heads, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def forget(self, again: np.ndarray | None = None) -> None:
+        """Keep the pieces of again alone, or none."""
+        again = np.zeros(0, np.int64) if again is None else again
+        names = list(self.known) if len(again) else []
+        sizes = self.sizes[again] if len(again) else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.heads[again] - (ends - sizes), sizes) + np.arange(ends[-1])] if len(again) else np.zeros(0, np.uint32)
+        self.known = {names[k]: i for i, k in enumerate(again.tolist())}
+        self.flat, self.heads, self.sizes, self.met = flat, ends - sizes, sizes, np.zeros(len(again), bool)
 
     def indices(self, distinct: list[bytes]) -> np.ndarray:
         """Where flat, heads and sizes hold the ids of these pieces; new ones are encoded."""
         if len(self.known) > self.most:
-            self.forget()
+            again = np.flatnonzero(self.met)
+            self.forget(again if len(again) <= self.most // 2 else None)
+        before = len(self.known)
         new = [x for x in distinct if x not in self.known]
         ids = [e.ids for at in range(0, len(new), 10_000) for e in self.tokenizer.encode_batch_fast([x.decode() for x in new[at : at + 10_000]], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.heads = np.concatenate((self.heads, len(self.flat) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
         self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.met = np.concatenate((self.met, np.zeros(len(new), bool)))
+        self.known.update(zip(new, range(before, before + len(new)), strict=True))
+        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.met[index[index < before]] = True
+        return index
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces begin, and which piece each row begins with."""
