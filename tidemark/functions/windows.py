@@ -101,3 +101,31 @@ def forward_fill(x, window=None) -> Column:
 def finite(x) -> Column:
     """x, null where it is NaN or infinite."""
     return F.when(~F.isnan(col(x)) & (F.abs(col(x)) != float("inf")), col(x))
+
+
+def running(table, x: str, wanted: dict[str, tuple[str, int, int]]):
+    """table with rolling columns of x: name -> (mean, dev or z, rows, values that must be there).
+
+    A sliding frame costs as many steps a row as it is long. Here each row takes the difference of two running sums, whatever
+    the length; a deviation within rounding of 0 counts as 0."""
+    order = by_symbol()
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col(x).cast("double")
+    squares = any(kind != "mean" for kind, _, _ in wanted.values())
+    sums = {"__c": F.count(v).over(before), "__s": F.coalesce(F.sum(v).over(before), F.lit(0.0))}
+    if squares:
+        sums["__q"] = F.coalesce(F.sum(v * v).over(before), F.lit(0.0))
+    held = table.withColumns(sums)
+    sizes = sorted({w for _, w, _ in wanted.values()})
+    held = held.withColumns({f"{c}{w}": F.col(c) - F.lag(c, w, 0 if c == "__c" else 0.0).over(order) for w in sizes for c in sums})
+    out = {}
+    for name, (kind, w, least) in wanted.items():
+        n, s = F.col(f"__c{w}"), F.col(f"__s{w}")
+        if kind == "mean":
+            out[name] = F.when(n >= least, s / n)
+            continue
+        square = F.col(f"__q{w}") / n
+        spread = square - s / n * (s / n)
+        dev = F.when(spread > 1e-13 * square, F.sqrt(spread)).otherwise(0.0)
+        out[name] = F.when(n >= least, dev if kind == "dev" else F.when(dev > EPS, (v - s / n) / dev))
+    return held.withColumns(out).drop(*sums, *(f"{c}{w}" for w in sizes for c in sums))

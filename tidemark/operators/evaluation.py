@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import div
+from .panel import small
 
 
 def _w(by: list[str]):
@@ -78,17 +79,29 @@ def rank_correlation(table: DataFrame, by: list[str], a: str, b: str) -> DataFra
     return out.select(*by, div("c", F.col("s") * F.col("t")).alias("ic"))
 
 
+def numbered(rows: DataFrame, date: str, tie: str, name: str = "__i") -> DataFrame:
+    """rows with their place in the order of date and tie, from 0. Only a table of one row a date is ordered in one task."""
+    each = rows.groupBy(date).agg(F.count("*").alias("__n"))
+    offset = each.select(F.col(date).alias("__d"), (F.sum("__n").over(Window.orderBy(date)) - F.col("__n")).alias("__o"))
+    inside = F.row_number().over(Window.partitionBy(date).orderBy(tie)) - 1
+    return rows.withColumn("__p", inside).join(small(offset), F.col(date) == F.col("__d")).withColumn(name, F.col("__o") + F.col("__p")).drop("__p", "__d", "__o")
+
+
 def walk_forward(rows: DataFrame, train: int, test: int, gap_weeks: int = 0) -> DataFrame:
     """fold, role and row of weekly folds: at least train weeks before, test weeks of test, and training rows whose exit lies before
-    the test begins. A row is in few folds, so the join to folds multiplies rows by their number."""
+    the test begins. The folds of a row follow from its week by arithmetic, so only rows of the result are made."""
     weeks = rows.select(F.date_trunc("week", "entry").cast("date").alias("week")).distinct()
-    numbered = weeks.withColumn("w", F.row_number().over(Window.orderBy("week")) - 1)
-    folds = numbered.where((F.col("w") >= train) & ((F.col("w") - train) % test == 0)).select(((F.col("w") - train) / test).cast("int").alias("fold"), F.col("w").alias("first"), F.col("week").alias("starts"))
-    tagged = rows.withColumn("week", F.date_trunc("week", "entry").cast("date")).join(F.broadcast(numbered), "week")
-    met = tagged.join(F.broadcast(folds))
-    test_rows = met.where((F.col("w") >= F.col("first")) & (F.col("w") < F.col("first") + test)).withColumn("role", F.lit("test"))
-    train_rows = met.where((F.col("w") < F.col("first") - gap_weeks) & (F.col("exit") < F.col("starts"))).withColumn("role", F.lit("train"))
-    return train_rows.unionByName(test_rows).drop("w", "first")
+    placed = weeks.withColumn("w", F.row_number().over(Window.orderBy("week")) - 1)
+    folds = placed.where((F.col("w") >= train) & ((F.col("w") - train) % test == 0)).select(((F.col("w") - train) / test).cast("int").alias("fold"), F.col("week").alias("starts"))
+    # one row: when each fold's test begins
+    starts = folds.agg(F.transform(F.sort_array(F.collect_list(F.struct("fold", "starts"))), lambda x: x["starts"]).alias("__starts"))
+    tagged = rows.withColumn("week", F.date_trunc("week", "entry").cast("date")).join(small(placed), "week").join(F.broadcast(starts))
+    mine = F.floor((F.col("w") - train) / test).cast("int")
+    test_rows = tagged.where((F.col("w") >= train) & (mine < F.size("__starts"))).withColumns({"fold": mine, "role": F.lit("test")})
+    first = F.greatest(F.ceil((F.col("w") + gap_weeks + 1 - train) / test), F.lit(0)).cast("int")
+    after = F.filter(F.sequence(first, F.size("__starts") - 1), lambda f: F.get(F.col("__starts"), f) > F.col("exit"))
+    train_rows = tagged.where(first < F.size("__starts")).withColumn("fold", F.explode(after)).withColumn("role", F.lit("train"))
+    return train_rows.unionByName(test_rows).withColumn("starts", F.get("__starts", F.col("fold"))).drop("w", "__starts")
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:
@@ -103,10 +116,10 @@ def leaks(folds: DataFrame) -> DataFrame:
 def purged_kfold(rows: DataFrame, k: int, embargo: float = 0.01) -> DataFrame:
     """fold and role of k blocks in time order; training rows that touch a block's span or follow it within the embargo are out."""
     n = rows.count()
-    order = Window.orderBy("entry", "symbol")
-    numbered = rows.withColumn("__i", F.row_number().over(order) - 1).withColumn("__f", F.least(F.floor(F.col("__i") * k / F.lit(max(n, 1))), F.lit(k - 1)).cast("int"))
-    spans = numbered.groupBy(F.col("__f").alias("fold")).agg(F.min("entry").alias("lo"), F.max("exit").alias("hi"), F.max("__i").alias("last"))
-    met = numbered.join(F.broadcast(spans))
+    placed = numbered(rows, "entry", "symbol").withColumn("__f", F.least(F.floor(F.col("__i") * k / F.lit(max(n, 1))), F.lit(k - 1)).cast("int"))
+    spans = placed.groupBy(F.col("__f").alias("fold")).agg(F.min("entry").alias("lo"), F.max("exit").alias("hi"), F.max("__i").alias("last"))
+    # k rows
+    met = placed.join(F.broadcast(spans))
     clear = (F.col("exit") < F.col("lo")) | ((F.col("entry") > F.col("hi")) & (F.col("__i") > F.col("last") + int(n * embargo)))
     role = F.when(F.col("__f") == F.col("fold"), "test").when(clear, "train")
     return met.withColumn("role", role).where("role is not null").drop("__i", "__f", "lo", "hi", "last")
@@ -178,10 +191,13 @@ def date_split(rows: DataFrame, share: float = 0.8, date: str = "entry") -> Data
 
 
 def time_folds(rows: DataFrame, k: int, label: str = "hit", date: str = "entry") -> DataFrame:
-    """Per fold of equally many rows in time order: rows, positives, prevalence."""
-    order = Window.orderBy(date, "symbol")
-    numbered = rows.withColumn("fold", F.ntile(k).over(order) - 1)
-    return numbered.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("n_positive")).withColumn("prevalence", F.col("n_positive") / F.col("n"))
+    """Per fold of equally many rows in time order (the first ones take what is left over): rows, positives, prevalence."""
+    n = rows.count()
+    size, more = divmod(n, k)
+    i = F.col("__i")
+    fold = F.when(i < more * (size + 1), F.floor(i / (size + 1))).otherwise(more + F.floor((i - more * (size + 1)) / max(size, 1))).cast("int")
+    placed = numbered(rows, date, "symbol").withColumn("fold", fold)
+    return placed.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("n_positive")).withColumn("prevalence", F.col("n_positive") / F.col("n"))
 
 
 def rolling_auc(scored: DataFrame, dates: int = 63, least: int = 100, score: str = "p", label: str = "y") -> DataFrame:

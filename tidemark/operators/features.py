@@ -7,9 +7,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import by_symbol, clip, col, diff, div, high, lag, low, mean, std0, std1, total, zscore
+from ..functions.windows import by_symbol, clip, col, diff, div, high, lag, low, mean, running, std0, std1, total, zscore
 
 MA = (10, 20, 30, 50, 75, 100, 150, 200)
+#: Rows of a frame from which on running sums are worth their rounding.
+LONG = 100
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -19,7 +21,9 @@ def returns(bars: DataFrame) -> DataFrame:
 
 
 def moving_averages(bars: DataFrame, periods=MA, price: str = "adjclose") -> DataFrame:
-    return bars.withColumns({f"ma_{p}": mean(price, p, max(5, p // 2)) for p in periods})
+    """ma_{p} for each period. Short frames slide, which adds the same numbers in the same order; long ones are differences of running sums."""
+    out = bars.withColumns({f"ma_{p}": mean(price, p, max(5, p // 2)) for p in periods if p < LONG})
+    return running(out, price, {f"ma_{p}": ("mean", p, max(5, p // 2)) for p in periods if p >= LONG})
 
 
 def trend(bars: DataFrame, periods=MA, slope: int = 20, eps: float = 1e-5) -> DataFrame:
@@ -37,7 +41,7 @@ def trend(bars: DataFrame, periods=MA, slope: int = 20, eps: float = 1e-5) -> Da
 
 def volatility(bars: DataFrame) -> DataFrame:
     """Realised volatility at four scales, ratios, z-score, volatility of volatility and normalised slopes. Needs ret."""
-    out = bars.withColumns({f"rv_{w}": std0("ret", w) for w in (10, 20, 60, 100)})
+    out = running(bars, "ret", {f"rv_{w}": ("dev", w, max(5, w // 3)) for w in (10, 20, 60, 100)})
     out = out.withColumns({"rv_ratio_10_60": div("rv_10", "rv_60"), "rv_ratio_20_100": div("rv_20", "rv_100"), "rv_z_60": zscore("rv_20", 60), "rv_step": diff("rv_20")})
     out = out.withColumns({"vol_regime": F.log1p("rv_ratio_20_100"), "rv_vol_of_vol_20d": std0("rv_step", 20, 5), "rv60_slope_norm": (div("rv_60", lag("rv_60", 20)) - 1) / 20, "rv100_slope_norm": (div("rv_100", lag("rv_100", 20)) - 1) / 20})
     return out.drop("rv_step")
@@ -153,13 +157,18 @@ def drawdown(bars: DataFrame, windows=(20, 60, 120), price: str = "close") -> Da
     """Drawdown and recovery at three scales with z-scores, rows since the high, velocity; all-time drawdown and a regime."""
     p = F.col(price)
     out = bars.withColumns({f"hi_{w}": high(price, w) for w in windows} | {f"lo_{w}": low(price, w) for w in windows} | {"top": F.max(price).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))})
-    out = out.withColumns({f"drawdown_{w}d": div(p - F.col(f"hi_{w}"), f"hi_{w}") for w in windows} | {f"recovery_{w}d": div(p - F.col(f"lo_{w}"), f"lo_{w}") for w in windows} | {f"at_{w}": F.sum(F.coalesce((p >= F.col(f"hi_{w}") - 1e-12).cast("int"), F.lit(0))).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)) for w in windows})
-    since = lambda w: (F.row_number().over(Window.partitionBy("symbol", f"at_{w}").orderBy("date")) - 1).cast("double")
-    out = out.withColumns({f"days_since_high_{w}d": since(w) for w in windows})
+    out = out.withColumns({f"drawdown_{w}d": div(p - F.col(f"hi_{w}"), f"hi_{w}") for w in windows} | {f"recovery_{w}d": div(p - F.col(f"lo_{w}"), f"lo_{w}") for w in windows} | {"__k": F.row_number().over(by_symbol())})
+    # the row number at the last high; before the first there is row 1
+    at = lambda w: F.max(F.when(p >= F.col(f"hi_{w}") - 1e-12, F.col("__k"))).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumns({f"at_{w}": at(w) for w in windows})
+    out = out.withColumns({f"days_since_high_{w}d": (F.col("__k") - F.coalesce(f"at_{w}", F.lit(1))).cast("double") for w in windows})
     wide = {"drawdown_expanding": div(p - F.col("top"), "top"), "drawdown_regime": F.when(F.col("drawdown_60d") > -0.05, 0.0).when(F.col("drawdown_60d") > -0.15, 1.0).otherwise(2.0), "hl_range_position_60d": div(p - F.col("lo_60"), F.col("hi_60") - F.col("lo_60"))}
     for w in windows:
-        wide |= {f"drawdown_{w}d_z": clip(zscore(f"drawdown_{w}d", 252, 60), -5.0, 5.0), f"recovery_{w}d_z": clip(zscore(f"recovery_{w}d", 252, 60), -5.0, 5.0), f"drawdown_velocity_{w}d": diff(f"drawdown_{w}d", 5), f"days_since_high_{w}d_norm": clip(F.col(f"days_since_high_{w}d") / w, 0.0, 1.0)}
-    return out.withColumns(wide).drop("top", *(f"{x}_{w}" for w in windows for x in ("hi", "lo", "at")))
+        for x in (f"drawdown_{w}d", f"recovery_{w}d"):
+            out = running(out, x, {f"{x}_z": ("z", 252, 60)})
+            wide[f"{x}_z"] = clip(f"{x}_z", -5.0, 5.0)
+        wide |= {f"drawdown_velocity_{w}d": diff(f"drawdown_{w}d", 5), f"days_since_high_{w}d_norm": clip(F.col(f"days_since_high_{w}d") / w, 0.0, 1.0)}
+    return out.withColumns(wide).drop("top", "__k", *(f"{x}_{w}" for w in windows for x in ("hi", "lo", "at")))
 
 
 def direction_divergence(table: DataFrame, a: str, b: str, w: int, name: str) -> DataFrame:
@@ -229,3 +238,31 @@ def parse_lags(spec: str) -> list[int]:
         a, _, b = part.partition("-")
         out.update(range(int(a), int(b or a) + 1))
     return sorted(out)
+
+
+def regularised_slope(table: DataFrame, x: str, w: int, name: str, alpha: float = 0.01) -> DataFrame:
+    """Slope of x by place in the last w rows, with alpha added to the spread of the places. Places are centred on the whole window,
+    values on those that are there; max(3, w / 2) must be."""
+    frame = by_symbol().rowsBetween(-(w - 1), 0)
+    at = F.row_number().over(by_symbol()).cast("double")
+    out = table.withColumn("__k", at).withColumn("__kx", F.col("__k") * F.col(x)).withColumn("__kn", F.when(F.col(x).isNotNull(), F.col("__k")))
+    sums = {"__c": F.count(x).over(frame), "__sx": F.sum(x).over(frame), "__skx": F.sum("__kx").over(frame), "__sk": F.sum("__kn").over(frame)}
+    out = out.withColumns(sums)
+    middle = F.col("__k") - (w - 1) / 2
+    # sum of (k - middle) (x - mean x) over the rows that have x
+    product = F.col("__skx") - middle * F.col("__sx") - F.col("__sx") / F.col("__c") * (F.col("__sk") - middle * F.col("__c"))
+    return out.withColumn(name, F.when(F.col("__c") >= max(3, w // 2), product / (w * (w * w - 1) / 12 + alpha))).drop("__k", "__kx", "__kn", *sums)
+
+
+def divergence(table: DataFrame, pairs: dict[str, tuple[str, str]], windows=(10, 20)) -> DataFrame:
+    """name_div_{w}d for each pair of columns and window."""
+    for name, (a, b) in pairs.items():
+        for w in windows:
+            table = direction_divergence(table, a, b, w, f"{name}_div_{w}d")
+    return table
+
+
+def residual_block(table: DataFrame, x: str, w: int, least: int | None = None) -> DataFrame:
+    """Mean, sum and deviation of residuals over w rows."""
+    least = least or max(5, w // 3)
+    return table.withColumns({"residual_mean": mean(x, w, least), "residual_cumret": total(x, w, least), "residual_vol": std1(x, w, least)})

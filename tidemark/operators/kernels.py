@@ -172,3 +172,26 @@ def rolling_ridge(table: DataFrame, y: str, xs: list[str], w: int = 60, alpha: f
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in table.schema] + [f"{n} double" for n in outs])
     return made.mapInPandas(solve, schema)
+
+
+def smoothed(table: DataFrame, wanted: dict[str, tuple[str, float, int]], by: str = "symbol") -> DataFrame:
+    """table with exponential means: name -> (column, span, values that must be there)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("date").reset_index(drop=True)
+        return frame.assign(**{k: frame[c].astype(float).ewm(span=span, adjust=False, min_periods=least).mean() for k, (c, span, least) in wanted.items()})
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema] + [f"`{k}` double" for k in wanted])
+    return table.groupBy(by).applyInPandas(run, schema)
+
+
+def smoothed_rsi(table: DataFrame, x: str, span: int = 14, name: str = "rsi") -> DataFrame:
+    """RSI of x from exponential means of gains and losses; the first row gains and loses nothing."""
+    from pyspark.sql import functions as F
+
+    from ..functions.windows import diff, div
+
+    step = F.coalesce(diff(x), F.lit(0.0))
+    out = table.withColumn("__step", step).withColumns({"__up": F.greatest("__step", F.lit(0.0)), "__down": F.greatest(-F.col("__step"), F.lit(0.0))})
+    out = smoothed(out, {"__u": ("__up", span, span), "__d": ("__down", span, span)})
+    return out.withColumn(name, 100 - 100 / (1 + div("__u", "__d"))).drop("__step", "__up", "__down", "__u", "__d")

@@ -119,9 +119,46 @@ def excursions(bars: DataFrame, horizon: int) -> DataFrame:
     return rows.withColumns({"mfe": (F.col("__h") - F.col("close")) / F.col("atr"), "mae": (F.col("close") - F.col("__l")) / F.col("atr")}).where("abs(mfe) <= 50 and abs(mae) <= 50").drop("__h", "__l")
 
 
+def before_stop(bars: DataFrame, stop: float, horizon: int) -> DataFrame:
+    """critical: the largest favourable move, in ATR, that each valid entry sees on the bars before the one that touches its stop
+    (on all horizon bars if none does); 0 if the first bar does. A target multiple up to it is reached before the stop."""
+    ahead = by_symbol().rowsBetween(1, horizon)
+    rows = bars.withColumn("__next", F.collect_list(F.struct("high", "low")).over(ahead)).where(valid_entry() & (F.size("__next") > 0))
+    level = F.col("close") - stop * F.col("atr")
+    rows = rows.withColumn("__d", F.array_position(F.transform("__next", _under("low", level)), True))
+    seen = F.when(F.col("__d") > 0, F.slice("__next", F.lit(1), F.greatest(F.col("__d") - 1, F.lit(0)).cast("int"))).otherwise(F.col("__next"))
+    best = F.array_max(F.transform(seen, lambda b: b["high"]))
+    return rows.withColumn("critical", F.coalesce((best - F.col("close")) / F.col("atr"), F.lit(0.0))).drop("__next", "__d")
+
+
 def calibrated_multiple(entries: DataFrame, prevalence: float) -> DataFrame:
-    """The target multiple that the wanted share of entries reaches: a percentile of what each entry reaches at most."""
-    return entries.agg(F.percentile("mfe", 1 - prevalence).alias("multiple"), F.count("*").alias("n"))
+    """The target multiple that the wanted share of entries reaches before its stop: a percentile of what each entry reaches until then."""
+    return entries.agg(F.percentile("critical", 1 - prevalence).alias("multiple"), F.count("*").alias("n"))
+
+
+def excursion_report(entries: DataFrame) -> DataFrame:
+    """side, n, mean and percentiles of the moves for and against an entry. entries: mfe, mae."""
+    long = entries.unpivot([], ["mfe", "mae"], "side", "x")
+    return long.groupBy("side").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), *(F.percentile("x", q / 100).alias(f"p{q}") for q in (25, 50, 75, 90)))
+
+
+def labels_at(bars: DataFrame, entries: DataFrame, models: dict[str, tuple[float, float]], horizon: int) -> DataFrame:
+    """Labels of several barrier pairs at given entries (symbol, date) alone; bars after them are looked at as ever."""
+    return multi_touch(bars, models, horizon).join(entries.select("symbol", "date").distinct(), ["symbol", "date"], "left_semi")
+
+
+def relabelled(bars: DataFrame, thresholds: DataFrame, horizon: int) -> DataFrame:
+    """symbol, date, model, hit for a table of thresholds (model, up, down), which has one row a model and is read by the driver."""
+    models = {r["model"]: (float(r["up"]), float(r["down"])) for r in thresholds.orderBy("model").collect()}
+    made = multi_touch(bars, models, horizon)
+    return made.unpivot(["symbol", "date"], [f"hit_{m}" for m in models], "model", "hit").withColumn("model", F.regexp_replace("model", "^hit_", ""))
+
+
+def overlap_matrix(spans: DataFrame, most: int = 1000, start: str = "t0", end: str = "t1") -> DataFrame:
+    """a, b: ids of spans that share a day, of a sample of at most most spans by a hash of their id; the pairs are at most its square."""
+    some = spans.orderBy(F.md5(F.col("id").cast("string")), "id").limit(most).select("id", F.col(start).alias("s"), F.col(end).alias("e"))
+    x, y = F.broadcast(some.toDF("a", "sa", "ea")), some.toDF("b", "sb", "eb")
+    return y.join(x, (F.col("a") < F.col("b")) & (F.col("sa") <= F.col("eb")) & (F.col("ea") >= F.col("sb"))).select("a", "b")
 
 
 def active_density(spans: DataFrame, start: str = "t0", end: str = "t1") -> DataFrame:

@@ -42,10 +42,10 @@ def first_available(bars: DataFrame, alternatives: list[str], price: str = "clos
     return bars.where(F.col("symbol").isin(alternatives) & F.col(price).isNotNull()).groupBy("date").agg(F.min_by(price, order).alias(price))
 
 
-def ratios(table: DataFrame, pairs: dict[str, tuple[str, str]], w: int = 60) -> DataFrame:
+def ratios(table: DataFrame, pairs: dict[str, tuple[str, str]], w: int = 60, least: int | None = None) -> DataFrame:
     """Ratios of columns and their z-scores."""
     out = table.withColumns({n: div(a, b) for n, (a, b) in pairs.items()})
-    return out.withColumns({f"{n}_z": zscore(n, w) for n in pairs})
+    return out.withColumns({f"{n}_z": zscore(n, w, least) for n in pairs})
 
 
 def rolling_correlation(table: DataFrame, a: str, b: str, w: int = 60, least: int = 30, name: str = "corr") -> DataFrame:
@@ -79,3 +79,22 @@ def simple_rsi(table: DataFrame, x: str, w: int = 14) -> DataFrame:
 def combined_state(table: DataFrame, parts: list[str], name: str) -> DataFrame:
     """Names of several states joined."""
     return table.withColumn(name, F.when(reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in parts]), F.concat_ws("_", *parts)))
+
+
+def weekly_series(table: DataFrame, x: str) -> DataFrame:
+    """symbol, date (the week's Friday) and the last value of x in the week."""
+    from .panel import week_end
+
+    return table.where(F.col(x).isNotNull()).groupBy("symbol", week_end().alias("week_end")).agg(F.max_by(x, "date").alias(x)).withColumnRenamed("week_end", "date")
+
+
+def weekly_regime(weekly: DataFrame, x: str) -> DataFrame:
+    """Percentile of 52 weeks, z-score of 12 by sample deviation, ratio to the mean of 4, changes over 1 and 4 weeks."""
+    out = prior_percentile(weekly, x, 52, 12, f"{x}_pct52")
+    return out.withColumns({f"{x}_z12": zscore(x, 12, 4, sample=True), f"{x}_ma4_ratio": div(x, mean(x, 4, 2)), f"{x}_chg1": div(x, lag(x, 1)) - 1, f"{x}_chg4": div(x, lag(x, 4)) - 1})
+
+
+def weekly_published(weekly: DataFrame, x: str, delay: int = 1) -> DataFrame:
+    """Level, difference over 4 weeks and z-score of 52, delay weeks late."""
+    out = weekly.withColumns({f"{x}_level": F.col(x), f"{x}_chg4": diff(x, 4), f"{x}_z52": zscore(x, 52)})
+    return out.withColumns({c: F.lag(c, delay).over(by_symbol()) for c in (f"{x}_level", f"{x}_chg4", f"{x}_z52")})

@@ -39,3 +39,9 @@ def gains(correlations: DataFrame, sector_of: DataFrame) -> DataFrame:
     """symbol, group, gain: how much better each benchmark correlates than the symbol's own sector."""
     own = correlations.join(small(sector_of), "symbol").where(F.col("bench") == F.col("sector")).select("symbol", F.col("corr").alias("own"))
     return correlations.join(own, "symbol").select("symbol", F.col("bench").alias("group"), (F.col("corr") - F.col("own")).alias("gain"))
+
+
+def by_gain(sector_of: DataFrame, gains: DataFrame, least: float = 0.03) -> DataFrame:
+    """symbol, subsector: the benchmark that correlates better than the own sector by most, if by least at least; else the sector."""
+    best = gains.where(F.col("gain") >= least).groupBy("symbol").agg(F.max_by("group", F.struct("gain", "group")).alias("__b"))
+    return sector_of.join(small(best), "symbol", "left").select("symbol", F.coalesce("__b", "sector").alias("subsector"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import by_date, by_symbol, col, div, lag, mean, rows, total
+from ..functions.windows import by_date, by_symbol, col, div, lag, mean, rows, total, zscore
 
 #: Rows of a benchmark, macro or mapping table that may be broadcast.
 MOST_BROADCAST = 2_000_000
@@ -65,27 +65,67 @@ def benchmarks(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     return px.withColumn("bench_ret", F.log("px") - F.log(F.lag("px").over(w)))
 
 
-def beta_alpha(table: DataFrame, y: str, x: str, w: int = 60, prefix: str = "") -> DataFrame:
+def beta_alpha(table: DataFrame, y: str, x: str, w: int = 60, prefix: str = "", least: int | None = None) -> DataFrame:
     """Rolling beta of y on x and what it leaves, over rows where both are there."""
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
     frame = rows(w)
     out = table.withColumns({"__y": F.when(both, F.col(y)), "__x": F.when(both, F.col(x))})
-    enough = F.count("__x").over(frame) >= max(20, w // 3)
+    enough = F.count("__x").over(frame) >= (least or max(20, w // 3))
     cov, var = F.covar_samp("__y", "__x").over(frame), F.var_samp("__x").over(frame)
     out = out.withColumn(f"{prefix}beta", F.when(enough, div(cov, var)))
     return out.withColumn(f"{prefix}alpha", F.col(y) - F.col(f"{prefix}beta") * F.col(x)).drop("__y", "__x")
 
 
-def alpha_momentum(table: DataFrame, alpha: str, prefix: str, windows=(20, 60, 120)) -> DataFrame:
-    return table.withColumns({f"{prefix}_{w}": total(alpha, w, max(3, w // 3)) for w in windows})
+def alpha_momentum(table: DataFrame, alpha: str, prefix: str, windows=(20, 60, 120), part: int = 3) -> DataFrame:
+    """Sums of alpha over each window; a part of its rows must be there."""
+    return table.withColumns({f"{prefix}_{w}": total(alpha, w, max(3, w // part) if part == 3 else w // part) for w in windows})
 
 
-def relative_strength(table: DataFrame, price: str, bench: str) -> DataFrame:
-    """Price by benchmark, against its own mean of 60 rows, and its z-score of 20."""
-    out = table.withColumn("rs", div(price, bench))
-    frame = rows(20)
-    dev = F.when(F.count("rs").over(frame) >= 6, F.stddev_pop("rs").over(frame))
-    return out.withColumns({"rs_norm": div("rs", mean("rs", 60)) - 1, "rs_z20": div(F.col("rs") - mean("rs", 20), dev)})
+def relative_strength(table: DataFrame, price: str, bench: str, prefix: str = "rs", norm: tuple[int, int] = (60, 20), z: tuple[int, int] = (20, 6)) -> DataFrame:
+    """Price by benchmark, against its own mean, and its z-score by sample deviation; norm, z: rows, and how many must be there."""
+    out = table.withColumn(prefix, div(price, bench))
+    return out.withColumns({f"{prefix}_norm": div(prefix, mean(prefix, *norm)) - 1, f"{prefix}_z{z[0]}": zscore(prefix, *z, sample=True)})
+
+
+def with_benchmark(table: DataFrame, bench: DataFrame, of: Column | str, names: dict[str, str]) -> DataFrame:
+    """table with columns of the benchmark of each row: of gives its name; names: benchmark column -> new name. Rows without one keep nulls."""
+    right = bench.select(F.col("bench").alias("__b"), F.col("date").alias("__d"), *(F.col(k).alias(v) for k, v in names.items()))
+    return table.withColumn("__of", of if isinstance(of, Column) else F.lit(of)).join(small(right), (F.col("__of") == F.col("__b")) & (F.col("date") == F.col("__d")), "left").drop("__of", "__b", "__d")
+
+
+def alpha_drivers(bars: DataFrame, sectors: DataFrame, bench: DataFrame, w: int = 60, least: int | None = None, windows=(20, 60), part: int = 3) -> DataFrame:
+    """Beta, alpha and alpha momentum of every symbol against the market and its sector, and the even mix of both alphas. bars have ret."""
+    out = bars.join(small(sectors), "symbol", "left")
+    out = with_benchmark(with_benchmark(out, bench, "ALL", {"bench_ret": "market_ret"}), bench, F.col("sector"), {"bench_ret": "sector_ret"})
+    out = beta_alpha(beta_alpha(out, "ret", "market_ret", w, "market_", least), "ret", "sector_ret", w, "sector_", least)
+    out = out.withColumn("combo_alpha", 0.5 * F.col("market_alpha") + 0.5 * F.col("sector_alpha"))
+    for name in ("market", "sector", "combo"):
+        out = alpha_momentum(out, f"{name}_alpha", f"{name}_mom", windows, part)
+    return out
+
+
+def strength_drivers(bars: DataFrame, sectors: DataFrame, bench: DataFrame, norm: tuple[int, int] = (60, 20), z: tuple[int, int] = (20, 6)) -> DataFrame:
+    """Relative strength of every symbol against the market and its sector, and of the sector against the market."""
+    out = bars.join(small(sectors), "symbol", "left")
+    out = with_benchmark(with_benchmark(out, bench, "ALL", {"px": "market_px"}), bench, F.col("sector"), {"px": "sector_px"})
+    out = relative_strength(out, "close", "market_px", "rs_market", norm, z)
+    out = relative_strength(out, "close", "sector_px", "rs_sector", norm, z)
+    return relative_strength(out, "sector_px", "market_px", "rs_sector_market", norm, z)
+
+
+def required_benchmarks(bench: DataFrame, mapping: DataFrame, always: list[str]) -> DataFrame:
+    """The rows of benchmarks that some symbol is mapped to, or that are always asked for."""
+    asked = mapping.select("bench").distinct()
+    named = F.col("bench").isin(always)
+    return bench.where(named).unionByName(bench.where(~named).join(asked, "bench", "left_semi"))
+
+
+def enough_members(bars: DataFrame, names: list[str], least: int, rows_: int = 50) -> DataFrame:
+    """Rows of the named symbols that have at least rows_ rows each, or no rows if fewer than least of them do."""
+    mine = bars.where(F.col("symbol").isin(names))
+    full = mine.groupBy("symbol").agg(F.count("*").alias("__n")).where(F.col("__n") >= rows_)
+    many = full.agg(F.count("*").alias("__m"))
+    return mine.join(small(full.select("symbol")), "symbol", "left_semi").join(F.broadcast(many)).where(F.col("__m") >= least).drop("__m")
 
 
 def best_match(bars: DataFrame, bench: DataFrame, least: int = 100) -> DataFrame:
@@ -104,17 +144,28 @@ def correlations(bars: DataFrame, bench: DataFrame, least: int = 100) -> DataFra
     return out.where(F.col("n") > least).select("symbol", "bench", "n", div("c", F.col("s") * F.col("t")).alias("corr"))
 
 
-def breadth(bars: DataFrame) -> DataFrame:
-    """Per date: symbols that rose and fell, their difference and its running sum, shares above the 50 and 200 row means."""
-    marked = bars.withColumns({"up": F.signum(F.col("close") - lag("close")), "ma50": mean("close", 50, 25), "ma200": mean("close", 200, 100)})
-    day = marked.groupBy("date").agg(F.sum((F.col("up") > 0).cast("int")).alias("advancers"), F.sum((F.col("up") < 0).cast("int")).alias("decliners"), F.avg((F.col("close") > F.col("ma50")).cast("double")).alias("above_ma50"), F.avg((F.col("close") > F.col("ma200")).cast("double")).alias("above_ma200"))
+def breadth(bars: DataFrame, averages: tuple[int, int] = (50, 200), spans: tuple[int, int] = (19, 39)) -> DataFrame:
+    """Per date: symbols that rose and fell, their difference and its running sum, shares above two averages, and the McClellan
+    oscillator (two exponential means of the difference) with its running sum."""
+    from .kernels import smoothed
+
+    a, b = averages
+    marked = bars.withColumns({"up": F.signum(F.col("close") - lag("close")), "ma_a": mean("close", a, a // 2), "ma_b": mean("close", b, b // 2)})
+    day = marked.groupBy("date").agg(F.sum((F.col("up") > 0).cast("int")).alias("advancers"), F.sum((F.col("up") < 0).cast("int")).alias("decliners"), F.avg((F.col("close") > F.col("ma_a")).cast("double")).alias(f"above_ma{a}"), F.avg((F.col("close") > F.col("ma_b")).cast("double")).alias(f"above_ma{b}"))
     day = day.withColumns({"advancers": F.coalesce("advancers", F.lit(0)), "decliners": F.coalesce("decliners", F.lit(0))})
     order = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return day.withColumn("net", F.col("advancers") - F.col("decliners")).withColumn("ad_line", F.sum("net").over(order))
+    day = day.withColumn("net", F.col("advancers") - F.col("decliners")).withColumn("ad_line", F.sum("net").over(order))
+    # one row a date
+    day = smoothed(day.withColumns({"symbol": F.lit("ALL"), "__net": F.col("net").cast("double")}), {"__fast": ("__net", spans[0], 1), "__slow": ("__net", spans[1], 1)})
+    return day.withColumn("mcclellan_osc", F.col("__fast") - F.col("__slow")).withColumn("mcclellan_sum", F.sum("mcclellan_osc").over(order)).drop("symbol", "__net", "__fast", "__slow")
 
 
-def momentum(bars: DataFrame, w: int) -> DataFrame:
-    return bars.withColumn("mom", total("ret", w, max(3, w // 3)))
+def momentum(bars: DataFrame, w: int, least: int | None = None) -> DataFrame:
+    """mom: sum of ret over the last w dates of the whole table's calendar, from its w-th date on."""
+    days = bars.select("date").distinct().withColumn("__k", F.row_number().over(Window.orderBy("date")))
+    frame = Window.partitionBy("symbol").orderBy("__k").rangeBetween(-(w - 1), 0)
+    enough = (F.count("ret").over(frame) >= (least or max(3, w // 3))) & (F.col("__k") >= w)
+    return bars.join(small(days), "date").withColumn("mom", F.when(enough, F.sum("ret").over(frame))).drop("__k")
 
 
 def median_z(x: str | Column, window=None) -> Column:
@@ -124,9 +175,9 @@ def median_z(x: str | Column, window=None) -> Column:
     return F.when(dev > 1e-10, (col(x) - F.percentile(col(x), 0.5).over(window)) / dev)
 
 
-def neutral_momentum(bars: DataFrame, sectors: DataFrame, w: int) -> DataFrame:
+def neutral_momentum(bars: DataFrame, sectors: DataFrame, w: int, least: int | None = None) -> DataFrame:
     """Momentum z-scores across each date, plain and less the sector's median."""
-    out = momentum(bars, w).join(small(sectors), "symbol", "left")
+    out = momentum(bars, w, least).join(small(sectors), "symbol", "left")
     in_sector = Window.partitionBy("date", "sector")
     middle = F.when(F.count("mom").over(in_sector) >= 2, F.percentile("mom", 0.5).over(in_sector))
     out = out.withColumn("mom_neutral", F.when(F.col("sector").isNotNull(), F.col("mom") - middle))

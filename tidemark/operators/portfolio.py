@@ -161,3 +161,9 @@ def limits(weights: DataFrame, name: float = 0.1, sector: float = 0.3, gross: fl
     """Per week: does each constraint hold."""
     held = weights.withColumn("__s", F.sum("weight").over(Window.partitionBy("week", "sector")))
     return held.groupBy("week").agg((F.max("weight") <= name + 1e-9).alias("name_ok"), (F.max("__s") <= sector + 1e-9).alias("sector_ok"), (F.sum(F.abs("weight")) <= gross + 1e-9).alias("gross_ok"))
+
+
+def by_rule(signals: DataFrame, rule) -> DataFrame:
+    """Weights by a user's own expression, scaled to 1 in each week; signals that it gives nothing are out."""
+    rows = signals.withColumn("weight", rule).where("weight > 0")
+    return rows.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("week")))

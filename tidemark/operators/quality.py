@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import by_symbol, div, finite
 
-#: Names of securities that aren't common shares, and words in their descriptions.
-UNTRADEABLE = (r"\.WS?$", r"\.U$", r"\.R$", r"\.P[A-Z]?$", r"^[A-Z]{4}F$")
-DESCRIPTIONS = (r"(?i)\b(?:spac|acquisition corp)\b", r"(?i)\b(?:adr|ads)\b", r"(?i)\bblank check\b")
+#: Endings of symbols that aren't common shares (warrants, units, rights, preferred, foreign), each after a separator.
+UNTRADEABLE = (r"[.\-/]W[S]?$", r"[.\-/]U$", r"[.\-/]R$", r"[.\-/]PR?[A-Z]?$", r"[.\-/]F$")
+#: What their descriptions say (acquisition companies, depositary receipts, blank cheques).
+DESCRIPTIONS = (r"ACQUISITION\s+(?:CORP|CO\b|COMPANY|LIMITED|INC)", r"\bADR\b|AMERICAN DEPOSITARY|DEPOSITARY SHARE|DEPOSITARY RECEIPT|^ADS-", r"BLANK CHECK")
 
 
 def tradeable(universe: DataFrame, name: str = "symbol", about: str = "description", names=UNTRADEABLE, words=DESCRIPTIONS) -> DataFrame:
-    bad = [F.coalesce(F.col(name).rlike(p), F.lit(False)) for p in names] + [F.coalesce(F.col(about).rlike(p), F.lit(False)) for p in words]
+    """Rows whose symbol and description match none of the patterns, which are held against upper-case text."""
+    bad = [F.coalesce(F.upper(F.col(c)).rlike(p), F.lit(False)) for c, patterns in ((name, names), (about, words)) for p in patterns]
     return universe.where(~reduce(Column.__or__, bad))
 
 

@@ -179,7 +179,7 @@ def label_input(spark, sf_dir):
     return ql.label_input(lb.with_atr(bars(spark, sf_dir)), most=1e6, ratio=1e9).groupBy("symbol").agg(F.count("*").alias("n"), (F.round(F.avg("atr"), 5) + 0.0).alias("mean_atr"))
 
 
-@query(chain(BARS, RET) + ", a AS (SELECT * FROM rets WHERE abs(ret) <= 1), b AS (SELECT avg(ret) AS m, stddev_samp(ret) AS s FROM a) SELECT symbol, date, round(ret, 8) + 0.0 AS ret FROM a, b WHERE abs(ret - m) <= 2.5 * s")
+@query(chain(BARS, RET) + ", a AS MATERIALIZED (SELECT * FROM rets WHERE abs(ret) <= 1), b AS MATERIALIZED (SELECT avg(ret) AS m, stddev_samp(ret) AS s FROM a) SELECT symbol, date, round(ret, 8) + 0.0 AS ret FROM a, b WHERE abs(ret - m) <= 2.5 * s")
 def extreme_returns(spark, sf_dir):
     return shown(ql.extreme_returns(ft.returns(bars(spark, sf_dir)), ["ret"], z=2.5), ["symbol", "date"], ["ret"], 8)
 
@@ -435,7 +435,7 @@ def beta_and_alpha(spark, sf_dir):
     return shown(t, ["symbol", "date"], ["beta", "alpha", "mom_20", "mom_60"], 4)
 
 
-@query(chain(BARS, SECTORS, BENCH, RET, _J, stage("ra", "j", {"rs": over("close", "px")}), stage("rb", "ra", {"rs_norm": over("rs", f"({mean('rs', 60)})") + " - 1", "rs_z20": over(f"rs - ({mean('rs', 20)})", f"({dev('rs', 20, 6)})")})) + f" SELECT symbol, date, {out(['rs', 'rs_norm', 'rs_z20'])} FROM rb")
+@query(chain(BARS, SECTORS, BENCH, RET, _J, stage("ra", "j", {"rs": over("close", "px")}), stage("rb", "ra", {"rs_norm": over("rs", f"({mean('rs', 60)})") + " - 1", "rs_z20": over(f"rs - ({mean('rs', 20)})", f"({dev('rs', 20, 6, 'stddev_samp')})")})) + f" SELECT symbol, date, {out(['rs', 'rs_norm', 'rs_z20'])} FROM rb")
 def relative_strength(spark, sf_dir):
     return shown(pn.relative_strength(_with_market(spark, sf_dir), "close", "px"), ["symbol", "date"], ["rs", "rs_norm", "rs_z20"])
 
@@ -455,14 +455,30 @@ def static_correlations(spark, sf_dir):
     return shown(pn.correlations(b, pn.benchmarks(b, sectors(spark, sf_dir))), ["symbol", "bench", "n"], ["corr"], 6)
 
 
-@query(chain(BARS, stage("a", "bars", {"up": f"sign(close - {lagged('close')})", "m50": mean("close", 50, 25), "m200": mean("close", 200, 100)})) + ", d AS (SELECT date, CAST(coalesce(sum(CASE WHEN up > 0 THEN 1 ELSE 0 END) FILTER (WHERE up IS NOT NULL), 0) AS BIGINT) AS advancers, CAST(coalesce(sum(CASE WHEN up < 0 THEN 1 ELSE 0 END) FILTER (WHERE up IS NOT NULL), 0) AS BIGINT) AS decliners, avg(CASE WHEN m50 IS NULL THEN NULL WHEN close > m50 THEN 1.0 ELSE 0.0 END) AS above_ma50, avg(CASE WHEN m200 IS NULL THEN NULL WHEN close > m200 THEN 1.0 ELSE 0.0 END) AS above_ma200 FROM a GROUP BY 1) SELECT date, advancers, decliners, advancers - decliners AS net, CAST(sum(advancers - decliners) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS ad_line, round(above_ma50, 5) + 0.0 AS above_ma50, round(above_ma200, 5) + 0.0 AS above_ma200 FROM d")
+def breadth_sql(before: str, a: int, b: int, spans: tuple[int, int]) -> str:
+    """Common table expressions that end in bs: breadth of the bars in before, with the oscillator."""
+    marked = stage("bm", before, {"up": f"sign(close - {lagged('close')})", "m_a": mean("close", a, a // 2), "m_b": mean("close", b, b // 2)})
+    day = f"bd AS (SELECT date, CAST(coalesce(sum(CASE WHEN up > 0 THEN 1 ELSE 0 END) FILTER (WHERE up IS NOT NULL), 0) AS BIGINT) AS advancers, CAST(coalesce(sum(CASE WHEN up < 0 THEN 1 ELSE 0 END) FILTER (WHERE up IS NOT NULL), 0) AS BIGINT) AS decliners, avg(CASE WHEN m_a IS NULL THEN NULL WHEN close > m_a THEN 1.0 ELSE 0.0 END) AS above_ma{a}, avg(CASE WHEN m_b IS NULL THEN NULL WHEN close > m_b THEN 1.0 ELSE 0.0 END) AS above_ma{b} FROM bm GROUP BY 1)"
+    fold = lambda span: f"list_reduce(list(CAST(net AS DOUBLE)) OVER w, lambda p, q: p + {2 / (span + 1)} * (q - p))"
+    line = f"bo AS (SELECT *, CAST(sum(net) OVER w AS BIGINT) AS ad_line, {fold(spans[0])} - {fold(spans[1])} AS mcclellan_osc FROM (SELECT *, advancers - decliners AS net FROM bd) WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+    return ", ".join((marked, day, line, "bs AS (SELECT *, sum(mcclellan_osc) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mcclellan_sum FROM bo)"))
+
+
+@query(chain(BARS, breadth_sql("bars", 50, 200, (19, 39))) + f" SELECT date, advancers, decliners, net, ad_line, {out(['above_ma50', 'above_ma200', 'mcclellan_osc', 'mcclellan_sum'], 4)} FROM bs")
 def breadth(spark, sf_dir):
-    return shown(pn.breadth(bars(spark, sf_dir)), ["date", "advancers", "decliners", "net", "ad_line"], ["above_ma50", "above_ma200"])
+    return shown(pn.breadth(bars(spark, sf_dir)), ["date", "advancers", "decliners", "net", "ad_line"], ["above_ma50", "above_ma200", "mcclellan_osc", "mcclellan_sum"], 4)
 
 
 # cross-sections
 
-_MOM = [BARS, SECTORS, RET, stage("mm", "rets", {"mom": roll("sum", "ret", 20, 6)}), "js AS (SELECT mm.*, sector FROM mm LEFT JOIN sectors USING (symbol))", "ns AS (SELECT *, CASE WHEN sector IS NOT NULL AND count(mom) OVER (PARTITION BY date, sector) >= 2 THEN mom - quantile_cont(mom, 0.5) OVER (PARTITION BY date, sector) END AS mom_neutral FROM js)", "zs AS (SELECT *, CASE WHEN stddev_pop(mom) OVER (PARTITION BY date) > 1e-10 THEN (mom - quantile_cont(mom, 0.5) OVER (PARTITION BY date)) / stddev_pop(mom) OVER (PARTITION BY date) END AS mom_z, CASE WHEN stddev_pop(mom_neutral) OVER (PARTITION BY date) > 1e-10 THEN (mom_neutral - quantile_cont(mom_neutral, 0.5) OVER (PARTITION BY date)) / stddev_pop(mom_neutral) OVER (PARTITION BY date) END AS mom_neutral_z FROM ns)"]
+CAL = "cal AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM bars))"
+
+
+def calendar_sum(name: str, before: str, w: int, least: int) -> str:
+    return f"{name} AS (SELECT r.*, CASE WHEN k >= {w} AND count(ret) OVER f >= {least} THEN sum(ret) OVER f END AS mom FROM {before} r JOIN cal USING (date) WINDOW f AS (PARTITION BY symbol ORDER BY k RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW))"
+
+
+_MOM = [BARS, SECTORS, RET, CAL, calendar_sum("mm", "rets", 20, 6), "js AS (SELECT mm.*, sector FROM mm LEFT JOIN sectors USING (symbol))", "ns AS (SELECT *, CASE WHEN sector IS NOT NULL AND count(mom) OVER (PARTITION BY date, sector) >= 2 THEN mom - quantile_cont(mom, 0.5) OVER (PARTITION BY date, sector) END AS mom_neutral FROM js)", "zs AS (SELECT *, CASE WHEN stddev_pop(mom) OVER (PARTITION BY date) > 1e-10 THEN (mom - quantile_cont(mom, 0.5) OVER (PARTITION BY date)) / stddev_pop(mom) OVER (PARTITION BY date) END AS mom_z, CASE WHEN stddev_pop(mom_neutral) OVER (PARTITION BY date) > 1e-10 THEN (mom_neutral - quantile_cont(mom_neutral, 0.5) OVER (PARTITION BY date)) / stddev_pop(mom_neutral) OVER (PARTITION BY date) END AS mom_neutral_z FROM ns)"]
 
 
 @query(chain(*_MOM) + f" SELECT symbol, date, {out(['mom', 'mom_z', 'mom_neutral_z'])} FROM zs")
@@ -525,12 +541,10 @@ def multi_barrier(spark, sf_dir):
 
 
 def _spans(spark, sf_dir):
-    t = _labels(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy("date"))
-    return t.withColumn("__k", n).where("__k % 5 = 1").select(F.concat_ws("|", "symbol", "date").alias("id"), "symbol", F.col("date").alias("t0"), F.col("t_hit").alias("t1"), "hit")
+    return _labels(spark, sf_dir).select(F.concat_ws("|", "symbol", "date").alias("id"), "symbol", F.col("date").alias("t0"), F.col("t_hit").alias("t1"), "hit")
 
 
-_SPANS = [*_TOUCH, f"sp AS (SELECT symbol, date AS t0, t_hit AS t1, hit FROM (SELECT *, row_number() OVER ({S}) AS k FROM pr) WHERE k % 5 = 1)"]
+_SPANS = [*_TOUCH, "sp AS (SELECT symbol, date AS t0, t_hit AS t1, hit FROM pr)"]
 _OVER = "ov AS (SELECT a.symbol, a.t0, a.hit, CAST(count(*) - 1 AS BIGINT) AS n_overlapping FROM sp a JOIN sp b ON a.symbol = b.symbol AND b.t0 <= a.t1 AND b.t1 >= a.t0 GROUP BY ALL)"
 
 
@@ -559,9 +573,12 @@ def excursions(spark, sf_dir):
     return shown(lb.excursions(lb.with_atr(bars(spark, sf_dir)), 20), ["symbol", "date"], ["mfe", "mae"])
 
 
-@query(chain(BARS, ATR) + f", x AS (SELECT *, max(high) OVER a AS hh, min(low) OVER a AS ll FROM entries WINDOW a AS ({S} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)), y AS (SELECT (hh - close) / atr AS mfe, (close - ll) / atr AS mae FROM x WHERE close > 0 AND atr > 0 AND hh IS NOT NULL) SELECT round(quantile_cont(mfe, 0.75), 6) + 0.0 AS multiple, CAST(count(*) AS BIGINT) AS n FROM y WHERE abs(mfe) <= 50 AND abs(mae) <= 50")
+_CRIT = f"cr AS (SELECT *, coalesce((list_max(list_transform(CASE WHEN sd > 0 THEN nx[1:sd - 1] ELSE nx END, lambda b: b.h)) - close) / atr, 0.0) AS critical FROM (SELECT *, coalesce(list_position(list_transform(nx, lambda b: b.l <= close - 1.5 * atr), true), 0) AS sd FROM nx WHERE close > 0 AND atr > 0 AND len(nx) > 0))"
+
+
+@query(chain(BARS, ATR, _NEXT, _CRIT) + " SELECT round(quantile_cont(critical, 0.75), 6) + 0.0 AS multiple, CAST(count(*) AS BIGINT) AS n FROM cr")
 def calibrated_multiple(spark, sf_dir):
-    return shown(lb.calibrated_multiple(lb.excursions(lb.with_atr(bars(spark, sf_dir)), 20), 0.25), ["n"], ["multiple"], 6)
+    return shown(lb.calibrated_multiple(lb.before_stop(lb.with_atr(bars(spark, sf_dir)), 1.5, 20), 0.25), ["n"], ["multiple"], 6)
 
 
 @query(None)
@@ -930,3 +947,6 @@ def sized_signals(spark, sf_dir):
     weekly = bars(spark, sf_dir).groupBy("symbol", F.date_trunc("week", "date").cast("date").alias("week")).agg(F.sum("volume").alias("bar_volume"))
     s = signals(spark, sf_dir).drop("volume").join(weekly, ["symbol", "week"], "left").withColumn("probability", F.round("probability", 4) + 0.0)
     return shown(s, ["symbol", "week", "sector", "probability"], ["bar_volume"], 3)
+
+
+from . import queries_more  # noqa: E402, F401 (registers its queries)
