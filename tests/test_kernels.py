@@ -123,7 +123,7 @@ def test_sources(spark, tmp_path):
     for _ in range(2):
         stages.run("one", lambda: (made.append(1), f)[1])
     assert len(made) == 1
-    (tmp_path / "u.csv").write_text("Symbol,Description,Sector\nAAA,Plain,Tech\nBBB.U,Unit,Tech\nCCC,Some SPAC,Fin\nAAA,Twice,Tech\n")
+    (tmp_path / "u.csv").write_text("Symbol,Description,Sector\nAAA,Plain,Tech\nBBB.U,Unit,Tech\nCCC,Some Acquisition Corp,Fin\nAAA,Twice,Tech\n")
     u = src.read_universe(spark, str(tmp_path / "u.csv"))
     assert u.count() == 3 and [r.symbol for r in ql.tradeable(u).collect()] == ["AAA"]
 
