@@ -147,8 +147,9 @@ def odd_tokens(data: np.ndarray, cuts: np.ndarray, letter: np.ndarray) -> np.nda
     same = of[1:] == of[:-1]
     out[of[:-1][sign[:-1] & letter[1:] & same]] = True
     after = np.flatnonzero(letter[:-1] & sign[1:] & same)
-    follows = np.minimum(after + 2, n - 1)
-    out[of[after[(after + 2 >= n) | (of[follows] != of[after]) | (data[follows] != 0x21)]]] = True
+    behind = after + np.where(data[np.minimum(after + 1, n - 1)] == 0xE2, 4, 2)
+    follows = np.minimum(behind, n - 1)
+    out[of[after[(behind >= n) | (of[follows] != of[after]) | (data[follows] != 0x21)]]] = True
     # stretches of signs and separators between letters
     edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     a, b = np.flatnonzero(edge == 1) - 1, np.flatnonzero(edge == -1)
