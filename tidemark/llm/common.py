@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,13 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done: it does so when the driver collects its garbage, which many short
+    jobs in a row don't bring about."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def splits(df: DataFrame) -> int:
     """Partitions for a shuffle of whole rows: as many as the session asks for, at least as many as the input has."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

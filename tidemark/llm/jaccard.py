@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, distinct, keyed, mix, pack_ints, runs, splits, steps, store, text_or_empty, unpack_ints, without
+from .common import SPACED, Words, discard, distinct, keyed, mix, pack_ints, runs, splits, steps, store, sweep, text_or_empty, unpack_ints, without
 from .graph import components
 
 #: Stands for a null doc_id inside.
@@ -38,7 +38,7 @@ NONE = -(1 << 63)
 #: Shingles in a slice and in a packed batch; documents whose ids may be broadcast (8 bytes each).
 SLICE, PACK, MOST_BROADCAST = 3_000_000, 2_000_000, 2_000_000
 #: Cost of verifying a candidate, in postings read; longest extension tried; pivot rounds at most.
-VERIFY, MOST_MATCHES, ROUNDS = 20.0, 8, 6
+VERIFY, MOST_MATCHES, ROUNDS = 20.0, 8, 3
 #: Classes of a cluster that are paired at most, classes of a block, shingles that a block counts at a time.
 PAIRED, BLOCK, COUNTED = 256, 1024, 4096
 
@@ -355,7 +355,7 @@ def link_classes(held: DataFrame, percent: int) -> DataFrame:
     spark = held.sparkSession
     common = common_tokens(held, percent)
     postings = prefixes(common, percent)
-    roots = spark.createDataFrame([], "node long, root long")
+    roots = store(spark.createDataFrame([], "node long, root long"), "roots")
     size = postings.count()
 
     def settle(links: DataFrame) -> bool:
@@ -368,12 +368,21 @@ def link_classes(held: DataFrame, percent: int) -> DataFrame:
         edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
         grown = components(edges)
         moved = roots.join(grown.withColumnRenamed("root", "top").withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = store(moved.unionAll(grown.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+        before, roots = roots, store(moved.unionAll(grown.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+        for table in (links, grown, before):
+            discard(table)
+        del edges, grown, moved, before
+        sweep(spark)
         return True
 
+    held_lists: list[DataFrame] = []
+
     def open_lists() -> tuple[DataFrame, float]:
-        """Posting lists that hold several components, and how many pairs they make."""
+        """Posting lists that hold several components, and how many pairs they make. They take the place of those before."""
         lists = store(postings.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("token", "rid", "n", "matches", F.coalesce("root", "rid").alias("root")), "lists")
+        for table in held_lists:
+            discard(table)
+        held_lists[:] = [lists]
         groups = lists.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own")).where("c * c > own")
         left = groups.agg(F.coalesce(F.sum((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2), F.lit(0.0))).first()[0]
         return lists.join(groups.select("token"), "token", "left_semi"), left
