@@ -102,10 +102,65 @@ def test_syncmers_are_context_free(spark):
 
     words = " ".join(f"word{i}" for i in range(60))
     rows = sy.anchors(spark.createDataFrame([(1, words), (2, "some other words before it " + words)], "doc_id long, text string")).collect()
-    a, b = ({r["hash"] for r in rows if r.doc_id == d and r.position > 5} for d in (1, 2))
+    a, b = ({r["hash"] for r in rows if r.doc_id == d and r.position >= sy.K - 1} for d in (1, 2))
     assert a and a <= b
 
 
+def test_syncmers_by_brute_force(spark):
+    """The anchors are the runs whose smallest inner run lies at an edge, pieces cut by plain rules."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import syncmers as sy
+
+    def cut(text):
+        made, piece = [], ""
+        for c in text + " ":
+            if c.isspace():
+                made, piece = made + [piece], ""
+            elif c in "AEIOUaeiou02468" or c > "\u024f":
+                made, piece = made + [piece + c], ""
+            elif len(piece) == sy.PIECE - 1 and not any(x in "AEIOUaeiou02468" for x in piece):
+                made, piece = [*made, piece + c], ""
+            else:
+                piece += c
+        return [p for p in made if p]
+
+    texts = ["", "a", "  \t", "strengths of rhythms", "brrrrrrrrrrrra!", "naïve Ünïcode", "漢字かな交じり文です" * 5, "one two three four five six seven eight 1234567890 " * 4]
+    random.seed(9)
+    texts += ["".join(random.choice("abcdefgh 0123é漢") for _ in range(300)) for _ in range(10)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found: dict = {}
+    for r in sy.anchors(table).collect():
+        found.setdefault(r.doc_id, set()).add(r.position)
+    for k, text in enumerate(texts):
+        pieces = cut(text)
+        if not pieces:
+            assert k not in found
+            continue
+        made = spark.createDataFrame([(i, p) for i, p in enumerate(pieces)], "i int, p string").select("i", F.hash("p").alias("h")).orderBy("i").collect()
+        marked = [0] * (sy.K - 1) + [r.h for r in made]
+        inner = spark.createDataFrame([(i, *marked[i : i + sy.S]) for i in range(len(marked) - sy.S + 1)], "i int, " + ", ".join(f"h{j} int" for j in range(sy.S)))
+        hashes = [r.h for r in inner.select("i", F.hash(*(f"h{j}" for j in range(sy.S))).alias("h")).orderBy("i").collect()]
+        wide = sy.K - sy.S + 1
+        want = {i for i in range(len(pieces)) if min(hashes[i : i + wide]) in (hashes[i], hashes[i + wide - 1])}
+        assert found.get(k, set()) == want, text
+        assert 0 in want
+
+
+def test_syncmers_survive_a_character(spark):
+    """One more character at the front or inside leaves most anchors, in text with and without blanks."""
+    from tidemark.llm import syncmers as sy
+
+    random.seed(4)
+    wide = "".join(chr(random.randrange(0x4E00, 0x9FA5)) for _ in range(600))
+    spaced = " ".join("".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randint(2, 9))) for _ in range(200))
+    for text in (wide, spaced, spaced.replace(" ", "")):
+        table = spark.createDataFrame([(text, "x" + text, text[:300] + text[300] + text[300:])], "a string, b string, c string")
+        own = table.select(*(sy.sketch(table[c]).alias(c) for c in "abc"))
+        for got in own.select(sy.likeness(own.a, own.b), sy.likeness(own.a, own.c)).first():
+            assert got >= 0.8
+
+
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
