@@ -1,10 +1,10 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is cut at white space and after every character of ENDS: in Latin letters the plain vowels and even digits, elsewhere
-every character. Where a cut lies so depends on the characters there and not on a count from a word's start, in text
-without blanks too (only a run of more than PIECE other characters is cut by count, up to the next of ENDS). Of the runs of K
-pieces (K - 1 marks stand before the first piece, so short texts have runs too) those are anchors whose smallest inner run of
-S pieces, by hash, lies at an edge: about two in five. Whether a run is an anchor depends on the run alone, so texts that share a passage share its
+A text is cut at white space and after every a, o, u, 0, 5 and every character outside ASCII. Where a cut lies so depends on
+the characters there and not on a count from a word's start, in text without blanks too (a longer run of other characters is
+cut by count, up to the next of these). Of the runs of K pieces (K - 1 marks stand before the first piece, so short texts have
+runs too) those are anchors whose smallest inner run of S pieces, by hash, lies at an edge: about two in five.
+Whether a run is an anchor depends on the run alone, so texts that share a passage share its
 anchors wherever it stands: anchors() gives them with their positions for positional matching. A fingerprint keeps the
 KEEP smallest of a text's distinct anchor hashes, and likeness estimates the Jaccard similarity of the anchor sets from
 two fingerprints.
@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import store, text_or_empty
 
-#: Most characters of a piece, pieces of a run and of an inner run, hashes of a fingerprint.
-PIECE, K, S, KEEP = 6, 8, 4, 64
-#: Characters that end a piece, and those that don't, as classes of a pattern.
-ENDS = r"[AEIOUaeiou02468[^\x00-\x{24F}]&&\S]"
-OTHERS = r"[\x00-\x{24F}&&[^AEIOUaeiou02468\s]]"
-PIECES = rf"(?U){OTHERS}{{0,{PIECE - 1}}}{ENDS}|{OTHERS}{{1,{PIECE}}}"
+#: Pieces of a run and of an inner run, hashes of a fingerprint.
+K, S, KEEP = 6, 2, 64
+#: Visible ASCII characters that don't end a piece, and a piece: up to six of them and one more character.
+OTHERS = r"[!-/1-46-9:-@B-NP-TV-Z\[-`b-np-tv-z{-~]"
+PIECES = rf"(?U){OTHERS}{{1,6}}+\S?|\S"
 #: Stands for a null doc_id inside.
 NONE = -(1 << 63)
 
@@ -40,15 +39,15 @@ def _inner(text: Column) -> Column:
     """Hashes of the text's runs of S pieces, the marks before it included."""
     pieces = F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda x: F.hash(x))
     marked = F.when(F.size(pieces) > 0, F.concat(F.array([F.lit(0)] * (K - 1)), pieces)).otherwise(F.array().cast("array<int>"))
-    return _let(marked, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (S - 1), F.lit(0))), lambda x, i: F.hash(x, *(F.get(w, i + k) for k in range(1, S)))))
+    return _let(marked, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (S - 1), F.lit(0))), lambda x, i: F.hash(x, F.get(w, i + 1))))
 
 
 def _runs(inner: Column) -> Column:
-    """For each run of K pieces its 64-bit hash if it is a closed syncmer, else null. It has K - S + 1 inner runs."""
+    """For each run of K pieces its 64-bit hash if it is a closed syncmer, else null. It has K - S + 1 = 5 inner runs."""
 
     def body(s):
         last = K - S
-        return F.transform(F.slice(s, 1, F.greatest(F.size(s) - last, F.lit(0))), lambda x, i: F.when(F.least(x, F.get(s, i + last)) <= F.least(*(F.get(s, i + k) for k in range(1, last))), F.xxhash64(x, F.get(s, i + last))))
+        return F.transform(F.slice(s, 1, F.greatest(F.size(s) - last, F.lit(0))), lambda x, i: F.when(F.least(x, F.get(s, i + last)) <= F.least(*(F.get(s, i + k) for k in range(1, last))), F.xxhash64(x, F.get(s, i + S), F.get(s, i + last))))
 
     return _let(inner, body)
 
