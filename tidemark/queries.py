@@ -548,6 +548,11 @@ _SPANS = [*_TOUCH, "sp AS (SELECT symbol, date AS t0, t_hit AS t1, hit FROM pr)"
 _OVER = "ov AS (SELECT a.symbol, a.t0, a.hit, CAST(count(*) - 1 AS BIGINT) AS n_overlapping FROM sp a JOIN sp b ON a.symbol = b.symbol AND b.t0 <= a.t1 AND b.t1 >= a.t0 GROUP BY ALL)"
 
 
+@query(chain(*_SPANS) + " SELECT symbol, CAST(t0 AS DATE) AS entry_date, CAST(t1 AS DATE) AS exit_date, CAST(hit AS INTEGER) AS hit, CAST(hit = 1 AS INTEGER) AS target FROM sp WHERE hit <> 0")
+def training_targets(spark, sf_dir):
+    return src.targets(_spans(spark, sf_dir).withColumnRenamed("t1", "t_hit")).select("symbol", "entry_date", "exit_date", F.col("hit").cast("int").alias("hit"), "target")
+
+
 @query(chain(*_SPANS, _OVER) + " SELECT symbol, t0, n_overlapping FROM ov")
 def overlap_counts(spark, sf_dir):
     return lb.overlaps(_spans(spark, sf_dir)).select("symbol", "t0", "n_overlapping")

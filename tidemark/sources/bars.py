@@ -70,6 +70,60 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     return table.select(F.upper(pick("symbol")).alias("symbol"), pick("description").alias("description"), pick("sector").alias("sector")).where("symbol is not null").dropDuplicates(["symbol"])
 
 
+def universe_symbols(spark: SparkSession, path: str, most: int | None = None, only_tradeable: bool = True) -> list[str]:
+    """Symbols of a universe CSV in the order of its lines; most takes the first so many, as asked for."""
+    from ..operators.quality import tradeable
+
+    lines = spark.read.csv(path, header=True)
+    column = lambda name: next((c for c in sorted(lines.columns, key=lambda c: c.lower() != name) if name in c.lower()), None)
+    symbol, about = column("symbol"), column("description")
+    if symbol is None:
+        raise ValueError(f"no symbol column in {path}: {lines.columns}")
+    table = lines.select(F.monotonically_increasing_id().alias("line"), F.col(f"`{symbol}`").alias("symbol"), (F.col(f"`{about}`") if about else F.lit(None).cast("string")).alias("description")).where("symbol is not null")
+    table = (tradeable(table) if only_tradeable else table).orderBy("line")
+    return [r[0] for r in (table.limit(most) if most else table).select("symbol").collect()]
+
+
+def newest(spark: SparkSession, paths: list[str]) -> str | None:
+    """The path that was written last, of those that exist; of equally old ones the last named. Any Hadoop store will do."""
+    found = []
+    for place, path in enumerate(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.exists(at):
+            found.append((store.getFileStatus(at).getModificationTime(), place, path))
+    return max(found)[2] if found else None
+
+
+def read_cached(spark: SparkSession, stocks: list[str], funds: str | None = None) -> DataFrame:
+    """Bars of the newest stock table and of the funds, told apart by kind; of a table that isn't there, no rows."""
+    chosen = [(newest(spark, stocks), "stock"), (newest(spark, [funds]) if funds else None, "fund")]
+    tables = [read_bars(spark, path).withColumn("kind", F.lit(kind)) for path, kind in chosen if path]
+    if not tables:
+        return spark.createDataFrame([], "symbol string, date date, open double, high double, low double, close double, adjclose double, volume double, kind string")
+    return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1], allowMissingColumns=True)
+
+
+def write_table(table: DataFrame, path: str) -> None:
+    """Daily or weekly features, or weekly bars, of all symbols as one table, symbol as text and date as a date. Rows are dealt by ranges
+    of symbol and date, so that a reader's filters on both skip row groups and a large symbol spans several files."""
+    kept = table.withColumns({"symbol": F.col("symbol").cast("string"), "date": F.col("date").cast("date")})
+    kept.repartitionByRange("symbol", "date").sortWithinPartitions("symbol", "date").write.mode("overwrite").parquet(path)
+
+
+def targets(labels: DataFrame, neutral: bool = False) -> DataFrame:
+    """Labels under the names of a training table, dates as dates, target 1 where the upper barrier was hit. Unless neutral is set, rows
+    without a hit (0) go; rows whose hit is null stay, with target 0."""
+    names = {"t0": "entry_date", "t_hit": "exit_date", "entry_px": "entry_price", "price_hit": "exit_price"}
+    table = labels.withColumnsRenamed(names).withColumns({c: F.to_date(c) for c in ("entry_date", "exit_date")})
+    table = table if neutral else table.where("hit is null or hit <> 0")
+    return table.withColumn("target", F.coalesce((F.col("hit") == 1).cast("int"), F.lit(0)))
+
+
+def read_targets(spark: SparkSession, path: str, neutral: bool = False) -> DataFrame:
+    return targets(spark.read.parquet(path), neutral)
+
+
 def upsert_missing(cached: DataFrame, new: DataFrame) -> DataFrame:
     """Cached rows plus the rows of symbols that the cache lacks."""
     return cached.unionByName(new.join(cached.select("symbol").distinct(), "symbol", "left_anti"), allowMissingColumns=True)
