@@ -132,7 +132,7 @@ def test_negatives(spark, monkeypatch, dims, spread):
 
 
 def test_negatives_beyond_doubles(spark):
-    rows = [(i, [x * 3e7 for x in v], l) for i, v, l in planted(5, 60, 6, 1.0)]
+    rows = [(i, [x * 1e7 for x in v], l) for i, v, l in planted(5, 60, 6, 1.0)]
     got = sorted(tuple(r) for r in negatives.mine_relabelled(spark.createDataFrame(rows, VECTORS)).collect())
     assert got == brute_negatives(rows) and any(abs(r[4]) > 1 << 53 for r in got)
 
