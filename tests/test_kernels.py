@@ -100,7 +100,7 @@ def test_entry_walk(spark):
 def test_ridge(spark):
     f = walk(120)
     f["x"], f["y"] = f["volume"], f["close"].diff()
-    from tidemark.operators.kernels import rolling_ridge
+    from tidemark.operators.factors import rolling_ridge
 
     got = rolling_ridge(spark.createDataFrame(f[["symbol", "date", "x", "y"]]), "y", ["x"]).toPandas().sort_values("date").reset_index(drop=True)
     part = f.iloc[41:101].dropna()

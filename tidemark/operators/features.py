@@ -212,11 +212,13 @@ def slope(table: DataFrame, x: str, w: int, name: str, least: int | None = None)
 
 
 def spread(table: DataFrame, x: str, prefix: str, windows=(20, 60, 120)) -> DataFrame:
-    """Rolling sums of a return spread, its z-score and the slopes of its running sum."""
-    out = table.withColumns({f"{prefix}_cum_{w}": total(x, w, max(5, w // 3)) for w in windows} | {f"{prefix}_z_60": zscore(x, 60), "__run": F.sum(x).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))})
-    for w in (20, 60):
-        out = slope(out, "__run", w, f"{prefix}_slope_{w}")
-    return out.drop("__run")
+    """Sums of a return spread over each window (a third of its rows must be there, at least 3), its z-score by sample deviation over the middle
+    window (half, at least 10), and its slopes over the first two (half, at least 3)."""
+    z = windows[1]
+    out = table.withColumns({f"{prefix}_cum_{w}": total(x, w, max(3, w // 3)) for w in windows} | {f"{prefix}_z_{z}": zscore(x, z, min(z, max(10, z // 2)), sample=True)})
+    for w in windows[:2]:
+        out = slope(out, x, w, f"{prefix}_slope_{w}", min(w, max(3, w // 2)))
+    return out
 
 
 def prior_percentile(table: DataFrame, x: str, w: int, least: int, name: str) -> DataFrame:

@@ -6,8 +6,12 @@ bars is 25,000 rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -34,6 +38,9 @@ def rsi(price: pd.Series, n: int = 14) -> pd.Series:
 
 
 def macd(price: pd.Series, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[pd.Series, pd.Series, pd.Series]:
+    """Line, signal and histogram; null for a series of fewer than slow + signal values."""
+    if price.notna().sum() < slow + signal:
+        return price * np.nan, price * np.nan, price * np.nan
     line = ewm(price, fast) - ewm(price, slow)
     mark = ewm(line, signal)
     return line, mark, line - mark
@@ -118,60 +125,36 @@ BLOCKS = {
 }
 
 
-def recursive(bars: DataFrame, blocks: list[str]) -> DataFrame:
-    """bars with the columns of the named blocks: one shuffle, one pass a symbol."""
-    names = [c for b in blocks for c in BLOCKS[b][0]]
+def grouped(table: DataFrame, makers: list[tuple[tuple[str, ...], tuple[str, ...], Callable]]) -> DataFrame:
+    """table with columns of doubles that depend on a symbol's rows before: (needs, makes, function of a frame that gives the made columns).
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date").reset_index(drop=True)
-        made = dict(zip(names, (s for b in blocks for s in BLOCKS[b][1](frame)), strict=True))
-        return frame.assign(**made)
+    All run in one pass over a symbol, in order, so later ones can need what earlier ones make. The other columns pass as Arrow; only the needed
+    ones become pandas."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in bars.schema] + [f"{n} double" for n in names])
-    return bars.groupBy("symbol").applyInPandas(run, schema)
+    names = [c for _, makes, _ in makers for c in makes]
+    needed = [c for c in dict.fromkeys(c for needs, _, _ in makers for c in needs) if c not in names]
 
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows["date"], null_placement="at_start"))
+        frame = pd.DataFrame({c: rows[c].to_pandas() for c in needed})
+        made = {}
+        for needs, makes, fn in makers:
+            part = dict(zip(makes, fn(frame[list(needs)]), strict=True))
+            made |= part
+            frame = frame.assign(**part)
+        for name in names:
+            rows = rows.append_column(name, pa.array(made[name], pa.float64(), from_pandas=True))
+        return rows
 
-def rolling_ridge(table: DataFrame, y: str, xs: list[str], w: int = 60, alpha: float = 0.01) -> DataFrame:
-    """Ridge coefficients of y on xs over the last w rows, and what they leave. The sums of products are window sums in the
-    engine; only the small systems are solved in Python, a batch of rows at a time. The intercept isn't penalised."""
-    from functools import reduce
+    schema = StructType([*(StructField(f.name, f.dataType) for f in table.schema), *(StructField(n, DoubleType()) for n in names)])
+    return table.groupBy("symbol").applyInArrow(run, schema)
 
-    from pyspark.sql import functions as F
 
-    from ..functions.windows import rows
-
-    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [y, *xs]])
-    frame, names = rows(w), [*xs, y]
-    guarded = table.withColumns({f"__{c}": F.when(whole, F.col(c).cast("double")) for c in names})
-    sums = {"__n": F.count(f"__{y}").over(frame)} | {f"__s{i}": F.sum(f"__{c}").over(frame) for i, c in enumerate(names)}
-    sums |= {f"__p{i}_{j}": F.sum(F.col(f"__{names[i]}") * F.col(f"__{names[j]}")).over(frame) for i in range(len(names)) for j in range(i, len(names)) if i < len(xs)}
-    made = guarded.withColumns(sums)
-    k, inner, outs = len(xs), list(sums), [*(f"beta_{x}" for x in xs), "ridge_resid"]
-
-    def solve(batches):
-        for part in batches:
-            n = part["__n"].to_numpy(float)
-            s = np.stack([part[f"__s{i}"].to_numpy(float) for i in range(k + 1)], axis=1)
-            safe = np.maximum(n, 1)[:, None]
-            m = s / safe
-            gram = np.zeros((len(part), k, k))
-            right = np.zeros((len(part), k))
-            for i in range(k):
-                for j in range(i, k):
-                    gram[:, i, j] = gram[:, j, i] = part[f"__p{i}_{j}"].to_numpy(float) - n * m[:, i] * m[:, j]
-                right[:, i] = part[f"__p{i}_{k}"].to_numpy(float) - n * m[:, i] * m[:, k]
-            gram += alpha * np.eye(k)
-            ok = (n >= max(20, w // 3)) & np.isfinite(gram).all(axis=(1, 2)) & np.isfinite(right).all(axis=1)
-            beta = np.full((len(part), k), np.nan)
-            if ok.any():
-                beta[ok] = np.linalg.solve(gram[ok], right[ok][..., None])[..., 0]
-            x = part[[f"__{c}" for c in xs]].to_numpy(float)
-            resid = part[f"__{y}"].to_numpy(float) - m[:, k] - ((x - m[:, :k]) * beta).sum(axis=1)
-            part = part.drop(columns=inner + [f"__{c}" for c in names])
-            yield part.assign(**{f"beta_{c}": beta[:, i] for i, c in enumerate(xs)}, ridge_resid=resid)
-
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in table.schema] + [f"{n} double" for n in outs])
-    return made.mapInPandas(solve, schema)
+def recursive(bars: DataFrame, blocks: list[str]) -> DataFrame:
+    """bars with the columns of the named blocks: one shuffle, one pass a symbol."""
+    needs = tuple(c for c in ("high", "low", "close") if c in bars.columns)
+    return grouped(bars, [(needs, tuple(BLOCKS[b][0]), BLOCKS[b][1]) for b in blocks])
 
 
 def smoothed(table: DataFrame, wanted: dict[str, tuple[str, float, int]], by: str = "symbol") -> DataFrame:

@@ -57,9 +57,10 @@ def rolling_correlation(table: DataFrame, a: str, b: str, w: int = 60, least: in
     return out.withColumn(name, F.when(F.count("__a").over(frame) >= least, value)).drop("__a", "__b")
 
 
-def global_spreads(returns: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Running sums, z-score and slopes of differences of return columns."""
-    return reduce(lambda t, p: spread(t.withColumn(f"__{p[0]}", F.col(p[1][0]) - F.col(p[1][1])), f"__{p[0]}", p[0]).drop(f"__{p[0]}"), pairs.items(), returns)
+def global_spreads(returns: DataFrame, pairs: dict[str, tuple[str, str | None]], windows=(20, 60, 120)) -> DataFrame:
+    """Sums, z-score and slopes of differences of return columns; a pair without a second column is the first itself."""
+    apart = lambda a, b: F.col(a) - F.col(b) if b else F.col(a)
+    return reduce(lambda t, p: spread(t.withColumn(f"__{p[0]}", apart(*p[1])), f"__{p[0]}", p[0], windows).drop(f"__{p[0]}"), pairs.items(), returns)
 
 
 def published(table: DataFrame, x: str, delay: int) -> DataFrame:

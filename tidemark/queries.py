@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import evaluation as ev
+from .operators import factors as fc
 from .operators import features as ft
 from .operators import kernels as kn
 from .operators import labels as lb
@@ -116,6 +117,10 @@ def z(x: str, w: int, least: int | None = None) -> str:
     return over(f"{x} - ({mean(x, w, least)})", f"({dev(x, w, least)})")
 
 
+def sample_z(x: str, w: int, least: int) -> str:
+    return over(f"{x} - ({mean(x, w, least)})", f"({dev(x, w, least, 'stddev_samp')})")
+
+
 def lagged(x: str, k: int = 1) -> str:
     return f"lag({x}, {k}) OVER ({S})"
 
@@ -593,10 +598,44 @@ def sampled_entries(spark, sf_dir):
     return lb.sample_entries(lb.first_touch(b, 3.0, 3.0, _H), 5).select("symbol", "date", "pos", "hit", "h_used")
 
 
-@query(None)
+def ridge_sql(y: str, xs: list[str], w: int, alpha: float = 0.01) -> list[str]:
+    """Stages r1 to r3 over j: ridge of y on two or three xs over whole windows, by determinants."""
+    least, v = min(w, max(20, int(w * 0.33))), [*xs, y]
+    ok = " AND ".join(f"{c} IS NOT NULL" for c in v)
+    r1 = stage("r1", "j", {f"v{i}": f"CASE WHEN {ok} THEN {c} END" for i, c in enumerate(v)} | {"rn": f"row_number() OVER ({S})"})
+    k = len(xs)
+    cells = {f"c{i}{j}": f"covar_pop(v{i}, v{j}) OVER {rw(w)} * count(v0) OVER {rw(w)}" + (f" + {alpha}" if i == j else "") for i in range(k) for j in range(i, k + 1)}
+    r2 = stage("r2", "r1", cells | {f"m{i}": f"avg(v{i}) OVER {rw(w)}" for i in range(k + 1)} | {"ok": f"rn >= {w} AND count(v0) OVER {rw(w)} >= {least}"})
+    g = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+
+    def det(columns: list[list[str]]) -> str:
+        if len(columns) == 2:
+            (a, c), (b, d) = columns
+            return f"({a} * {d} - {b} * {c})"
+        (a, d, q), (b, e, h), (c, f, i) = columns
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {q}) + {c} * ({d} * {h} - {e} * {q}))"
+
+    whole = [[g(i, j) for i in range(k)] for j in range(k)]
+    right = [g(i, k) for i in range(k)]
+    r3 = stage("r3", "r2", {f"b{j}": f"CASE WHEN ok THEN {det([right if q == j else whole[q] for q in range(k)])} / {det(whole)} END" for j in range(k)})
+    r4 = stage("r4", "r3", {"alpha": f"m{k} - " + " - ".join(f"b{i} * m{i}" for i in range(k)), "resid": f"v{k} - (m{k} - " + " - ".join(f"b{i} * m{i}" for i in range(k)) + ") - " + " - ".join(f"b{i} * v{i}" for i in range(k))})
+    return [r1, r2, r3, r4]
+
+
+def _ridge(t, xs, w):
+    t = fc.rolling_ridge(t.select("symbol", "date", "ret", *xs), "ret", xs, w)
+    return shown(t, ["symbol", "date"], [*(f"beta_{x}" for x in xs), "ridge_resid"], 4)
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _J, *ridge_sql("ret", ["bench_ret", "volume"], 60)) + " SELECT symbol, date, round(b0, 4) + 0.0 AS beta_bench_ret, round(b1, 4) + 0.0 AS beta_volume, round(resid, 4) + 0.0 AS ridge_resid FROM r4")
 def rolling_ridge(spark, sf_dir):
-    t = kn.rolling_ridge(_with_market(spark, sf_dir).select("symbol", "date", "ret", "bench_ret", "volume"), "ret", ["bench_ret", "volume"])
-    return shown(t, ["symbol", "date"], ["beta_bench_ret", "beta_volume", "ridge_resid"], 4)
+    return _ridge(_with_market(spark, sf_dir), ["bench_ret", "volume"], 60)
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _J.replace("j AS", "j0 AS", 1), stage("j", "j0", {"gap": f"ln(open) - ln({lagged('close')})"}), *ridge_sql("ret", ["bench_ret", "volume", "gap"], 12)) + " SELECT symbol, date, round(b0, 4) + 0.0 AS beta_bench_ret, round(b1, 4) + 0.0 AS beta_volume, round(b2, 4) + 0.0 AS beta_gap, round(resid, 4) + 0.0 AS ridge_resid FROM r4")
+def short_ridge(spark, sf_dir):
+    t = _with_market(spark, sf_dir)
+    return _ridge(t.withColumn("gap", F.log("open") - F.log(F.lag("close").over(Window.partitionBy("symbol").orderBy("date")))), ["bench_ret", "volume", "gap"], 12)
 
 
 # metrics, folds, transforms
@@ -789,7 +828,7 @@ def rolling_correlation(spark, sf_dir):
     return shown(mc.rolling_correlation(_bench_wide(spark, sf_dir, "bench_ret"), "asia", "europe"), ["date"], ["corr"])
 
 
-@query(chain(BARS, SECTORS, BENCH, _BW, stage("r", "bw", {"s": "ra - re"}), stage("q", "r", {"ae_cum_20": roll("sum", "s", 20, 6), "ae_cum_60": roll("sum", "s", 60, 20), "ae_z_60": z("s", 60), "rn": f"sum(s) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "k": f"CAST(row_number() OVER ({S}) AS DOUBLE)"}), stage("t", "q", {"ae_slope_20": f"CASE WHEN count(rn) OVER {rw(20)} >= 6 THEN regr_slope(rn, k) OVER {rw(20)} END"})) + f" SELECT date, {out(['ae_cum_20', 'ae_cum_60', 'ae_z_60', 'ae_slope_20'])} FROM t")
+@query(chain(BARS, SECTORS, BENCH, _BW, stage("r", "bw", {"s": "ra - re"}), stage("q", "r", {"ae_cum_20": roll("sum", "s", 20, 6), "ae_cum_60": roll("sum", "s", 60, 20), "ae_z_60": sample_z("s", 60, 30), "k": f"CAST(row_number() OVER ({S}) AS DOUBLE)"}), stage("t", "q", {"ae_slope_20": f"CASE WHEN count(s) OVER {rw(20)} >= 10 THEN regr_slope(s, k) OVER {rw(20)} END"})) + f" SELECT date, {out(['ae_cum_20', 'ae_cum_60', 'ae_z_60', 'ae_slope_20'])} FROM t")
 def return_spreads(spark, sf_dir):
     return shown(mc.global_spreads(_bench_wide(spark, sf_dir, "bench_ret"), {"ae": ("asia", "europe")}), ["date"], ["ae_cum_20", "ae_cum_60", "ae_z_60", "ae_slope_20"])
 
@@ -861,16 +900,53 @@ def streaming_weekly_bars(spark, sf_dir):
     return shown(weekly(t), ["symbol", "date", "n"], ["open", "high", "low", "close"], 6)
 
 
+_PANEL_KERNELS = ["trend_persist_ema", "vol_regime_ema10", "quiet_trend", "volshock_ema", "squeeze_on_20", "squeeze_intensity_20", "days_in_squeeze_20", "gap_atr_ratio", "gap_atr_ratio_raw", "atr_percent_chg_5", "rsi_price_div_10d", "rsi_price_div_cum_20d", "macd_price_div_20d", "trend_rsi_div_10d", "vol_trend_div_20d", "macd_histogram", "rsi_14", "rsi_30", "atr14", "adx_14"]
+
+
 @query(None)
 def feature_panel(spark, sf_dir):
-    t = pl.feature_table(bars(spark, sf_dir), ["returns", "recursive", "trend", "volatility"])
+    """All fifteen blocks; the window blocks have twins of their own, these columns one in standard_blocks."""
+    t = pl.feature_table(bars(spark, sf_dir))
     return shown(t, ["symbol", "date"], [c for c in t.columns if c not in {"symbol", "date"}])
 
 
+def run_fold(x: str, n: float) -> str:
+    """An exponential mean of span n: values before a gap weigh less by the rows of the gap."""
+    k = 2 / (n + 1)
+    step = f"CASE WHEN q.v IS NULL THEN struct_pack(v := p.v, w := p.w * {1 - k}) WHEN p.v IS NULL THEN struct_pack(v := q.v, w := 1::DOUBLE) ELSE struct_pack(v := (p.w * {1 - k} * p.v + {k} * q.v) / (p.w * {1 - k} + {k}), w := 1::DOUBLE) END"
+    return f"list_reduce(list(struct_pack(v := CAST({x} AS DOUBLE), w := 1::DOUBLE)) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda p, q: {step}).v"
+
+
+def _wilder_list(x: str, n: int) -> str:
+    return f"CASE WHEN len({x}) >= {n} THEN list_reduce({x}[{n + 1}:], lambda p, q: p + (q - p) / {n}.0, list_avg({x}[1:{n}])) END"
+
+
+def _seeded_list(x: str, n: int) -> str:
+    return f"CASE WHEN len({x}) >= {n} THEN list_reduce({x}[{n + 1}:], lambda p, q: p + {2 / (n + 1)} * (q - p), list_avg({x}[1:{n}])) END"
+
+
+_ALL_BEFORE = f"({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_KP = [
+    stage("k1", "w", {"pc": lagged("close"), "r0": f"ln(close) - ln({lagged('close')})", "tsign": "sign(trend_score_granular)", "vsz": z("volume", 20), "vdir": f"sign(close - {lagged('close', 10)})"}),
+    stage("k2", "k1", {"d": "close - pc", "tr": "CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END", "rv20": dev("r0", 20), "rv100": dev("r0", 100), "pdm": f"CASE WHEN pc IS NULL THEN NULL WHEN high - {lagged('high')} > {lagged('low')} - low AND high - {lagged('high')} > 0 THEN high - {lagged('high')} ELSE 0.0 END", "mdm": f"CASE WHEN pc IS NULL THEN NULL WHEN {lagged('low')} - low > high - {lagged('high')} AND {lagged('low')} - low > 0 THEN {lagged('low')} - low ELSE 0.0 END", "vsd": "vsz * vdir", "fast": run_fold("close", 12), "slow": run_fold("close", 26), "nn": "count(close) OVER (PARTITION BY symbol)", "gap": over("close", "pc") + " - 1"}),
+    stage("k3", "k2", {"vreg": f"ln(1 + {over('rv20', 'rv100')})", "line": "CASE WHEN nn >= 35 THEN fast - slow END", "ups": f"list(greatest(d, 0.0)) FILTER (WHERE d IS NOT NULL) OVER {_ALL_BEFORE}", "downs": f"list(greatest(-d, 0.0)) FILTER (WHERE d IS NOT NULL) OVER {_ALL_BEFORE}", "trs": f"list(tr) OVER {_ALL_BEFORE}", "trd": f"list(tr) FILTER (WHERE pc IS NOT NULL) OVER {_ALL_BEFORE}", "ul": f"list(pdm) FILTER (WHERE pdm IS NOT NULL) OVER {_ALL_BEFORE}", "dl": f"list(mdm) FILTER (WHERE mdm IS NOT NULL) OVER {_ALL_BEFORE}", "cs": f"list(close) OVER {_ALL_BEFORE}", "bm": roll("avg", "close", 20, 20), "bd": roll("stddev_pop", "close", 20, 20), "tpe": run_fold("tsign", 10), "vse": run_fold("vsd", 10)}),
+    stage("k4", "k3", {"vema": run_fold("vreg", 10), "sig": run_fold("line", 9), "u14": _wilder_list("ups", 14), "v14": _wilder_list("downs", 14), "u30": _wilder_list("ups", 30), "v30": _wilder_list("downs", 30), "atr": _wilder_list("trs", 14), "wd": _wilder_list("trd", 14), "pu": _wilder_list("ul", 14), "pd": _wilder_list("dl", 14), "kb": _seeded_list("cs", 20), "kr": _seeded_list("trs", 20)}),
+    stage("k5", "k4", {"rsi14": f"100 * {over('u14', 'u14 + v14')}", "rsi30": f"100 * {over('u30', 'u30 + v30')}", "hist": "line - sig", "ap": over("atr", "close"), "dx": f"100 * {over('abs(pu - pd)', 'pu + pd')}", "vmed": f"CASE WHEN count(vema) OVER {rw(252)} >= 50 THEN quantile_cont(vema, 0.5) OVER {rw(252)} END", "son": "CASE WHEN bm + 2 * bd < kb + 1.5 * kr AND bm - 2 * bd > kb - 1.5 * kr THEN 1.0 ELSE 0.0 END"}),
+    stage("k6", "k5", {"dxl": f"list(dx) FILTER (WHERE dx IS NOT NULL) OVER {_ALL_BEFORE}", "isl": f"sum(CASE WHEN son = 1 THEN 0 ELSE 1 END) OVER {_ALL_BEFORE}"} | {f"d{n}{w}": f"{x} - {lagged(x, w)}" for n, x in (("p", "close"), ("r", "rsi14"), ("m", "hist"), ("t", "tsign"), ("v", "vema")) for w in (10, 20)} | {"ap5": lagged("ap", 5), "apart": f"CAST(close - pc > 0 AND pc IS NOT NULL AS INTEGER)::DOUBLE - coalesce(CAST(rsi14 - {lagged('rsi14')} > 0 AS INTEGER), 0)::DOUBLE"}),
+    stage("k7", "k6", {f"t{n}{w}": f"CASE WHEN count(d{n}{w}) OVER {rw(60)} >= 20 THEN tanh(d{n}{w} / greatest(stddev_samp(d{n}{w}) OVER {rw(60)}, 1e-8)) END" for n in "prmtv" for w in (10, 20)} | {"apart20": roll("sum", "apart", 20, 10)}),
+    stage("k8", "k7", {"trend_persist_ema": "tpe", "vol_regime_ema10": "vema", "quiet_trend": "trend_score_granular * CASE WHEN vema < vmed THEN 1.0 ELSE 0.0 END", "volshock_ema": "vse", "squeeze_on_20": "son", "squeeze_intensity_20": clipped(over("3 * kr - 4 * bd", "3 * kr"), -1, 1), "days_in_squeeze_20": "least(sum(son) OVER (PARTITION BY symbol, isl ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 50)", "gap_atr_ratio": over("gap", "ap"), "gap_atr_ratio_raw": over("open - pc", "atr"), "atr_percent_chg_5": over("ap - ap5", "ap5"), "rsi_price_div_10d": "tp10 - tr10", "rsi_price_div_cum_20d": f"{run_fold('apart20', 5)} / 20", "macd_price_div_20d": "tp20 - tm20", "trend_rsi_div_10d": "tt10 - tr10", "vol_trend_div_20d": "tv20 - tt20", "macd_histogram": "hist", "rsi_14": "rsi14", "rsi_30": "rsi30", "atr14": "atr", "adx_14": _wilder_list("dxl", 14)}),
+]
+
+
+@query(chain(BARS, _MA, _SL, _SG, _TS, "w AS (SELECT * FROM v)", *_KP) + f" SELECT symbol, date, {out(_PANEL_KERNELS, 4)} FROM k8")
+def standard_blocks(spark, sf_dir):
+    return shown(pl.feature_table(bars(spark, sf_dir), _PANEL_KERNELS), ["symbol", "date"], _PANEL_KERNELS, 4)
+
+
 @query(None)
 def weekly_features_daily(spark, sf_dir):
-    t = pl.higher_time_frame(bars(spark, sf_dir), ["trend", "volatility"])
-    return shown(t, ["symbol", "date"], ["w_rv_20", "w_trend_score_granular", "w_ma_10", "w_vol_regime"])
+    t = pl.higher_time_frame(bars(spark, sf_dir), pl.BLOCKS)
+    return shown(t, ["symbol", "date"], [c for c in t.columns if c.startswith("w_")])
 
 
 @query(None)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import evaluation as ev
+from .operators import factors as fc
 from .operators import features as ft
 from .operators import kernels as kn
 from .operators import labels as lb
@@ -18,7 +19,8 @@ from .operators import selection as sl
 from .operators import tables as tb
 from .operators import training as tr
 from .functions import windows as wn
-from .queries import _EQ, _EVS, _FIT, _J, _NEXT, _P, _SPANS, _TOUCH, _WR, ATR, BARS, BENCH, FRIDAY, MACRO, RET, SCORED, SECTORS, WEEKLY, S, _entries, _flow, _H, _labels, _spans, bars, breadth_sql, calendar_sum, chain, dev, lagged, macro, out, over, query, roll, rw, scored, sectors, shown, signals, stage, table, z
+from .plans import cross_section as xs
+from .queries import _EQ, _EVS, _FIT, _J, _NEXT, _P, _SPANS, _TOUCH, _WR, ATR, BARS, BENCH, FRIDAY, MACRO, RET, SCORED, SECTORS, WEEKLY, S, _entries, _flow, _H, _labels, _spans, bars, breadth_sql, calendar_sum, chain, dev, lagged, macro, mean, out, over, query, ridge_sql, roll, run_fold, rw, sample_z, scored, sectors, shown, signals, stage, table, z
 
 KEYS = ["symbol", "date"]
 
@@ -543,20 +545,81 @@ def strength_drivers(spark, sf_dir):
 
 
 _BM = "bm AS (SELECT symbol, bench AS best FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(c * c / (v * u), 9) DESC, bench) AS k FROM fit WHERE n >= 100 AND c * c / (v * u) > 0) WHERE k = 1)"
-_SPR = [stage("s1", "bj", {"sp": "best_ret - market_ret"}), stage("s2", "s1", {"bm_cum_20": roll("sum", "sp", 20, 6), "bm_cum_60": roll("sum", "sp", 60, 20), "bm_z_60": z("sp", 60)})]
+def spread_sql(name: str, before: str, x: str, prefix: str, windows) -> list[str]:
+    """Stages that add the metrics of a spread."""
+    m = windows[1]
+    k = stage(f"{name}0", before, {"k": f"CAST(row_number() OVER ({S}) AS DOUBLE)"})
+    made = {f"{prefix}_cum_{w}": roll("sum", x, w, max(3, w // 3)) for w in windows} | {f"{prefix}_z_{m}": sample_z(x, m, min(m, max(10, m // 2)))}
+    made |= {f"{prefix}_slope_{w}": f"CASE WHEN count({x}) OVER {rw(w)} >= {min(w, max(3, w // 2))} THEN regr_slope({x}, k) OVER {rw(w)} END" for w in windows[:2]}
+    return [k, stage(name, f"{name}0", made)]
 
 
-def _best_spread(b, s, windows=(20, 60)):
-    bench = pn.benchmarks(b, s)
-    named = b.join(pn.small(pn.best_match(b, bench).select("symbol", F.col("bench").alias("best"))), "symbol")
-    t = pn.with_benchmark(pn.with_benchmark(named, bench, F.col("best"), {"bench_ret": "best_ret"}), bench, "ALL", {"bench_ret": "market_ret"})
-    return ft.spread(t.withColumn("sp", F.col("best_ret") - F.col("market_ret")), "sp", "bm", windows)
+def spread_columns(prefix: str, windows) -> list[str]:
+    return [*(f"{prefix}_cum_{w}" for w in windows), f"{prefix}_z_{windows[1]}", *(f"{prefix}_slope_{w}" for w in windows[:2])]
+
+
+_BJ = "bj AS (SELECT r.*, best, b.bench_ret - m.bench_ret AS sp FROM rets r JOIN bm USING (symbol) LEFT JOIN bench b ON b.bench = bm.best AND b.date = r.date LEFT JOIN bench m ON m.bench = '{}' AND m.date = r.date)"
+_WEEKS = f"""wk AS (SELECT symbol, CAST({FRIDAY} AS DATE) AS date, product(1 + ret) - 1 AS ret FROM rets GROUP BY 1, 2),
+wb AS (SELECT bench, CAST({FRIDAY} AS DATE) AS date, product(1 + bench_ret) - 1 AS bench_ret FROM bench GROUP BY 1, 2)"""
+_BMS, _BMW = spread_columns("bm", (20, 60, 120)), spread_columns("wbm", (4, 12, 24))
+
+
+def _matched(spark, sf_dir):
+    b = ft.returns(bars(spark, sf_dir))
+    bench = pn.benchmarks(b, sectors(spark, sf_dir))
+    return b, bench, pn.best_match(b, bench)
 
 
-@query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BM, "bj AS (SELECT r.*, b.bench_ret AS best_ret, m.bench_ret AS market_ret FROM rets r JOIN bm USING (symbol) LEFT JOIN bench b ON b.bench = bm.best AND b.date = r.date LEFT JOIN bench m ON m.bench = 'ALL' AND m.date = r.date)", *_SPR) + f" SELECT symbol, date, {out(['bm_cum_20', 'bm_cum_60', 'bm_z_60'], 4)} FROM s2")
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BM, _BJ.format("ALL"), *spread_sql("s2", "bj", "sp", "bm", (20, 60, 120))) + f" SELECT symbol, date, {out(_BMS, 4)} FROM s2")
 def best_match_spread(spark, sf_dir):
-    t = _best_spread(ft.returns(bars(spark, sf_dir)), sectors(spark, sf_dir))
-    return shown(t, KEYS, ["bm_cum_20", "bm_cum_60", "bm_z_60"], 4)
+    return shown(fc.best_spread(*_matched(spark, sf_dir), "ALL", "bm"), KEYS, _BMS, 4)
+
+
+_BMA = _BM.replace("FROM fit WHERE", "FROM fit WHERE bench <> 'ALL' AND")
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BMA, _BJ.format("ASIA"), *spread_sql("s2", "bj", "sp", "bm", (20, 60, 120))) + f" SELECT symbol, date, best, {out(_BMS, 4)} FROM s2")
+def equal_weight_spread(spark, sf_dir):
+    b, bench, _ = _matched(spark, sf_dir)
+    mapping = pn.best_match(b, bench.where("bench <> 'ALL'"))
+    return shown(fc.best_spread(b, bench, mapping, "ASIA", "bm"), [*KEYS, "best"], _BMS, 4)
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BM, _WEEKS, "bj AS (SELECT r.symbol, r.date, b.bench_ret - m.bench_ret AS sp FROM wk r JOIN bm USING (symbol) LEFT JOIN wb b ON b.bench = bm.best AND b.date = r.date LEFT JOIN wb m ON m.bench = 'ALL' AND m.date = r.date)", *spread_sql("s2", "bj", "sp", "wbm", (4, 12, 24))) + f" SELECT b.symbol, b.date, {', '.join(f'round(CAST(q.{c} AS DOUBLE), 4) + 0.0 AS {c}' for c in _BMW)} FROM bars b ASOF LEFT JOIN s2 q ON b.symbol = q.symbol AND b.date >= q.date")
+def weekly_best_spread(spark, sf_dir):
+    return shown(fc.weekly_best_spread(*_matched(spark, sf_dir), "ALL", "wbm"), KEYS, _BMW, 4)
+
+
+# joint factor regression
+
+_JF = ["beta_market", "beta_growth", "beta_bestmatch", "alpha", "ridge_resid", "residual_mean", "residual_cumret", "residual_vol"]
+_JW = [*(f"w_{c}" for c in ("beta_market", "beta_growth", "beta_bestmatch", "alpha", "residual_vol")), *spread_columns("w_bestmatch_market", (4, 12, 24))]
+
+
+def _fill_sql(name: str, bench: str, rows: str) -> str:
+    return f"""{name}g AS (SELECT b.bench, d.date, x.bench_ret AS v FROM (SELECT DISTINCT bench FROM {bench}) b CROSS JOIN (SELECT date FROM {rows} UNION SELECT date FROM {bench}) d LEFT JOIN {bench} x ON x.bench = b.bench AND x.date = d.date),
+{name}f AS (SELECT bench, date, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY bench ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (PARTITION BY bench ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM {name}g),
+j AS (SELECT r.symbol, r.date, r.ret, m.v AS market, g.v - m.v AS growth, b.v - m.v AS bestmatch FROM {rows} r LEFT JOIN bm USING (symbol) LEFT JOIN {name}f m ON m.bench = 'ALL' AND m.date = r.date LEFT JOIN {name}f g ON g.bench = 'ASIA' AND g.date = r.date LEFT JOIN {name}f b ON b.bench = bm.best AND b.date = r.date)"""
+
+
+def _residual_sql(w: int) -> str:
+    least = min(w, max(20, int(w * 0.33)))
+    return stage("r5", "r4", {"beta_market": "b0", "beta_growth": "b1", "beta_bestmatch": "b2", "ridge_resid": "resid", "residual_mean": roll("avg", "resid", w, least), "residual_cumret": roll("sum", "resid", w, least), "residual_vol": roll("stddev_samp", "resid", w, least)})
+
+
+def _joint(spark, sf_dir):
+    b, bench, mapping = _matched(spark, sf_dir)
+    return fc.joint_factors(b, bench, {"market": "ALL", "growth": "ASIA"}, mapping=mapping)
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BM, _fill_sql("d", "bench", "rets"), *ridge_sql("ret", ["market", "growth", "bestmatch"], 60), _residual_sql(60)) + f" SELECT symbol, date, {out(_JF, 4)} FROM r5")
+def joint_factors(spark, sf_dir):
+    return shown(_joint(spark, sf_dir), KEYS, _JF, 4)
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BM, _WEEKS, _fill_sql("w", "wb", "wk"), *ridge_sql("ret", ["market", "growth", "bestmatch"], 12), _residual_sql(12), *spread_sql("s2", "r5", "bestmatch", "w_bestmatch_market", (4, 12, 24)), "wq AS (SELECT *, beta_market AS w_beta_market, beta_growth AS w_beta_growth, beta_bestmatch AS w_beta_bestmatch, alpha AS w_alpha, residual_vol AS w_residual_vol FROM s2)") + f" SELECT b.symbol, b.date, {', '.join(f'round(CAST(q.{c} AS DOUBLE), 4) + 0.0 AS {c}' for c in _JW)} FROM bars b ASOF LEFT JOIN wq q ON b.symbol = q.symbol AND b.date >= q.date")
+def weekly_joint_factors(spark, sf_dir):
+    return shown(_joint(spark, sf_dir), KEYS, _JW, 4)
 
 
 @query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BM) + " SELECT bench, CAST(count(*) AS BIGINT) AS n FROM bench WHERE bench = 'ALL' OR bench IN (SELECT best FROM bm) GROUP BY 1")
@@ -665,11 +728,14 @@ def weekly_ratios(spark, sf_dir):
     return shown(mc.ratios(mc.wide_prices(b, ["ASIA", "EUROPE"], "px"), {"ae": ("asia", "europe")}, 12, 6), ["date"], ["ae", "ae_z"])
 
 
-@query(chain(BARS, SECTORS, WEEKLY, _WBENCH, _WBW, stage("r", "bw", {"s": "ra - re"}), stage("q", "r", {f"ae_cum_{w}": roll("sum", "s", w, max(5, w // 3)) for w in (4, 12, 24)} | {"ae_z_60": z("s", 60)})) + f" SELECT date, {out(['ae_cum_4', 'ae_cum_12', 'ae_cum_24', 'ae_z_60'])} FROM q")
+_WSP = spread_columns("ae", (4, 12, 24))
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _WEEKS, "r AS (SELECT 'ALL' AS symbol, date, max(CASE WHEN bench = 'ASIA' THEN bench_ret END) - max(CASE WHEN bench = 'EUROPE' THEN bench_ret END) AS s FROM wb GROUP BY date)", *spread_sql("q", "r", "s", "ae", (4, 12, 24))) + f" SELECT date, {out(_WSP)} FROM q")
 def weekly_spreads(spark, sf_dir):
-    b = _weekly(spark, sf_dir)[2].withColumnRenamed("bench", "symbol")
-    t = mc.wide_prices(b, ["ASIA", "EUROPE"], "bench_ret").withColumn("s", F.col("asia") - F.col("europe"))
-    return shown(ft.spread(t, "s", "ae", (4, 12, 24)), ["date"], ["ae_cum_4", "ae_cum_12", "ae_cum_24", "ae_z_60"])
+    b = pn.benchmarks(bars(spark, sf_dir), sectors(spark, sf_dir))
+    weeks = fc.compounded(b, "bench", "bench_ret").withColumnRenamed("bench", "symbol")
+    return shown(mc.global_spreads(mc.wide_prices(weeks, ["ASIA", "EUROPE"], "bench_ret"), {"ae": ("asia", "europe")}, (4, 12, 24)), ["date"], _WSP)
 
 
 @query(chain(*_DRV, stage("a", "jd", {"dp": f"close - {lagged('close', 10)}", "dv": f"volume - {lagged('volume', 10)}", "dr": f"market_px - {lagged('market_px', 10)}"}), stage("b", "a", {f"t{k}": f"CASE WHEN count(d{k}) OVER {rw(60)} >= 20 THEN tanh(d{k} / greatest(stddev_samp(d{k}) OVER {rw(60)}, 1e-8)) ELSE tanh(d{k} / 1e-8) END" for k in "pvr"})) + " SELECT symbol, date, round(tp - tv, 4) + 0.0 AS volume_price_div_10d, round(tr - tp, 4) + 0.0 AS price_market_div_10d FROM b")
@@ -709,3 +775,69 @@ def strategy_comparison(spark, sf_dir):
 def quiet_trend(spark, sf_dir):
     t = ft.volatility(ft.returns(bars(spark, sf_dir))).withColumn("trend_score_granular", F.coalesce(F.signum(F.col("close") - F.lag("close", 20).over(Window.partitionBy("symbol").orderBy("date"))), F.lit(0.0)))
     return shown(ft.quiet_trend(t), KEYS, ["quiet_trend"])
+
+
+# cross-section drivers
+
+def _sides(spark, sf_dir):
+    s = sectors(spark, sf_dir)
+    b = ft.returns(bars(spark, sf_dir))
+    bench = pn.benchmarks(b, s)
+    flow = macro(spark, sf_dir).select("date", (F.col("flow") / 1e6).alias("flow"))
+    return b, xs.Sides(s, bench, {"market": "ALL", "growth": "ASIA"}, pn.best_match(b, bench), flow, ("flow",), (15.0, 20.0, 30.0), {"ae": ("ASIA", "EUROPE"), "all": ("ALL", None)})
+
+
+_XJ = "sj AS (SELECT r.*, sector, best, m.bench_ret AS market_ret, m.px AS market_px, g.bench_ret AS growth_ret, g.px AS growth_px, b.bench_ret AS match_ret, b.px AS match_px FROM {} r LEFT JOIN sectors USING (symbol) LEFT JOIN bm USING (symbol) LEFT JOIN {} m ON m.bench = 'ALL' AND m.date = r.date LEFT JOIN {} g ON g.bench = 'ASIA' AND g.date = r.date LEFT JOIN {} b ON b.bench = bm.best AND b.date = r.date)"
+
+
+def _driver_sql(bench: str, f: xs.Frame) -> list[str]:
+    """Stages x1 to x9 over sj: the columns that the driver's query shows."""
+    ba = lambda who: f"CASE WHEN count(y_{who}) OVER {rw(f.beta)} >= {f.beta_least} THEN {over(f'covar_samp(y_{who}, x_{who}) OVER {rw(f.beta)}', f'var_samp(x_{who}) OVER {rw(f.beta)}')} END"
+    whos, (a, a_least, b, b_least) = ("market", "growth", "match"), f.vol
+    least = lambda w: max(3, w // 3) if f.part == 3 else w // f.part
+    w1, w3 = f.alpha[0], f.lookbacks[1]
+    return [
+        stage("x1", "sj", {f"{c}_{who}": f"CASE WHEN ret IS NOT NULL AND {who}_ret IS NOT NULL THEN {v} END" for who in whos for c, v in (("y", "ret"), ("x", f"{who}_ret"))} | {"rs_growth": over("close", "growth_px"), "rs_match_market": over("match_px", "market_px"), "vr": over(f"({roll('stddev_samp', 'ret', a, a_least)})", f"({roll('stddev_samp', 'ret', b, b_least)})")}),
+        stage("x2", "x1", {f"{who}_beta": ba(who) for who in whos} | {"rs_growth_norm": over("rs_growth", f"({mean('rs_growth', *f.norm)})") + " - 1", "rsg": f"rs_growth - {lagged('rs_growth')}"}),
+        stage("x3", "x2", {f"{who}_alpha": f"ret - {who}_beta * {who}_ret" for who in whos} | {"gain": "CASE WHEN rsg > 0 THEN rsg ELSE 0.0 END", "loss": "CASE WHEN rsg < 0 THEN -rsg ELSE 0.0 END", "nrs": f"count(rs_growth) OVER ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}),
+        stage("x4", "x3", {"combo_alpha": "0.5 * market_alpha + 0.5 * match_alpha", "growth_spread_alpha": "growth_alpha - market_alpha", "ug": run_fold("gain", 14), "ul": run_fold("loss", 14), "nr": f"row_number() OVER ({S})"}),
+        stage("x5", "x4", {f"combo_mom_{w1}": roll("sum", "combo_alpha", w1, least(w1)), "growth_spread_alpha_ema10": run_fold("growth_spread_alpha", 10), "rs_growth_rsi14": f"CASE WHEN nr >= 14 THEN 100 - 100 / (1 + ug / nullif(ul, 0)) END"}),
+        stage("x6", "x5", {f"combo_mom_{w1}_ema10": run_fold(f"combo_mom_{w1}", 10), "med": "quantile_cont(vr, 0.5) OVER (PARTITION BY date)"}),
+        "cal AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM sj))",
+        calendar_sum("mm", "x6", w3, min(w3, max(2 if f.unit == "w" else 3, w3 // 3))).replace("AS mom", "AS mom"),
+    ]
+
+
+_DD_COLUMNS = ["growth_beta", "match_alpha", "combo_mom_20", "combo_mom_20_ema10", "growth_spread_alpha_ema10", "rs_growth", "rs_growth_norm", "rs_growth_rsi14", "rs_match_market", "vol_regime_cs_median", "vol_regime_rel", "xsec_mom_20d_z", "xsec_mom_20d_sect_neutral_z", "xsec_pct_20d", "xsec_pct_20d_sect"]
+_DW_COLUMNS = ["growth_beta", "match_alpha", "combo_mom_4", "combo_mom_4_ema10", "growth_spread_alpha_ema10", "rs_growth", "rs_growth_norm", "rs_growth_rsi14", "rs_match_market", "vol_regime_cs_median", "vol_regime_rel", "xsec_mom_4w_z", "xsec_mom_4w_sect_neutral_z", "xsec_pct_4w", "xsec_pct_4w_sect"]
+_XEND = [
+    "n1 AS (SELECT *, CASE WHEN sector IS NOT NULL AND count(mom) OVER (PARTITION BY date, sector) >= 2 THEN mom - quantile_cont(mom, 0.5) OVER (PARTITION BY date, sector) END AS neutral, round(mom, 9) AS m9 FROM mm)",
+    "n2 AS (SELECT *, {}, CASE WHEN count(m9) OVER (PARTITION BY date) >= 2 AND m9 IS NOT NULL THEN (row_number() OVER (PARTITION BY date ORDER BY m9 NULLS LAST, symbol) - 1) / (count(m9) OVER (PARTITION BY date) - 1) * 100 END AS pct, CASE WHEN count(m9) OVER (PARTITION BY date, sector) >= 2 AND m9 IS NOT NULL THEN (row_number() OVER (PARTITION BY date, sector ORDER BY m9 NULLS LAST, symbol) - 1) / (count(m9) OVER (PARTITION BY date, sector) - 1) * 100 END AS ps FROM n1)".format(", ".join(f"CASE WHEN stddev_pop({x}) OVER (PARTITION BY date) > 1e-10 THEN ({x} - quantile_cont({x}, 0.5) OVER (PARTITION BY date)) / stddev_pop({x}) OVER (PARTITION BY date) END AS {n}" for x, n in (("mom", "zm"), ("neutral", "zn")))),
+]
+
+
+def _xend(w: str) -> list[str]:
+    return [*_XEND, stage("n3", "n2", {"vol_regime_cs_median": "ln(1 + med)", "vol_regime_rel": "ln(1 + vr) - ln(1 + med)", f"xsec_mom_{w}_z": "zm", f"xsec_mom_{w}_sect_neutral_z": "zn", f"xsec_pct_{w}": "pct", f"xsec_pct_{w}_sect": "coalesce(ps, pct)"})]
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BM, _XJ.format("rets", "bench", "bench", "bench"), *_driver_sql("bench", xs.DAILY), *_xend("20d")) + f" SELECT symbol, date, {out(_DD_COLUMNS, 4)} FROM n3")
+def daily_driver(spark, sf_dir):
+    b, sides = _sides(spark, sf_dir)
+    return shown(xs.daily(b, sides, _DD_COLUMNS), KEYS, _DD_COLUMNS, 4)
+
+
+_WPX = f"wpx AS (SELECT w.bench, w.date, w.bench_ret, p.px FROM wb w JOIN (SELECT bench, CAST({FRIDAY} AS DATE) AS date, arg_max(px, date) AS px FROM bench GROUP BY 1, 2) p USING (bench, date))"
+
+
+@query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BM, _WEEKS, _WPX, WEEKLY, _WRET, _XJ.format("wr", "wpx", "wpx", "wpx"), *_driver_sql("wpx", xs.WEEKLY), *_xend("4w")) + f" SELECT b.symbol, b.date, {', '.join(f'round(CAST(q.{c} AS DOUBLE), 4) + 0.0 AS w_{c}' for c in _DW_COLUMNS)} FROM bars b ASOF LEFT JOIN n3 q ON b.symbol = q.symbol AND b.date >= q.date")
+def weekly_driver(spark, sf_dir):
+    b, sides = _sides(spark, sf_dir)
+    return shown(xs.weekly(b, sides, _DW_COLUMNS), KEYS, [f"w_{c}" for c in _DW_COLUMNS], 4)
+
+
+@query(None)
+def whole_driver(spark, sf_dir):
+    """Every block of the daily driver with the joint factor regressions; parts have twins of their own."""
+    b, sides = _sides(spark, sf_dir)
+    t = xs.daily(b, sides)
+    return shown(t, KEYS, [c for c, k in t.dtypes if c not in {*KEYS, *b.columns} and k != "string"], 4)
