@@ -11,6 +11,7 @@ from tidemark.operators import labels as lb
 from tidemark.operators import panel as pn
 from tidemark.operators import quality as ql
 from tidemark.sources import bars as src
+from tidemark.sources.stages import Stages
 
 
 def walk(n=300, seed=3):
@@ -118,7 +119,7 @@ def test_sources(spark, tmp_path):
     assert src.read_prices(spark, str(tmp_path / "by"), ["A"], start="2023-02-01", columns=["date", "close"]).count() == 8
     new = spark.createDataFrame(walk(5).assign(symbol="B"))
     assert src.upsert_missing(f, new.unionByName(f)).count() == 35
-    stages = src.Stages(spark, str(tmp_path / "stages"))
+    stages = Stages(spark, str(tmp_path / "stages"))
     made = []
     for _ in range(2):
         stages.run("one", lambda: (made.append(1), f)[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from .operators import selection as sl
 from .operators import tables as tb
 from .operators import training as tr
 from .functions import windows as wn
+from .sources.stages import shared_path as stream_dir
+from .streaming import stateful as sst
 from .plans import cross_section as xs
 from .queries import _EQ, _EVS, _FIT, _J, _NEXT, _P, _SPANS, _TOUCH, _WR, ATR, BARS, BENCH, FRIDAY, MACRO, RET, SCORED, SECTORS, WEEKLY, S, _entries, _flow, _H, _labels, _spans, bars, breadth_sql, calendar_sum, chain, dev, lagged, macro, mean, out, over, query, ridge_sql, roll, run_fold, rw, sample_z, scored, sectors, shown, signals, stage, table, z
 
@@ -841,3 +845,41 @@ def whole_driver(spark, sf_dir):
     b, sides = _sides(spark, sf_dir)
     t = xs.daily(b, sides)
     return shown(t, KEYS, [c for c, k in t.dtypes if c not in {*KEYS, *b.columns} and k != "string"], 4)
+
+
+# streams that hold state, run to their end over a table
+
+def _stream(spark, sf_dir, make, name):
+    """The events as a stream of ticks of users, run once to its end into a stored table, which is read."""
+    sst.use_state_store(spark)
+    schema = table(spark, sf_dir, "events").schema
+    ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    ticks = ticks.select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.abs("value").alias("value"))
+    path = f"{stream_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    out = make(ticks)
+    out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+_TK = "tk AS (SELECT CAST(user_id AS VARCHAR) AS symbol, ts, abs(value) AS value FROM events), wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS w FROM tk), td AS (SELECT symbol, ts, value FROM tk, wm WHERE ts <= w)"
+_TO = "PARTITION BY symbol ORDER BY ts, value"
+
+
+@query(f"WITH {_TK}, n AS (SELECT *, row_number() OVER ({_TO}) AS k, list(struct_pack(v := value, t := ts)) OVER ({_TO} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS nx FROM td), h AS (SELECT *, list_filter(nx, lambda b: b.t <= ts + INTERVAL 20 DAY) AS inside FROM n WHERE value > 0), t AS (SELECT *, coalesce(list_position(list_transform(inside, lambda b: b.v >= 1.5 * value OR b.v <= 0.5 * value), true), 0) AS p FROM h), r AS (SELECT *, CASE WHEN p > 0 THEN p WHEN len(inside) >= 5 THEN 5 ELSE len(inside) END AS used FROM t, wm WHERE p > 0 OR len(inside) >= 5 OR ts + INTERVAL 20 DAY <= w) SELECT symbol, ts AS entered, CAST(CASE WHEN p > 0 THEN CASE WHEN inside[p].v >= 1.5 * value THEN 1 ELSE -1 END ELSE 0 END AS INTEGER) AS hit, CAST(used AS INTEGER) AS used, CASE WHEN p > 0 THEN CASE WHEN inside[p].v >= 1.5 * value THEN 'upper' ELSE 'lower' END WHEN len(inside) >= 5 THEN 'horizon' ELSE 'expired' END AS reason FROM r")
+def streaming_barriers(spark, sf_dir):
+    entry = lambda t: t.select("symbol", "ts", *(F.col("value").alias(c) for c in ("high", "low", "close")), F.col("value").alias("atr"))
+    t = _stream(spark, sf_dir, lambda t: sst.barriers(entry(t), 0.5, 0.5, 5, 20 * 86_400), "barriers")
+    return t.select("symbol", F.col("entered").cast("timestamp_ntz").alias("entered"), "hit", "used", "reason")
+
+
+@query(f"WITH {_TK}, l AS (SELECT *, list(value) OVER ({_TO} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vs, value - lag(value) OVER ({_TO}) AS d FROM td), m AS (SELECT *, list(greatest(d, 0.0)) FILTER (WHERE d IS NOT NULL) OVER ({_TO} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ups, list(greatest(-d, 0.0)) FILTER (WHERE d IS NOT NULL) OVER ({_TO} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS downs FROM l), w AS (SELECT *, list_reduce(vs, lambda p, q: p + {2 / 11} * (q - p)) AS e, {_wilder('ups', 14)} AS u, {_wilder('downs', 14)} AS v FROM m) SELECT symbol, ts, round(e, 6) + 0.0 AS ema, round(100 * u / nullif(u + v, 0), 4) + 0.0 AS rsi FROM w")
+def streaming_smoothing(spark, sf_dir):
+    t = _stream(spark, sf_dir, lambda t: sst.smoothed(t, 10, 14), "smoothing")
+    return t.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), (F.round("ema", 6) + 0.0).alias("ema"), (F.round("rsi", 4) + 0.0).alias("rsi"))
+
+
+@query(f"WITH {_TK}, b AS (SELECT *, max(value) OVER w AS hi, min(value) OVER w AS lo FROM td WHERE CAST(symbol AS BIGINT) % 3 <> 0 WINDOW w AS ({_TO} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), o AS (SELECT *, max(CASE WHEN hi > 400 OR lo < 0.01 OR hi / lo > 500 THEN 1 ELSE 0 END) OVER ({_TO} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gone FROM b) SELECT symbol, ts, round(value, 6) + 0.0 AS value FROM o WHERE gone = 0")
+def streaming_universe(spark, sf_dir):
+    known = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("symbol")).where("cast(symbol as bigint) % 3 <> 0")
+    t = _stream(spark, sf_dir, lambda t: sst.universe(t, known, 400.0, 0.01, 500.0), "universe")
+    return t.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), (F.round("value", 6) + 0.0).alias("value"))

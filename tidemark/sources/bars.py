@@ -142,19 +142,3 @@ def write_rankings(ranked: DataFrame, path: str, as_of: str) -> None:
     """Rankings as CSV under the date and under latest."""
     for name in (as_of, "latest"):
         ranked.orderBy("rank").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
-
-
-class Stages:
-    """Named stages of a long job, each written once; a restart reads the last complete one."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _done(self, name: str) -> bool:
-        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
-
-    def run(self, name: str, make) -> DataFrame:
-        if not self._done(name):
-            make().write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.parquet(f"{self.path}/{name}")
