@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import div
+from .order import quantile, quantiles
 from .panel import small
 
 
@@ -133,9 +134,9 @@ def standardise(rows: DataFrame, columns: list[str], bound: float = 3.0) -> Data
 
 
 def winsorise(rows: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    fit = rows.agg(*(F.percentile(c, low).alias(f"__l_{c}") for c in columns), *(F.percentile(c, high).alias(f"__h_{c}") for c in columns))
-    w = {f"{c}_w": F.least(F.greatest(F.col(c), F.col(f"__l_{c}")), F.col(f"__h_{c}")) for c in columns}
-    return rows.join(F.broadcast(fit)).withColumns(w).drop(*fit.columns)
+    """{column}_w: within its own exact percentiles."""
+    cuts = quantiles(rows, {c: [low, high] for c in columns})
+    return rows.withColumns({f"{c}_w": F.least(F.greatest(F.col(c), F.lit(cuts[c][0])), F.lit(cuts[c][1])) for c in columns})
 
 
 def correlation_pairs(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -186,8 +187,8 @@ def purge_mask(rows: DataFrame, test_start, test_end, embargo_days: int = 0) ->
 
 def date_split(rows: DataFrame, share: float = 0.8, date: str = "entry") -> DataFrame:
     """role: train up to the date below which share of the rows lie, else test."""
-    cut = rows.agg(F.percentile(F.unix_date(date), share).alias("__cut"))
-    return rows.join(F.broadcast(cut)).withColumn("role", F.when(F.unix_date(date) <= F.col("__cut"), "train").otherwise("test")).drop("__cut")
+    cut = quantile(rows.select(F.unix_date(date).alias("d")), "d", share)
+    return rows.withColumn("role", F.when(F.unix_date(date) <= F.lit(cut), "train").otherwise("test"))
 
 
 def time_folds(rows: DataFrame, k: int, label: str = "hit", date: str = "entry") -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import by_symbol
+from .order import quantile, quantiles
+from .panel import small
 from .quality import valid_entry
 
 
@@ -44,10 +46,11 @@ def first_touch(bars: DataFrame, up: float, down: float, horizon: int, tie: str
     return rows.drop("__next", "__u", "__d")
 
 
-def multi_touch(bars: DataFrame, models: dict[str, tuple[float, float]], horizon: int) -> DataFrame:
-    """hit_<model> and h_used_<model> for several barrier pairs, from one look ahead."""
+def multi_touch(bars: DataFrame, models: dict[str, tuple[float, float]], horizon: int, keep: Column | None = None) -> DataFrame:
+    """hit_<model> and h_used_<model> for several barrier pairs, from one look ahead; of the rows that keep names, if it is given."""
     ahead = by_symbol().rowsBetween(1, horizon)
-    rows = bars.withColumn("__next", F.collect_list(F.struct("high", "low")).over(ahead)).where(valid_entry() & (F.size("__next") > 0))
+    seen = F.collect_list(F.struct("high", "low")).over(ahead)
+    rows = bars.withColumn("__next", seen).where(valid_entry() & (F.size("__next") > 0) & (F.lit(True) if keep is None else keep))
     out = {}
     for name, (up, down) in models.items():
         top, bottom = F.col("close") + up * F.col("atr"), F.col("close") - down * F.col("atr")
@@ -133,18 +136,23 @@ def before_stop(bars: DataFrame, stop: float, horizon: int) -> DataFrame:
 
 def calibrated_multiple(entries: DataFrame, prevalence: float) -> DataFrame:
     """The target multiple that the wanted share of entries reaches before its stop: a percentile of what each entry reaches until then."""
-    return entries.agg(F.percentile("critical", 1 - prevalence).alias("multiple"), F.count("*").alias("n"))
+    return entries.agg(F.lit(quantile(entries, "critical", 1 - prevalence)).cast("double").alias("multiple"), F.count("*").alias("n"))
 
 
 def excursion_report(entries: DataFrame) -> DataFrame:
     """side, n, mean and percentiles of the moves for and against an entry. entries: mfe, mae."""
+    points = (25, 50, 75, 90)
+    cuts = quantiles(entries, {c: [q / 100 for q in points] for c in ("mfe", "mae")})
     long = entries.unpivot([], ["mfe", "mae"], "side", "x")
-    return long.groupBy("side").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), *(F.percentile("x", q / 100).alias(f"p{q}") for q in (25, 50, 75, 90)))
+    out = long.groupBy("side").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    at = lambda i: F.when(F.col("side") == "mfe", F.lit(cuts["mfe"][i])).otherwise(F.lit(cuts["mae"][i])).cast("double")
+    return out.withColumns({f"p{q}": at(i) for i, q in enumerate(points)})
 
 
 def labels_at(bars: DataFrame, entries: DataFrame, models: dict[str, tuple[float, float]], horizon: int) -> DataFrame:
-    """Labels of several barrier pairs at given entries (symbol, date) alone; bars after them are looked at as ever."""
-    return multi_touch(bars, models, horizon).join(entries.select("symbol", "date").distinct(), ["symbol", "date"], "left_semi")
+    """Labels of several barrier pairs at given entries (symbol, date) alone; bars after them are looked at as ever, barriers are tried at entries only."""
+    marked = bars.join(small(entries.select("symbol", "date").distinct().withColumn("__asked", F.lit(True))), ["symbol", "date"], "left")
+    return multi_touch(marked, models, horizon, F.col("__asked").isNotNull()).drop("__asked")
 
 
 def relabelled(bars: DataFrame, thresholds: DataFrame, horizon: int) -> DataFrame:
@@ -178,7 +186,8 @@ def concentration(labels: DataFrame, n: int = 10) -> DataFrame:
 def atr_spread(labels: DataFrame) -> DataFrame:
     """Distribution of ATR by close among positive labels."""
     x = labels.where("hit = 1").withColumn("a", F.col("atr") / F.col("close"))
-    return x.agg(F.count("*").alias("n"), F.avg("a").alias("mean"), F.percentile("a", 0.5).alias("median"), F.percentile("a", 0.1).alias("p10"), F.percentile("a", 0.9).alias("p90"), F.avg((F.col("a") > 0.05).cast("double")).alias("share_wide"))
+    median, p10, p90 = (F.lit(v).cast("double") for v in quantiles(x, {"a": [0.5, 0.1, 0.9]})["a"])
+    return x.agg(F.count("*").alias("n"), F.avg("a").alias("mean"), median.alias("median"), p10.alias("p10"), p90.alias("p90"), F.avg((F.col("a") > 0.05).cast("double")).alias("share_wide"))
 
 
 def outcomes(labels: DataFrame, models: list[str]) -> DataFrame:

@@ -109,7 +109,9 @@ def performance(weekly: DataFrame, periods: int = 52, by: list[str] = []) -> Dat
     """Return, volatility, ratios, drawdown, tail and hit statistics of weekly returns."""
     rows = equity(weekly, by)
     r = F.col("ret")
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p(r))) - 1).alias("total_return"), F.avg(r).alias("mean"), (F.stddev_samp(r) * math.sqrt(periods)).alias("volatility"), F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2)) * periods).alias("downside"), F.min("drawdown").alias("max_drawdown"), F.percentile("ret", 0.05).alias("var_95"), F.avg((r > 0).cast("double")).alias("hit_rate"), F.sum(F.greatest(r, F.lit(0.0))).alias("won"), F.sum(-F.least(r, F.lit(0.0))).alias("lost"), F.avg(F.when(r > 0, r)).alias("avg_win"), F.avg(F.when(r < 0, r)).alias("avg_loss"), F.max(r).alias("best"), F.min(r).alias("worst"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p(r))) - 1).alias("total_return"), F.avg(r).alias("mean"), (F.stddev_samp(r) * math.sqrt(periods)).alias("volatility"), F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2)) * periods).alias("downside"), F.min("drawdown").alias("max_drawdown"), F.percentile("ret", 0.05).alias("var_95"), F.collect_list("ret").alias("__all"), F.avg((r > 0).cast("double")).alias("hit_rate"), F.sum(F.greatest(r, F.lit(0.0))).alias("won"), F.sum(-F.least(r, F.lit(0.0))).alias("lost"), F.avg(F.when(r > 0, r)).alias("avg_win"), F.avg(F.when(r < 0, r)).alias("avg_loss"), F.max(r).alias("best"), F.min(r).alias("worst"))
+    tail = F.filter("__all", lambda x: x <= F.col("var_95"))
+    out = out.withColumns({"cvar_95": F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail), "win_loss": div("avg_win", F.abs("avg_loss"))}).drop("__all")
     years = F.col("n") / periods
     out = out.withColumn("cagr", F.pow(1 + F.col("total_return"), 1 / years) - 1)
     return out.withColumns({"sharpe": div(F.col("mean") * periods, "volatility"), "sortino": div(F.col("mean") * periods, "downside"), "calmar": div("cagr", F.abs("max_drawdown")), "profit_factor": div("won", "lost")}).drop("won", "lost", "downside", "mean")
@@ -133,12 +135,52 @@ def monthly_matrix(weekly: DataFrame) -> DataFrame:
     return wide.toDF("year", *(f"m{m:02d}" for m in range(1, 13))).join(whole, "year")
 
 
+def rolling_drawdown(weekly: DataFrame, w: int = 52, by: list[str] = [], nav: str = "nav") -> DataFrame:  # noqa: B006
+    """roll_max_drawdown: the greatest fall from a top to a later value among the last w rows, where w are there.
+
+    A stretch is summed up by its top, its bottom and its greatest fall, and two neighbours join to one; stretches of doubling length and the parts of w in powers of
+    two take about 2 log2(w) lags, whatever w is."""
+    order = Window.partitionBy(*by).orderBy("week") if by else Window.orderBy("week")
+    value = F.col(nav)
+
+    def joined(early: Column, late: Column) -> Column:
+        fall = F.least(early["fall"], late["fall"], late["bottom"] / early["top"] - 1)
+        return F.when(early.isNotNull() & late.isNotNull(), F.struct(F.greatest(early["top"], late["top"]).alias("top"), F.least(early["bottom"], late["bottom"]).alias("bottom"), fall.alias("fall")))
+
+    out = weekly.withColumn("__s0", F.when(value.isNotNull(), F.struct(value.alias("top"), value.alias("bottom"), F.lit(0.0).alias("fall"))))
+    powers = [k for k in range(w.bit_length()) if w >> k & 1]
+    for k in range(1, w.bit_length()):
+        out = out.withColumn("__e", F.lag(f"__s{k - 1}", 1 << (k - 1)).over(order)).withColumn(f"__s{k}", joined(F.col("__e"), F.col(f"__s{k - 1}")))
+    whole, length = F.col(f"__s{powers[0]}"), 1 << powers[0]
+    out = out.withColumn("__w", whole)
+    for k in powers[1:]:
+        out = out.withColumn("__e", F.lag(f"__s{k}", length).over(order)).withColumn("__w", joined(F.col("__e"), F.col("__w")))
+        length += 1 << k
+    return out.withColumn("roll_max_drawdown", F.col("__w")["fall"]).drop("__w", "__e", *(f"__s{k}" for k in range(w.bit_length())))
+
+
 def rolling_performance(weekly: DataFrame, w: int = 52) -> DataFrame:
-    """Return, volatility, ratio and hit rate of the last w weeks."""
+    """Return, volatility, ratio, hit rate and greatest drawdown of the last w weeks."""
     frame = Window.orderBy("week").rowsBetween(-(w - 1), 0)
     full = F.count("ret").over(frame) >= w
     out = weekly.withColumns({"roll_return": F.when(full, F.exp(F.sum(F.log1p("ret")).over(frame)) - 1), "roll_volatility": F.when(full, F.stddev_samp("ret").over(frame) * math.sqrt(52)), "roll_mean": F.when(full, F.avg("ret").over(frame) * 52), "roll_hit_rate": F.when(full, F.avg((F.col("ret") > 0).cast("double")).over(frame))})
-    return out.withColumn("roll_sharpe", div("roll_mean", "roll_volatility")).drop("roll_mean")
+    out = out.withColumn("roll_sharpe", div("roll_mean", "roll_volatility")).drop("roll_mean")
+    return rolling_drawdown(equity(out), w).drop("nav", "drawdown")
+
+
+def variance(weights: DataFrame, sigma: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """week, variance and volatility of weights (week, symbol, weight): the sum over pairs of weight, deviation and correlation. sigma: symbol, sigma; pairs: a, b, corr, each
+    pair once in either order; pairs that are missing, and all without the table, count as uncorrelated. Weights of symbols without a sigma count nothing.
+
+    The pair table meets the weights of one side, then, by week, those of the other: work in proportion to the pairs that are held, and no matrix anywhere."""
+    risk = weights.select("week", "symbol", "weight").join(sigma.select("symbol", "sigma"), "symbol").select("week", "symbol", (F.col("weight") * F.col("sigma")).alias("r"))
+    own = risk.groupBy("week").agg(F.sum(F.col("r") * F.col("r")).alias("v"))
+    if pairs is not None:
+        once = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("corr").alias("corr"))
+        left = once.join(risk.select("week", F.col("symbol").alias("a"), F.col("r").alias("ra")), "a")
+        both = left.join(risk.select("week", F.col("symbol").alias("b"), F.col("r").alias("rb")), ["week", "b"])
+        own = own.unionByName(both.groupBy("week").agg((2 * F.sum(F.col("corr") * F.col("ra") * F.col("rb"))).alias("v")))
+    return own.groupBy("week").agg(F.sum("v").alias("variance")).withColumn("volatility", F.sqrt(F.greatest("variance", F.lit(0.0))))
 
 
 def compare(strategies: dict[str, DataFrame], cost: float = 0.0) -> DataFrame:

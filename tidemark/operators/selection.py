@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 
 def overlap_matrix(selected: DataFrame) -> DataFrame:
     """selected (model, feature): shared features and Jaccard similarity of every pair of models."""
@@ -52,13 +54,13 @@ def tiers(importance: DataFrame, core: float = 0.05, low: float = 0.01) -> DataF
 def interactions(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Product, both above their medians, and clipped ratio of each pair of columns."""
     columns = sorted({c for p in pairs for c in p})
-    medians = rows.agg(*(F.percentile(c, 0.5).alias(f"__m_{c}") for c in columns))
+    medians = quantiles(rows, {c: [0.5] for c in columns})
     out = {}
     for a, b in pairs:
         out[f"{a}_x_{b}"] = F.col(a) * F.col(b)
-        out[f"{a}_and_{b}"] = ((F.col(a) > F.col(f"__m_{a}")) & (F.col(b) > F.col(f"__m_{b}"))).cast("double")
+        out[f"{a}_and_{b}"] = ((F.col(a) > F.lit(medians[a][0])) & (F.col(b) > F.lit(medians[b][0]))).cast("double")
         out[f"{a}_by_{b}"] = F.when(F.abs(b) > 1e-12, F.least(F.greatest(F.col(a) / F.col(b), F.lit(-100.0)), F.lit(100.0)))
-    return rows.join(F.broadcast(medians)).withColumns(out).drop(*medians.columns)
+    return rows.withColumns(out)
 
 
 def candidate_pairs(importance: DataFrame, patterns: list[tuple[str, str]], boost: float = 1.5) -> DataFrame:

@@ -168,3 +168,46 @@ def filled_both_ways(left: DataFrame, series: DataFrame, x: str) -> DataFrame:
     # the series is short; its last values by date serve all symbols
     days = as_of(keyed.select("__one", "date").distinct(), one, [x], ["__one"]).select("date", x)
     return left.join(small(days), "date", "left").join(F.broadcast(first)).withColumn(x, F.coalesce(x, "__first")).drop("__first")
+
+
+def occurrences(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """occurrence: the number of a row among those that share its keys, from 1, in the given order; null keys are a key."""
+    return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def aligned(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str], how: str = "inner") -> DataFrame:
+    """Rows of both sides with equal keys, the first with the first, the second with the second: repeated keys pair up one to one instead of all with all. Null keys match.
+    Columns of right that left has too are left out."""
+    own = [c for c in right.columns if c not in left.columns]
+    a = occurrences(left, keys, left_order)
+    both = [*keys, "occurrence"]
+    b = occurrences(right, keys, right_order).select(*(F.col(k).alias(f"__right_{k}") for k in both), *own)
+    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in both])
+    one = lambda k: F.coalesce(k, f"__right_{k}").alias(k)
+    return a.join(b, met, how).select(*(one(k) if k in keys else F.col(k) for k in left.columns), one("occurrence"), *own)
+
+
+def with_row_ids(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """row_id: a digest of keys and occurrence, unique and the same in every run, to carry labels and weights of a panel with repeated keys."""
+    return occurrences(rows, keys, order).withColumn("row_id", F.sha2(F.to_json(F.struct(*keys, "occurrence")), 256)).drop("occurrence")
+
+
+def trading_weeks(calendar: DataFrame) -> DataFrame:
+    """calendar: date, the days that exist. A row a week (by its Monday) that has days: week, first_day, last_day, n_days, next_first (of the next week there is) and
+    previous_last."""
+    weeks = calendar.where("date is not null").groupBy(F.date_trunc("week", "date").cast("date").alias("week")).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.countDistinct("date").alias("n_days"))
+    order = Window.orderBy("week")  # one row a week
+    return weeks.withColumns({"next_first": F.lead("first_day").over(order), "previous_last": F.lag("last_day").over(order)})
+
+
+def snapped(rows: DataFrame, date: str, calendar: DataFrame) -> DataFrame:
+    """rows with the days of the calendar that a date's week really has: on_or_after and on_or_before (the nearest existing days, in other weeks if need be), week_first and
+    week_last (null for a week without days). Asked dates and days are one small table of a row a date."""
+    days = calendar.where("date is not null").select("date").distinct()
+    order = Window.orderBy("date")  # one row a day
+    asked = rows.select(F.col(date).alias("date")).where("date is not null").distinct()
+    both = days.withColumn("day", F.col("date")).unionByName(asked.withColumn("day", F.lit(None).cast("date"))).groupBy("date").agg(F.max("day").alias("day"))
+    near = both.withColumns({"on_or_before": F.last("day", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "on_or_after": F.first("day", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    weeks = trading_weeks(calendar).select("week", F.col("first_day").alias("week_first"), F.col("last_day").alias("week_last"))
+    near = near.withColumn("week", F.date_trunc("week", "date").cast("date")).join(small(weeks), "week", "left").select(F.col("date").alias(date), "on_or_before", "on_or_after", "week_first", "week_last")
+    return rows.join(small(near), date, "left")

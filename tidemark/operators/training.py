@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluation as ev
+from .order import quantile, quantiles
 from .panel import small
 
 
@@ -175,9 +176,8 @@ def strong_pairs(strength: DataFrame, least: float, members: list[str] | None =
     rows = strength.where(F.col("priority") >= least)
     if members is not None:
         rows = rows.where(F.col("a").isin(members) & F.col("b").isin(members))
-    cut = rows.agg(F.percentile("priority", top).alias("__c"))
-    high = F.col("priority") >= F.col("__c")
-    return rows.join(F.broadcast(cut)).where(high if named is None else named | high).drop("__c")
+    high = F.col("priority") >= F.lit(quantile(rows, "priority", top))
+    return rows.where(high if named is None else named | high)
 
 
 def improvement(base: DataFrame, candidate: DataFrame, ratio: float = 0.6, harm: float = 0.01) -> DataFrame:
@@ -227,10 +227,10 @@ def standard_chain(rows: DataFrame, columns: list[str], bound: float = 3.0) -> D
 
 def fitted_state(rows: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """What the chain learns, a row a column: column, low, high, mean and dev of the values within. It can be stored and applied later."""
-    cuts = rows.agg(*(F.percentile(c, q).alias(f"__{n}_{c}") for c in columns for n, q in (("l", low), ("h", high))))
-    inside = rows.join(F.broadcast(cuts))
-    held = {c: F.least(F.greatest(F.col(c), F.col(f"__l_{c}")), F.col(f"__h_{c}")) for c in columns}
-    one = inside.agg(*(F.struct(F.first(f"__l_{c}").alias("low"), F.first(f"__h_{c}").alias("high"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("dev")).alias(c) for c, v in held.items()))
+    cuts = quantiles(rows, {c: [low, high] for c in columns})
+    bound = {c: [F.lit(v).cast("double") for v in cuts[c]] for c in columns}
+    held = {c: F.least(F.greatest(F.col(c), bound[c][0]), bound[c][1]) for c in columns}
+    one = rows.agg(*(F.struct(bound[c][0].alias("low"), bound[c][1].alias("high"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("dev")).alias(c) for c, v in held.items()))
     return one.unpivot([], columns, "feature", "s").select("feature", "s.low", "s.high", "s.mean", "s.dev")
 
 

@@ -773,10 +773,10 @@ def weekly_returns(spark, sf_dir):
 _NAV = "nv AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS nav FROM wr), dd AS (SELECT *, nav / greatest(max(nav) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) - 1 AS drawdown FROM nv)"
 
 
-@query(chain(*_P, _EQ, _WR, _NAV) + ", p AS (SELECT CAST(count(*) AS BIGINT) AS n, exp(sum(ln(1 + ret))) - 1 AS total_return, avg(ret) AS m, stddev_samp(ret) * sqrt(52) AS volatility, sqrt(avg(power(least(ret, 0), 2)) * 52) AS downside, min(drawdown) AS max_drawdown, quantile_cont(ret, 0.05) AS var_95, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(greatest(ret, 0)) AS won, sum(-least(ret, 0)) AS lost, max(ret) AS best, min(ret) AS worst FROM dd) SELECT n, round(volatility, 4) + 0.0 AS volatility, round(max_drawdown, 4) + 0.0 AS max_drawdown, round(var_95, 4) + 0.0 AS var_95, round(hit_rate, 4) + 0.0 AS hit_rate, round(m * 52 / volatility, 4) + 0.0 AS sharpe, round(m * 52 / downside, 4) + 0.0 AS sortino, round(won / lost, 4) + 0.0 AS profit_factor, round(best, 4) + 0.0 AS best, round(worst, 4) + 0.0 AS worst FROM p")
+@query(chain(*_P, _EQ, _WR, _NAV) + ", p AS (SELECT CAST(count(*) AS BIGINT) AS n, exp(sum(ln(1 + ret))) - 1 AS total_return, avg(ret) AS m, stddev_samp(ret) * sqrt(52) AS volatility, sqrt(avg(power(least(ret, 0), 2)) * 52) AS downside, min(drawdown) AS max_drawdown, quantile_cont(ret, 0.05) AS var_95, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(greatest(ret, 0)) AS won, sum(-least(ret, 0)) AS lost, max(ret) AS best, min(ret) AS worst FROM dd) SELECT n, round(volatility, 4) + 0.0 AS volatility, round(max_drawdown, 4) + 0.0 AS max_drawdown, round(var_95, 4) + 0.0 AS var_95, round(hit_rate, 4) + 0.0 AS hit_rate, round(m * 52 / volatility, 4) + 0.0 AS sharpe, round(m * 52 / downside, 4) + 0.0 AS sortino, round(won / lost, 4) + 0.0 AS profit_factor, round(best, 4) + 0.0 AS best, round(worst, 4) + 0.0 AS worst, round((SELECT avg(ret) FROM dd WHERE ret <= var_95), 4) + 0.0 AS cvar_95, round((SELECT avg(ret) FILTER (WHERE ret > 0) / abs(avg(ret) FILTER (WHERE ret < 0)) FROM dd), 4) + 0.0 AS win_loss FROM p")
 def performance(spark, sf_dir):
     w = pf.weekly_returns(pf.equal_top(signals(spark, sf_dir)))
-    return shown(pf.performance(w), ["n"], ["volatility", "max_drawdown", "var_95", "hit_rate", "sharpe", "sortino", "profit_factor", "best", "worst"], 4)
+    return shown(pf.performance(w), ["n"], ["volatility", "max_drawdown", "var_95", "hit_rate", "sharpe", "sortino", "profit_factor", "best", "worst", "cvar_95", "win_loss"], 4)
 
 
 @query(chain(*_P, _EQ, _WR, _NAV) + ", u AS (SELECT *, drawdown < -1e-12 AS under FROM dd), e AS (SELECT *, sum(CASE WHEN under THEN 0 ELSE 1 END) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ep FROM u) SELECT min(week) AS first, max(week) AS last, round(min(drawdown), 5) + 0.0 AS depth, CAST(count(*) AS BIGINT) AS weeks FROM e WHERE under GROUP BY ep")
@@ -1006,10 +1006,13 @@ def binary_labels(spark, sf_dir):
     return lb.binary(m, {"even": -1, "long": 1})
 
 
-@query(chain(*_P, _EQ, _WR) + ", r AS (SELECT week, CASE WHEN count(ret) OVER f >= 52 THEN exp(sum(ln(1 + ret)) OVER f) - 1 END AS roll_return, CASE WHEN count(ret) OVER f >= 52 THEN stddev_samp(ret) OVER f * sqrt(52) END AS roll_volatility, CASE WHEN count(ret) OVER f >= 52 THEN avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) OVER f END AS roll_hit_rate FROM wr WINDOW f AS (ORDER BY week ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) SELECT week, round(roll_return, 4) + 0.0 AS roll_return, round(roll_volatility, 4) + 0.0 AS roll_volatility, round(roll_hit_rate, 4) + 0.0 AS roll_hit_rate FROM r")
+_RDD = "rd AS (SELECT *, row_number() OVER (ORDER BY week) AS k, list(nav) OVER (ORDER BY week ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) AS l FROM nv), re AS (SELECT week, CASE WHEN k >= 52 THEN list_min(list_transform(range(1, 53), lambda i: list_min(l[i:]) / l[i] - 1)) END AS rdd FROM rd)"
+
+
+@query(chain(*_P, _EQ, _WR, _NAV, _RDD) + ", r AS (SELECT week, CASE WHEN count(ret) OVER f >= 52 THEN exp(sum(ln(1 + ret)) OVER f) - 1 END AS roll_return, CASE WHEN count(ret) OVER f >= 52 THEN stddev_samp(ret) OVER f * sqrt(52) END AS roll_volatility, CASE WHEN count(ret) OVER f >= 52 THEN avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) OVER f END AS roll_hit_rate FROM wr WINDOW f AS (ORDER BY week ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)) SELECT week, round(roll_return, 4) + 0.0 AS roll_return, round(roll_volatility, 4) + 0.0 AS roll_volatility, round(roll_hit_rate, 4) + 0.0 AS roll_hit_rate, round(rdd, 4) + 0.0 AS roll_max_drawdown FROM r JOIN re USING (week)")
 def rolling_performance(spark, sf_dir):
     w = pf.weekly_returns(pf.equal_top(signals(spark, sf_dir)))
-    return shown(pf.rolling_performance(w), ["week"], ["roll_return", "roll_volatility", "roll_hit_rate"], 4)
+    return shown(pf.rolling_performance(w), ["week"], ["roll_return", "roll_volatility", "roll_hit_rate", "roll_max_drawdown"], 4)
 
 
 @query(chain(*_P, _EQ, _WR, _NAV) + ", m AS (SELECT year(week) AS y, month(week) AS m, arg_max(nav, week) AS nav FROM nv GROUP BY 1, 2), r AS (SELECT y, m, nav / coalesce(lag(nav) OVER (ORDER BY y, m), 1.0) - 1 AS r FROM m) SELECT CAST(y AS INTEGER) AS year, round(max(CASE WHEN m = 1 THEN r END), 4) + 0.0 AS m01, round(max(CASE WHEN m = 6 THEN r END), 4) + 0.0 AS m06, round(max(CASE WHEN m = 12 THEN r END), 4) + 0.0 AS m12, round(exp(sum(ln(1 + r))) - 1, 4) + 0.0 AS total FROM r GROUP BY 1")

@@ -14,10 +14,12 @@ from .operators import kernels as kn
 from .operators import labels as lb
 from .operators import macro as mc
 from .operators import mapping as mp
+from .operators import model as md
 from .operators import panel as pn
 from .operators import portfolio as pf
 from .operators import quality as ql
 from .operators import selection as sl
+from .operators import significance as sg
 from .operators import tables as tb
 from .operators import training as tr
 from .functions import windows as wn
@@ -883,3 +885,58 @@ def streaming_universe(spark, sf_dir):
     known = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("symbol")).where("cast(symbol as bigint) % 3 <> 0")
     t = _stream(spark, sf_dir, lambda t: sst.universe(t, known, 400.0, 0.01, 500.0), "universe")
     return t.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+# permutations, portfolio variance, repeated keys, trading weeks, one model job
+
+_PT = "pt AS (SELECT o_orderkey AS k, o_totalprice AS price, CAST(o_custkey % 7 AS DOUBLE) AS cust, CASE WHEN o_totalprice * (1 + o_orderkey % 3) > 400000 THEN 1 ELSE 0 END AS y FROM orders)"
+
+
+def _pf(c: str) -> str:
+    return f"SELECT '{c}' AS feature, k, y, CAST(least(floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 10), 9) AS INTEGER) AS bin FROM pt"
+
+
+@query(f"WITH {_PT}, lg AS ({_pf('price')} UNION ALL {_pf('cust')}), pl AS (SELECT j, k, CAST('0x' || substr(md5('42:' || j || ':' || k), 1, 13) AS BIGINT) AS r, y FROM pt, range(19) q(j)), pr AS (SELECT j, k, CASE WHEN row_number() OVER (PARTITION BY j ORDER BY r) <= sum(y) OVER (PARTITION BY j) THEN 1 ELSE 0 END AS py FROM pl), al AS (SELECT feature, -1 AS j, bin, y FROM lg UNION ALL SELECT feature, pr.j, bin, py FROM lg JOIN pr USING (k)), c AS (SELECT feature, j, bin, y, count(*) AS n FROM al GROUP BY ALL), p AS (SELECT *, sum(n) OVER (PARTITION BY feature, j, bin) AS nx, sum(n) OVER (PARTITION BY feature, j, y) AS ny, sum(n) OVER (PARTITION BY feature, j) AS nn FROM c), m AS (SELECT feature, j, sum(n / nn * ln(n * nn / (nx * ny))) AS mi FROM p GROUP BY 1, 2), t AS (SELECT m.feature, max(o.mi) AS mi, avg(m.mi) AS rm, stddev_pop(m.mi) AS rs, (count(*) FILTER (WHERE m.mi >= o.mi - 1e-12) + 1) / 20 AS p FROM m JOIN m o ON m.feature = o.feature AND o.j = -1 WHERE m.j >= 0 GROUP BY 1), q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature) AS raw FROM t) SELECT feature, round(mi, 6) + 0.0 AS mi, round(rm, 6) + 0.0 AS random_mean, round(rs, 6) + 0.0 AS random_dev, round(p, 6) + 0.0 AS p, round(least(min(raw) OVER (ORDER BY p, feature ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 6) + 0.0 AS q FROM q")
+def permutation_significance(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 7).cast("double").alias("cust"), (F.col("o_totalprice") * (1 + F.col("o_orderkey") % 3) > 400000).cast("int").alias("y"))
+    return shown(sg.permutation_test(rows, "k", ["price", "cust"], "y", n=19), ["feature"], ["mi", "random_mean", "random_dev", "p", "q"], 6)
+
+
+@query(chain(*_P, _EQ) + ", sg AS (SELECT symbol, stddev_samp(actual_return) AS sigma FROM signals GROUP BY 1), rr AS (SELECT symbol, week, actual_return AS r FROM signals), co AS (SELECT x.symbol AS a, y.symbol AS b, corr(x.r, y.r) AS corr FROM rr x JOIN rr y ON x.week = y.week AND x.symbol < y.symbol GROUP BY 1, 2 HAVING count(*) >= 20), w AS (SELECT week, symbol, weight * sigma AS r FROM eq JOIN sg USING (symbol)), v AS (SELECT week, sum(r * r) AS v FROM w GROUP BY 1 UNION ALL SELECT x.week, 2 * sum(corr * x.r * y.r) FROM w x JOIN w y ON x.week = y.week AND x.symbol < y.symbol JOIN co ON co.a = x.symbol AND co.b = y.symbol WHERE isfinite(corr) GROUP BY 1) SELECT week, round(sum(v), 8) + 0.0 AS variance, round(sqrt(greatest(sum(v), 0)), 6) + 0.0 AS volatility FROM v GROUP BY 1")
+def portfolio_variance(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    r = s.select("symbol", "week", F.col("actual_return").alias("r"))
+    x, y = r.toDF("a", "week", "ra"), r.toDF("b", "week", "rb")
+    pairs = x.join(y, "week").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("corr")).where("n >= 20 and corr is not null and not isnan(corr)")
+    v = pf.variance(pf.equal_top(s), s.groupBy("symbol").agg(F.stddev_samp("actual_return").alias("sigma")), pairs)
+    return v.select("week", (F.round("variance", 8) + 0.0).alias("variance"), (F.round("volatility", 6) + 0.0).alias("volatility"))
+
+
+@query("WITH l AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, l_quantity, row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem), r AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS price, row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE) ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_returnflag <> 'N') SELECT l_suppkey, day, CAST(k AS INTEGER) AS occurrence, l_quantity, round(price, 4) + 0.0 AS price FROM l JOIN r USING (l_suppkey, day, k)")
+def repeated_keys_aligned(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    right = t.where("l_returnflag <> 'N'").select("l_suppkey", "day", F.col("l_extendedprice").alias("price"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
+    got = tb.aligned(t, right, ["l_suppkey", "day"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], ["price", "o", "n"])
+    return shown(got, ["l_suppkey", "day", "occurrence", "l_quantity"], ["price"], 4)
+
+
+@query(chain(BARS, "d AS (SELECT DISTINCT date FROM bars WHERE symbol IN ('S1', 'S2'))", "w AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week, min(date) AS first_day, max(date) AS last_day, CAST(count(*) AS BIGINT) AS n_days FROM d GROUP BY 1)") + " SELECT *, lead(first_day) OVER (ORDER BY week) AS next_first, lag(last_day) OVER (ORDER BY week) AS previous_last FROM w")
+def trading_weeks(spark, sf_dir):
+    return tb.trading_weeks(bars(spark, sf_dir).where("symbol in ('S1', 'S2')"))
+
+
+@query(chain(BARS, "d AS (SELECT DISTINCT date FROM bars WHERE symbol IN ('S1', 'S2'))", "w AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week, min(date) AS week_first, max(date) AS week_last FROM d GROUP BY 1)", "o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)", "b AS (SELECT o.*, d.date AS on_or_before FROM o ASOF LEFT JOIN d ON o.day >= d.date)", "a AS (SELECT o.*, d.date AS on_or_after FROM o ASOF LEFT JOIN d ON o.day <= d.date)") + " SELECT b.o_orderkey, b.day, on_or_before, on_or_after, week_first, week_last FROM b JOIN a USING (o_orderkey) LEFT JOIN w ON w.week = CAST(date_trunc('week', b.day) AS DATE)")
+def snapped_days(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return tb.snapped(o, "day", bars(spark, sf_dir).where("symbol in ('S1', 'S2')").select("date")).select("o_orderkey", "day", "on_or_before", "on_or_after", "week_first", "week_last")
+
+
+@query(None)
+def model_by_weekly_fold(spark, sf_dir):
+    """Out-of-fold scores of boosted trees with isotonic calibration, measured by weekly fold."""
+    b = ft.returns(lb.with_atr(bars(spark, sf_dir))).withColumns({"rv": F.col("atr") / F.col("close"), "rel": F.col("close") / F.col("open")})
+    t = lb.first_touch(b, 3.0, 3.0, _H).select("symbol", F.col("date").alias("entry"), F.col("t_hit").alias("exit"), (F.col("hit") == 1).cast("double").alias("y"), F.coalesce("ret", F.lit(0.0)).alias("ret"), "rv", "rel", "volume")
+    folds = ev.walk_forward(t, 150, 100)
+    _, metrics = md.out_of_fold(folds, ["ret", "rv", "rel", "volume"], "y", "entry", "symbol", maxIter=3, maxDepth=3)
+    return shown(metrics, ["fold", "n", "train_n"], ["auc", "brier", "calibrated_brier", "top", "bottom"], 3)
