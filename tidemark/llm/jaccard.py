@@ -39,8 +39,8 @@ NONE = -(1 << 63)
 SLICE, PACK, MOST_BROADCAST = 3_000_000, 2_000_000, 2_000_000
 #: Cost of verifying a candidate, in postings read; longest extension tried; pivot rounds at most.
 VERIFY, MOST_MATCHES, ROUNDS = 20.0, 8, 3
-#: Classes of a cluster that are paired at most, classes of a block, shingles that a block counts at a time.
-PAIRED, BLOCK, COUNTED = 256, 1024, 4096
+#: Classes of a cluster that are paired at most, classes and shingles of a side of a block, shingles that a block counts at a time.
+PAIRED, BLOCK, HELD, COUNTED = 256, 1024, 1_000_000, 4096
 
 
 class Sets:
@@ -311,12 +311,15 @@ def _counts(q: np.ndarray, m: np.ndarray, flat: np.ndarray, owner: np.ndarray, r
 
 
 def _blocked(members: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of large clusters. members: cluster, rid, root, matches, prefix. Every class outside the cluster's largest component meets
-    every class of the cluster, in blocks of at most about BLOCK classes by BLOCK. In a block, too, candidates are the classes that share as
+    """Links (a, b) of large clusters. members: cluster, rid, root, n, matches, prefix. Every class outside the cluster's largest component meets
+    every class of the cluster, in blocks whose sides have at most about BLOCK classes and HELD shingles. In a block, too, candidates are the classes that share as
     many prefix shingles as they must; they are counted by matrix products, as no list of pairs is as large as a block. Of the links only a
     forest is returned, fewer than the block has components."""
-    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.sum("c").alias("all"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"))
-    tagged = members.join(sizes, "cluster").withColumns({"across": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), "along": F.ceil(F.col("all") / BLOCK).cast("int"), "odd": F.col("root") != F.col("main")})
+    each = members.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = each.groupBy("cluster").agg(F.sum("c").alias("all"), F.sum("s").alias("whole"), F.max_by(F.struct("root", "c", "s"), F.struct("c", "root")).alias("main"))
+    sides = lambda classes, shingles: F.ceil(F.greatest(classes / BLOCK, shingles / HELD)).cast("int")
+    sizes = sizes.select("cluster", F.col("main.root").alias("main"), sides(F.col("all") - F.col("main.c"), F.col("whole") - F.col("main.s")).alias("across"), sides(F.col("all"), F.col("whole")).alias("along"))
+    tagged = members.join(sizes, "cluster").withColumn("odd", F.col("root") != F.col("main")).drop("n")
     held = tagged.join(_of(common, members.select("rid")), "rid")
     place = lambda n, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.col(n)).cast("int")
     columns = ["rid", "root", "n", "matches", "prefix", "tokens"]
@@ -401,7 +404,7 @@ def link_classes(held: DataFrame, percent: int) -> DataFrame:
     in_large = store(clusters.join(large, "cluster", "left_semi"), "large")
     links = verified(store(_paired(lists.join(in_large.select("rid"), "rid", "left_anti"), percent), "pairs"), common, percent)
     if not in_large.isEmpty():
-        members = in_large.join(lists.groupBy("rid").agg(F.first("root").alias("root"), F.first("matches").alias("matches"), F.collect_list("token").alias("prefix")), "rid").select("cluster", "rid", "root", "matches", "prefix")
+        members = in_large.join(lists.groupBy("rid").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.collect_list("token").alias("prefix")), "rid").select("cluster", "rid", "root", "n", "matches", "prefix")
         links = links.unionAll(_blocked(members, common, percent))
     settle(links)
     return roots.withColumnRenamed("node", "rid")
