@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import by_date, by_symbol, col, div, lag, mean, rows, total, zscore
 
-#: Rows of a benchmark, macro or mapping table that may be broadcast.
-MOST_BROADCAST = 2_000_000
+#: Bytes of a benchmark, macro or mapping table that may be broadcast, by its rows and the width of its schema.
+MOST_BROADCAST = 64 << 20
 
 
 def small(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """table with a broadcast hint if a count proves that it is small; else as it is, for a shuffle join."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    """table with a broadcast hint if a count of its rows, times the width of a row, proves that it is small; else as it is, for a shuffle join. Strings count
+    20 bytes, as Spark has it."""
+    rows = most // max(1, table._jdf.schema().defaultSize())
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def week_end(date: str | Column = "date") -> Column:

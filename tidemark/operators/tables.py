@@ -31,8 +31,10 @@ def assembled(bars: DataFrame, adjust: bool = True) -> DataFrame:
 def newest(caches: dict[str, DataFrame], loaded: str = "loaded") -> DataFrame:
     """The rows of each symbol from the cache that was loaded last, with the cache's name as source; of equals the first in the alphabet."""
     whole = reduce(DataFrame.unionByName, (t.withColumn("source", F.lit(n)) for n, t in caches.items()))
-    best = whole.groupBy("symbol").agg(F.max_by("source", F.struct(F.col(loaded), F.expr("-ascii(source)"))).alias("__s"))
-    return whole.join(best, "symbol").where(F.col("source") == F.col("__s")).drop("__s")
+    each = whole.groupBy("symbol", "source").agg(F.max(loaded).alias("__l"))
+    order = Window.partitionBy("symbol").orderBy(F.desc_nulls_last("__l"), "source")
+    best = each.withColumn("__k", F.row_number().over(order)).where("__k = 1").select("symbol", "source")
+    return whole.join(best, ["symbol", "source"], "left_semi")
 
 
 def filter_counts(rows: DataFrame, columns: list[str], **options) -> DataFrame:
@@ -55,9 +57,14 @@ def kept(rows: DataFrame, keep: list[str], retired: list[str] = []) -> DataFrame
 
 
 def downcast(rows: DataFrame) -> DataFrame:
-    """Doubles as floats and longs as ints, for a sink."""
-    smaller = {DoubleType: "float", LongType: "int"}
-    return rows.select(*(F.col(f.name).cast(smaller[type(f.dataType)]).alias(f.name) if type(f.dataType) in smaller else F.col(f.name) for f in rows.schema))
+    """Doubles as floats, and longs as ints where all their values fit (one pass over the longs tells), for a sink."""
+    longs = [f.name for f in rows.schema if isinstance(f.dataType, LongType)]
+    fits = set()
+    if longs:
+        ends = rows.agg(*(f(c).alias(f"{a}{i}") for i, c in enumerate(longs) for a, f in (("l", F.min), ("h", F.max)))).first()
+        fits = {c for i, c in enumerate(longs) if ends[f"l{i}"] is None or -(1 << 31) <= ends[f"l{i}"] and ends[f"h{i}"] < 1 << 31}
+    kind = lambda f: "float" if isinstance(f.dataType, DoubleType) else "int" if f.name in fits else None
+    return rows.select(*(F.col(f.name).cast(kind(f)).alias(f.name) if kind(f) else F.col(f.name) for f in rows.schema))
 
 
 def schema_problems(rows: DataFrame, required: dict[str, type]) -> list[str]:

@@ -184,7 +184,7 @@ def label_input(spark, sf_dir):
     return ql.label_input(lb.with_atr(bars(spark, sf_dir)), most=1e6, ratio=1e9).groupBy("symbol").agg(F.count("*").alias("n"), (F.round(F.avg("atr"), 5) + 0.0).alias("mean_atr"))
 
 
-@query(chain(BARS, RET) + ", a AS MATERIALIZED (SELECT * FROM rets WHERE abs(ret) <= 1), b AS MATERIALIZED (SELECT avg(ret) AS m, stddev_samp(ret) AS s FROM a) SELECT symbol, date, round(ret, 8) + 0.0 AS ret FROM a, b WHERE abs(ret - m) <= 2.5 * s")
+@query(chain(BARS, RET) + ", a AS (SELECT symbol, date, ret, avg(ret) OVER () AS m, stddev_samp(ret) OVER () AS s FROM rets WHERE abs(ret) <= 1) SELECT symbol, date, round(ret, 8) + 0.0 AS ret FROM a WHERE abs(ret - m) <= 2.5 * s")
 def extreme_returns(spark, sf_dir):
     return shown(ql.extreme_returns(ft.returns(bars(spark, sf_dir)), ["ret"], z=2.5), ["symbol", "date"], ["ret"], 8)
 
@@ -358,12 +358,6 @@ def exponential_means(spark, sf_dir):
     return shown(kn.recursive(bars(spark, sf_dir), ["ewm"]), ["symbol", "date"], ["ema_10", "ema_39"], 6)
 
 
-@query(None)
-def recursive_indicators(spark, sf_dir):
-    names = ["rsi_14", "rsi_21", "rsi_30", "macd", "macd_signal", "macd_histogram", "macd_hist_deriv_ema3", "atr14", "atr_percent", "adx_14", "di_plus_14", "di_minus_14"]
-    return shown(kn.recursive(bars(spark, sf_dir), ["rsi", "macd", "atr", "adx"]), ["symbol", "date"], names)
-
-
 @query(None)
 def hurst_exponent(spark, sf_dir):
     return shown(kn.recursive(bars(spark, sf_dir), ["hurst"]), ["symbol", "date"], ["hurst_128", "hurst_128_ema5"])
@@ -591,7 +585,10 @@ def calibrated_multiple(spark, sf_dir):
     return shown(lb.calibrated_multiple(lb.before_stop(lb.with_atr(bars(spark, sf_dir)), 1.5, 20), 0.25), ["n"], ["multiple"], 6)
 
 
-@query(None)
+@query(
+    chain(*_TOUCH).replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", ps2 AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM bars), lb AS (SELECT pr.symbol, pr.date, pos, hit, h_used, pos + CASE WHEN hit <> 0 AND h_used < 5 THEN h_used ELSE 5 END AS due FROM pr JOIN ps2 USING (symbol, date)), nt AS (SELECT l.*, n.pos AS nxt FROM lb l ASOF LEFT JOIN lb n ON l.symbol = n.symbol AND l.due <= n.pos), w AS (SELECT symbol, pos, nxt FROM nt WHERE pos = (SELECT min(pos) FROM lb m WHERE m.symbol = nt.symbol) UNION ALL SELECT n.symbol, n.pos, n.nxt FROM w JOIN nt n ON n.symbol = w.symbol AND n.pos = w.nxt) SELECT lb.symbol, lb.date, CAST(lb.pos AS INTEGER) AS pos, CAST(hit AS INTEGER) AS hit, CAST(h_used AS INTEGER) AS h_used FROM lb JOIN w USING (symbol, pos)"
+)
 def sampled_entries(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("symbol").orderBy("date"))
     b = lb.with_atr(bars(spark, sf_dir)).withColumn("pos", n)
@@ -859,9 +856,9 @@ def keyword_mapping(spark, sf_dir):
     return shown(mp.by_keyword(parts, words), ["symbol", "group"], ["score"], 3)
 
 
-@query("WITH s AS (SELECT DISTINCT l_returnflag || l_linestatus AS model, l_suppkey AS feature FROM lineitem WHERE l_quantity > 49), n AS (SELECT model, count(*) AS n FROM s GROUP BY 1) SELECT x.model AS a, y.model AS b, CAST(count(*) AS BIGINT) AS shared, round(count(*) / (max(p.n) + max(q.n) - count(*)), 6) + 0.0 AS jaccard FROM s x JOIN s y ON x.feature = y.feature AND x.model < y.model JOIN n p ON p.model = x.model JOIN n q ON q.model = y.model GROUP BY 1, 2")
+@query("WITH s AS (SELECT DISTINCT l_returnflag || l_linestatus AS model, l_partkey AS feature FROM lineitem), n AS (SELECT model, count(*) AS n FROM s GROUP BY 1) SELECT x.model AS a, y.model AS b, CAST(count(*) AS BIGINT) AS shared, round(count(*) / (max(p.n) + max(q.n) - count(*)), 6) + 0.0 AS jaccard FROM s x JOIN s y ON x.feature = y.feature AND x.model < y.model JOIN n p ON p.model = x.model JOIN n q ON q.model = y.model GROUP BY 1, 2")
 def selection_overlap(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.concat("l_returnflag", "l_linestatus").alias("model"), F.col("l_suppkey").alias("feature"))
+    s = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("model"), F.col("l_partkey").alias("feature"))
     return shown(sl.overlap_matrix(s), ["a", "b", "shared"], ["jaccard"], 6)
 
 
@@ -926,6 +923,26 @@ def _seeded_list(x: str, n: int) -> str:
 
 
 _ALL_BEFORE = f"({S} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+_RI = ["rsi_14", "rsi_21", "rsi_30", "macd", "macd_signal", "macd_histogram", "macd_hist_deriv_ema3", "atr14", "atr_percent", "adx_14", "di_plus_14", "di_minus_14"]
+_RIS = [
+    stage("i1", "bars", {"pc": lagged("close"), "nn": "count(close) OVER (PARTITION BY symbol)", "fast": run_fold("close", 12), "slow": run_fold("close", 26)}),
+    stage("i2", "i1", {"d": "close - pc", "tr": "CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END", "hu": f"high - {lagged('high')}", "ld": f"{lagged('low')} - low", "line": "CASE WHEN nn >= 35 THEN fast - slow END"}),
+    stage("i3", "i2", {"pdm": "CASE WHEN pc IS NULL THEN NULL WHEN hu > ld AND hu > 0 THEN hu ELSE 0.0 END", "mdm": "CASE WHEN pc IS NULL THEN NULL WHEN ld > hu AND ld > 0 THEN ld ELSE 0.0 END", "sig": run_fold("line", 9)}),
+    stage("i4", "i3", {n: f"list({x}) FILTER (WHERE {c} IS NOT NULL) OVER {_ALL_BEFORE}" for n, x, c in (("ups", "greatest(d, 0.0)", "d"), ("downs", "greatest(-d, 0.0)", "d"), ("trs", "tr", "tr"), ("trd", "tr", "pc"), ("pl", "pdm", "pdm"), ("ml", "mdm", "mdm"))} | {"hist": "line - sig"}),
+    stage("i5", "i4", {f"{n}{w}": _wilder_list(x, w) for n, x in (("u", "ups"), ("v", "downs")) for w in (14, 21, 30)} | {"atr": _wilder_list("trs", 14), "wd": _wilder_list("trd", 14), "pu": _wilder_list("pl", 14), "pm": _wilder_list("ml", 14), "hd": f"hist - {lagged('hist')}"}),
+    stage("i6", "i5", {f"rsi_{w}": f"100 * u{w} / nullif(u{w} + v{w}, 0)" for w in (14, 21, 30)} | {"macd": "line", "macd_signal": "sig", "macd_histogram": "hist", "macd_hist_deriv_ema3": run_fold("hd", 3), "atr14": "atr", "atr_percent": "atr / close", "di_plus_14": "100 * pu / nullif(wd, 0)", "di_minus_14": "100 * pm / nullif(wd, 0)", "dx": "100 * abs(pu - pm) / nullif(pu + pm, 0)"}),
+    stage("i7", "i6", {"dxl": f"list(dx) FILTER (WHERE dx IS NOT NULL) OVER {_ALL_BEFORE}"}),
+    stage("i8", "i7", {"adx_14": _wilder_list("dxl", 14)}),
+]
+
+
+@query(chain(BARS, *_RIS) + f" SELECT symbol, date, {out(_RI, 4)} FROM i8")
+def recursive_indicators(spark, sf_dir):
+    return shown(kn.recursive(bars(spark, sf_dir), ["rsi", "macd", "atr", "adx"]), ["symbol", "date"], _RI, 4)
+
+
 _KP = [
     stage("k1", "w", {"pc": lagged("close"), "r0": f"ln(close) - ln({lagged('close')})", "tsign": "sign(trend_score_granular)", "vsz": z("volume", 20), "vdir": f"sign(close - {lagged('close', 10)})"}),
     stage("k2", "k1", {"d": "close - pc", "tr": "CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END", "rv20": dev("r0", 20), "rv100": dev("r0", 100), "pdm": f"CASE WHEN pc IS NULL THEN NULL WHEN high - {lagged('high')} > {lagged('low')} - low AND high - {lagged('high')} > 0 THEN high - {lagged('high')} ELSE 0.0 END", "mdm": f"CASE WHEN pc IS NULL THEN NULL WHEN {lagged('low')} - low > high - {lagged('high')} AND {lagged('low')} - low > 0 THEN {lagged('low')} - low ELSE 0.0 END", "vsd": "vsz * vdir", "fast": run_fold("close", 12), "slow": run_fold("close", 26), "nn": "count(close) OVER (PARTITION BY symbol)", "gap": over("close", "pc") + " - 1"}),

@@ -116,7 +116,7 @@ def matrix_checks(spark, sf_dir):
     return shown(tb.matrix_checks(t, ["close", "none", "one", "volume"], "hit"), ["n_rows", "n_all_null", "n_constant"], ["minority_share"], 6)
 
 
-@query(chain(*_TOUCH, RET) + ", t AS (SELECT symbol FROM rets JOIN pr USING (symbol, date) GROUP BY 1 HAVING count(*) >= 30 ORDER BY count(*) DESC, symbol LIMIT 10) SELECT r.symbol, r.date, round(r.ret, 7) + 0.0 AS ret, CAST(pr.hit AS INTEGER) AS hit FROM rets r JOIN pr USING (symbol, date) WHERE r.symbol IN (SELECT symbol FROM t)")
+@query(chain(*_TOUCH, RET) + ", j AS (SELECT r.symbol, r.date, r.ret, pr.hit, count(*) OVER (PARTITION BY r.symbol) AS n FROM rets r JOIN pr ON r.symbol = pr.symbol AND r.date = pr.date), k AS (SELECT *, dense_rank() OVER (ORDER BY n DESC, symbol) AS q FROM j WHERE n >= 30) SELECT symbol, date, round(ret, 7) + 0.0 AS ret, CAST(hit AS INTEGER) AS hit FROM k WHERE q <= 10")
 def tuning_data(spark, sf_dir):
     f = ft.returns(bars(spark, sf_dir)).select(*KEYS, "ret")
     return shown(ql.top_symbols(tb.features_with_labels(f, _labels(spark, sf_dir).select(*KEYS, "hit")), 10, 30), [*KEYS, "hit"], ["ret"], 7)

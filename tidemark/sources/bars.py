@@ -139,6 +139,17 @@ def macro_table(series: DataFrame, names: list[str]) -> DataFrame:
 
 
 def write_rankings(ranked: DataFrame, path: str, as_of: str) -> None:
-    """Rankings as CSV under the date and under latest."""
+    """Rankings as CSV and all predictions as Parquet, each under its date and under latest. Rows lie in files by ranges of rank, so a large table is written by many
+    tasks and read in order; latest is copied from what was written, not computed again."""
+    ordered = ranked.repartitionByRange("rank").sortWithinPartitions("rank")
+    ordered.write.mode("overwrite").parquet(f"{path}/predictions/{as_of}")
+    written = ranked.sparkSession.read.parquet(f"{path}/predictions/{as_of}")
+    written.write.mode("overwrite").parquet(f"{path}/predictions/latest")
     for name in (as_of, "latest"):
-        ranked.orderBy("rank").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        written.write.mode("overwrite").option("header", True).csv(f"{path}/rankings/{name}")
+
+
+def read_predictions(spark: SparkSession, path: str, as_of: str = "latest") -> DataFrame:
+    """Predictions of a date under the names of a signal table: prob as probability, symbols as text, dates as dates."""
+    table = spark.read.parquet(f"{path}/predictions/{as_of}").withColumnsRenamed({"prob": "probability"})
+    return table.withColumns({c: F.col(c).cast(t) for c, t in (("symbol", "string"), ("date", "date")) if c in table.columns})
