@@ -95,3 +95,36 @@ def test_stored_state(spark):
     a = tr.apply_state(df, state, ["x"]).orderBy("x").toPandas()["x_wz"]
     b = tr.standard_chain(df, ["x"]).orderBy("x").toPandas()["x_wz"]
     np.testing.assert_allclose(a, b, atol=1e-9)
+
+
+def test_ties_of_caches_go_by_the_whole_name(spark):
+    t = lambda n, x: spark.createDataFrame([("A", n, x)], "symbol string, loaded int, x int")
+    got = tb.newest({"stocks_b": t(2, 1), "stocks_a": t(2, 2), "stocks_c": t(1, 3)}).collect()
+    assert [(r.x, r.source) for r in got] == [(2, "stocks_a")]
+
+
+def test_casts_keep_what_does_not_fit(spark):
+    t = spark.createDataFrame([(1, 5_000_000_000, 0.5, None), (2, 7, 1.5, None)], "a long, b long, c double, d long")
+    got = tb.downcast(t)
+    assert dict(got.dtypes) == {"a": "int", "b": "bigint", "c": "float", "d": "int"}
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 5_000_000_000, 0.5, None), (2, 7, 1.5, None)]
+
+
+def test_rankings_and_predictions(spark, tmp_path):
+    from tidemark.sources import bars as src
+
+    ranked = spark.createDataFrame([(f"S{i}", i + 1, 1 - i / 100) for i in range(50)], "symbol string, rank int, prob double").repartition(4)
+    src.write_rankings(ranked, str(tmp_path), "2024-01-05")
+    for name in ("2024-01-05", "latest"):
+        got = src.read_predictions(spark, str(tmp_path), name)
+        assert got.columns == ["symbol", "rank", "probability"] and got.count() == 50
+        csv = spark.read.option("header", True).csv(str(tmp_path / "rankings" / name))
+        assert csv.count() == 50 and csv.columns == ["symbol", "rank", "prob"]
+
+
+def test_small_counts_bytes(spark):
+    from tidemark.operators.panel import small
+
+    t = spark.range(1000).selectExpr("id", "id as b")
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().analyzed().toString().lower() or "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(t, 16_000)) and not hinted(small(t, 15_000))
