@@ -128,3 +128,29 @@ def test_small_counts_bytes(spark):
     t = spark.range(1000).selectExpr("id", "id as b")
     hinted = lambda x: "broadcast" in x._jdf.queryExecution().analyzed().toString().lower() or "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
     assert hinted(small(t, 16_000)) and not hinted(small(t, 15_000))
+
+
+def test_both_sides_of_entries(spark):
+    rng = np.random.default_rng(9)
+    x = 50 * np.exp(np.cumsum(rng.normal(0, 0.02, 70)))
+    f = pd.DataFrame({"symbol": "A", "date": pd.date_range("2023-01-02", periods=70).date, "high": x * 1.01, "low": x * 0.99, "close": x, "atr": np.where(np.arange(70) % 11 == 4, np.nan, 0.8)})
+    rows = spark.createDataFrame(f)
+    got = lb.both_sides(rows, 10).toPandas().sort_values("date").reset_index(drop=True)
+    want, at = [], []
+    for i in range(70 - 11):
+        c, a = x[i], f["atr"][i]
+        if a == a:
+            h, lo = f["high"].to_numpy()[i + 1 : i + 11], f["low"].to_numpy()[i + 1 : i + 11]
+            day = lambda hit: int(np.argmax(hit)) if hit.any() else 11
+            sl, ss, tl, ts = day(lo <= c - a), day(h >= c + a), day(h >= c + 1.5 * a), day(lo <= c - 1.5 * a)
+            want.append(((h.max() - c) / a, (lo.min() - c) / a, sl, ss, sl < tl, ss < ts))
+            at.append(i)
+    names = ["mfe_long", "mae_long", "stop_day_long", "stop_day_short", "stop_first_long", "stop_first_short"]
+    assert len(got) == len(want) and np.allclose(got[names].astype(float), np.array(want, float))
+    assert np.allclose(got["mfe_short"], -got["mae_long"]) and np.allclose(got["mae_short"], -got["mfe_long"])
+    walk, due = [], 0
+    for i in at:
+        if i >= due:
+            walk.append(f["date"][i])
+            due = i + 3
+    assert sorted(lb.both_sides(rows, 10, every=3).toPandas()["date"]) == walk

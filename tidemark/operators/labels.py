@@ -122,6 +122,27 @@ def excursions(bars: DataFrame, horizon: int) -> DataFrame:
     return rows.withColumns({"mfe": (F.col("__h") - F.col("close")) / F.col("atr"), "mae": (F.col("close") - F.col("__l")) / F.col("atr")}).where("abs(mfe) <= 50 and abs(mae) <= 50").drop("__h", "__l")
 
 
+def both_sides(bars: DataFrame, horizon: int = 20, stop: float = 1.0, target: float = 1.5, every: int | None = None) -> DataFrame:
+    """For each valid entry with more than horizon rows after it, for long and short trades: mfe and mae (the largest moves for and, negative, against it, in
+    ATR), stop_day (rows before the one that touches the stop, horizon + 1 if none does) and stop_first (the stop is touched on an earlier row than the
+    target). Entries with a move beyond 50 ATR are left out. every: entries of a walk along each symbol, that many rows on after each."""
+    ahead = by_symbol().rowsBetween(1, horizon)
+    more = F.count("*").over(by_symbol().rowsBetween(1, horizon + 1))
+    rows = bars.withColumns({"__next": F.collect_list(F.struct("high", "low")).over(ahead), "__more": more, "pos": F.row_number().over(by_symbol())})
+    rows = rows.where(valid_entry() & (F.col("__more") > horizon))
+    c, a = F.col("close"), F.col("atr")
+    top, bottom = F.array_max(F.transform("__next", lambda b: b["high"])), F.array_min(F.transform("__next", lambda b: b["low"]))
+    rows = rows.withColumns({"mfe_long": (top - c) / a, "mae_long": (bottom - c) / a})
+    rows = rows.withColumns({"mfe_short": -F.col("mae_long"), "mae_short": -F.col("mfe_long")}).where("abs(mfe_long) <= 50 and abs(mae_long) <= 50")
+    first = lambda test: F.coalesce(F.nullif(F.array_position(F.transform("__next", test), True), F.lit(0)) - 1, F.lit(horizon + 1)).cast("int")
+    rows = rows.withColumns({"stop_day_long": first(_under("low", c - stop * a)), "stop_day_short": first(_over("high", c + stop * a)), "__tl": first(_over("high", c + target * a)), "__ts": first(_under("low", c - target * a))})
+    rows = rows.withColumns({"stop_first_long": F.col("stop_day_long") < F.col("__tl"), "stop_first_short": F.col("stop_day_short") < F.col("__ts")}).drop("__next", "__more", "__tl", "__ts")
+    if every is None:
+        return rows.drop("pos")
+    walked = sample_entries(rows.withColumns({"hit": F.lit(0), "h_used": F.lit(every)}), every)
+    return walked.drop("hit", "h_used", "pos")
+
+
 def before_stop(bars: DataFrame, stop: float, horizon: int) -> DataFrame:
     """critical: the largest favourable move, in ATR, that each valid entry sees on the bars before the one that touches its stop
     (on all horizon bars if none does); 0 if the first bar does. A target multiple up to it is reached before the stop."""

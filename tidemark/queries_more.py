@@ -940,3 +940,14 @@ def model_by_weekly_fold(spark, sf_dir):
     folds = ev.walk_forward(t, 150, 100)
     _, metrics = md.out_of_fold(folds, ["ret", "rv", "rel", "volume"], "y", "entry", "symbol", maxIter=3, maxDepth=3)
     return shown(metrics, ["fold", "n", "train_n"], ["auc", "brier", "calibrated_brier", "top", "bottom"], 3)
+
+
+# both sides of an entry
+
+_BS = ["mfe_long", "mae_long", "mfe_short", "mae_short"]
+_BSD = ["stop_day_long", "stop_day_short", "stop_first_long", "stop_first_short"]
+
+
+@query(chain(BARS, ATR, _NEXT) + f", e AS (SELECT symbol, date, close, atr, nx, count(*) OVER ({S} ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) AS more FROM nx), m AS (SELECT *, (list_max(list_transform(nx, lambda b: b.h)) - close) / atr AS up, (list_min(list_transform(nx, lambda b: b.l)) - close) / atr AS dn, {', '.join(f'coalesce(nullif(coalesce(list_position(list_transform(nx, lambda b: {t}), true), 0), 0) - 1, 21) AS {n}' for n, t in (('sl', 'b.l <= close - 1.0 * atr'), ('ss', 'b.h >= close + 1.0 * atr'), ('tl', 'b.h >= close + 1.5 * atr'), ('ts', 'b.l <= close - 1.5 * atr')))} FROM e WHERE close > 0 AND atr > 0 AND more > 20), f AS (SELECT *, up AS mfe_long, dn AS mae_long, -dn AS mfe_short, -up AS mae_short FROM m WHERE abs(up) <= 50 AND abs(dn) <= 50) SELECT symbol, date, {out(_BS)}, CAST(sl AS INTEGER) AS stop_day_long, CAST(ss AS INTEGER) AS stop_day_short, sl < tl AS stop_first_long, ss < ts AS stop_first_short FROM f")
+def both_sides(spark, sf_dir):
+    return shown(lb.both_sides(lb.with_atr(bars(spark, sf_dir))), [*KEYS, *_BSD], _BS)
