@@ -572,8 +572,8 @@ _BMS, _BMW = spread_columns("bm", (20, 60, 120)), spread_columns("wbm", (4, 12,
 
 def _matched(spark, sf_dir):
     b = ft.returns(bars(spark, sf_dir))
-    bench = pn.benchmarks(b, sectors(spark, sf_dir))
-    return b, bench, pn.best_match(b, bench)
+    bench = pn.benchmarks(b, sectors(spark, sf_dir)).persist()  # a row a date and benchmark, read by many joins
+    return b, bench, pn.best_match(b, bench).persist()
 
 
 @query(chain(BARS, SECTORS, BENCH, RET, _FIT, _BM, _BJ.format("ALL"), *spread_sql("s2", "bj", "sp", "bm", (20, 60, 120))) + f" SELECT symbol, date, {out(_BMS, 4)} FROM s2")
@@ -787,10 +787,9 @@ def quiet_trend(spark, sf_dir):
 
 def _sides(spark, sf_dir):
     s = sectors(spark, sf_dir)
-    b = ft.returns(bars(spark, sf_dir))
-    bench = pn.benchmarks(b, s)
+    b, bench, mapping = _matched(spark, sf_dir)
     flow = macro(spark, sf_dir).select("date", (F.col("flow") / 1e6).alias("flow"))
-    return b, xs.Sides(s, bench, {"market": "ALL", "growth": "ASIA"}, pn.best_match(b, bench), flow, ("flow",), (15.0, 20.0, 30.0), {"ae": ("ASIA", "EUROPE"), "all": ("ALL", None)})
+    return b, xs.Sides(s, bench, {"market": "ALL", "growth": "ASIA"}, mapping, flow, ("flow",), (15.0, 20.0, 30.0), {"ae": ("ASIA", "EUROPE"), "all": ("ALL", None)})
 
 
 _XJ = "sj AS (SELECT r.*, sector, best, m.bench_ret AS market_ret, m.px AS market_px, g.bench_ret AS growth_ret, g.px AS growth_px, b.bench_ret AS match_ret, b.px AS match_px FROM {} r LEFT JOIN sectors USING (symbol) LEFT JOIN bm USING (symbol) LEFT JOIN {} m ON m.bench = 'ALL' AND m.date = r.date LEFT JOIN {} g ON g.bench = 'ASIA' AND g.date = r.date LEFT JOIN {} b ON b.bench = bm.best AND b.date = r.date)"
