@@ -90,17 +90,17 @@ def sample_entries(labelled: DataFrame, every: int) -> DataFrame:
     return labelled.join(chosen, ["symbol", "pos"], "left_semi")
 
 
-def overlaps(spans: DataFrame, start: str = "t0", end: str = "t1") -> DataFrame:
-    """spans with n_overlapping: how many other closed spans of the symbol share a day with each.
+def overlaps(spans: DataFrame, start: str = "t0", end: str = "t1", by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """spans with n_overlapping: how many other closed spans of the symbol (or of what by names) share a day with each.
 
     Spans that begin by my end, less spans that end before my start: two running counts over one stream of events instead of a join
     of all pairs."""
     rows = spans.withColumn("__id", F.monotonically_increasing_id()) if "id" not in spans.columns else spans.withColumn("__id", F.col("id"))
-    events = rows.select("symbol", "__id", F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("kind")), F.struct(F.col(end).alias("t"), F.lit(2).alias("kind")))).alias("e")).select("symbol", "__id", "e.t", "e.kind")
-    order = Window.partitionBy("symbol").orderBy("t")
-    seen = events.withColumns({"begun": F.sum((F.col("kind") == 1).cast("long")).over(order.rangeBetween(Window.unboundedPreceding, 0)), "ended": F.sum((F.col("kind") == 2).cast("long")).over(order.rangeBetween(Window.unboundedPreceding, 0)) - F.sum((F.col("kind") == 2).cast("long")).over(Window.partitionBy("symbol", "t"))})
-    counts = seen.groupBy("symbol", "__id").agg(F.max(F.when(F.col("kind") == 2, F.col("begun"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("ended"))).alias("b"))
-    return rows.join(counts, ["symbol", "__id"]).withColumn("n_overlapping", F.col("a") - F.col("b") - 1).drop("__id", "a", "b")
+    events = rows.select(*by, "__id", F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("kind")), F.struct(F.col(end).alias("t"), F.lit(2).alias("kind")))).alias("e")).select(*by, "__id", "e.t", "e.kind")
+    order = Window.partitionBy(*by).orderBy("t")
+    seen = events.withColumns({"begun": F.sum((F.col("kind") == 1).cast("long")).over(order.rangeBetween(Window.unboundedPreceding, 0)), "ended": F.sum((F.col("kind") == 2).cast("long")).over(order.rangeBetween(Window.unboundedPreceding, 0)) - F.sum((F.col("kind") == 2).cast("long")).over(Window.partitionBy(*by, "t"))})
+    counts = seen.groupBy(*by, "__id").agg(F.max(F.when(F.col("kind") == 2, F.col("begun"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("ended"))).alias("b"))
+    return rows.join(counts, [*by, "__id"]).withColumn("n_overlapping", F.col("a") - F.col("b") - 1).drop("__id", "a", "b")
 
 
 def weights(labels: DataFrame, low: float = 0.01, high: float = 10.0) -> DataFrame:
@@ -115,6 +115,28 @@ def weights(labels: DataFrame, low: float = 0.01, high: float = 10.0) -> DataFra
     return rows.join(F.broadcast(mean)).withColumn("weight_final", clip(F.col("__w") / F.col("__m"))).drop("__w", "__m")
 
 
+def model_weights(bars: DataFrame, models: dict[str, tuple[float, float]], horizon: int, low: float = 0.01, high: float = 10.0, least: int = 25) -> DataFrame:
+    """symbol, date, model, hit, h_used, n_overlapping, weight_final: labels of every valid entry under each model's barriers, and weights per model.
+
+    A trajectory is closed at both ends: the rows from an entry to the one that ends it. Overlap and class balance are of the model's own labels; weights
+    are clipped, scaled to a mean of 1 in the model, and clipped again. Symbols of fewer than least rows take no part. All models share one look
+    ahead and one stream of begin and end events."""
+    rows = bars.withColumns({"__k": F.row_number().over(by_symbol()), "__n": F.count("*").over(Window.partitionBy("symbol"))}).where(F.col("__n") >= least).drop("__n")
+    seen = multi_touch(rows, models, horizon)
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"hit_{m}").alias("hit"), F.col(f"h_used_{m}").alias("h_used")) for m in models)))
+    spans = seen.select("symbol", "date", F.col("__k").alias("t0"), each.alias("m")).select("symbol", "date", "t0", "m.*")
+    spans = spans.withColumns({"t1": F.col("t0") + F.col("h_used"), "id": F.col("t0")})
+    out = overlaps(spans, by=("symbol", "model"))
+    classes = out.groupBy("model", "hit").agg(F.count("*").alias("__c"))
+    size = classes.groupBy("model").agg(F.sum("__c").alias("__all"), F.count("*").alias("__m"))
+    # three rows a model at most
+    balance = classes.join(F.broadcast(size), "model").select("model", "hit", (F.col("__all") / (F.col("__m") * F.col("__c"))).alias("__b"))
+    clip = lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    out = out.join(F.broadcast(balance), ["model", "hit"]).withColumn("__w", clip(F.col("__b") / (F.col("n_overlapping") + 0.5)))
+    mean = out.groupBy("model").agg(F.avg("__w").alias("__mean"))
+    return out.join(F.broadcast(mean), "model").select("symbol", "date", "model", "hit", "h_used", "n_overlapping", clip(F.col("__w") / F.col("__mean")).alias("weight_final"))
+
+
 def excursions(bars: DataFrame, horizon: int) -> DataFrame:
     """Largest moves for and against each valid entry over the next horizon rows, in ATR."""
     ahead = by_symbol().rowsBetween(1, horizon)

@@ -229,17 +229,17 @@ def fitted_state(rows: DataFrame, columns: list[str], low: float = 0.01, high: f
     """What the chain learns, a row a column: column, low, high, mean and dev of the values within. It can be stored and applied later."""
     cuts = quantiles(rows, {c: [low, high] for c in columns})
     bound = {c: [F.lit(v).cast("double") for v in cuts[c]] for c in columns}
-    held = {c: F.least(F.greatest(F.col(c), bound[c][0]), bound[c][1]) for c in columns}
+    held = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), bound[c][0]), bound[c][1])) for c in columns}
     one = rows.agg(*(F.struct(bound[c][0].alias("low"), bound[c][1].alias("high"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("dev")).alias(c) for c, v in held.items()))
     return one.unpivot([], columns, "feature", "s").select("feature", "s.low", "s.high", "s.mean", "s.dev")
 
 
 def apply_state(rows: DataFrame, state: DataFrame, columns: list[str], bound: float = 3.0) -> DataFrame:
-    """rows with {column}_wz by a stored state."""
+    """rows with {column}_wz by a stored state; null where the column is, or where it was constant."""
     wide = state.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("low", "high", "mean", "dev")))).alias("__s"))
     out = rows.join(F.broadcast(wide))
     for c in columns:
         s = F.col("__s")[c]
         z = (F.least(F.greatest(F.col(c), s["low"]), s["high"]) - s["mean"]) / F.nullif(s["dev"], F.lit(0.0))
-        out = out.withColumn(f"{c}_wz", F.least(F.greatest(z, F.lit(-bound)), F.lit(bound)))
+        out = out.withColumn(f"{c}_wz", F.when(F.col(c).isNotNull() & z.isNotNull(), F.least(F.greatest(z, F.lit(-bound)), F.lit(bound))))
     return out.drop("__s")

@@ -1050,4 +1050,4 @@ def sized_signals(spark, sf_dir):
     return shown(s, ["symbol", "week", "sector", "probability"], ["bar_volume"], 3)
 
 
-from . import queries_more  # noqa: E402, F401 (registers its queries)
+from . import queries_market, queries_more  # noqa: E402, F401 (register their queries)
