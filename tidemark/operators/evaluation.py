@@ -210,3 +210,24 @@ def rolling_auc(scored: DataFrame, dates: int = 63, least: int = 100, score: str
     spread = placed.join(F.broadcast(last)).select(F.explode(F.sequence(F.col("k"), F.least(F.col("k") + dates - 1, F.col("last")))).alias("k"), F.col(score).alias("p"), F.col(label).alias("y"))
     sizes = spread.groupBy("k").agg(F.count("*").alias("n"), F.sum("y").alias("t")).where((F.col("n") > least) & (F.col("t") > 0) & (F.col("t") < F.col("n")))
     return auc(spread, ["k"]).join(sizes, "k").join(F.broadcast(days), "k").select("date", "n", "auc")
+
+
+def by_regime(scored: DataFrame, regime: str, metric=auc, least: int = 10, **options) -> DataFrame:
+    """metric of the rows of each regime that has more than least of them."""
+    sizes = scored.where(F.col(regime).isNotNull()).groupBy(regime).agg(F.count("*").alias("__n")).where(F.col("__n") > least)
+    # a regime is a category, so few rows
+    return metric(scored.join(sizes.select(regime), regime, "left_semi"), [regime], **options).join(sizes.withColumnRenamed("__n", "n"), regime)
+
+
+def fold_info(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """Per fold of rows (entry, exit): first and last entry of training and test, n_train_original (rows that enter before the test's first), n_train, n_purged
+    (the difference), n_test, has_leakage (a training exit reaches the first test entry). Rows before each day come from one running count by day."""
+    at = lambda role, f: f(F.when(F.col("role") == role, F.col("entry")))
+    parts = folds.groupBy("fold").agg(at("train", F.min).alias("train_start"), at("train", F.max).alias("train_end"), at("test", F.min).alias("test_start"), at("test", F.max).alias("test_end"), F.count(F.when(F.col("role") == "train", 1)).alias("n_train"), F.count(F.when(F.col("role") == "test", 1)).alias("n_test"), F.max(F.when(F.col("role") == "train", F.col("exit"))).alias("__exit"))
+    # one row a day, and one a fold
+    daily = rows.groupBy(F.col("entry").alias("__t")).agg(F.count("*").alias("__c"))
+    events = daily.select("__t", "__c", F.lit(None).cast(parts.schema["fold"].dataType).alias("fold")).unionByName(parts.where("test_start is not null").select(F.col("test_start").alias("__t"), F.lit(0).cast("long").alias("__c"), "fold"))
+    before = F.sum("__c").over(Window.orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)) - F.sum("__c").over(Window.partitionBy("__t"))
+    earlier = events.withColumn("n_train_original", before).where("fold is not null").select("fold", "n_train_original")
+    out = parts.join(earlier, "fold", "left").withColumns({"n_purged": F.col("n_train_original") - F.col("n_train"), "has_leakage": F.coalesce(F.col("__exit") >= F.col("test_start"), F.lit(False))})
+    return out.select("fold", "train_start", "train_end", "test_start", "test_end", "n_train_original", "n_train", "n_purged", "n_test", "has_leakage")

@@ -217,3 +217,38 @@ def weekly_lags(table: DataFrame, x: str, weeks: list[int]) -> DataFrame:
 def top_of_date(table: DataFrame, score: str, n: int) -> DataFrame:
     order = by_date().orderBy(F.desc(score), "symbol")
     return table.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+#: How names of daily features begin or end. Weekly ones begin with w_.
+DAILY_NAMES = (
+    r"^(ret|adjclose|volume|high|low|open)$",
+    r"^(rsi|macd|ema|sma|ma_slope)_",
+    r"^(hurst|vol_regime|distance|breakout|volshock)_",
+    r"^(trend_|alpha_|relstr_)",
+    r"^(breadth_|xsec_)",
+    r"^atr\d+$",
+    r"^(cci|stoch|williams)_",
+    r"_(zscore|ema|ratio|momentum)$",
+)
+
+
+def classified(columns: list[str]) -> tuple[list[str], list[str]]:
+    """The daily and the weekly features among names, in their order; keys and names of neither kind are in neither."""
+    import re
+
+    weekly = [c for c in columns if c.startswith("w_")]
+    daily = [c for c in columns if c not in {"symbol", "date", *weekly} and any(re.search(p, c, re.IGNORECASE) for p in DAILY_NAMES)]
+    return daily, weekly
+
+
+def lags_by_name(table: DataFrame, days: list[int], weeks: list[int]) -> DataFrame:
+    """table with {name}_lag{k}d of its daily features, k rows late, and {name}_lag{k}w of its weekly ones: their last value in the week k weeks of rows before.
+    All weekly columns share one aggregate and one join."""
+    daily, weekly = classified(table.columns)
+    out = table.withColumns({f"{c}_lag{k}d": lag(c, k) for c in daily for k in days})
+    if not (weekly and weeks):
+        return out
+    last = table.groupBy("symbol", week_end().alias("__week")).agg(*(F.max_by(c, "date").alias(c) for c in weekly))
+    order = Window.partitionBy("symbol").orderBy("__week")
+    moved = last.select("symbol", "__week", *(F.lag(c, k).over(order).alias(f"{c}_lag{k}w") for c in weekly for k in weeks))
+    return out.withColumn("__week", week_end()).join(moved, ["symbol", "__week"], "left").drop("__week")

@@ -209,3 +209,14 @@ def by_rule(signals: DataFrame, rule) -> DataFrame:
     """Weights by a user's own expression, scaled to 1 in each week; signals that it gives nothing are out."""
     rows = signals.withColumn("weight", rule).where("weight > 0")
     return rows.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("week")))
+
+
+def turnover_by_symbol(weights: DataFrame) -> DataFrame:
+    """week, symbol, change: the absolute weight change of each symbol to the week before in the table, symbols that left included. Half their sum a week is turnover."""
+    from .panel import small
+
+    weeks = small(weights.select("week").distinct().withColumn("__n", F.row_number().over(Window.orderBy("week"))))
+    now = weights.join(weeks, "week").select("__n", "symbol", "weight")
+    before = now.select((F.col("__n") + 1).alias("__n"), "symbol", F.col("weight").alias("__old"))
+    both = now.join(before, ["__n", "symbol"], "full").withColumn("change", F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("__old", F.lit(0.0))))
+    return both.join(weeks, "__n").select("week", "symbol", "change")

@@ -118,3 +118,13 @@ def feature_stats(rows: DataFrame, features: list[str]) -> DataFrame:
     v = rows.agg(*(F.struct(F.var_samp(c).alias("variance"), F.avg(F.col(c).isNull().cast("double")).alias("null_share")).alias(c) for c in features))
     out = v.unpivot([], features, "feature", "s").select("feature", "s.variance", "s.null_share")
     return out.withColumn("kept", F.coalesce((F.col("variance") > 1e-12) & (F.col("null_share") <= 0.3), F.lit(False)))
+
+
+def require_returns(rows: DataFrame, column: str = "ret") -> DataFrame:
+    """rows as they are; an error if they have no such column or it isn't a number."""
+    kind = dict(rows.dtypes).get(column)
+    if kind is None:
+        raise ValueError(f"no returns column {column} in {rows.columns}")
+    if kind not in {"double", "float"} and not kind.startswith("decimal"):
+        raise TypeError(f"returns column {column} is {kind}")
+    return rows

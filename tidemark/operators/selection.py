@@ -101,3 +101,50 @@ def price_levels(predictions: DataFrame, up: float, down: float) -> DataFrame:
     out = out.withColumns({"target_pct": (F.col("target_price") / F.col("close") - 1) * 100, "stop_pct": (1 - F.col("stop_price") / F.col("close")) * 100})
     out = out.withColumn("reward_risk", F.when(F.col("stop_pct") > 1e-12, F.col("target_pct") / F.col("stop_pct")))
     return out.withColumn("break_even", 1 / (1 + F.col("reward_risk")))
+
+
+# Weights of the parts of the score that tuning maximises.
+OBJECTIVE = {"auc": 0.20, "aupr": 0.15, "calibration": 0.15, "tail": 0.20, "spread": 0.10, "stability": 0.20}
+
+
+def composite_score(folds: DataFrame, by: list[str], weights: dict[str, float] = OBJECTIVE) -> DataFrame:
+    """by and score, from fold metrics auc, aupr, brier, top and bottom: weighed means of AUC, average precision, calibration (1 - Brier / 0.25), precision of the
+    top, its distance to the bottom, and stability (1 - 5 times the relative deviation of AUC, within 0 and 1). A weight that is missing counts as 0."""
+    w = {k: F.lit(float(weights.get(k, 0.0))) for k in OBJECTIVE}
+    out = folds.groupBy(*by).agg(*(F.avg(c).alias(f"__{c}") for c in ("auc", "aupr", "brier", "top", "bottom")), F.stddev_pop("auc").alias("__dev"))
+    stable = F.least(F.greatest(1 - 5 * F.col("__dev") / (F.col("__auc") + 1e-8), F.lit(0.0)), F.lit(1.0))
+    score = w["auc"] * F.col("__auc") + w["aupr"] * F.col("__aupr") + w["calibration"] * (1 - F.col("__brier") / 0.25) + w["tail"] * F.col("__top") + w["spread"] * (F.col("__top") - F.col("__bottom")) + w["stability"] * stable
+    return out.select(*by, stable.alias("stability"), score.alias("score"))
+
+
+def feature_sets(selected: DataFrame, known: DataFrame) -> DataFrame:
+    """Per model of selected (model, feature; a row for each mention): n_total, n_unique, n_duplicates, n_unknown (features that known lacks), valid. How much
+    models share is overlap_matrix."""
+    each = selected.groupBy("model", "feature").agg(F.count("*").alias("__n"))
+    tagged = each.join(known.select("feature").distinct().withColumn("__known", F.lit(True)), "feature", "left")
+    out = tagged.groupBy("model").agg(F.sum("__n").alias("n_total"), F.count("*").alias("n_unique"), F.sum(F.when(F.col("__known").isNull(), 1).otherwise(0)).cast("long").alias("n_unknown"))
+    out = out.withColumn("n_duplicates", F.col("n_total") - F.col("n_unique"))
+    return out.select("model", "n_total", "n_unique", "n_duplicates", "n_unknown", ((F.col("n_duplicates") == 0) & (F.col("n_unknown") == 0)).alias("valid"))
+
+
+def head_status(rows: DataFrame, heads: DataFrame, most_null: float = 0.3) -> DataFrame:
+    """Per model of heads (model, feature): n_present, n_missing and n_sparse (present, but null in more than most_null of rows). One aggregate over the columns
+    that any model names."""
+    from .panel import small
+
+    named = [r[0] for r in heads.select("feature").distinct().collect() if r[0] in rows.columns]  # no more than columns
+    schema = "feature string, null_share double"
+    if named:
+        share = rows.agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in named)).unpivot([], named, "feature", "null_share")
+    else:
+        share = rows.sparkSession.createDataFrame([], schema)
+    met = heads.dropDuplicates(["model", "feature"]).join(small(share.withColumn("__there", F.lit(1))), "feature", "left")
+    return met.groupBy("model").agg(F.count("__there").alias("n_present"), F.count(F.when(F.col("__there").isNull(), 1)).alias("n_missing"), F.count(F.when(F.col("null_share") > most_null, 1)).alias("n_sparse"))
+
+
+def signal_levels(signals: DataFrame, floor: float = 0.001) -> DataFrame:
+    """signals (entry_price, target_price, stop_price) with reward_risk: what the target gains by what the stop loses, a loss of less than floor counting as floor;
+    null without a positive entry price."""
+    entry = F.when(F.col("entry_price") > 0, F.col("entry_price"))
+    loss = 1 - F.col("stop_price") / entry
+    return signals.withColumn("reward_risk", (F.col("target_price") / entry - 1) / F.when(loss.isNotNull(), F.greatest(loss, F.lit(floor))))

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import windows as wn
+from .operators import evaluation as ev
 from .operators import features as ft
 from .operators import labels as lb
 from .operators import mapping as mp
 from .operators import panel as pn
+from .operators import portfolio as pf
+from .operators import selection as sl
 from .operators import sizing as sz
 from .plans import market as mk
-from .queries import _FIT, _H, _NEXT, ATR, BARS, BENCH, FRIDAY, MACRO, RET, SECTORS, SIGNALS, S, bars, chain, lagged, macro, out, over, query, roll, rw, sample_z, sectors, shown, signals, stage, table
+from .sources import panels as sp
+from .queries import _EQ, _FIT, _H, _NEXT, ATR, BARS, BENCH, FRIDAY, MACRO, RET, SCORED, SECTORS, SIGNALS, SQL, WEEKLY, _SPANS, S, _spans, bars, chain, lagged, macro, out, over, query, roll, rw, sample_z, scored, sectors, shown, signals, stage, table
 
 KEYS = ["symbol", "date"]
 
@@ -259,3 +263,74 @@ def _first_sql(model: str, up: float, down: float) -> str:
 def model_weights(spark, sf_dir):
     t = lb.model_weights(lb.with_atr(bars(spark, sf_dir)), _MODELS, _H)
     return shown(t, ["symbol", "date", "model", "hit", "h_used", "n_overlapping"], ["weight_final"], 6)
+
+
+# models and folds
+
+_FOLDS = "fo AS (SELECT l_returnflag AS model, l_linenumber AS fold, 0.5 + avg(l_discount) AS auc, 0.3 + avg(l_tax) AS aupr, avg(l_quantity) / 250 AS brier, max(l_discount) * 5 AS top, avg(l_discount) * 5 AS bottom FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {_FOLDS}, a AS (SELECT model, avg(auc) AS auc, stddev_pop(auc) AS dev, avg(aupr) AS aupr, avg(brier) AS brier, avg(top) AS t, avg(bottom) AS b FROM fo GROUP BY 1), s AS (SELECT *, least(greatest(1 - 5 * dev / (auc + 1e-8), 0.0), 1.0) AS stability FROM a) SELECT model, round(stability, 6) + 0.0 AS stability, round(0.2 * auc + 0.15 * aupr + 0.15 * (1 - brier / 0.25) + 0.2 * t + 0.1 * (t - b) + 0.2 * stability, 6) + 0.0 AS score FROM s")
+def composite_score(spark, sf_dir):
+    folds = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("fold")).agg((0.5 + F.avg("l_discount")).alias("auc"), (0.3 + F.avg("l_tax")).alias("aupr"), (F.avg("l_quantity") / 250).alias("brier"), (F.max("l_discount") * 5).alias("top"), (F.avg("l_discount") * 5).alias("bottom"))
+    return shown(sl.composite_score(folds, ["model"]), ["model"], ["stability", "score"], 6)
+
+
+@query("WITH s AS (SELECT l_returnflag || l_linestatus AS model, l_partkey AS feature, count(*) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT p_partkey AS feature FROM part WHERE p_size > 5) SELECT model, CAST(sum(n) AS BIGINT) AS n_total, CAST(count(*) AS BIGINT) AS n_unique, CAST(sum(n) - count(*) AS BIGINT) AS n_duplicates, CAST(count(*) FILTER (WHERE k.feature IS NULL) AS BIGINT) AS n_unknown, sum(n) = count(*) AND count(*) = count(k.feature) AS valid FROM s LEFT JOIN k ON k.feature = s.feature GROUP BY 1")
+def feature_sets(spark, sf_dir):
+    selected = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("model"), F.col("l_partkey").alias("feature"))
+    return sl.feature_sets(selected, table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("feature")))
+
+
+@query(chain(BARS, RET, stage("le", "rets", {"late": lagged("close", 200)})) + ", sh AS (SELECT 'ret' AS feature, avg(CASE WHEN ret IS NULL THEN 1.0 ELSE 0.0 END) AS s FROM le UNION ALL SELECT 'late', avg(CASE WHEN late IS NULL THEN 1.0 ELSE 0.0 END) FROM le UNION ALL SELECT 'volume', avg(CASE WHEN volume IS NULL THEN 1.0 ELSE 0.0 END) FROM le), he(model, feature) AS (VALUES ('a', 'ret'), ('a', 'late'), ('a', 'gone'), ('b', 'volume'), ('b', 'late')) SELECT model, CAST(count(s) AS BIGINT) AS n_present, CAST(count(*) - count(s) AS BIGINT) AS n_missing, CAST(count(*) FILTER (WHERE s > 0.3) AS BIGINT) AS n_sparse FROM he LEFT JOIN sh ON sh.feature = he.feature GROUP BY 1")
+def head_status(spark, sf_dir):
+    rows = ft.returns(bars(spark, sf_dir)).withColumn("late", wn.lag("close", 200))
+    heads = spark.createDataFrame([("a", "ret"), ("a", "late"), ("a", "gone"), ("b", "volume"), ("b", "late")], "model string, feature string")
+    return sl.head_status(rows, heads)
+
+
+@query(chain(BARS, SECTORS, SIGNALS, "sl AS (SELECT *, close * (1 + probability / 10) AS target, close * (1 - volume % 7 / 1000) AS stop FROM signals)") + " SELECT symbol, week, round((target / close - 1) / greatest(1 - stop / close, 0.001), 5) + 0.0 AS reward_risk FROM sl")
+def signal_levels(spark, sf_dir):
+    s = signals(spark, sf_dir).withColumns({"entry_price": F.col("close"), "target_price": F.col("close") * (1 + F.col("probability") / 10), "stop_price": F.col("close") * (1 - F.col("volume") % 7 / 1000)})
+    return shown(sl.signal_levels(s), ["symbol", "week"], ["reward_risk"])
+
+
+@query(chain(BARS, SECTORS, SIGNALS, _EQ) + ", wk AS (SELECT week, row_number() OVER (ORDER BY week) AS n FROM (SELECT DISTINCT week FROM eq)), a AS (SELECT n, symbol, weight FROM eq JOIN wk USING (week)), f AS (SELECT coalesce(a.n, b.n + 1) AS n, coalesce(a.symbol, b.symbol) AS symbol, abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) AS c FROM a FULL JOIN a b ON a.n = b.n + 1 AND a.symbol = b.symbol) SELECT week, symbol, round(c, 6) + 0.0 AS change FROM f JOIN wk USING (n)")
+def turnover_by_symbol(spark, sf_dir):
+    return shown(pf.turnover_by_symbol(pf.equal_top(signals(spark, sf_dir))), ["week", "symbol"], ["change"], 6)
+
+
+@query(f"WITH {SCORED}, a AS ({SQL['auc_by_language']}), c AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM scored WHERE lang IS NOT NULL GROUP BY 1) SELECT a.lang, a.auc, c.n FROM a JOIN c ON a.lang = c.lang WHERE c.n > 25")
+def regime_auc(spark, sf_dir):
+    return shown(ev.by_regime(scored(spark, sf_dir), "lang", least=25), ["lang", "n"], ["auc"], 6)
+
+
+def _yearly(rows):
+    """Folds of two test years: training rows end before the year."""
+    parts = []
+    for year in (1997, 1999):
+        start = F.lit(f"{year}-01-01").cast("date")
+        parts += [rows.where(F.year("entry") == year).withColumns({"fold": F.lit(year), "role": F.lit("test")}), rows.where(F.col("exit") < start).withColumns({"fold": F.lit(year), "role": F.lit("train")})]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(chain(*_SPANS, "e AS (SELECT CAST(t0 AS DATE) AS entry, CAST(t1 AS DATE) AS exit FROM sp), y(fold) AS (VALUES (1997), (1999)), te AS (SELECT fold, min(entry) AS test_start, max(entry) AS test_end, CAST(count(*) AS BIGINT) AS n_test FROM e JOIN y ON year(entry) = fold GROUP BY 1), tn AS (SELECT fold, min(entry) AS train_start, max(entry) AS train_end, CAST(count(*) AS BIGINT) AS n_train FROM e JOIN y ON exit < make_date(fold, 1, 1) GROUP BY 1), o AS (SELECT fold, CAST(count(*) AS BIGINT) AS n_train_original FROM te JOIN e ON entry < test_start GROUP BY 1)") + " SELECT CAST(fold AS INTEGER) AS fold, train_start, train_end, test_start, test_end, n_train_original, n_train, n_train_original - n_train AS n_purged, n_test, false AS has_leakage FROM te JOIN tn USING (fold) JOIN o USING (fold)")
+def fold_info(spark, sf_dir):
+    rows = _spans(spark, sf_dir).select("symbol", F.col("t0").alias("entry"), F.col("t1").alias("exit"))
+    return ev.fold_info(rows, _yearly(rows))
+
+
+_NAMED = ["ret_lag1d", "ret_lag3d", "atr14_lag1d", "atr14_lag3d", "w_close_lag1w", "w_range_lag1w"]
+
+
+@query(chain(BARS, RET, stage("na", "rets", {"week": "date_trunc('week', date + INTERVAL 2 DAY)", "rg": "high - low"}), "wl AS (SELECT symbol, week, arg_max(close, date) AS c, arg_max(rg, date) AS r FROM na GROUP BY 1, 2)", "wm AS (SELECT symbol, week, lag(c) OVER (PARTITION BY symbol ORDER BY week) AS w_close_lag1w, lag(r) OVER (PARTITION BY symbol ORDER BY week) AS w_range_lag1w FROM wl)", stage("nb", "na", {"ret_lag1d": lagged("ret"), "ret_lag3d": lagged("ret", 3), "atr14_lag1d": lagged("rg"), "atr14_lag3d": lagged("rg", 3)})) + f" SELECT nb.symbol, date, {out(_NAMED, 8)} FROM nb JOIN wm ON wm.symbol = nb.symbol AND wm.week = nb.week")
+def named_lags(spark, sf_dir):
+    t = ft.returns(bars(spark, sf_dir)).withColumns({"atr14": F.col("high") - F.col("low"), "w_close": F.col("close"), "w_range": F.col("high") - F.col("low")}).drop("volume", "adjclose", "high", "low", "open")
+    return shown(pn.lags_by_name(t, [1, 3], [1]), KEYS, _NAMED, 8)
+
+
+@query(chain(BARS, WEEKLY) + " SELECT symbol, date, round(open, 7) + 0.0 AS open, round(high, 7) + 0.0 AS high, round(close, 7) + 0.0 AS close, round(volume, 7) + 0.0 AS volume FROM weekly WHERE (CAST(substr(symbol, 2) AS BIGINT) % 2 = 0 OR symbol IN ('S1', 'S3')) AND symbol IN (SELECT symbol FROM weekly GROUP BY 1 HAVING count(*) >= 10)")
+def weekly_panel(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    stocks = sp.weekly_panel(b.where(F.substring("symbol", 2, 20).cast("long") % 2 == 0))
+    return shown(sp.with_benchmarks(stocks, b, ["S1", "S2", "S3"]), KEYS, ["open", "high", "close", "volume"], 7)
