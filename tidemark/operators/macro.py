@@ -25,9 +25,9 @@ def state(x: str | Column, levels: list[float] | tuple[float, ...], names: list
 
 
 def regime(table: DataFrame, x: str, levels=LEVELS, w: int = 252) -> DataFrame:
-    """Percentile of the last w rows, z-score of 60, regime by level, ratio to the mean of 20, changes over 5 and 20 rows."""
-    out = prior_percentile(table.withColumn(x, F.when(F.col(x) > 0, F.col(x))), x, w, 50, f"{x}_pct")
-    return out.withColumns({f"{x}_z": zscore(x, 60), f"{x}_regime": state(x, levels), f"{x}_ma20_ratio": div(x, mean(x, 20)), f"{x}_chg5": div(x, lag(x, 5)) - 1, f"{x}_chg20": div(x, lag(x, 20)) - 1})
+    """Percentile in the last w rows, z-score of 60 by sample deviation, regime by level, ratio to the mean of 20, changes over 5 and 20 rows."""
+    out = prior_percentile(table.withColumn(x, F.when(F.col(x) > 0, F.col(x))), x, w - 1, 49, f"{x}_pct")
+    return out.withColumns({f"{x}_z": zscore(x, 60, 20, sample=True), f"{x}_regime": state(x, levels), f"{x}_ma20_ratio": div(x, mean(x, 20, 10)), f"{x}_chg5": div(x, lag(x, 5)) - 1, f"{x}_chg20": div(x, lag(x, 20)) - 1})
 
 
 def wide_prices(bars: DataFrame, names: list[str], price: str = "close") -> DataFrame:
@@ -43,9 +43,9 @@ def first_available(bars: DataFrame, alternatives: list[str], price: str = "clos
 
 
 def ratios(table: DataFrame, pairs: dict[str, tuple[str, str]], w: int = 60, least: int | None = None) -> DataFrame:
-    """Ratios of columns and their z-scores."""
+    """Ratios of columns and their z-scores by sample deviation."""
     out = table.withColumns({n: div(a, b) for n, (a, b) in pairs.items()})
-    return out.withColumns({f"{n}_z": zscore(n, w, least) for n in pairs})
+    return out.withColumns({f"{n}_z": zscore(n, w, least, sample=True) for n in pairs})
 
 
 def rolling_correlation(table: DataFrame, a: str, b: str, w: int = 60, least: int = 30, name: str = "corr") -> DataFrame:
@@ -65,7 +65,7 @@ def global_spreads(returns: DataFrame, pairs: dict[str, tuple[str, str | None]],
 
 def published(table: DataFrame, x: str, delay: int) -> DataFrame:
     """Level, differences and z-scores of a published series, delay rows of its own calendar late."""
-    out = table.withColumns({f"{x}_level": F.col(x), f"{x}_chg5": diff(x, 5), f"{x}_chg20": diff(x, 20), f"{x}_z60": zscore(x, 60), f"{x}_z252": zscore(x, 252)})
+    out = table.withColumns({f"{x}_level": F.col(x), f"{x}_chg5": diff(x, 5), f"{x}_chg20": diff(x, 20), f"{x}_z60": zscore(x, 60, 20, sample=True), f"{x}_z252": zscore(x, 252, 60, sample=True)})
     made = [f"{x}_level", f"{x}_chg5", f"{x}_chg20", f"{x}_z60", f"{x}_z252"]
     return out.withColumns({c: F.lag(c, delay).over(by_symbol()) for c in made}) if delay else out
 
@@ -90,12 +90,12 @@ def weekly_series(table: DataFrame, x: str) -> DataFrame:
 
 
 def weekly_regime(weekly: DataFrame, x: str) -> DataFrame:
-    """Percentile of 52 weeks, z-score of 12 by sample deviation, ratio to the mean of 4, changes over 1 and 4 weeks."""
-    out = prior_percentile(weekly, x, 52, 12, f"{x}_pct52")
+    """Percentile in 52 weeks, z-score of 12 by sample deviation, ratio to the mean of 4, changes over 1 and 4 weeks."""
+    out = prior_percentile(weekly, x, 51, 11, f"{x}_pct52")
     return out.withColumns({f"{x}_z12": zscore(x, 12, 4, sample=True), f"{x}_ma4_ratio": div(x, mean(x, 4, 2)), f"{x}_chg1": div(x, lag(x, 1)) - 1, f"{x}_chg4": div(x, lag(x, 4)) - 1})
 
 
 def weekly_published(weekly: DataFrame, x: str, delay: int = 1) -> DataFrame:
     """Level, difference over 4 weeks and z-score of 52, delay weeks late."""
-    out = weekly.withColumns({f"{x}_level": F.col(x), f"{x}_chg4": diff(x, 4), f"{x}_z52": zscore(x, 52)})
+    out = weekly.withColumns({f"{x}_level": F.col(x), f"{x}_chg4": diff(x, 4), f"{x}_z52": zscore(x, 52, 13, sample=True)})
     return out.withColumns({c: F.lag(c, delay).over(by_symbol()) for c in (f"{x}_level", f"{x}_chg4", f"{x}_z52")})

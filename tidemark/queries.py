@@ -797,12 +797,12 @@ def _flow(spark, sf_dir):
     return macro(spark, sf_dir).select(F.lit("F").alias("symbol"), "date", (F.col("flow") / 1e6).alias("v"))
 
 
-@query(chain(MACRO, _ONE, stage("a", "flow1", {"v_z": z("v", 60), "v_ma20_ratio": over("v", f"({mean('v', 20)})"), "v_chg5": over("v", lagged("v", 5)) + " - 1", "v_regime": "CASE WHEN v < 0.5 THEN 0 WHEN v < 0.8 THEN 1 WHEN v < 1.2 THEN 2 ELSE 3 END", "v_pct": f"CASE WHEN len(list(v) OVER ({S} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)) >= 50 THEN len(list_filter(list(v) OVER ({S} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING), lambda q: q < v)) / len(list(v) OVER ({S} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)) * 100 END"})) + f" SELECT date, {out(['v_z', 'v_ma20_ratio', 'v_chg5', 'v_regime', 'v_pct'])} FROM a")
+@query(chain(MACRO, _ONE, stage("a", "flow1", {"v_z": sample_z("v", 60, 20), "v_ma20_ratio": over("v", f"({mean('v', 20, 10)})"), "v_chg5": over("v", lagged("v", 5)) + " - 1", "v_regime": "CASE WHEN v < 0.5 THEN 0 WHEN v < 0.8 THEN 1 WHEN v < 1.2 THEN 2 ELSE 3 END", "v_pct": f"CASE WHEN len(list(v) OVER ({S} ROWS BETWEEN 251 PRECEDING AND 1 PRECEDING)) >= 49 THEN len(list_filter(list(v) OVER ({S} ROWS BETWEEN 251 PRECEDING AND 1 PRECEDING), lambda q: q < v)) / len(list(v) OVER ({S} ROWS BETWEEN 251 PRECEDING AND 1 PRECEDING)) * 100 END"})) + f" SELECT date, {out(['v_z', 'v_ma20_ratio', 'v_chg5', 'v_regime', 'v_pct'])} FROM a")
 def regime_block(spark, sf_dir):
     return shown(mc.regime(_flow(spark, sf_dir), "v", (0.5, 0.8, 1.2)), ["date"], ["v_z", "v_ma20_ratio", "v_chg5", "v_regime", "v_pct"])
 
 
-@query(chain(MACRO, _ONE, stage("a", "flow1", {"c5": f"v - {lagged('v', 5)}", "z60": z("v", 60), "z252": z("v", 252)}), stage("b", "a", {"v_level": lagged("v", 3), "v_chg5": lagged("c5", 3), "v_z60": lagged("z60", 3), "v_z252": lagged("z252", 3)})) + f" SELECT date, {out(['v_level', 'v_chg5', 'v_z60', 'v_z252'], 8)} FROM b")
+@query(chain(MACRO, _ONE, stage("a", "flow1", {"c5": f"v - {lagged('v', 5)}", "z60": sample_z("v", 60, 20), "z252": sample_z("v", 252, 60)}), stage("b", "a", {"v_level": lagged("v", 3), "v_chg5": lagged("c5", 3), "v_z60": lagged("z60", 3), "v_z252": lagged("z252", 3)})) + f" SELECT date, {out(['v_level', 'v_chg5', 'v_z60', 'v_z252'], 8)} FROM b")
 def published_series(spark, sf_dir):
     return shown(mc.published(_flow(spark, sf_dir), "v", 3), ["date"], ["v_level", "v_chg5", "v_z60", "v_z252"], 8)
 
@@ -815,7 +815,7 @@ def _bench_wide(spark, sf_dir, price):
     return mc.wide_prices(b, ["ASIA", "EUROPE", "ALL"], price)
 
 
-@query(chain(BARS, SECTORS, BENCH, _BW, stage("r", "bw", {"ae": over("asia", "europe"), "aa": over("asia", '"all"')}), stage("q", "r", {"ae_z": z("ae", 60), "aa_z": z("aa", 60)})) + f" SELECT date, {out(['ae', 'aa', 'ae_z', 'aa_z'])} FROM q")
+@query(chain(BARS, SECTORS, BENCH, _BW, stage("r", "bw", {"ae": over("asia", "europe"), "aa": over("asia", '"all"')}), stage("q", "r", {"ae_z": sample_z("ae", 60, 20), "aa_z": sample_z("aa", 60, 20)})) + f" SELECT date, {out(['ae', 'aa', 'ae_z', 'aa_z'])} FROM q")
 def cross_asset_ratios(spark, sf_dir):
     return shown(mc.ratios(_bench_wide(spark, sf_dir, "px"), {"ae": ("asia", "europe"), "aa": ("asia", "all")}), ["date"], ["ae", "aa", "ae_z", "aa_z"])
 

@@ -715,12 +715,12 @@ def _weekly_flow(spark, sf_dir):
     return mc.weekly_series(_flow(spark, sf_dir), "v")
 
 
-@query(chain(MACRO, _WM, stage("a", "wm", {"v_z12": over(f"v - ({roll('avg', 'v', 12, 4)})", f"({roll('stddev_samp', 'v', 12, 4)})"), "v_ma4_ratio": over("v", f"({roll('avg', 'v', 4, 2)})"), "v_chg1": over("v", lagged("v", 1)) + " - 1", "v_chg4": over("v", lagged("v", 4)) + " - 1", "v_pct52": f"CASE WHEN count(*) OVER w >= 12 THEN len(list_filter(list(v) OVER w, lambda q: q < v)) / len(list(v) OVER w) * 100 END"}) + "", ) .replace("FROM wm)", f"FROM wm WINDOW w AS ({S} ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING))") + f" SELECT date, {out(['v_z12', 'v_ma4_ratio', 'v_chg1', 'v_chg4', 'v_pct52'], 4)} FROM a")
+@query(chain(MACRO, _WM, stage("a", "wm", {"v_z12": over(f"v - ({roll('avg', 'v', 12, 4)})", f"({roll('stddev_samp', 'v', 12, 4)})"), "v_ma4_ratio": over("v", f"({roll('avg', 'v', 4, 2)})"), "v_chg1": over("v", lagged("v", 1)) + " - 1", "v_chg4": over("v", lagged("v", 4)) + " - 1", "v_pct52": f"CASE WHEN count(*) OVER w >= 11 THEN len(list_filter(list(v) OVER w, lambda q: q < v)) / len(list(v) OVER w) * 100 END"}) + "", ) .replace("FROM wm)", f"FROM wm WINDOW w AS ({S} ROWS BETWEEN 51 PRECEDING AND 1 PRECEDING))") + f" SELECT date, {out(['v_z12', 'v_ma4_ratio', 'v_chg1', 'v_chg4', 'v_pct52'], 4)} FROM a")
 def weekly_regime(spark, sf_dir):
     return shown(mc.weekly_regime(_weekly_flow(spark, sf_dir), "v"), ["date"], ["v_z12", "v_ma4_ratio", "v_chg1", "v_chg4", "v_pct52"], 4)
 
 
-@query(chain(MACRO, _WM, stage("a", "wm", {"v_chg4": f"v - {lagged('v', 4)}", "v_z52": z("v", 52)}), stage("b", "a", {"lv": lagged("v"), "lc": lagged("v_chg4"), "lz": lagged("v_z52")})) + " SELECT date, round(lv, 5) + 0.0 AS v_level, round(lc, 5) + 0.0 AS v_chg4, round(lz, 5) + 0.0 AS v_z52 FROM b")
+@query(chain(MACRO, _WM, stage("a", "wm", {"v_chg4": f"v - {lagged('v', 4)}", "v_z52": sample_z("v", 52, 13)}), stage("b", "a", {"lv": lagged("v"), "lc": lagged("v_chg4"), "lz": lagged("v_z52")})) + " SELECT date, round(lv, 5) + 0.0 AS v_level, round(lc, 5) + 0.0 AS v_chg4, round(lz, 5) + 0.0 AS v_z52 FROM b")
 def weekly_published(spark, sf_dir):
     return shown(mc.weekly_published(_weekly_flow(spark, sf_dir), "v"), ["date"], ["v_level", "v_chg4", "v_z52"])
 
@@ -728,7 +728,7 @@ def weekly_published(spark, sf_dir):
 _WBW = "bw AS (SELECT 'ALL' AS symbol, date, max(CASE WHEN bench = 'ASIA' THEN px END) AS asia, max(CASE WHEN bench = 'EUROPE' THEN px END) AS europe, max(CASE WHEN bench = 'ASIA' THEN bench_ret END) AS ra, max(CASE WHEN bench = 'EUROPE' THEN bench_ret END) AS re FROM bench GROUP BY date)"
 
 
-@query(chain(BARS, SECTORS, WEEKLY, _WBENCH, _WBW, stage("r", "bw", {"ae": over("asia", "europe")}), stage("q", "r", {"ae_z": z("ae", 12, 6)})) + f" SELECT date, {out(['ae', 'ae_z'])} FROM q")
+@query(chain(BARS, SECTORS, WEEKLY, _WBENCH, _WBW, stage("r", "bw", {"ae": over("asia", "europe")}), stage("q", "r", {"ae_z": sample_z("ae", 12, 6)})) + f" SELECT date, {out(['ae', 'ae_z'])} FROM q")
 def weekly_ratios(spark, sf_dir):
     b = _weekly(spark, sf_dir)[2].withColumnRenamed("bench", "symbol")
     return shown(mc.ratios(mc.wide_prices(b, ["ASIA", "EUROPE"], "px"), {"ae": ("asia", "europe")}, 12, 6), ["date"], ["ae", "ae_z"])
