@@ -138,3 +138,12 @@ def test_returns_are_asked_for(spark):
         ql.require_returns(rows, "gone")
     with pytest.raises(TypeError):
         ql.require_returns(rows, "name")
+
+
+def test_nulls_and_constants_of_the_chain(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (3.0, 2.0), (100.0, 2.0)], "x double, same double")
+    cut = [r["x_w"] for r in ev.winsorise(rows, ["x"], 0.0, 0.5).collect()]
+    assert cut == [1.0, None, 3.0, 3.0]
+    scored = ev.standardise(rows, ["x", "same"], 1.0).collect()
+    assert [r["x_z"] is None for r in scored] == [False, True, False, False] and scored[3]["x_z"] == 1.0
+    assert all(r["same_z"] is None for r in scored)

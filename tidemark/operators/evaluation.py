@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import div
+from ..functions.windows import clip, div
 from .order import quantile, quantiles
 from .panel import small
 
@@ -127,16 +127,16 @@ def purged_kfold(rows: DataFrame, k: int, embargo: float = 0.01) -> DataFrame:
 
 
 def standardise(rows: DataFrame, columns: list[str], bound: float = 3.0) -> DataFrame:
-    """z-scores by mean and sample deviation, clipped."""
+    """z-scores by mean and sample deviation, clipped; null where the column is, or where it is constant."""
     fit = rows.agg(*(F.avg(c).alias(f"__m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"__s_{c}") for c in columns))
-    z = {f"{c}_z": F.least(F.greatest(div(F.col(c) - F.col(f"__m_{c}"), f"__s_{c}"), F.lit(-bound)), F.lit(bound)) for c in columns}
+    z = {f"{c}_z": clip(div(F.col(c) - F.col(f"__m_{c}"), f"__s_{c}"), -bound, bound) for c in columns}
     return rows.join(F.broadcast(fit)).withColumns(z).drop(*fit.columns)
 
 
 def winsorise(rows: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """{column}_w: within its own exact percentiles."""
+    """{column}_w: within its own exact percentiles; null stays null."""
     cuts = quantiles(rows, {c: [low, high] for c in columns})
-    return rows.withColumns({f"{c}_w": F.least(F.greatest(F.col(c), F.lit(cuts[c][0])), F.lit(cuts[c][1])) for c in columns})
+    return rows.withColumns({f"{c}_w": F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(cuts[c][0])), F.lit(cuts[c][1]))) for c in columns})
 
 
 def correlation_pairs(rows: DataFrame, columns: list[str]) -> DataFrame:
