@@ -102,3 +102,42 @@ def test_symbols_turn_off_and_unknown_ones_never_pass(spark, feed, tmp_path):
         part = [r for r in rows if r[0] == s]
         off = next(i for i, r in enumerate(part) if r[2] > 50_000 or r[2] < 0.01 or r[2] / min(q[2] for q in part[: i + 1]) > 1_000)
         assert {t for q, t in seen if q == s} == {r[1] for r in part[:off]}
+
+
+class Handle:
+    """State and timers of one symbol in memory."""
+
+    def __init__(self):
+        self.lists, self.timers, self.asked = {}, set(), 0
+
+    def getListState(self, name, schema):
+        held = self.lists.setdefault(name, [])
+        state = type("State", (), {})()
+        state.get, state.clear, state.appendList = lambda: iter(list(held)), held.clear, held.extend
+        state.put = lambda rows: (held.clear(), held.extend(rows))
+        return state
+
+    def registerTimer(self, at):
+        self.asked += 1
+        self.timers.add(at)
+
+
+def test_timers_grow_with_calls_not_with_rows():
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+    handle, processor = Handle(), st.Barriers(0.5, 0.5, 50, 20 * 86_400_000)
+    processor.init(handle)
+    n, day = 200, 86_400_000
+    rows = pd.DataFrame({"ts": [START + dt.timedelta(days=i) for i in range(n)], "high": 10.0, "low": 10.0, "close": 10.0, "atr": 1.0})
+    list(processor.handleInputRows(("A",), iter([rows]), Clock(0)))
+    begun, out = st.milliseconds(START), []
+    for now in (begun + 99 * day, begun + 150 * day, begun + 400 * day):
+        for at in sorted(t for t in handle.timers if t <= now):
+            handle.timers.discard(at)
+            out += list(processor.handleExpiredTimer(("A",), Clock(now), Clock(at)))
+    done = pd.concat(out)
+    assert handle.asked < 20  # one for each row and entry before
+    assert len(done) == n and set(done["reason"]) == {"expired"} and done["entered"].is_unique
+    assert not any(handle.lists.values())

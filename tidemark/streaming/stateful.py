@@ -48,9 +48,10 @@ class Ordered(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             part = frame[self.columns].dropna(subset=["ts"])
-            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in part.itertuples(index=False)])
-            for at in {milliseconds(t) for t in part["ts"]}:
-                self.handle.registerTimer(at)
+            if len(part):
+                self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in part.itertuples(index=False)])
+                # the first row's timer handles all that the watermark has passed and sets the next one
+                self.handle.registerTimer(milliseconds(part["ts"].min()))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -61,6 +62,7 @@ class Ordered(StatefulProcessor):
             later = [r for r in held if milliseconds(r[0]) > until]
             if later:
                 self.waiting.put(later)
+                self.handle.registerTimer(milliseconds(min(r[0] for r in later)))
             else:
                 self.waiting.clear()
         frame = pd.DataFrame(now, columns=self.columns)
@@ -115,9 +117,9 @@ class Barriers(Ordered):
             if r.close is not None and r.atr is not None and np.isfinite(r.close) and np.isfinite(r.atr) and r.close > 0 and r.atr > 0:
                 at, used, last = np.append(at, now), np.append(used, 0), np.append(last, r.close)
                 top, bottom = np.append(top, r.close + self.up * r.atr), np.append(bottom, r.close - self.down * r.atr)
-                self.handle.registerTimer(milliseconds(pd.Timestamp(now + wait)))
         expire(until * 1_000_000, inclusive=True)
         if len(at):
+            self.handle.registerTimer(milliseconds(pd.Timestamp(int(at.min()) + wait)))
             self.entries.put([(pd.Timestamp(a).to_pydatetime(), float(t), float(b), int(u), float(x)) for a, t, b, u, x in zip(at, top, bottom, used, last, strict=True)])
         else:
             self.entries.clear()
