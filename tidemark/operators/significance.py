@@ -40,4 +40,5 @@ def permutation_test(rows: DataFrame, key: str, features: list[str], label: str,
     mi = each.join(whole, ["feature", "j"]).groupBy("feature", "j").agg(F.sum(term(F.col("ones"), F.col("n1")) + term(F.col("nx") - F.col("ones"), F.col("n") - F.col("n1"))).alias("mi"))
     seen = mi.where("j = 0").select("feature", F.col("mi").alias("true"))
     tests = mi.where("j > 0").join(seen, "feature").groupBy("feature").agg(F.max("true").alias("mi"), F.avg("mi").alias("random_mean"), F.stddev_pop("mi").alias("random_dev"), ((F.count_if(F.col("mi") >= F.col("true") - 1e-12) + 1) / (n + 1)).alias("p"))
-    return benjamini_hochberg(tests, alpha)
+    # one row a feature, read several times
+    return benjamini_hochberg(tests.persist(), alpha)
