@@ -43,3 +43,15 @@ def test_adjusted_p_values_in_buckets_with_ties_and_nulls(spark, monkeypatch):
         want[f"f{known[k - 1][1]}"] = least
     assert {f: q for f, (q, _) in got.items()} == pytest.approx(want)
     assert {f for f, (_, found) in got.items() if found} == {f for f, q in want.items() if q <= 0.05}
+
+
+def test_only_held_pairs_are_correlated(spark):
+    rng = np.random.default_rng(5)
+    start = dt.date(2024, 1, 1)
+    r = {(f"S{s}", start + dt.timedelta(weeks=w)): float(rng.normal()) for s in range(30) for w in range(25) if (s + w) % 11}
+    held = [(start + dt.timedelta(weeks=w), f"S{s}") for w in range(25) for s in ((0, 1, 2) if w < 20 else (2, 3))]
+    got = {(x.a, x.b): x.corr for x in pf.held_correlations(spark.createDataFrame(held, "week date, symbol string"), spark.createDataFrame([(*k, v) for k, v in r.items()], "symbol string, week date, r double")).collect()}
+    for a, b in got:
+        weeks = [w for s, w in r if s == a and (b, w) in r]
+        assert got[a, b] == pytest.approx(np.corrcoef([r[a, w] for w in weeks], [r[b, w] for w in weeks])[0, 1])
+    assert set(got) == {("S0", "S1"), ("S0", "S2"), ("S1", "S2"), ("S2", "S3")}

@@ -183,6 +183,19 @@ def variance(weights: DataFrame, sigma: DataFrame, pairs: DataFrame | None = Non
     return own.groupBy("week").agg(F.sum("v").alias("variance")).withColumn("volatility", F.sqrt(F.greatest("variance", F.lit(0.0))))
 
 
+def held_correlations(weights: DataFrame, returns: DataFrame, least: int = 20) -> DataFrame:
+    """a, b, corr of every pair of symbols that weights (week, symbol) hold in the same week, over the weeks in which both have a return (r), of which there
+    must be least. Only held pairs are made: as many as weeks times the square of the names held in one, whatever the number of symbols."""
+    held = weights.select("week", "symbol").distinct()
+    a, b = held.toDF("week", "a"), held.toDF("week", "b")
+    asked = a.join(b, "week").where("a < b").select("a", "b").distinct()
+    names = asked.select(F.explode(F.array("a", "b")).alias("symbol")).distinct()
+    mine = returns.join(names, "symbol", "left_semi").select("symbol", "week", "r")
+    met = asked.join(mine.toDF("a", "week", "ra"), "a").join(mine.toDF("b", "week", "rb"), ["b", "week"])
+    out = met.groupBy("a", "b").agg(F.count("*").alias("__n"), F.corr("ra", "rb").alias("corr"))
+    return out.where((F.col("__n") >= least) & F.col("corr").isNotNull() & ~F.isnan("corr")).drop("__n")
+
+
 def compare(strategies: dict[str, DataFrame], cost: float = 0.0) -> DataFrame:
     """Weekly returns of several weightings of one signal table, one performance row each."""
     tables = [weekly_returns(w, cost=cost).withColumn("strategy", F.lit(name)) for name, w in strategies.items()]
