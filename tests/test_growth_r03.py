@@ -29,6 +29,13 @@ def counted(spark):
     return made, table
 
 
+def test_quantiles_make_their_rows_once(counted):
+    made, table = counted
+    x = np.random.default_rng(1).normal(size=30_000)
+    got = order.quantiles(table([(float(v),) for v in x], "x double"), {"x": [0.1, 0.9]})["x"]
+    assert np.allclose(got, np.quantile(x, [0.1, 0.9])) and made.value == 30_000
+
+
 def test_adjusted_p_values_in_buckets_with_ties_and_nulls(spark, monkeypatch):
     monkeypatch.setattr(ev, "BUCKET", 20)
     rng = np.random.default_rng(3)
