@@ -62,3 +62,11 @@ def test_only_held_pairs_are_correlated(spark):
         weeks = [w for s, w in r if s == a and (b, w) in r]
         assert got[a, b] == pytest.approx(np.corrcoef([r[a, w] for w in weeks], [r[b, w] for w in weeks])[0, 1])
     assert set(got) == {("S0", "S1"), ("S0", "S2"), ("S1", "S2"), ("S2", "S3")}
+
+
+def test_a_job_makes_its_rows_once(spark, counted):
+    made, table = counted
+    rng = np.random.default_rng(2)
+    rows = [(f"S{i}", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(v), int(v + rng.normal() > 0)) for i, v in enumerate(rng.normal(size=400))]
+    md.fit_job(table(rows, "symbol string, date date, move double, y int"), ["move"], "y", "date", "symbol", maxIter=2, maxDepth=2)
+    assert made.value == 400
