@@ -13,6 +13,7 @@ from .operators import panel as pn
 from .operators import portfolio as pf
 from .operators import selection as sl
 from .operators import sizing as sz
+from .operators.order import held
 from .plans import market as mk
 from .sources import panels as sp
 from .queries import _EQ, _FIT, _H, _NEXT, ATR, BARS, BENCH, FRIDAY, MACRO, RET, SCORED, SECTORS, SIGNALS, SQL, WEEKLY, _SPANS, S, _spans, bars, chain, lagged, macro, out, over, query, roll, rw, sample_z, scored, sectors, shown, signals, stage, table
@@ -316,7 +317,7 @@ def _yearly(rows):
 
 @query(chain(*_SPANS, "e AS (SELECT CAST(t0 AS DATE) AS entry, CAST(t1 AS DATE) AS exit FROM sp), y(fold) AS (VALUES (1997), (1999)), te AS (SELECT fold, min(entry) AS test_start, max(entry) AS test_end, CAST(count(*) AS BIGINT) AS n_test FROM e JOIN y ON year(entry) = fold GROUP BY 1), tn AS (SELECT fold, min(entry) AS train_start, max(entry) AS train_end, CAST(count(*) AS BIGINT) AS n_train FROM e JOIN y ON exit < make_date(fold, 1, 1) GROUP BY 1), o AS (SELECT fold, CAST(count(*) AS BIGINT) AS n_train_original FROM te JOIN e ON entry < test_start GROUP BY 1)") + " SELECT CAST(fold AS INTEGER) AS fold, train_start, train_end, test_start, test_end, n_train_original, n_train, n_train_original - n_train AS n_purged, n_test, false AS has_leakage FROM te JOIN tn USING (fold) JOIN o USING (fold)")
 def fold_info(spark, sf_dir):
-    rows = _spans(spark, sf_dir).select("symbol", F.col("t0").alias("entry"), F.col("t1").alias("exit"))
+    rows = held(_spans(spark, sf_dir).select("symbol", F.col("t0").alias("entry"), F.col("t1").alias("exit")))  # each fold takes its part of them
     return ev.fold_info(rows, _yearly(rows))
 
 
