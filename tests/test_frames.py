@@ -91,3 +91,37 @@ def test_covariance_of_pairs(spark):
     for r, k, p in zip(want, n, product, strict=True):
         if k > 1:
             assert p / (k - 1) == pytest.approx(r["c"], rel=1e-9)
+
+
+def test_driver_blocks_against_window_functions(spark, bars):
+    from tidemark.operators import panel as pn
+    from tidemark.plans import cross_section as xs
+
+    made = spark.sparkContext.accumulator(0)
+
+    def look(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    # symbols whose returns stand still have no beta but for rounding
+    plain = ft.returns(bars.where("symbol in ('walk', 'gaps', 'short')")).cache()
+    bench = plain.groupBy("date").agg(F.avg("close").alias("px")).withColumn("bench", F.lit("M"))
+    bench = bench.withColumn("bench_ret", F.log("px") - F.log(F.lag("px").over(wn.Window.partitionBy("bench").orderBy("date")))).cache()
+    sectors = spark.createDataFrame([(s, "x") for s in ("walk", "gaps", "short")], "symbol string, sector string")
+    mapping = spark.createDataFrame([("walk", "M")], "symbol string, bench string")
+    sides = xs.Sides(sectors, bench, {"market": "M"}, mapping)
+    names = ["market_beta", "market_alpha", "market_mom_20", "market_mom_20_ema10", "rs_market", "rs_market_norm", "rs_market_z20", "rs_market_slope10"]
+    got = xs.daily(plain, sides, ["alpha", "strength"]).orderBy("symbol", "date").collect()
+    t = pn.with_benchmark(plain, bench, "M", {"bench_ret": "market_ret", "px": "market_px"})
+    t = pn.alpha_momentum(pn.beta_alpha(t, "ret", "market_ret", 60, "market_", 20), "market_alpha", "market_mom", (20,))
+    t = pn.relative_strength(t, "close", "market_px", "rs_market").withColumn("__log", F.when(F.col("rs_market") > 0, F.log("rs_market")))
+    t = ft.regularised_slope(t, "__log", 10, "rs_market_slope10")
+    want = t.orderBy("symbol", "date").toPandas()
+    want["market_mom_20_ema10"] = want.groupby("symbol")["market_mom_20"].transform(lambda x: x.ewm(span=10, adjust=False).mean())
+    for c in names:
+        x = np.array([np.nan if r[c] is None else r[c] for r in got])
+        assert np.isfinite(x).any() and np.allclose(x, want[c].astype(float), rtol=1e-6, atol=1e-8, equal_nan=True), c
+    # calendars and breadth come from the bars, not from a table whose blocks are made anew for each of them
+    xs.registry(sides, base=plain).blocks["momentum"].run(plain.mapInPandas(look, plain.schema).withColumn("sector", F.lit("x"))).count()
+    assert made.value == plain.count()

@@ -306,6 +306,11 @@ def ewm(x: np.ndarray, span: float) -> np.ndarray:
     return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
 
 
+def ewms(columns: Arrays, span: float, least: int = 0) -> Arrays:
+    """Exponential means of several columns, null until least values are there."""
+    return dict(pd.DataFrame(columns).ewm(span=span, adjust=False, min_periods=least).mean().items())
+
+
 def _seed(x: np.ndarray, n: int) -> np.ndarray | None:
     """x with the mean of its first n values in place of the n-th and null before; none if there are fewer."""
     there = np.flatnonzero(~np.isnan(x))
@@ -378,3 +383,41 @@ def divergences(f: Arrays, windows) -> Arrays:
 def gaps(f: Arrays) -> Arrays:
     percent = f["atr_percent"]
     return {"gap_atr_ratio": div(f["gap_pct"], percent), "gap_atr_ratio_raw": div(f["open"] - lag(f["close"]), f["atr14"]), "atr_percent_chg_5": div(diff(percent, 5), lag(percent, 5))}
+
+
+# against benchmarks
+
+
+def beta_alpha(y: np.ndarray, x: np.ndarray, w: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling beta of y on x and what it leaves, over rows where both are there."""
+    n, product, square = moments(x, w, y)
+    over = np.maximum(n - 1, 1)
+    beta = np.where(n >= max(2, least), div(product / over, square / over), np.nan)
+    return beta, y - beta * x
+
+
+def relative_strength(a: np.ndarray, b: np.ndarray, name: str, norm: tuple[int, int], z: tuple[int, int]) -> Arrays:
+    """Price by benchmark, against its own mean, its z-score by sample deviation and the slope of its log over ten rows."""
+    rs = div(a, b)
+    return {name: rs, f"{name}_norm": div(rs, mean(rs, *norm)) - 1, f"{name}_z{z[0]}": zscore(rs, *z, ddof=1), f"{name}_slope10": regularised_slope(log(rs), 10)}
+
+
+def regularised_slope(x: np.ndarray, w: int, alpha: float = 0.01) -> np.ndarray:
+    """Slope of x by place in the last w rows, with alpha added to the spread of the places; max(3, w / 2) values must be there."""
+    k, n = np.arange(1, len(x) + 1, dtype=float), counts(x, w)
+    sums = {c: total(v, w, 1) for c, v in {"x": x, "kx": k * x, "k": np.where(np.isnan(x), np.nan, k)}.items()}
+    middle = k - (w - 1) / 2
+    product = sums["kx"] - middle * sums["x"] - sums["x"] / np.where(n > 0, n, 1.0) * (sums["k"] - middle * n)
+    return np.where(n >= max(3, w // 2), product / (w * (w * w - 1) / 12 + alpha), np.nan)
+
+
+def strength_pass(f: Arrays) -> Arrays:
+    """Relative strength index by exponential means and MACD histogram of each column."""
+    steps = {c: diff(x) for c, x in f.items()}
+    up, down = (ewms({c: np.where(s > 0, s, 0.0) for c, s in signed.items()}, 14, 14) for signed in (steps, {c: -s for c, s in steps.items()}))
+    fast, slow = ewms(f, 12, 12), ewms(f, 26, 26)
+    line = {c: fast[c].to_numpy() - slow[c].to_numpy() for c in f}
+    mark, out = ewms(line, 9, 9), {}
+    for c in f:
+        out |= {f"{c}_rsi14": 100 - 100 / (1 + ratio(up[c].to_numpy(), down[c].to_numpy())), f"{c}_macd_hist": line[c] - mark[c].to_numpy()}
+    return out

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import by_date, div
 from ..operators import factors as fc
-from ..operators import features as ft
+from ..operators import frames as fr
 from ..operators import macro as mc
+from ..operators import order
 from ..operators import panel as pn
 from .registry import DATE, PASS, Registry
 
@@ -57,10 +58,10 @@ DAILY = Frame("", 60, 20, (20, 60, 120), 3, (60, 20), (20, 6), (5, 20, 60), "d",
 WEEKLY = Frame("", 12, 6, (4, 12, 24), 2, (12, 3), (12, 3), (1, 4, 13), "w", (4, 12, 24), (10, 40), (4, 8), (4, 2, 20, 10))
 
 
-def cross_momentum(table: DataFrame, lookbacks: tuple[int, ...], unit: str, name: str = "xsec_mom") -> DataFrame:
+def cross_momentum(table: DataFrame, lookbacks: tuple[int, ...], unit: str, name: str = "xsec_mom", days: DataFrame | None = None) -> DataFrame:
     """For each lookback, z-scores over the date of the sum of returns over the last rows of the table's own calendar: plain, and less the sector's
-    median. Needs sector. The calendar is joined once; all sums, all medians of a date and all medians of a sector share a window each."""
-    days = table.select("date").distinct().withColumn("__k", F.row_number().over(Window.orderBy("date")))
+    median. Needs sector. days: a table with the dates of the calendar, by default the table itself. The calendar is joined once; all sums, all medians of a date and all medians of a sector share a window each."""
+    days = (table if days is None else days).select("date").distinct().withColumn("__k", F.row_number().over(Window.orderBy("date")))
     rows = Window.partitionBy("symbol").orderBy("__k")
     out = table.join(pn.small(days), "date")
     sums = {}
@@ -91,9 +92,14 @@ def cross_ranks(table: DataFrame, lookbacks: tuple[int, ...], unit: str, name: s
     return out.withColumns({f"{name}_{w}{unit}_sect": F.coalesce(f"{name}_{w}{unit}_sect", f"{name}_{w}{unit}") for w in lookbacks}).drop(*(f"__r{w}" for w in lookbacks))
 
 
-def registry(sides: Sides, frame: Frame = DAILY) -> Registry:
-    """The blocks of a driver for tables of symbol, date, open, high, low, close, adjclose, volume, ret."""
+def registry(sides: Sides, frame: Frame = DAILY, base: DataFrame | None = None) -> Registry:
+    """The blocks of a driver for tables of symbol, date, open, high, low, close, adjclose, volume, ret. base: the bars of the table before its blocks, from
+    which calendars and breadth are taken; without it they are taken from the table, whose blocks are then made for each of them."""
     r, roles = Registry(), sides.roles
+
+    def rows(name: str, fn, needs: list[str], makes: list[str]) -> None:
+        r.add(name, fr.plain(makes, fn), needs, makes, PASS)
+
     whos = [*roles, "match", "combo", *(f"{k}_spread" for k in roles if k != "market")]
     found: list[DataFrame] = []
 
@@ -118,38 +124,22 @@ def registry(sides: Sides, frame: Frame = DAILY) -> Registry:
             t = pn.with_benchmark(t, sides.bench, bench, {"bench_ret": f"{role}_ret", "px": f"{role}_px"})
         return pn.with_benchmark(t, sides.bench, F.col("best"), {"bench_ret": "match_ret", "px": "match_px"})
 
-    def alpha(t: DataFrame) -> DataFrame:
+    def alpha(f: fr.Arrays) -> fr.Arrays:
+        out = {}
         for who in (*roles, "match"):
-            t = pn.beta_alpha(t, "ret", f"{who}_ret", frame.beta, f"{who}_", frame.beta_least)
-        extra = {"combo_alpha": 0.5 * F.col("market_alpha") + 0.5 * F.col("match_alpha")} | {f"{k}_spread_alpha": F.col(f"{k}_alpha") - F.col("market_alpha") for k in roles if k != "market"}
-        t = t.withColumns(extra)
-        for who in whos:
-            t = pn.alpha_momentum(t, f"{who}_alpha", f"{who}_mom", frame.alpha, frame.part)
-        return t
+            out[f"{who}_beta"], out[f"{who}_alpha"] = fr.beta_alpha(f["ret"], f[f"{who}_ret"], frame.beta, frame.beta_least)
+        out["combo_alpha"] = 0.5 * out["market_alpha"] + 0.5 * out["match_alpha"]
+        out |= {f"{k}_spread_alpha": out[f"{k}_alpha"] - out["market_alpha"] for k in roles if k != "market"}
+        return out | {f"{who}_mom_{w}": fr.total(out[f"{who}_alpha"], w, max(3, w // 3) if frame.part == 3 else w // frame.part) for who in whos for w in frame.alpha}
 
     smooth = [f"{who}_alpha" for who in whos] + [f"{who}_mom_{w}" for who in whos for w in frame.alpha]
     pairs = {f"rs_{who}": ("close", f"{who}_px") for who in (*roles, "match")} | {"rs_match_market": ("match_px", "market_px")} | {f"rs_{k}_market": (f"{k}_px", "market_px") for k in roles if k != "market"}
 
-    def strength(t: DataFrame) -> DataFrame:
-        for name, (a, b) in pairs.items():
-            t = pn.relative_strength(t, a, b, name, frame.norm, frame.z)
-            t = ft.regularised_slope(t.withColumn("__log", F.when(F.col(name) > 0, F.log(name))), "__log", 10, f"{name}_slope10").drop("__log")
-        return t
-
-    def strength_pass(f) -> list:
-        out = []
-        for name in pairs:
-            step = f[name].diff()
-            up, down = (kn_ewm(x, 14) for x in (step.where(step > 0, 0.0), (-step).where(step < 0, 0.0)))
-            line = kn_ewm(f[name], 12) - kn_ewm(f[name], 26)
-            out += [100 - 100 / (1 + up / down.replace(0, float("nan"))), line - kn_ewm(line, 9)]
-        return out
-
-    def kn_ewm(x, n):
-        return x.ewm(span=n, adjust=False, min_periods=n).mean()
+    def strength(f: fr.Arrays) -> fr.Arrays:
+        return {k: v for name, (a, b) in pairs.items() for k, v in fr.relative_strength(f[a], f[b], name, frame.norm, frame.z).items()}
 
     def breadth(t: DataFrame) -> DataFrame:
-        made = pn.breadth(t.select("symbol", "date", "close"), frame.averages, frame.spans)
+        made = pn.breadth((t if base is None else base).select("symbol", "date", "close"), frame.averages, frame.spans)
         return t.join(pn.small(made), "date", "left")
 
     a, b = frame.averages
@@ -159,14 +149,14 @@ def registry(sides: Sides, frame: Frame = DAILY) -> Registry:
     sides_made = ["best", *(f"{w}_{c}" for w in (*roles, "match") for c in ("ret", "px"))]
     r.add("sides", joined, keyed, sides_made)
     alphas = [*(f"{w}_beta" for w in (*roles, "match")), *(f"{w}_alpha" for w in whos), *(f"{who}_mom_{w}" for who in whos for w in frame.alpha)]
-    r.add("alpha_windows", alpha, [f"{w}_ret" for w in (*roles, "match")], alphas)
-    r.add("alpha_smooth", lambda f: [f[c].ewm(span=10, adjust=False).mean() for c in smooth], smooth, [f"{c}_ema10" for c in smooth], PASS)
-    r.add("strength_windows", strength, [f"{w}_px" for w in (*roles, "match")], [c for n in pairs for c in (n, f"{n}_norm", f"{n}_z{frame.z[0]}", f"{n}_slope10")])
-    r.add("strength_pass", strength_pass, list(pairs), [c for n in pairs for c in (f"{n}_rsi14", f"{n}_macd_hist")], PASS)
+    rows("alpha_windows", alpha, ["ret", *(f"{w}_ret" for w in (*roles, "match"))], alphas)
+    rows("alpha_smooth", lambda f: {f"{c}_ema10": x for c, x in fr.ewms(f, 10).items()}, smooth, [f"{c}_ema10" for c in smooth])
+    rows("strength_windows", strength, ["close", *(f"{w}_px" for w in (*roles, "match"))], [c for n in pairs for c in (n, f"{n}_norm", f"{n}_z{frame.z[0]}", f"{n}_slope10")])
+    rows("strength_pass", fr.strength_pass, list(pairs), [c for n in pairs for c in (f"{n}_rsi14", f"{n}_macd_hist")])
     breadth_made = ["advancers", "decliners", "net", "ad_line", f"above_ma{a}", f"above_ma{b}", "mcclellan_osc", "mcclellan_sum"]
     r.add("breadth", breadth, ["symbol", "date", "close"], breadth_made, DATE)
     moms = [c.format(w, frame.unit) for w in frame.lookbacks for c in ("mom_{}{}", "xsec_mom_{}{}_z", "xsec_mom_{}{}_sect_neutral_z")]
-    r.add("momentum", lambda t: cross_momentum(t, frame.lookbacks, frame.unit), [*keyed, "sector"], moms, DATE)
+    r.add("momentum", lambda t: cross_momentum(t, frame.lookbacks, frame.unit, days=base), [*keyed, "sector"], moms, DATE)
     ranks = [c.format(w, frame.unit) for w in frame.lookbacks for c in ("xsec_pct_{}{}", "xsec_pct_{}{}_sect")]
     r.add("ranks", lambda t: cross_ranks(t, frame.lookbacks, frame.unit), [f"mom_{w}{frame.unit}" for w in frame.lookbacks] + ["sector"], ranks, DATE)
     if sides.pairs:
@@ -195,7 +185,7 @@ def registry(sides: Sides, frame: Frame = DAILY) -> Registry:
 
 def daily(features: DataFrame, sides: Sides, names: Iterable[str] | None = None) -> DataFrame:
     """features (symbol, date, bars, ret) with the asked blocks of the daily driver; all by default, and the joint factor regression, daily and weekly."""
-    out = registry(sides, DAILY).run(features.repartition("symbol"), names)
+    out = registry(sides, DAILY, features).run(features.repartition("symbol"), names)
     return out if names is not None else with_factors(out, features, sides)
 
 
@@ -213,7 +203,8 @@ def weekly(bars: DataFrame, sides: Sides, names: Iterable[str] | None = None) ->
     px = sides.bench.groupBy("bench", week.alias("week")).agg(F.max_by("px", "date").alias("px")).withColumnRenamed("week", "date")
     series = None if sides.series is None else sides.series.groupBy(week.alias("week")).agg(*(F.max_by(c, "date").alias(c) for c in sides.columns)).withColumnRenamed("week", "date")
     coarse = Sides(sides.sectors, bench.join(px, ["bench", "date"]), sides.roles, sides.mapping, series, sides.columns, sides.levels, sides.pairs)
-    made = registry(coarse, WEEKLY).run(pn.resample(bars).repartition("symbol"), names)
+    weeks = order.held(pn.resample(bars))
+    made = registry(coarse, WEEKLY, weeks).run(weeks.repartition("symbol"), names)
     new = [c for c in made.columns if c not in {"symbol", "date", "open", "high", "low", "close", "adjclose", "volume", "ret"}]
     renamed = made.select("symbol", "date", *(F.col(c).alias(f"w_{c}") for c in new))
     return pn.as_of(bars, renamed, [f"w_{c}" for c in new], ["symbol"])
