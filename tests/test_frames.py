@@ -125,3 +125,12 @@ def test_driver_blocks_against_window_functions(spark, bars):
     # calendars and breadth come from the bars, not from a table whose blocks are made anew for each of them
     xs.registry(sides, base=plain).blocks["momentum"].run(plain.mapInPandas(look, plain.schema).withColumn("sector", F.lit("x"))).count()
     assert made.value == plain.count()
+
+
+def test_dates_come_before_wide_passes(spark, bars):
+    from tidemark.plans import cross_section as xs
+    from tidemark.plans.registry import DATE, PASS
+
+    sides = xs.Sides(spark.createDataFrame([("walk", "x")], "symbol string, sector string"), bars, {"market": "M"})
+    kinds = [kind for kind, _ in xs.registry(sides).plan(["alpha", "strength", "volatility_context", "breadth", "momentum", "ranks"], ["symbol", "date", "close", "ret"])]
+    assert kinds[-1] == PASS and kinds.count(PASS) == 1 and DATE in kinds
