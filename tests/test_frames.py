@@ -1,6 +1,7 @@
 """Blocks of a pass in arrays, against the same blocks as window functions."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -134,3 +135,10 @@ def test_dates_come_before_wide_passes(spark, bars):
     sides = xs.Sides(spark.createDataFrame([("walk", "x")], "symbol string, sector string"), bars, {"market": "M"})
     kinds = [kind for kind, _ in xs.registry(sides).plan(["alpha", "strength", "volatility_context", "breadth", "momentum", "ranks"], ["symbol", "date", "close", "ret"])]
     assert kinds[-1] == PASS and kinds.count(PASS) == 1 and DATE in kinds
+
+
+@pytest.mark.parametrize("name", ["residual_block", "sizing_chain", "best_match_spread", "weekly_joint_factors"])
+def test_shared_rows_are_held(spark, small, name):
+    from tidemark.queries import QUERIES
+
+    assert re.search(r"InMemoryTableScan \[symbol#\d+L?, date#", QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString())
