@@ -220,7 +220,8 @@ _SIZING_SQL = [
 
 def _sizing_sides(spark, sf_dir):
     features = lb.with_atr(bars(spark, sf_dir)).withColumns({"atr_percent": F.col("atr") / F.col("close"), "dollar_volume": F.col("close") * F.col("volume"), "adv_20d": wn.mean("volume", 20, 5)})
-    return signals(spark, sf_dir).withColumnRenamed("week", "week_monday").drop("close", "volume"), features
+    # read for bounds, for moments and for what is shown
+    return held(signals(spark, sf_dir).withColumnRenamed("week", "week_monday").drop("close", "volume")), held(features)
 
 
 @query(chain(*_SIZING_SQL) + f" SELECT symbol, week, {out(_SIZED)} FROM so")
