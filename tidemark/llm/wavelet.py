@@ -60,15 +60,16 @@ def write_shard(ids: np.ndarray, doc_ids: list[int | None], cuts: np.ndarray) ->
     blocks = -(-n // BLOCK)
     zeros, ones, sizes, payload = [], [], [], []
     for level in range(levels - 1, -1, -1):
-        bit = (row >> level) & 1 == 1
+        bit = row & row.dtype.type(1 << level) != 0
         for b in range(blocks):
             part = bit[b * BLOCK : (b + 1) * BLOCK]
             payload.append(squeeze(np.packbits(part, bitorder="little").tobytes()))
             sizes.append(len(payload[-1]))
             ones.append(np.count_nonzero(part))
-        low = row[~bit]
+        # places of set bits are found without a branch a bit, which a choice by the bits themselves takes
+        low = np.flatnonzero(~bit)
         zeros.append(len(low))
-        row = np.concatenate((low, row[bit]))
+        row = np.concatenate((row.take(low), row.take(np.flatnonzero(bit))))
     head = struct.pack("<QQQ", n, len(doc_ids), levels)
     null = np.array([d is None for d in doc_ids], np.uint8)
     ids64 = np.array([d or 0 for d in doc_ids], np.int64)
@@ -170,8 +171,8 @@ class Shard:
             packed = [np.unpackbits(np.frombuffer(zstandard.decompress(self.payload[self.at[k] : self.at[k + 1]]), np.uint8), count=min(BLOCK, self.n - b * BLOCK), bitorder="little") for b in range(self.blocks) for k in [level * self.blocks + b]]
             bit = (np.concatenate(packed) if packed else np.zeros(0, np.uint8)).astype(bool)
             up, zeros = np.empty_like(row), int(self.zeros[level])
-            up[~bit] = row[:zeros]
-            up[bit] = row[zeros:] | row.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~bit)] = row[:zeros]
+            up[np.flatnonzero(bit)] = row[zeros:] | row.dtype.type(1 << (self.levels - 1 - level))
             row = up
         return self.alphabet[row]
 
