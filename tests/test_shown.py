@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import rounded
@@ -44,3 +45,21 @@ def test_frames_with_and_without_gaps_have_the_moments_of_their_values():
                             np.testing.assert_allclose(second[i], ((a - a.mean()) ** 2).sum(), atol=1e-9)
                             np.testing.assert_allclose(first[i], a.mean() if other is None else ((a - a.mean()) * b).sum(), atol=1e-9)
     assert all(v.shape == (10, 4) for _, v in fr.views(np.arange(30.0), 4, 0.0, 20))
+
+
+def test_exponential_means_in_stretches_are_those_of_pandas():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 31, 32, 33, 200):
+        x = {c: rng.normal(50, 9, n) for c in ("plain", "late", "gap", "inf", "none", "still")}
+        x["late"][: n // 3], x["none"][:], x["still"][:] = np.nan, np.nan, 7.1
+        if n > 9:
+            x["gap"][5:9], x["inf"][7] = np.nan, np.inf
+        for span, least in ((10, 0), (14, 14), (1, 1)):
+            got, want = fr.ewms(x, span, least), pd.DataFrame(x).ewm(span=span, adjust=False, min_periods=least).mean()
+            for c in x:
+                np.testing.assert_allclose(got[c], want[c].to_numpy(), rtol=1e-12)
+
+
+def test_whole_columns_are_smoothed_without_pandas(monkeypatch):
+    monkeypatch.setattr(fr.pd, "DataFrame", None)
+    assert len(fr.ewms({"x": np.arange(40.0)}, 10)["x"]) == 40

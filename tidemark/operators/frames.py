@@ -6,6 +6,7 @@ by the longest frame. Deviations are those from the frame's own mean, so nothing
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -319,7 +320,42 @@ def ewm(x: np.ndarray, span: float) -> np.ndarray:
 
 def ewms(columns: Arrays, span: float, least: int = 0) -> Arrays:
     """Exponential means of several columns, null until least values are there."""
-    return dict(pd.DataFrame(columns).ewm(span=span, adjust=False, min_periods=least).mean().items())
+    names = list(columns)
+    x = np.stack([np.asarray(columns[c], float) for c in names]) if names else np.empty((0, 0))
+    k, n = x.shape
+    if not x.size:
+        return {c: v for c, v in zip(names, x, strict=True)}
+    there = np.isfinite(x)
+    start = np.where(there.any(axis=1), there.argmax(axis=1), n)
+    behind = np.arange(n) - start[:, None]
+    whole = (there | (behind < 0) & np.isnan(x)).all(axis=1)
+    alpha = 2 / (span + 1)
+    powers, square = _decay(alpha)
+    step = np.where(there, x, 0.0) * alpha
+    begun = np.flatnonzero(start < n)
+    step[begun, start[begun]] = x[begun, start[begun]]
+    out, carried = np.empty_like(x), np.zeros(k)
+    for i in range(0, n, STRETCH):
+        j = min(i + STRETCH, n)
+        out[:, i:j] = step[:, i:j] @ square[: j - i, : j - i] + carried[:, None] * powers[1 : j - i + 1]
+        carried = out[:, j - 1]
+    out[behind < max(least - 1, 0)] = np.nan
+    # a gap changes the weights, and an infinite value spreads in a product
+    other = [c for c, w in zip(names, whole, strict=True) if not w]
+    slow = pd.DataFrame({c: columns[c] for c in other}).ewm(span=span, adjust=False, min_periods=least).mean() if other else {}
+    return {c: slow[c].to_numpy() if not w else v for c, w, v in zip(names, whole, out, strict=True)}
+
+
+#: Rows that an exponential mean takes at a time, as one product.
+STRETCH = 32
+
+
+@functools.cache
+def _decay(alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of 1 - alpha, and what each row of a stretch leaves to the rows from it on."""
+    powers = (1 - alpha) ** np.arange(STRETCH + 1)
+    apart = np.subtract.outer(np.arange(STRETCH), np.arange(STRETCH)).T
+    return powers, np.where(apart >= 0, powers[np.maximum(apart, 0)], 0.0)
 
 
 def _seed(x: np.ndarray, n: int) -> np.ndarray | None:
@@ -427,8 +463,8 @@ def strength_pass(f: Arrays) -> Arrays:
     steps = {c: diff(x) for c, x in f.items()}
     up, down = (ewms({c: np.where(s > 0, s, 0.0) for c, s in signed.items()}, 14, 14) for signed in (steps, {c: -s for c, s in steps.items()}))
     fast, slow = ewms(f, 12, 12), ewms(f, 26, 26)
-    line = {c: fast[c].to_numpy() - slow[c].to_numpy() for c in f}
+    line = {c: fast[c] - slow[c] for c in f}
     mark, out = ewms(line, 9, 9), {}
     for c in f:
-        out |= {f"{c}_rsi14": 100 - 100 / (1 + ratio(up[c].to_numpy(), down[c].to_numpy())), f"{c}_macd_hist": line[c] - mark[c].to_numpy()}
+        out |= {f"{c}_rsi14": 100 - 100 / (1 + ratio(up[c], down[c])), f"{c}_macd_hist": line[c] - mark[c]}
     return out
