@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 STEP_BYTES = 2 << 20
 #: Rows of whole texts that go to a Python worker at a time; Spark's own 10,000 would stand in the JVM and the worker at once.
 ROWS = 2_000
+#: Options of a Parquet table whose rows are some MB each: every row is a row group. Writers look at the bytes of a group only after a hundred rows, and
+#: readers take a group's rows, up to 4,096, at once.
+EACH_ALONE = {"parquet.block.row.count.limit": "1"}
 
 
 @functools.cache

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, STEP_BYTES, Words, distinct, keyed, steps, store, text_or_empty, without
+from .common import ALNUM, EACH_ALONE, STEP_BYTES, Words, distinct, keyed, steps, store, text_or_empty, without
 
 INDEX = "part int, seq int, doc_ids array<long>, rows array<int>, terms array<binary>, counts array<int>, postings binary"
 MATCHES = "part int, seq int, ord int, doc_id long, item_id string, first_word long, end_word long"
@@ -48,7 +48,7 @@ def build(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), one(batch.column("doc_id")), one(pa.array(words.rows.astype(np.int32))), one(words.distinct), one(pa.array(counts)), pa.array([deltas.tobytes()], pa.binary())], names=["part", "seq", "doc_ids", "rows", "terms", "counts", "postings"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return store(rows.mapInArrow(segments, INDEX), "postings", compression="zstd")
+    return store(rows.mapInArrow(segments, INDEX), "postings", compression="zstd", **EACH_ALONE)
 
 
 def documents(index: DataFrame) -> DataFrame:

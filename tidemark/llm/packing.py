@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, steps, store, text_or_empty
+from .common import EACH_ALONE, STEP_BYTES, steps, store, text_or_empty
 from .tokens import encoder, vocabulary
 
 CODED = "part int, seq int, n_tokens long, doc_ids array<long>, sizes array<long>, ids binary"
@@ -41,7 +41,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> Da
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return store(rows.mapInArrow(coded, CODED), "coded", compression="zstd")
+    return store(rows.mapInArrow(coded, CODED), "coded", compression="zstd", **EACH_ALONE)
 
 
 def pack(docs: DataFrame, length: int = 1024, with_ids: bool = False, **options) -> DataFrame:
