@@ -95,3 +95,19 @@ def test_few_columns_come_to_the_pass(spark):
     assert set(rows.columns) == {"symbol", "date", "close", "ret", "xsec_mom_20d_z", "market_ret", "match_ret"}
     order = [block.name for _, blocks in xs.registry(sides).plan(["momentum", "breadth", "alpha"], b.columns) for block in blocks]
     assert order.index("momentum") < order.index("breadth")  # what is joined by date is not dealt by date
+
+
+def test_blocks_of_a_date_share_an_exchange(spark):
+    from tidemark.plans import cross_section as xs
+
+    b, sides = driven(spark)
+    got = plan(xs.daily(b.select("symbol", "date", "close", "ret"), sides, ["momentum", "ranks", "volatility_context"]))
+    assert got.count("Exchange hashpartitioning(date") == 2  # the calendar's and the table's
+
+
+def test_weekly_driver_is_not_dealt_for_days(spark):
+    from tidemark.plans import cross_section as xs
+
+    b, sides = driven(spark)
+    got = xs.weekly(b.drop("ret"), sides, ["alpha", "momentum"])
+    assert "Exchange" not in plan(got).split("InArrow")[0] and got.count() == b.count()
